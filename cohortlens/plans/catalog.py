@@ -11,8 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
-from cohortlens.sources.testdata import FEATURES_WITH_HF, cohort
+from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
+from cohortlens.operators.ranking import average_rank
+from cohortlens.operators.stats import corr_matrix, corr_pivot, marginal_report, value_counts
+from cohortlens.sources.testdata import CORR_COLUMNS, FEATURES_WITH_HF, clinical, cohort
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +46,71 @@ def q_threshold_odds_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_odds_scan(cohort(spark, sf_dir, with_index=True), "index", "DOA", THRESHOLD_STEP)
 
 
+def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contiguous_blocks(cohort(spark, sf_dir, with_index=True), BLOCK_K, "index")
+
+
+def q_contiguous_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_summary(_blocked(spark, sf_dir))
+
+
+def q_block_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_summary(_blocked(spark, sf_dir))
+
+
+def q_stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = clinical(spark, sf_dir)
+    return stratified_folds(c, "outcome", "doc_id", n_folds=3, seed=42).select("doc_id", "outcome", "fold")
+
+
+def _full_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _blocked(spark, sf_dir).where(~F.col("is_tail"))
+
+
+def q_corr_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr_matrix(_full_blocks(spark, sf_dir), CORR_COLUMNS, ["block"], "pearson")
+
+
+def q_corr_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corr_matrix(_full_blocks(spark, sf_dir), CORR_COLUMNS, ["block"], "spearman")
+
+
+def q_corr_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = _full_blocks(spark, sf_dir)
+    long = corr_matrix(blocks, CORR_COLUMNS, ["block"], "pearson").unionByName(
+        corr_matrix(blocks, CORR_COLUMNS, ["block"], "spearman"))
+    return corr_pivot(long, CORR_COLUMNS, ["block"])
+
+
+def q_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = average_rank(_full_blocks(spark, sf_dir), ["Age", "Platelets"], ["block"])
+    return ranked.select("index", "block", "Age_rank", "Platelets_rank")
+
+
+def q_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_counts(clinical(spark, sf_dir), "outcome")
+
+
+def q_marginal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marginal_report(clinical(spark, sf_dir), ["quality", "toxic"])
+
+
+def q_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return null_profile(clinical(spark, sf_dir))
+
+
+def q_impute_constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impute_constant(clinical(spark, sf_dir), -1)
+
+
+def q_complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complete_cases(clinical(spark, sf_dir))
+
+
+def q_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape(clinical(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -49,4 +118,17 @@ def queries() -> dict[str, Query]:
         "odds_ratios_by_dataset": q_odds_ratios_by_dataset,
         "global_index": q_global_index,
         "threshold_odds_scan": q_threshold_odds_scan,
+        "contiguous_blocks": q_contiguous_blocks,
+        "block_folds": q_block_folds,
+        "stratified_folds": q_stratified_folds,
+        "corr_pearson": q_corr_pearson,
+        "corr_spearman": q_corr_spearman,
+        "corr_pivot": q_corr_pivot,
+        "average_rank": q_average_rank,
+        "value_counts": q_value_counts,
+        "marginal_report": q_marginal_report,
+        "null_profile": q_null_profile,
+        "impute_constant": q_impute_constant,
+        "complete_cases": q_complete_cases,
+        "shape": q_shape,
     }

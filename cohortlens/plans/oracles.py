@@ -47,6 +47,36 @@ _OR = ("round(CAST(dead_low AS DOUBLE) * alive_high / "
        "NULLIF(CAST(dead_high AS DOUBLE) * alive_low, 0), 6)")
 
 
+CORR_COLS = ["Age", "Gender", "PT", "PTT", "Platelets", "DOA"]
+BLOCKS_CTE = """blocked AS (
+  SELECT c.*, CAST(floor((id - 1) / 10000) AS BIGINT) AS block,
+         floor((id - 1) / 10000) >= floor((SELECT count(*) FROM cohort) / 10000) AS is_tail
+  FROM cohort c)"""
+
+
+def _corr_sql(src: str, method: str) -> str:
+    cols = CORR_COLS
+    aggs = [f"stddev_pop({c}) AS sd_{c}" for c in cols]
+    aggs += [f"covar_pop({a}, {b}) AS cv_{a}_{b}" for i, a in enumerate(cols) for b in cols[i + 1:]]
+    parts = []
+    for a in cols:
+        for b in cols:
+            if a == b:
+                v = "CAST(1.0 AS DOUBLE)"
+            else:
+                x, y = (a, b) if cols.index(a) < cols.index(b) else (b, a)
+                v = f"round(cv_{x}_{y} / NULLIF(sd_{x} * sd_{y}, 0), 6)"
+            parts.append(f"SELECT block, '{method}' AS method, '{a}' AS feature_a, '{b}' AS feature_b, {v} AS value FROM w")
+    return f"w AS (SELECT block, {', '.join(aggs)} FROM {src} GROUP BY block)\n" + "\nUNION ALL\n".join(parts)
+
+
+def _ranked_cte(cols) -> str:
+    rk = ", ".join(
+        f"rank() OVER (PARTITION BY block ORDER BY {c}) + (count(*) OVER (PARTITION BY block, {c}) - 1) / 2.0 AS {c}"
+        for c in cols)
+    return f"ranked AS (SELECT block, {rk} FROM blocked WHERE NOT is_tail)"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -69,4 +99,54 @@ SELECT threshold, alive_below,
        round(CAST(alive_below AS DOUBLE) * ((n - alive) - (threshold - alive_below))
              / NULLIF(CAST(threshold - alive_below AS DOUBLE) * (alive - alive_below), 0), 2) AS odds_ratio
 FROM below, tot"""
+    q["contiguous_blocks"] = f"""WITH {COHORT_CTE}, {BLOCKS_CTE}
+SELECT block, is_tail, count(*) AS n_rows, min(id) AS first_index, max(id) AS last_index,
+       count(*) FILTER (WHERE DOA = 0) AS n_dead
+FROM blocked GROUP BY block, is_tail"""
+    q["block_folds"] = f"""WITH {COHORT_CTE}, {BLOCKS_CTE},
+tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS d FROM blocked)
+SELECT block AS fold, count(*) AS test_rows, count(*) FILTER (WHERE DOA = 0) AS test_dead,
+       CAST(any_value(tot.n) - count(*) AS BIGINT) AS train_rows,
+       CAST(any_value(tot.d) - count(*) FILTER (WHERE DOA = 0) AS BIGINT) AS train_dead
+FROM blocked, tot WHERE NOT is_tail GROUP BY block"""
+    q["stratified_folds"] = f"""WITH {CLINICAL_CTE}
+SELECT doc_id, outcome,
+       CAST((row_number() OVER (PARTITION BY outcome ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1) % 3
+            AS INTEGER) AS fold
+FROM clinical"""
+    q["corr_pearson"] = f"WITH {COHORT_CTE}, {BLOCKS_CTE}, full_blocks AS (SELECT * FROM blocked WHERE NOT is_tail),\n" \
+        + _corr_sql("full_blocks", "pearson")
+    q["corr_spearman"] = f"WITH {COHORT_CTE}, {BLOCKS_CTE}, {_ranked_cte(CORR_COLS)},\n" + _corr_sql("ranked", "spearman")
+    piv = ", ".join(f"first(value) FILTER (WHERE feature_b = '{c}') AS {c}" for c in CORR_COLS)
+    q["corr_pivot"] = (f"WITH {COHORT_CTE}, {BLOCKS_CTE}, full_blocks AS (SELECT * FROM blocked WHERE NOT is_tail), "
+                       f"{_ranked_cte(CORR_COLS)},\n"
+                       f"pe AS (WITH {_corr_sql('full_blocks', 'pearson')}),\n"
+                       f"sp AS (WITH {_corr_sql('ranked', 'spearman')}),\n"
+                       f"lng AS (SELECT * FROM pe UNION ALL SELECT * FROM sp)\n"
+                       f"SELECT block, method, feature_a AS feature, {piv} FROM lng GROUP BY block, method, feature_a")
+    q["average_rank"] = f"""WITH {COHORT_CTE}, {BLOCKS_CTE}
+SELECT id AS "index", block,
+       rank() OVER (PARTITION BY block ORDER BY Age) + (count(*) OVER (PARTITION BY block, Age) - 1) / 2.0 AS Age_rank,
+       rank() OVER (PARTITION BY block ORDER BY Platelets)
+         + (count(*) OVER (PARTITION BY block, Platelets) - 1) / 2.0 AS Platelets_rank
+FROM blocked WHERE NOT is_tail"""
+    q["value_counts"] = f"WITH {CLINICAL_CTE}\nSELECT outcome, count(*) AS n FROM clinical GROUP BY outcome"
+    q["marginal_report"] = f"""WITH {CLINICAL_CTE}
+SELECT count(*) AS "rows", 'quality' AS feature, count(quality) AS measured,
+       count(*) FILTER (WHERE quality = 0) AS low, count(*) FILTER (WHERE quality <> 0) AS high,
+       count(*) - count(quality) AS missing FROM clinical
+UNION ALL
+SELECT count(*), 'toxic', count(toxic), count(*) FILTER (WHERE toxic = 0), count(*) FILTER (WHERE toxic <> 0),
+       count(*) - count(toxic) FROM clinical"""
+    cl_cols = ["doc_id", "n_chars", "quality", "toxic", "lang", "source", "outcome"]
+    q["null_profile"] = f"WITH {CLINICAL_CTE}\n" + "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count({c}) AS non_nulls, "
+        f"count(*) - count({c}) > 0 AS any_null FROM clinical" for c in cl_cols)
+    q["impute_constant"] = f"""WITH {CLINICAL_CTE}
+SELECT coalesce(doc_id, -1) AS doc_id, coalesce(n_chars, -1) AS n_chars, coalesce(quality, -1) AS quality,
+       coalesce(toxic, -1) AS toxic, lang, source, coalesce(outcome, -1) AS outcome FROM clinical"""
+    q["complete_cases"] = f"""WITH {CLINICAL_CTE}
+SELECT * FROM clinical WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL
+  AND toxic IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND outcome IS NOT NULL"""
+    q["shape"] = f"WITH {CLINICAL_CTE}\nSELECT count(*) AS \"rows\", CAST(7 AS BIGINT) AS cols FROM clinical"
     return q
