@@ -11,6 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.operators.evaluation import (
+    binary_metrics, confusion_counts, holdout_accuracy, index_label, label_mapping, per_class_metrics,
+)
+from cohortlens.operators.sampling import exact_sample, hash_sample, holdout_split, id_difference, rebalance
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -111,6 +115,64 @@ def q_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape(clinical(spark, sf_dir))
 
 
+def rule_prediction(df: DataFrame) -> DataFrame:
+    """A fixed rule classifier in label space (1.0 = dead when deaths are the minority).
+
+    Lets the metric operators be checked by SQL without a fitted model.
+    """
+    dead = ((F.col("PT") == 0) & (F.col("Platelets") == 0)) | (F.col("Age") > 45)
+    return df.withColumn("prediction", F.when(dead, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_prediction(index_label(cohort(spark, sf_dir, with_index=True), "DOA", "label"))
+
+
+def q_index_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_mapping(cohort(spark, sf_dir), "DOA", "label")
+
+
+def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return confusion_counts(_scored(spark, sf_dir), by=["dataset_id"])
+
+
+def q_binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_metrics(confusion_counts(_scored(spark, sf_dir), by=["dataset_id"]))
+
+
+def q_per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return per_class_metrics(_scored(spark, sf_dir))
+
+
+def q_holdout_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = holdout_split(_scored(spark, sf_dir), "id", 0.7, 5043)
+    return holdout_accuracy(split.where(F.col("split") == "test"))
+
+
+def q_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_sample(cohort(spark, sf_dir, with_index=True), "id", 0.2, 100).select("id", "dataset_id", "DOA")
+
+
+def q_exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    return exact_sample(c, 500, "id", ["dataset_id"], seed=7).select("dataset_id", "id")
+
+
+def q_holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = holdout_split(cohort(spark, sf_dir, with_index=True), "id", 0.7, 5043)
+    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("DOA") == 0).alias("n_dead"))
+
+
+def q_id_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    return id_difference(c.select("id", "dataset_id"), c.where(F.col("DOA") == 0), "id")
+
+
+def q_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True).select("id", "DOA")
+    return rebalance(c, "DOA", 0.1 + 0.1 * 2, seed=2, key="id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -131,4 +193,14 @@ def queries() -> dict[str, Query]:
         "impute_constant": q_impute_constant,
         "complete_cases": q_complete_cases,
         "shape": q_shape,
+        "index_label": q_index_label,
+        "confusion_counts": q_confusion_counts,
+        "binary_metrics": q_binary_metrics,
+        "per_class_metrics": q_per_class_metrics,
+        "holdout_accuracy": q_holdout_accuracy,
+        "hash_sample": q_hash_sample,
+        "exact_sample": q_exact_sample,
+        "holdout_split": q_holdout_split,
+        "id_difference": q_id_difference,
+        "rebalance": q_rebalance,
     }

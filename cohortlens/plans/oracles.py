@@ -77,6 +77,26 @@ def _ranked_cte(cols) -> str:
     return f"ranked AS (SELECT block, {rk} FROM blocked WHERE NOT is_tail)"
 
 
+def _u(key: str, seed) -> str:
+    return (f"((('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13))::BIGINT + 0.5) "
+            f"/ 4503599627370496.0)")
+
+
+SCORED_CTE = """mapping AS (
+  SELECT DOA, CAST(row_number() OVER (ORDER BY n DESC, CAST(DOA AS VARCHAR)) - 1 AS DOUBLE) AS label
+  FROM (SELECT DOA, count(*) AS n FROM cohort GROUP BY DOA)),
+scored AS (
+  SELECT c.*, m.label,
+         CASE WHEN (PT = 0 AND Platelets = 0) OR Age > 45 THEN 1.0 ELSE 0.0 END::DOUBLE AS prediction
+  FROM cohort c LEFT JOIN mapping m ON c.DOA = m.DOA)"""
+
+CONF = """count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+  count(*) FILTER (WHERE label <> 1 AND prediction <> 1) AS tn,
+  count(*) FILTER (WHERE label <> 1 AND prediction = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND prediction <> 1) AS fn,
+  count(*) AS n"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -149,4 +169,41 @@ SELECT coalesce(doc_id, -1) AS doc_id, coalesce(n_chars, -1) AS n_chars, coalesc
 SELECT * FROM clinical WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL AND quality IS NOT NULL
   AND toxic IS NOT NULL AND lang IS NOT NULL AND source IS NOT NULL AND outcome IS NOT NULL"""
     q["shape"] = f"WITH {CLINICAL_CTE}\nSELECT count(*) AS \"rows\", CAST(7 AS BIGINT) AS cols FROM clinical"
+    q["index_label"] = f"""WITH {COHORT_CTE}
+SELECT DOA, n, CAST(row_number() OVER (ORDER BY n DESC, CAST(DOA AS VARCHAR)) - 1 AS DOUBLE) AS label
+FROM (SELECT DOA, count(*) AS n FROM cohort GROUP BY DOA)"""
+    q["confusion_counts"] = f"WITH {COHORT_CTE}, {SCORED_CTE}\nSELECT dataset_id, {CONF} FROM scored GROUP BY dataset_id"
+    r6 = lambda a, b: f"round(CAST({a} AS DOUBLE) / NULLIF({b}, 0), 6)"
+    q["binary_metrics"] = f"""WITH {COHORT_CTE}, {SCORED_CTE},
+cc AS (SELECT dataset_id, {CONF} FROM scored GROUP BY dataset_id)
+SELECT *, {r6('tp + tn', 'n')} AS accuracy, {r6('tp', 'tp + fp')} AS precision,
+       {r6('tp', 'tp + fn')} AS recall, {r6('2 * tp', '2 * tp + fp + fn')} AS f1 FROM cc"""
+    q["per_class_metrics"] = f"""WITH {COHORT_CTE}, {SCORED_CTE},
+cls AS (SELECT label AS class FROM scored UNION SELECT prediction FROM scored),
+pc AS (SELECT cls.class,
+              (SELECT count(*) FROM scored s WHERE s.label = cls.class AND s.prediction = cls.class) AS tp,
+              (SELECT count(*) FROM scored s WHERE s.label = cls.class) AS actual,
+              (SELECT count(*) FROM scored s WHERE s.prediction = cls.class) AS predicted
+       FROM cls)
+SELECT class, tp, actual, predicted, {r6('tp', 'predicted')} AS precision, {r6('tp', 'actual')} AS recall FROM pc"""
+    q["holdout_accuracy"] = f"""WITH {COHORT_CTE}, {SCORED_CTE}
+SELECT count(*) AS n, count(*) FILTER (WHERE label = prediction) AS correct,
+       {r6('count(*) FILTER (WHERE label = prediction)', 'count(*)')} AS accuracy
+FROM scored WHERE NOT ({_u('id', 5043)} < 0.7)"""
+    q["hash_sample"] = f"WITH {COHORT_CTE}\nSELECT id, dataset_id, DOA FROM cohort WHERE {_u('id', 100)} < 0.2"
+    q["exact_sample"] = f"""WITH {COHORT_CTE}
+SELECT dataset_id, id FROM (
+  SELECT dataset_id, id, row_number() OVER (PARTITION BY dataset_id
+                                             ORDER BY md5(CAST(id AS VARCHAR) || ':7'), id) AS rk
+  FROM cohort) WHERE rk <= 500"""
+    q["holdout_split"] = f"""WITH {COHORT_CTE}
+SELECT CASE WHEN {_u('id', 5043)} < 0.7 THEN 'train' ELSE 'test' END AS split,
+       count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS n_dead
+FROM cohort GROUP BY 1"""
+    q["id_difference"] = f"""WITH {COHORT_CTE}
+SELECT id, dataset_id FROM cohort c WHERE NOT EXISTS (SELECT 1 FROM cohort d WHERE d.DOA = 0 AND d.id = c.id)"""
+    q["rebalance"] = f"""WITH {COHORT_CTE}
+SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 0
+UNION ALL
+SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 1 AND {_u('id', 2)} < 0.1 + 0.1 * 2"""
     return q
