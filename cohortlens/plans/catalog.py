@@ -15,6 +15,11 @@ from cohortlens.operators.evaluation import (
     binary_metrics, confusion_counts, holdout_accuracy, index_label, label_mapping, per_class_metrics,
 )
 from cohortlens.operators.sampling import exact_sample, hash_sample, holdout_split, id_difference, rebalance
+from cohortlens.operators.synthesis import (
+    blocked_outcomes, expected_cells, independent_marginals, marginals, normal_attribute, quota_assign,
+    synthesize_cohorts,
+)
+from cohortlens.operators.odds import odds_ratio_expr
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -173,6 +178,62 @@ def q_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rebalance(c, "DOA", 0.1 + 0.1 * 2, seed=2, key="id")
 
 
+def measured_config(c: DataFrame) -> DataFrame:
+    """Per (dataset, feature): n, dead, alive, low, high and the measured odds ratio.
+
+    The generators' configuration taken from the data itself, so synthetic
+    cohorts reproduce each dataset's marginals and odds ratios.
+    """
+    cells = contingency(c, FEATURES_WITH_HF, "DOA", by=["dataset_id"])
+    sizes = c.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("DOA") == 0).alias("dead"))
+    return (cells.join(sizes, "dataset_id")
+            .select("dataset_id", "feature", "n", "dead", (F.col("n") - F.col("dead")).alias("alive"),
+                    (F.col("dead_low") + F.col("alive_low")).alias("low"),
+                    (F.col("dead_high") + F.col("alive_high")).alias("high"),
+                    odds_ratio_expr().alias("odds_ratio")))
+
+
+def _expected(c: DataFrame) -> DataFrame:
+    return expected_cells(measured_config(c)).withColumn("odds_ratio", F.round("odds_ratio", 6))
+
+
+def q_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cfg = measured_config(cohort(spark, sf_dir))
+    rates = cfg.select("dataset_id", "feature", "n",
+                       (F.col("dead") / F.col("n")).alias("dead_rate"),
+                       (F.col("low") / F.col("n")).alias("low_rate"))
+    return marginals(rates, "ceil").drop("dead_rate", "low_rate")
+
+
+def q_expected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expected(cohort(spark, sf_dir))
+
+
+def q_quota_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    return quota_assign(c.select("dataset_id", "id", "DOA"), _expected(c), FEATURES_WITH_HF)
+
+
+def q_synthesize_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    cfg = measured_config(c)
+    dead = cfg.select("dataset_id", "dead").distinct()
+    return synthesize_cohorts(c.select("dataset_id", "id"), dead, _expected(c), FEATURES_WITH_HF)
+
+
+def q_normal_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normal_attribute(cohort(spark, sf_dir, with_index=True).select("id"), "id", 1)
+
+
+def q_independent_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return independent_marginals(cohort(spark, sf_dir, with_index=True).select("dataset_id", "id"))
+
+
+def q_blocked_threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True).select("id", "index")
+    return threshold_odds_scan(blocked_outcomes(c, "index", THRESHOLD_STEP), "index", "DOA", THRESHOLD_STEP)
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -203,4 +264,11 @@ def queries() -> dict[str, Query]:
         "holdout_split": q_holdout_split,
         "id_difference": q_id_difference,
         "rebalance": q_rebalance,
+        "marginals": q_marginals,
+        "expected_cells": q_expected_cells,
+        "quota_assign": q_quota_assign,
+        "synthesize_cohorts": q_synthesize_cohorts,
+        "normal_attribute": q_normal_attribute,
+        "independent_marginals": q_independent_marginals,
+        "blocked_threshold_scan": q_blocked_threshold_scan,
     }

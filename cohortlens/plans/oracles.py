@@ -97,6 +97,70 @@ CONF = """count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
   count(*) AS n"""
 
 
+SEEDS = {"Age": 0, "Gender": 1, "PT": 2, "PTT": 3, "Platelets": 4, "HF": 5, "DOA": 6}
+
+
+def _config_cte(src: str = "cohort") -> str:
+    return f"""cells AS ({_cells_union(FEATURES, 'dataset_id').replace('FROM cohort', 'FROM ' + src)}),
+sizes AS (SELECT dataset_id, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS dead FROM {src} GROUP BY dataset_id),
+cfg AS (SELECT c.dataset_id, c.feature, s.n, s.dead, s.n - s.dead AS alive,
+               c.dead_low + c.alive_low AS low, c.dead_high + c.alive_high AS high,
+               CAST(c.dead_low AS DOUBLE) * c.alive_high / NULLIF(CAST(c.dead_high AS DOUBLE) * c.alive_low, 0)
+                 AS odds_ratio
+        FROM cells c JOIN sizes s USING (dataset_id)),
+pq AS (SELECT *, odds_ratio - 1.0 AS p,
+              CAST(low AS DOUBLE) - CAST(alive AS DOUBLE) - odds_ratio * low - odds_ratio * dead AS q,
+              odds_ratio * low * dead AS r,
+              greatest(0.0, CAST(dead AS DOUBLE) - high) AS lo_b, least(CAST(low AS DOUBLE), dead) AS hi_b
+       FROM cfg),
+roots AS (SELECT *, q * q - 4.0 * p * r AS disc,
+                 (-q + sqrt(CASE WHEN q * q - 4.0 * p * r >= 0 THEN q * q - 4.0 * p * r END)) / NULLIF(2.0 * p, 0) AS r1,
+                 (-q - sqrt(CASE WHEN q * q - 4.0 * p * r >= 0 THEN q * q - 4.0 * p * r END)) / NULLIF(2.0 * p, 0) AS r2
+          FROM pq),
+sel AS (SELECT *, CASE WHEN p = 0 THEN CAST(low AS DOUBLE) * dead / n
+                       WHEN disc < 0 THEN NULL
+                       WHEN least(r1, r2) >= lo_b - 1.0 AND least(r1, r2) <= hi_b THEN least(r1, r2)
+                       ELSE greatest(r1, r2) END AS s
+        FROM roots),
+ec0 AS (SELECT dataset_id, feature, n, dead, alive, low, high, odds_ratio, p, disc,
+               CAST(least(greatest(ceil(s), lo_b), hi_b) AS BIGINT) AS dead_low FROM sel),
+ec AS (SELECT dataset_id, feature, n, dead, alive, low, high, round(odds_ratio, 6) AS odds_ratio, dead_low,
+              dead - dead_low AS dead_high, low - dead_low AS alive_low, high - (dead - dead_low) AS alive_high,
+              round(CAST(dead_low AS DOUBLE) * (high - (dead - dead_low))
+                    / NULLIF(CAST(dead - dead_low AS DOUBLE) * (low - dead_low), 0), 6) AS realised_or,
+              CASE WHEN p <> 0 AND disc < 0 THEN 'complex roots' END AS reason
+       FROM ec0)"""
+
+
+def _quota_sql(src: str, seed_sql) -> str:
+    """Rows of ``src`` (dataset_id, id, DOA, ...) with exact per-feature quotas from ``ec``."""
+    vals = ", ".join(f"('{f}', {seed_sql(f)})" for f in FEATURES)
+    piv = ", ".join(f"max(value) FILTER (WHERE feature = '{f}') AS {f}" for f in FEATURES)
+    return f"""lng AS (
+  SELECT x.dataset_id, x.id, x.DOA, f.feature,
+         row_number() OVER (PARTITION BY x.dataset_id, x.DOA, f.feature
+                            ORDER BY md5(CAST(x.id AS VARCHAR) || ':' || CAST(f.seed AS VARCHAR)), x.id) AS rk
+  FROM {src} x CROSS JOIN LATERAL (SELECT * FROM (VALUES {vals}) v(feature, seed)) f),
+val AS (
+  SELECT l.dataset_id, l.id, l.feature,
+         CASE WHEN rk <= (CASE WHEN l.DOA = 0 THEN e.dead_low ELSE e.alive_low END) THEN 0.0
+              WHEN rk <= (CASE WHEN l.DOA = 0 THEN e.dead_low + e.dead_high ELSE e.alive_low + e.alive_high END)
+              THEN 1.0 END::DOUBLE AS value
+  FROM lng l LEFT JOIN ec e ON l.dataset_id = e.dataset_id AND l.feature = e.feature),
+wide AS (SELECT dataset_id, id, {piv} FROM val GROUP BY dataset_id, id)"""
+
+
+def _uniform_sql(key: str, seed_sql: str) -> str:
+    return (f"((('0x' || substr(md5(CAST({key} AS VARCHAR) || ':' || {seed_sql}), 1, 13))::BIGINT + 0.5) "
+            f"/ 4503599627370496.0)")
+
+
+def _age_sql(key: str, seed_sql: str) -> str:
+    u1 = _uniform_sql(key, f"{seed_sql} || 'a'")
+    u2 = _uniform_sql(key, f"{seed_sql} || 'b'")
+    return f"CAST(abs(round_even(36.0 + 19.0 * (sqrt(-2.0 * ln({u1})) * cos(2 * pi() * {u2})), 0)) AS DOUBLE)"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -206,4 +270,79 @@ SELECT id, dataset_id FROM cohort c WHERE NOT EXISTS (SELECT 1 FROM cohort d WHE
 SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 0
 UNION ALL
 SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 1 AND {_u('id', 2)} < 0.1 + 0.1 * 2"""
+    q["marginals"] = f"""WITH {COHORT_CTE}, {_config_cte()}
+SELECT dataset_id, feature, n, CAST(ceil(n * (CAST(dead AS DOUBLE) / n)) AS BIGINT) AS dead,
+       CAST(n - ceil(n * (CAST(dead AS DOUBLE) / n)) AS BIGINT) AS alive,
+       CAST(ceil(n * (CAST(low AS DOUBLE) / n)) AS BIGINT) AS low,
+       CAST(n - ceil(n * (CAST(low AS DOUBLE) / n)) AS BIGINT) AS high
+FROM cfg"""
+    q["expected_cells"] = f"WITH {COHORT_CTE}, {_config_cte()}\nSELECT * FROM ec"
+    q["quota_assign"] = f"""WITH {COHORT_CTE}, {_config_cte()}, {_quota_sql('cohort', lambda f: SEEDS[f])}
+SELECT c.dataset_id, c.id, c.DOA, w.Gender, w.PT, w.PTT, w.Platelets, w.HF
+FROM cohort c LEFT JOIN wide w ON c.dataset_id = w.dataset_id AND c.id = w.id"""
+    q["synthesize_cohorts"] = f"""WITH {COHORT_CTE}, {_config_cte()},
+dq AS (SELECT DISTINCT dataset_id, dead FROM cfg),
+outc AS (
+  SELECT c.dataset_id, c.id,
+         CASE WHEN row_number() OVER (PARTITION BY c.dataset_id
+                                      ORDER BY md5(CAST(c.id AS VARCHAR) || ':' || CAST(c.dataset_id + 6 AS VARCHAR)),
+                                               c.id) <= d.dead THEN 0.0 ELSE 1.0 END::DOUBLE AS DOA
+  FROM cohort c LEFT JOIN dq d ON c.dataset_id = d.dataset_id),
+aged AS (SELECT *, {_age_sql('id', "CAST(dataset_id + 0 AS VARCHAR)")} AS Age FROM outc),
+{_quota_sql('aged', lambda f: f"x.dataset_id + {SEEDS[f]}")}
+SELECT a.dataset_id, a.id, a.DOA, a.Age, w.Gender, w.PT, w.PTT, w.Platelets, w.HF
+FROM aged a LEFT JOIN wide w ON a.dataset_id = w.dataset_id AND a.id = w.id"""
+    age1 = _age_sql("id", "'1'")
+    q["normal_attribute"] = f"WITH {COHORT_CTE}\nSELECT id, {age1} AS Age FROM cohort"
+    ind = {"Gender": (10921, None), "PT": (10790, 2994), "PTT": (10453, 826), "Platelets": (11290, 381)}
+    scale = lambda c: f"floor(CAST(s.n AS DOUBLE) * CAST({c} AS DOUBLE) / CAST(14397 AS DOUBLE))"
+    q1 = " ".join(f"WHEN '{k}' THEN {scale(v[0])}" for k, v in ind.items())
+    q2 = " ".join(f"WHEN '{k}' THEN {scale(v[1])}" for k, v in ind.items() if v[1] is not None)
+    items = ", ".join(f"('{k}')" for k in ind)
+    piv = ", ".join(f"max(value) FILTER (WHERE feature = '{k}') AS {k}" for k in ind)
+    q["independent_marginals"] = f"""WITH {COHORT_CTE},
+sizes AS (SELECT dataset_id, count(*) AS n FROM cohort GROUP BY dataset_id),
+r1 AS (
+  SELECT c.dataset_id, c.id, f.feature,
+         row_number() OVER (PARTITION BY c.dataset_id, f.feature
+                            ORDER BY md5(CAST(c.id AS VARCHAR) || ':11:' || f.feature), c.id) AS rk
+  FROM cohort c CROSS JOIN (VALUES {items}) f(feature)),
+ch AS (SELECT r1.*, rk <= CASE feature {q1} END AS chosen,
+              CASE feature {q2} END AS low_q
+       FROM r1 JOIN sizes s USING (dataset_id)),
+r2 AS (
+  SELECT dataset_id, id, feature, low_q,
+         row_number() OVER (PARTITION BY dataset_id, feature
+                            ORDER BY md5(CAST(id AS VARCHAR) || ':11:low:' || feature), id) AS rk2
+  FROM ch WHERE chosen AND feature <> 'Gender'),
+val AS (
+  SELECT dataset_id, id, feature, CASE WHEN chosen THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM ch WHERE feature = 'Gender'
+  UNION ALL
+  SELECT dataset_id, id, feature, CASE WHEN rk2 <= low_q THEN 0.0 ELSE 1.0 END::DOUBLE FROM r2)
+SELECT c.dataset_id, c.id, {', '.join('w.' + k for k in ind)}
+FROM cohort c LEFT JOIN (SELECT dataset_id, id, {piv} FROM val GROUP BY dataset_id, id) w
+  ON c.dataset_id = w.dataset_id AND c.id = w.id"""
+    q["blocked_threshold_scan"] = f"""WITH {COHORT_CTE},
+b AS (SELECT id, CAST(floor((id - 1) / 1000) AS BIGINT) AS blk FROM cohort),
+bs AS (SELECT blk, count(*) AS rows_in FROM b GROUP BY blk),
+bq AS (SELECT blk, CAST(floor(CAST([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.99] AS DOUBLE[])[blk % 10 + 1]
+                                * rows_in) AS BIGINT) AS dead FROM bs),
+syn AS (
+  SELECT b.id,
+         CASE WHEN row_number() OVER (PARTITION BY b.blk
+                                      ORDER BY md5(CAST(b.id AS VARCHAR) || ':' || CAST((b.blk + 1) * 10 AS VARCHAR)),
+                                               b.id) <= bq.dead THEN 0 ELSE 1 END AS DOA
+  FROM b JOIN bq USING (blk)),
+tot AS (SELECT count(*) AS n, count(*) FILTER (WHERE DOA = 1) AS alive FROM syn),
+th AS (SELECT CAST(t AS BIGINT) AS threshold FROM tot, range(1000, (SELECT n FROM tot), 1000) r(t)),
+below AS (
+  SELECT th.threshold, CAST(count(*) FILTER (WHERE s.DOA = 1) AS BIGINT) AS alive_below
+  FROM th JOIN syn s ON s.id <= th.threshold GROUP BY th.threshold)
+SELECT threshold, alive_below,
+       CAST((n - alive) - (threshold - alive_below) AS BIGINT) AS dead_above,
+       CAST(threshold - alive_below AS BIGINT) AS dead_below,
+       CAST(alive - alive_below AS BIGINT) AS alive_above,
+       round(CAST(alive_below AS DOUBLE) * ((n - alive) - (threshold - alive_below))
+             / NULLIF(CAST(threshold - alive_below AS DOUBLE) * (alive - alive_below), 0), 2) AS odds_ratio
+FROM below, tot"""
     return q
