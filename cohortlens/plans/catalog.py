@@ -20,6 +20,11 @@ from cohortlens.operators.synthesis import (
     synthesize_cohorts,
 )
 from cohortlens.operators.odds import odds_ratio_expr
+from cohortlens.operators.similarity import (
+    DIST_COLS, dataset_pairs, distance_summary, joint_minmax, match_rank_aligned, nearest_neighbor, pair_rows,
+    rank_aligned_matches,
+)
+from cohortlens.functions.columns import row_sum
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -234,6 +239,43 @@ def q_blocked_threshold_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_odds_scan(blocked_outcomes(c, "index", THRESHOLD_STEP), "index", "DOA", THRESHOLD_STEP)
 
 
+def _sim_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 7-column cohort (id, Age, Gender, PT, PTT, Platelets, DOA) per dataset."""
+    c = cohort(spark, sf_dir, with_index=True, with_hf=False)
+    return c.select("dataset_id", "id", *DIST_COLS)
+
+
+def q_dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset_pairs(cohort(spark, sf_dir))
+
+
+def q_joint_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir)
+    return joint_minmax(c, dataset_pairs(c))
+
+
+def q_row_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pair_rows(_sim_cohort(spark, sf_dir))
+    return rows.select("ds_a", "ds_b", "side", "id", F.round(row_sum(DIST_COLS), 9).alias("row_sum"))
+
+
+def q_mean_abs_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rank_aligned_matches(_sim_cohort(spark, sf_dir))
+    return m.select("ds_a", "ds_b", "rank", "l_id", "r_id", F.round("distance", 9).alias("distance"))
+
+
+def q_match_rank_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_rank_aligned(_sim_cohort(spark, sf_dir))
+
+
+def q_distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distance_summary(rank_aligned_matches(_sim_cohort(spark, sf_dir)))
+
+
+def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbor(_sim_cohort(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -271,4 +313,11 @@ def queries() -> dict[str, Query]:
         "normal_attribute": q_normal_attribute,
         "independent_marginals": q_independent_marginals,
         "blocked_threshold_scan": q_blocked_threshold_scan,
+        "dataset_pairs": q_dataset_pairs,
+        "joint_minmax": q_joint_minmax,
+        "row_sum": q_row_sum,
+        "mean_abs_distance": q_mean_abs_distance,
+        "match_rank_aligned": q_match_rank_aligned,
+        "distance_summary": q_distance_summary,
+        "nearest_neighbor": q_nearest_neighbor,
     }

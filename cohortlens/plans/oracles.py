@@ -161,6 +161,42 @@ def _age_sql(key: str, seed_sql: str) -> str:
     return f"CAST(abs(round_even(36.0 + 19.0 * (sqrt(-2.0 * ln({u1})) * cos(2 * pi() * {u2})), 0)) AS DOUBLE)"
 
 
+DIST = ["Gender", "PT", "PTT", "Platelets", "DOA", "Age"]
+PAIRS_CTE = """pairs AS (
+  SELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b
+  FROM (SELECT DISTINCT dataset_id FROM cohort) a JOIN (SELECT DISTINCT dataset_id FROM cohort) b
+    ON a.dataset_id < b.dataset_id),
+ext AS (SELECT dataset_id, min(Age) AS mn, max(Age) AS mx FROM cohort GROUP BY dataset_id),
+pm AS (SELECT p.ds_a, p.ds_b, least(ea.mn, eb.mn) AS lo, greatest(ea.mx, eb.mx) AS hi
+       FROM pairs p JOIN ext ea ON ea.dataset_id = p.ds_a JOIN ext eb ON eb.dataset_id = p.ds_b),
+prow AS (
+  SELECT pm.ds_a, pm.ds_b, CASE WHEN c.dataset_id = pm.ds_a THEN 0 ELSE 1 END AS side, c.id,
+         c.Gender, c.PT, c.PTT, c.Platelets, c.DOA,
+         coalesce((c.Age - pm.lo) / NULLIF(pm.hi - pm.lo, 0), 0.0) AS Age
+  FROM pm JOIN cohort c ON c.dataset_id = pm.ds_a OR c.dataset_id = pm.ds_b)"""
+ROWSUM = "round(Gender + PT + PTT + Platelets + DOA + Age, 9)"
+RANKED_CTE = f"""ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY ds_a, ds_b, side ORDER BY {ROWSUM}, id) AS rank FROM prow),
+matched AS (
+  SELECT l.ds_a, l.ds_b, l.rank, l.id AS l_id, r.id AS r_id,
+         (abs(l.Gender - r.Gender) + abs(l.PT - r.PT) + abs(l.PTT - r.PTT) + abs(l.Platelets - r.Platelets)
+          + abs(l.DOA - r.DOA) + abs(l.Age - r.Age)) / 6.0 AS distance
+  FROM ranked l JOIN ranked r ON l.ds_a = r.ds_a AND l.ds_b = r.ds_b AND l.rank = r.rank
+  WHERE l.side = 0 AND r.side = 1)"""
+
+
+def _summary_sql(src: str, weight: str = "1", extra: bool = True) -> str:
+    cols = [f"CAST(sum({weight}) AS BIGINT) AS n_matched",
+            f"round(sum(distance * {weight}) / sum({weight}), 6) AS avg_distance",
+            "round(min(distance), 6) AS min_distance", "round(max(distance), 6) AS max_distance",
+            f"round(CAST(sum(CASE WHEN distance <= 0 THEN {weight} ELSE 0 END) AS DOUBLE) * 100.0 / sum({weight}), 6)"
+            " AS zero_dist_percent"]
+    if extra:
+        cols += [f"round(sum(distance * {weight}), 6) AS distance_sum",
+                 f"CAST(sum({weight}) - sum(CASE WHEN distance <= 0 THEN {weight} ELSE 0 END) AS BIGINT) AS n_nonzero"]
+    return f"SELECT ds_a, ds_b, {', '.join(cols)} FROM {src} GROUP BY ds_a, ds_b"
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -345,4 +381,27 @@ SELECT threshold, alive_below,
        round(CAST(alive_below AS DOUBLE) * ((n - alive) - (threshold - alive_below))
              / NULLIF(CAST(threshold - alive_below AS DOUBLE) * (alive - alive_below), 0), 2) AS odds_ratio
 FROM below, tot"""
+    q["dataset_pairs"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}\nSELECT ds_a, ds_b FROM pairs"
+    q["joint_minmax"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}\nSELECT ds_a, ds_b, lo, hi FROM pm"
+    q["row_sum"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}\nSELECT ds_a, ds_b, side, id, {ROWSUM} AS row_sum FROM prow"
+    q["mean_abs_distance"] = (f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n"
+                              "SELECT ds_a, ds_b, rank, l_id, r_id, round(distance, 9) AS distance FROM matched")
+    q["match_rank_aligned"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n" + _summary_sql("matched", extra=False)
+    q["distance_summary"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n" + _summary_sql("matched")
+    q["nearest_neighbor"] = f"""WITH {COHORT_CTE}, {PAIRS_CTE},
+cells AS (SELECT dataset_id, Gender, PT, PTT, Platelets, DOA, Age, count(*) AS n FROM cohort
+          GROUP BY dataset_id, Gender, PT, PTT, Platelets, DOA, Age),
+lc AS (SELECT pm.ds_a, pm.ds_b, c.Gender, c.PT, c.PTT, c.Platelets, c.DOA, c.n,
+              coalesce((c.Age - pm.lo) / NULLIF(pm.hi - pm.lo, 0), 0.0) AS Age
+       FROM pm JOIN cells c ON c.dataset_id = pm.ds_a),
+rc AS (SELECT pm.ds_a, pm.ds_b, c.Gender, c.PT, c.PTT, c.Platelets, c.DOA,
+              coalesce((c.Age - pm.lo) / NULLIF(pm.hi - pm.lo, 0), 0.0) AS Age
+       FROM pm JOIN cells c ON c.dataset_id = pm.ds_b),
+near AS (
+  SELECT l.ds_a, l.ds_b, l.Gender, l.PT, l.PTT, l.Platelets, l.DOA, l.Age, any_value(l.n) AS n,
+         min((abs(l.Gender - r.Gender) + abs(l.PT - r.PT) + abs(l.PTT - r.PTT) + abs(l.Platelets - r.Platelets)
+              + abs(l.DOA - r.DOA) + abs(l.Age - r.Age)) / 6.0) AS distance
+  FROM lc l JOIN rc r ON l.ds_a = r.ds_a AND l.ds_b = r.ds_b
+  GROUP BY l.ds_a, l.ds_b, l.Gender, l.PT, l.PTT, l.Platelets, l.DOA, l.Age)
+{_summary_sql("near", "n")}"""
     return q
