@@ -25,12 +25,18 @@ from cohortlens.operators.similarity import (
     rank_aligned_matches,
 )
 from cohortlens.functions.columns import row_sum
+from cohortlens.functions.columns import cast_all, project, rename_positional, suffix_columns, valid_rows
+from cohortlens.operators.misc import register_views, top_n
+from cohortlens.session import scratch_path
+from cohortlens.sources.csv import parse_provenance, read_clinical, read_cohorts, write_cohort_csv
+from cohortlens.sources.sinks import write_table
+from cohortlens.sources.testdata import COHORT_COLUMNS
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
 from cohortlens.operators.ranking import average_rank
 from cohortlens.operators.stats import corr_matrix, corr_pivot, marginal_report, value_counts
-from cohortlens.sources.testdata import CORR_COLUMNS, FEATURES_WITH_HF, clinical, cohort
+from cohortlens.sources.testdata import CORR_COLUMNS, FEATURES_WITH_HF, clinical, cohort, load_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -276,6 +282,79 @@ def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbor(_sim_cohort(spark, sf_dir))
 
 
+def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the cohort as headerless CSV, one directory per dataset; scan the folder back as one table."""
+    c = _sim_cohort(spark, sf_dir)
+    path = scratch_path(spark, "cohort-csv")
+    write_cohort_csv(c, path, COHORT_COLUMNS, partition_col="dataset_id")
+    back = read_cohorts(spark, path, COHORT_COLUMNS, dataset_col="source_path")
+    ds = F.regexp_extract("source_path", r"dataset_id=(\d+)", 1).cast("int")
+    return back.select(ds.alias("dataset_id"), F.col("id").cast("long").alias("id"), *DIST_COLS)
+
+
+def provenance_label(cfg: DataFrame) -> DataFrame:
+    """The reference's file-name provenance per dataset: seeds j..j+6, then four odds ratios."""
+    wide = cfg.groupBy("dataset_id").pivot("feature", ["Gender", "PT", "PTT", "Platelets"]).agg(
+        F.first(F.format_string("%.2f", F.col("odds_ratio"))))
+    j = F.col("dataset_id")
+    seeds = F.concat(*[(j + F.lit(i)).cast("string") for i in range(7)])
+    return wide.select("dataset_id", F.concat(F.lit("dataset_"), seeds, F.lit("_"),
+                                              F.concat_ws("_", "Gender", "PT", "PTT", "Platelets"),
+                                              F.lit("_20260101_000000")).alias("provenance"))
+
+
+def q_parse_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write datasets under provenance-named folders, read them back, parse the names."""
+    c = _sim_cohort(spark, sf_dir)
+    labels = provenance_label(measured_config(cohort(spark, sf_dir)))
+    path = scratch_path(spark, "cohort-prov")
+    write_cohort_csv(c.join(labels, "dataset_id"), path, COHORT_COLUMNS, partition_col="provenance")
+    back = parse_provenance(read_cohorts(spark, path, COHORT_COLUMNS, dataset_col="source_path"), "source_path")
+    return back.groupBy("seeds", "gender_or", "pt_or", "ptt_or", "platelet_or", "created").agg(
+        F.count(F.lit(1)).alias("rows"))
+
+
+def q_read_clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header CSV sink and scan of the clinical table, explicit schema."""
+    c = clinical(spark, sf_dir)
+    path = write_table(c, scratch_path(spark, "clinical-csv"), fmt="csv", header=True)
+    schema = "doc_id BIGINT, n_chars BIGINT, quality INT, toxic INT, lang STRING, source STRING, outcome INT"
+    return read_clinical(spark, path, schema)
+
+
+def q_cast_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-string cells -> doubles (junk -> null) -> positional names."""
+    li = load_table(spark, sf_dir, "lineitem")
+    raw = li.select(F.col("l_orderkey").cast("string"), F.col("l_quantity").cast("string"),
+                    F.col("l_returnflag"), F.col("l_discount").cast("string"))
+    return rename_positional(cast_all(raw, "double"), ["id", "Age", "flag", "PT"])
+
+
+def q_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_columns(project(_sim_cohort(spark, sf_dir), ["id", "Age", "DOA"]), "df1")
+
+
+def q_valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    labs = independent_marginals(c.select("dataset_id", "id")).join(c.select("id", "Age"), "id")
+    return valid_rows(labs).select("id", "dataset_id", "Age", "PT", "PTT", "Platelets")
+
+
+def q_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = cohort(spark, sf_dir, with_index=True)
+    return top_n(c.select("id", "dataset_id", "Age", "DOA"), [F.desc("Age"), F.asc("id")], 10)
+
+
+def q_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project(cohort(spark, sf_dir), ["dataset_id", "Age", "DOA"])
+
+
+def q_register_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register_views(spark, {"INPUT": contiguous_blocks(cohort(spark, sf_dir, with_index=True), BLOCK_K)})
+    return spark.sql("SELECT block, count(*) AS n, count_if(DOA = 0) AS n_dead, min(`index`) AS low, "
+                     "max(`index`) AS high FROM INPUT GROUP BY block")
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -320,4 +399,13 @@ def queries() -> dict[str, Query]:
         "match_rank_aligned": q_match_rank_aligned,
         "distance_summary": q_distance_summary,
         "nearest_neighbor": q_nearest_neighbor,
+        "csv_round_trip": q_csv_round_trip,
+        "parse_provenance": q_parse_provenance,
+        "read_clinical": q_read_clinical,
+        "cast_rename": q_cast_rename,
+        "suffix_columns": q_suffix_columns,
+        "valid_rows": q_valid_rows,
+        "top_n": q_top_n,
+        "project": q_project,
+        "register_views": q_register_views,
     }

@@ -336,8 +336,7 @@ FROM aged a LEFT JOIN wide w ON a.dataset_id = w.dataset_id AND a.id = w.id"""
     q2 = " ".join(f"WHEN '{k}' THEN {scale(v[1])}" for k, v in ind.items() if v[1] is not None)
     items = ", ".join(f"('{k}')" for k in ind)
     piv = ", ".join(f"max(value) FILTER (WHERE feature = '{k}') AS {k}" for k in ind)
-    q["independent_marginals"] = f"""WITH {COHORT_CTE},
-sizes AS (SELECT dataset_id, count(*) AS n FROM cohort GROUP BY dataset_id),
+    ind_cte = f"""sizes AS (SELECT dataset_id, count(*) AS n FROM cohort GROUP BY dataset_id),
 r1 AS (
   SELECT c.dataset_id, c.id, f.feature,
          row_number() OVER (PARTITION BY c.dataset_id, f.feature
@@ -354,10 +353,16 @@ r2 AS (
 val AS (
   SELECT dataset_id, id, feature, CASE WHEN chosen THEN 1.0 ELSE 0.0 END::DOUBLE AS value FROM ch WHERE feature = 'Gender'
   UNION ALL
-  SELECT dataset_id, id, feature, CASE WHEN rk2 <= low_q THEN 0.0 ELSE 1.0 END::DOUBLE FROM r2)
-SELECT c.dataset_id, c.id, {', '.join('w.' + k for k in ind)}
+  SELECT dataset_id, id, feature, CASE WHEN rk2 <= low_q THEN 0.0 ELSE 1.0 END::DOUBLE FROM r2),
+im AS (SELECT c.dataset_id, c.id, {', '.join('w.' + k for k in ind)}
 FROM cohort c LEFT JOIN (SELECT dataset_id, id, {piv} FROM val GROUP BY dataset_id, id) w
-  ON c.dataset_id = w.dataset_id AND c.id = w.id"""
+  ON c.dataset_id = w.dataset_id AND c.id = w.id)"""
+    q["independent_marginals"] = f"WITH {COHORT_CTE}, {ind_cte}\nSELECT * FROM im"
+    q["valid_rows"] = f"""WITH {COHORT_CTE}, {ind_cte}
+SELECT im.id, im.dataset_id, c.Age, im.PT, im.PTT, im.Platelets
+FROM im JOIN cohort c ON im.id = c.id
+WHERE c.Age > 0 AND im.PT >= 0 AND im.PTT >= 0 AND im.Platelets >= 0"""
+
     q["blocked_threshold_scan"] = f"""WITH {COHORT_CTE},
 b AS (SELECT id, CAST(floor((id - 1) / 1000) AS BIGINT) AS blk FROM cohort),
 bs AS (SELECT blk, count(*) AS rows_in FROM b GROUP BY blk),
@@ -404,4 +409,23 @@ near AS (
   FROM lc l JOIN rc r ON l.ds_a = r.ds_a AND l.ds_b = r.ds_b
   GROUP BY l.ds_a, l.ds_b, l.Gender, l.PT, l.PTT, l.Platelets, l.DOA, l.Age)
 {_summary_sql("near", "n")}"""
+    sim_cols = "dataset_id, id, Age, Gender, PT, PTT, Platelets, DOA"
+    q["csv_round_trip"] = f"WITH {COHORT_CTE}\nSELECT {sim_cols} FROM cohort"
+    seeds = " || ".join(f"CAST(dataset_id + {i} AS VARCHAR)" for i in range(7))
+    orx = lambda f: f"max(round(odds_ratio, 2)) FILTER (WHERE feature = '{f}')"
+    q["parse_provenance"] = f"""WITH {COHORT_CTE}, {_config_cte()},
+lab AS (SELECT dataset_id, {seeds} AS seeds, {orx('Gender')} AS gender_or, {orx('PT')} AS pt_or,
+               {orx('PTT')} AS ptt_or, {orx('Platelets')} AS platelet_or, '20260101_000000' AS created
+        FROM cfg GROUP BY dataset_id)
+SELECT seeds, gender_or, pt_or, ptt_or, platelet_or, created, count(*) AS "rows"
+FROM cohort JOIN lab USING (dataset_id) GROUP BY ALL"""
+    q["read_clinical"] = f"WITH {CLINICAL_CTE}\nSELECT * FROM clinical"
+    q["cast_rename"] = ("SELECT TRY_CAST(CAST(l_orderkey AS VARCHAR) AS DOUBLE) AS id, CAST(l_quantity AS DOUBLE) AS Age, "
+                        "TRY_CAST(l_returnflag AS DOUBLE) AS flag, CAST(l_discount AS DOUBLE) AS PT FROM lineitem")
+    q["suffix_columns"] = f"WITH {COHORT_CTE}\nSELECT id AS id_df1, Age AS Age_df1, DOA AS DOA_df1 FROM cohort"
+    q["top_n"] = f"WITH {COHORT_CTE}\nSELECT id, dataset_id, Age, DOA FROM cohort ORDER BY Age DESC, id LIMIT 10"
+    q["project"] = f"WITH {COHORT_CTE}\nSELECT dataset_id, Age, DOA FROM cohort"
+    q["register_views"] = f"""WITH {COHORT_CTE}, {BLOCKS_CTE}
+SELECT block, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS n_dead, min(id) AS low, max(id) AS high
+FROM blocked GROUP BY block"""
     return q

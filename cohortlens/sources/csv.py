@@ -35,6 +35,8 @@ def read_cohorts(spark: SparkSession, path: str, names: Sequence[str] = COHORT_C
            .option("header", "false").option("mode", mode)
            .csv(path))
     cells = [F.col(f"_c{i}").try_cast("double").alias(n) for i, n in enumerate(names)]
+    # Partition directories (k=v) are discovered as extra columns; the dataset
+    # key is taken from the file's path instead, so they are not selected.
     if dataset_col:
         return raw.select(F.col(f"_metadata.{dataset_from}").alias(dataset_col), *cells)
     return raw.select(*cells)
