@@ -30,53 +30,63 @@ def _sort_col(c: str | Column) -> Column:
     return F.col(c).asc_nulls_first() if isinstance(c, str) else c
 
 
-def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str = "index",
-                 num_partitions: int | None = None, start: int = 1) -> DataFrame:
-    """Add a dense 1-based row number in ``order_cols`` order, without a one-task window.
+MAX_BROADCAST_ROWS = 500_000
 
-    Deterministic when ``order_cols`` are unique (as the reference's
-    all-column ordering is); ties are numbered in an arbitrary but stable way.
-    """
-    spark = df.sparkSession
-    n = num_partitions or default_partitions(spark)
-    keys = [_sort_col(c) for c in order_cols]
+
+def _positions(df: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
+    """Range-partitioned, sorted rows with (partition id, position), materialised."""
     ranged = (df.repartitionByRange(n, *keys)
               .sortWithinPartitions(*keys)
               .withColumn("_cl_pid", F.spark_partition_id())
               .withColumn("_cl_pos", F.monotonically_increasing_id()
                           - F.col("_cl_pid").cast("long") * F.lit(_POS_SHIFT)))
-    # Cut lineage: counts and positions then read the same materialised rows.
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_cl_pid").agg(F.count(F.lit(1)).alias("_cl_n"))
-    before = Window.orderBy("_cl_pid").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range partition: bounded by `n`, so the broadcast is safe.
-    offsets = counts.select("_cl_pid", F.coalesce(F.sum("_cl_n").over(before), F.lit(0)).alias("_cl_off"))
-    return (ranged.join(F.broadcast(offsets), "_cl_pid")
-            .withColumn(index_col, (F.col("_cl_off") + F.col("_cl_pos") + F.lit(start)).cast("long"))
-            .drop("_cl_pid", "_cl_pos", "_cl_off"))
+    # Cut lineage: the summary and the rows then read the same materialised sort.
+    return ranged.checkpoint(eager=True)
 
 
 def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                index_col: str = "index", num_partitions: int | None = None) -> DataFrame:
-    """1-based row number inside each group, ordered by ``order_cols``.
-
-    Built on :func:`global_index` over (group, order) so a hot group is spread
-    over many range partitions; each group's first global number comes from a
-    pre-aggregated ``min`` and is joined back (AQE broadcasts it when small and
-    splits a skewed key otherwise).
+                index_col: str = "index", num_partitions: int | None = None, start: int = 1,
+                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """1-based row number inside each group (or over the whole frame), in ``order_cols`` order.
+
+    One range-partitioned sort over (group, order) keys, so a hot group is
+    spread over many partitions. A summary with one row per (partition,
+    group) - at most partitions + groups - 1 rows - gives each group's rows
+    in earlier partitions and its first position in this one:
+    index = rows before + (position - first position) + start.
+    Without groups the summary has one row per partition (a proven bound)
+    and is always broadcast; with groups it is broadcast after a row-count
+    check, else joined normally.
     """
-    if not group_cols:
-        return global_index(df, order_cols, index_col, num_partitions)
-    g = global_index(df, [*group_cols, *order_cols], "_cl_g", num_partitions)
-    starts = g.groupBy(*group_cols).agg(F.min("_cl_g").alias("_cl_start"))
-    s = starts.select([F.col(c).alias(f"_cl_k_{c}") for c in group_cols] + ["_cl_start"])
-    cond = None
+    spark = df.sparkSession
+    n = num_partitions or default_partitions(spark)
+    group_cols = list(group_cols)
+    keys = [_sort_col(c) for c in [*group_cols, *order_cols]]
+    ranked = _positions(df, keys, n)
+    summary = ranked.groupBy("_cl_pid", *group_cols).agg(F.count(F.lit(1)).alias("_cl_n"),
+                                                        F.min("_cl_pos").alias("_cl_first"))
+    spec = Window.partitionBy(*group_cols) if group_cols else Window
+    before = spec.orderBy("_cl_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = (F.coalesce(F.sum("_cl_n").over(before), F.lit(0)) - F.col("_cl_first")).alias("_cl_base")
+    offsets = summary.select("_cl_pid", *[F.col(c).alias(f"_cl_k_{c}") for c in group_cols], base)
+    if not group_cols or offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        offsets = F.broadcast(offsets)
+    cond = ranked["_cl_pid"] == offsets["_cl_pid"]
     for c in group_cols:
-        e = g[c].eqNullSafe(s[f"_cl_k_{c}"])
-        cond = e if cond is None else cond & e
-    return (g.join(s, cond)
-            .withColumn(index_col, (F.col("_cl_g") - F.col("_cl_start") + F.lit(1)).cast("long"))
-            .drop("_cl_g", "_cl_start", *[f"_cl_k_{c}" for c in group_cols]))
+        cond = cond & ranked[c].eqNullSafe(offsets[f"_cl_k_{c}"])
+    out = ranked.join(offsets, cond)
+    return (out.withColumn(index_col, (F.col("_cl_base") + F.col("_cl_pos") + F.lit(start)).cast("long"))
+            .drop("_cl_pid", "_cl_pos", "_cl_base", *[f"_cl_k_{c}" for c in group_cols]))
+
+
+def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: str = "index",
+                 num_partitions: int | None = None, start: int = 1) -> DataFrame:
+    """Add a dense row number in ``order_cols`` order, without a one-task window.
+
+    Deterministic when ``order_cols`` are unique (as the reference's
+    all-column ordering is); ties are numbered in an arbitrary order.
+    """
+    return group_index(df, [], order_cols, index_col, num_partitions, start)
 
 
 def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], fanout: int = 1024,
@@ -102,15 +112,27 @@ def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], fano
 
 
 def average_rank(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[str] = (),
-                 suffix: str = "_rank") -> DataFrame:
-    """Average rank with ties (rank + (ties - 1) / 2) of each column, per partition.
+                 suffix: str = "_rank", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Average rank with ties of each column within each partition (Spearman's ranks).
 
-    Used for Spearman correlation. Partitions here are bounded blocks (size k),
-    so one hash exchange on the partition key serves every column's sort.
+    avg rank of value v = (rows below v) + (rows equal to v + 1) / 2, taken
+    from per-(partition, value) counts: a map-side aggregate, a window over
+    the distinct values only, and a join back on (partition, value) that is
+    broadcast after a size check. The rows themselves are never sorted.
     """
     out = df
     for c in cols:
-        w = Window.partitionBy(*partition_cols).orderBy(F.col(c).asc_nulls_first())
-        ties = Window.partitionBy(*partition_cols, c)
-        out = out.withColumn(f"{c}{suffix}", F.rank().over(w) + (F.count(F.lit(1)).over(ties) - F.lit(1)) / F.lit(2.0))
+        counts = df.groupBy(*partition_cols, c).agg(F.count(F.lit(1)).alias("_cl_cnt"))
+        spec = Window.partitionBy(*partition_cols) if partition_cols else Window
+        upto = spec.orderBy(F.col(c).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        ranks = counts.select(*[F.col(p).alias(f"_cl_p_{p}") for p in partition_cols],
+                              F.col(c).alias("_cl_v"),
+                              (F.sum("_cl_cnt").over(upto) - (F.col("_cl_cnt") - F.lit(1)) / F.lit(2.0))
+                              .alias(f"{c}{suffix}"))
+        if ranks.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+            ranks = F.broadcast(ranks)
+        cond = out[c].eqNullSafe(ranks["_cl_v"])
+        for p in partition_cols:
+            cond = cond & out[p].eqNullSafe(ranks[f"_cl_p_{p}"])
+        out = out.join(ranks, cond).drop("_cl_v", *[f"_cl_p_{p}" for p in partition_cols])
     return out
