@@ -31,6 +31,10 @@ from cohortlens.session import scratch_path
 from cohortlens.sources.csv import parse_provenance, read_clinical, read_cohorts, write_cohort_csv
 from cohortlens.sources.sinks import write_table
 from cohortlens.sources.testdata import COHORT_COLUMNS
+from cohortlens.operators.models import (
+    CLINICAL_FOREST, cross_val_predictions, evaluate_folds, evaluate_holdout, fit_forest, importance_table,
+)
+from cohortlens.sources.testdata import MODEL_FEATURES
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -355,6 +359,34 @@ def q_register_views(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "max(`index`) AS high FROM INPUT GROUP BY block")
 
 
+def q_evaluate_folds_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate_folds(_blocked(spark, sf_dir), MODEL_FEATURES, "DOA", "forest")
+
+
+def q_evaluate_folds_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate_folds(_blocked(spark, sf_dir), MODEL_FEATURES, "DOA", "gbt")
+
+
+def q_evaluate_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate_holdout(cohort(spark, sf_dir, with_index=True), MODEL_FEATURES, "DOA", key="id")
+
+
+def q_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = index_label(cohort(spark, sf_dir), "DOA", "label")
+    return importance_table(spark, fit_forest(c, MODEL_FEATURES), MODEL_FEATURES, 0)
+
+
+CLINICAL_FEATURES = ["n_chars", "quality", "toxic"]
+
+
+def q_clinical_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impute -1, stratified 3 folds, 10-tree forest, out-of-fold per-class precision/recall."""
+    c = impute_constant(clinical(spark, sf_dir), -1)
+    folded = stratified_folds(c, "outcome", "doc_id", n_folds=3, seed=42)
+    pred = cross_val_predictions(folded, CLINICAL_FEATURES, "outcome", "fold", "forest", CLINICAL_FOREST)
+    return per_class_metrics(pred, "label", "prediction")
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -408,4 +440,9 @@ def queries() -> dict[str, Query]:
         "top_n": q_top_n,
         "project": q_project,
         "register_views": q_register_views,
+        "evaluate_folds_forest": q_evaluate_folds_forest,
+        "evaluate_folds_gbt": q_evaluate_folds_gbt,
+        "evaluate_holdout": q_evaluate_holdout,
+        "importance_table": q_importance_table,
+        "clinical_cv": q_clinical_cv,
     }
