@@ -35,6 +35,7 @@ from cohortlens.operators.models import (
     CLINICAL_FOREST, cross_val_predictions, evaluate_folds, evaluate_holdout, fit_forest, importance_table,
 )
 from cohortlens.sources.testdata import MODEL_FEATURES
+from cohortlens.operators.matching import match_exact, match_sampled
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -387,6 +388,22 @@ def q_clinical_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_class_metrics(pred, "label", "prediction")
 
 
+def q_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_exact(_sim_cohort(spark, sf_dir))
+
+
+def q_match_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match_sampled(_sim_cohort(spark, sf_dir))
+
+
+def q_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, the reference's sink layout: File1, File2, avg/min/max distance, zero-distance percent."""
+    s = match_sampled(_sim_cohort(spark, sf_dir))
+    return s.select(F.col("ds_a").alias("File1"), F.col("ds_b").alias("File2"),
+                    F.col("avg_distance").alias("avgDistance"), F.col("min_distance").alias("minDistance"),
+                    F.col("max_distance").alias("maxDistance"), F.col("zero_dist_percent").alias("zeroDistPercent"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
