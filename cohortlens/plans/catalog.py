@@ -462,4 +462,6 @@ def queries() -> dict[str, Query]:
         "evaluate_holdout": q_evaluate_holdout,
         "importance_table": q_importance_table,
         "clinical_cv": q_clinical_cv,
+        "match_sampled": q_match_sampled,
+        "pairwise_similarity": q_pairwise_similarity,
     }
