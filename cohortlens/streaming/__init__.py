@@ -1,0 +1,5 @@
+"""Streaming: intentionally empty.
+
+The reference reads and writes only static files (no readStream, watermark,
+window or state anywhere), so there is no streaming operator to rebuild.
+"""

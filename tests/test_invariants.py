@@ -174,3 +174,35 @@ def test_rename_positional_wrong_arity(spark):
     from cohortlens.functions.columns import rename_positional
     with pytest.raises(ValueError):
         rename_positional(spark.range(3), ["a", "b"])
+
+
+def _toy_cohort(spark, sizes):
+    rows = []
+    for ds, n in sizes:
+        for i in range(n):
+            bits = [(i * (ds + 3) >> b) & 1 for b in range(5)]
+            rows.append((ds, ds * 1000 + i, float((i * 13 + ds * 5) % 23), *map(float, bits)))
+    return spark.createDataFrame(rows, "dataset_id int, id long, Age double, Gender double, PT double, PTT double, "
+                                       "Platelets double, DOA double")
+
+
+def test_match_sampled_one_to_one(spark):
+    from cohortlens.operators.matching import match_sampled
+    from cohortlens.operators.similarity import nearest_neighbor
+    df = _toy_cohort(spark, [(1, 40), (2, 35), (3, 30)])
+    got = {(r["ds_a"], r["ds_b"]): r for r in match_sampled(df, m=3).collect()}
+    nn = {(r["ds_a"], r["ds_b"]): r for r in nearest_neighbor(df).collect()}
+    sizes = {1: 40, 2: 35, 3: 30}
+    for (a, b), r in got.items():
+        assert r["n_matched"] == min(sizes[a], sizes[b])
+        assert r["n_unmatched"] == sizes[a] - r["n_matched"]
+        # one-to-one matching can never beat nearest neighbour with replacement on average
+        assert r["min_distance"] >= nn[(a, b)]["min_distance"] - 1e-9
+
+
+def test_match_exact_small(spark):
+    from cohortlens.operators.matching import match_exact
+    df = _toy_cohort(spark, [(1, 12), (2, 10)])
+    r = match_exact(df).first()
+    assert r["n_matched"] == 10 and r["n_unmatched"] == 2
+    assert 0.0 <= r["min_distance"] <= r["avg_distance"] <= r["max_distance"] <= 1.0
