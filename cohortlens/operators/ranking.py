@@ -112,27 +112,16 @@ def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], fano
 
 
 def average_rank(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[str] = (),
-                 suffix: str = "_rank", max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                 suffix: str = "_rank") -> DataFrame:
     """Average rank with ties of each column within each partition (Spearman's ranks).
 
-    avg rank of value v = (rows below v) + (rows equal to v + 1) / 2, taken
-    from per-(partition, value) counts: a map-side aggregate, a window over
-    the distinct values only, and a join back on (partition, value) that is
-    broadcast after a size check. The rows themselves are never sorted.
+    avg rank = (first position + last position of the tie group) / 2 =
+    (rank() + count() over the default RANGE frame) / 2: one window spec, so
+    one sort per column. Partitions here are bounded blocks (k rows), and one
+    hash exchange on the partition key serves every column's sort.
     """
     out = df
     for c in cols:
-        counts = df.groupBy(*partition_cols, c).agg(F.count(F.lit(1)).alias("_cl_cnt"))
-        spec = Window.partitionBy(*partition_cols) if partition_cols else Window
-        upto = spec.orderBy(F.col(c).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = counts.select(*[F.col(p).alias(f"_cl_p_{p}") for p in partition_cols],
-                              F.col(c).alias("_cl_v"),
-                              (F.sum("_cl_cnt").over(upto) - (F.col("_cl_cnt") - F.lit(1)) / F.lit(2.0))
-                              .alias(f"{c}{suffix}"))
-        if ranks.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-            ranks = F.broadcast(ranks)
-        cond = out[c].eqNullSafe(ranks["_cl_v"])
-        for p in partition_cols:
-            cond = cond & out[p].eqNullSafe(ranks[f"_cl_p_{p}"])
-        out = out.join(ranks, cond).drop("_cl_v", *[f"_cl_p_{p}" for p in partition_cols])
+        w = (Window.partitionBy(*partition_cols) if partition_cols else Window).orderBy(F.col(c).asc_nulls_first())
+        out = out.withColumn(f"{c}{suffix}", (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0))
     return out

@@ -284,7 +284,9 @@ def q_distance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest_neighbor(_sim_cohort(spark, sf_dir))
+    # Row ids are not needed for nearest distances: skip the global sort.
+    c = cohort(spark, sf_dir, with_hf=False)
+    return nearest_neighbor(c.select("dataset_id", *DIST_COLS))
 
 
 def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
