@@ -48,10 +48,12 @@ def _log(msg: str) -> None:
         print(f"[{time.strftime('%H:%M:%S')}] {msg}", file=sys.stderr, flush=True)
 
 
-def _best_partner(src: DataFrame, dst: DataFrame) -> DataFrame:
+def _best_partner(src: DataFrame, dst: DataFrame, src_is_left: bool = True) -> DataFrame:
     """Nearest ``dst`` cell for every ``src`` cell: (pair, sp, sv, dp, dv, distance).
 
-    Ties are broken by the partner's key (pattern, value). The search is the
+    Ties are broken by a hash of the edge (left key, right key), the same
+    from both sides, then by the partner's key: a total order on edges that
+    spreads tied choices over many partners instead of one. The search is the
     as-of scan of :mod:`similarity`: src cells expanded over the 32
     patterns, nearest dst value at or below / above inside each pattern.
     """
@@ -69,7 +71,10 @@ def _best_partner(src: DataFrame, dst: DataFrame) -> DataFrame:
                            F.explode(F.array("_prev", "_next")).alias("dv")).where(F.col("dv").isNotNull())
     ham = F.bit_count(F.col("sp").bitwiseXOR(F.col("p"))).cast("double")
     dist = (ham + F.abs(F.col("sv") - F.col("dv"))) / F.lit(6.0)
-    best = (cands.select(*PAIR, "sp", "sv", F.struct(dist.alias("distance"), F.col("p").alias("dp"), "dv").alias("e"))
+    ends = ["sp", "sv", "p", "dv"] if src_is_left else ["p", "dv", "sp", "sv"]
+    tie = F.xxhash64(*ends)
+    best = (cands.select(*PAIR, "sp", "sv", F.struct(dist.alias("distance"), tie.alias("t"), F.col("p").alias("dp"),
+                                                     "dv").alias("e"))
             .groupBy(*PAIR, "sp", "sv").agg(F.min("e").alias("e")))
     return best.select(*PAIR, "sp", "sv", "e.dp", "e.dv", "e.distance")
 
@@ -109,8 +114,8 @@ def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Ag
         if n_act == 0:
             break
         lft, rgt = left.join(act, PAIR), right.join(act, PAIR)
-        bl = _best_partner(lft, rgt)
-        br = _best_partner(rgt, lft).select(*PAIR, F.col("sp").alias("rp"), F.col("sv").alias("rv"),
+        bl = _best_partner(lft, rgt, True)
+        br = _best_partner(rgt, lft, False).select(*PAIR, F.col("sp").alias("rp"), F.col("sv").alias("rv"),
                                             F.col("dp").alias("lp2"), F.col("dv").alias("lv2"))
         mutual = bl.join(br, PAIR).where((F.col("sp") == F.col("lp2")) & (F.col("sv") == F.col("lv2"))
                                          & (F.col("dp") == F.col("rp")) & (F.col("dv") == F.col("rv")))
