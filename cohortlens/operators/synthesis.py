@@ -138,9 +138,12 @@ def quota_assign(df: DataFrame, cells: DataFrame, features: Sequence[str], by: S
     feats = F.array(*[F.struct(F.lit(f).alias("feature"),
                                (seeds[f] if isinstance(seeds[f], Column) else F.lit(seeds[f])).cast("string")
                                .alias("seed")) for f in features])
-    base = df.select(*by, key, outcome)
-    long = (base.select(*by, key, outcome, F.explode(feats).alias("_cl_fs"))
-            .select(*by, key, outcome, F.col("_cl_fs.feature").alias("feature"),
+    # Other columns ride along and become grouping keys of the pivot, so no
+    # join back to the input is needed.
+    extra = [c for c in df.columns if c not in {*by, key, outcome, *features}]
+    base = df.select(*by, key, outcome, *extra)
+    long = (base.select(*by, key, outcome, *extra, F.explode(feats).alias("_cl_fs"))
+            .select(*by, key, outcome, *extra, F.col("_cl_fs.feature").alias("feature"),
                     _seeded_hash(key, F.col("_cl_fs.seed")).alias("_cl_h")))
     ranked = group_index(long, [*by, outcome, "feature"], ["_cl_h", key], "_cl_rank")
     c = cells.select(*by, "feature", "dead_low", "dead_high", "alive_low", "alive_high")
@@ -150,10 +153,8 @@ def quota_assign(df: DataFrame, cells: DataFrame, features: Sequence[str], by: S
     high_q = F.when(is_dead, F.col("dead_high")).otherwise(F.col("alive_high"))
     value = (F.when(F.col("_cl_rank") <= low_q, F.lit(0.0))
              .when(F.col("_cl_rank") <= low_q + high_q, F.lit(1.0)))
-    wide = (j.select(*by, key, "feature", value.alias("value"))
-            .groupBy(*by, key).pivot("feature", list(features)).agg(F.first("value")))
-    rest = df.drop(*[f for f in features if f in df.columns])
-    return rest.join(wide, [*by, key], "left")
+    return (j.select(*by, key, outcome, *extra, "feature", value.alias("value"))
+            .groupBy(*by, key, outcome, *extra).pivot("feature", list(features)).agg(F.first("value")))
 
 
 def normal_attribute(df: DataFrame, key: str, seed: Column | int | str, mu: float = AGE_MU,

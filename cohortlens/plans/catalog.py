@@ -232,9 +232,9 @@ def q_quota_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_synthesize_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = cohort(spark, sf_dir, with_index=True)
-    cfg = measured_config(c)
-    dead = cfg.select("dataset_id", "dead").distinct()
-    return synthesize_cohorts(c.select("dataset_id", "id"), dead, _expected(c), FEATURES_WITH_HF)
+    cells = _expected(c)
+    dead = cells.select("dataset_id", "dead").distinct()
+    return synthesize_cohorts(c.select("dataset_id", "id"), dead, cells, FEATURES_WITH_HF)
 
 
 def q_normal_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
