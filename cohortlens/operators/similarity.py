@@ -39,9 +39,16 @@ PAIR = ["ds_a", "ds_b"]
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only after checking the row count (cheap for small tables)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    """Broadcast ``df`` only when it has at most ``max_rows`` rows; else leave it to AQE.
+
+    The check fetches at most ``max_rows + 1`` rows. When the table is within
+    the bound those rows are broadcast as they are, so an upstream aggregate
+    (e.g. a min/max over the whole cohort) is computed once, not twice.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def dataset_pairs(df: DataFrame, dataset_col: str = "dataset_id") -> DataFrame:
