@@ -206,3 +206,14 @@ def test_match_exact_small(spark):
     r = match_exact(df).first()
     assert r["n_matched"] == 10 and r["n_unmatched"] == 2
     assert 0.0 <= r["min_distance"] <= r["avg_distance"] <= r["max_distance"] <= 1.0
+
+
+def test_parse_provenance_names(spark):
+    from cohortlens.sources.csv import parse_provenance
+    df = spark.createDataFrame([("file:/d/dataset_1234567_6_3.3_7.8_4.84_20260101_120000.csv",), ("file:/d/x.csv",)],
+                               "p string")
+    rows = parse_provenance(df, "p").orderBy("p").collect()
+    a, b = rows[0], rows[1]
+    assert (a["seeds"], a["gender_or"], a["pt_or"], a["ptt_or"], a["platelet_or"], a["created"]) == \
+        ("1234567", 6.0, 3.3, 7.8, 4.84, "20260101_120000")
+    assert b["seeds"] is None and b["pt_or"] is None
