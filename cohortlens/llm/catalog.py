@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, packing, pii, quality
+from cohortlens.llm import bpe, langid, neardup, packing, pii, quality
 from cohortlens.llm.common import documents, read_table
 
 
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document; the smallest id of a class is kept."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of the bytes decoded from them."""
     return bpe.encode_digests(documents(spark, sf_dir))
@@ -38,7 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op6_byte_bpe, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op6_byte_bpe, op8_packing, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
