@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, neardup, packing, pii, quality
+from cohortlens.llm import bpe, langid, neardup, packing, pii, quality, vectors
 from cohortlens.llm.common import documents, read_table
 
 
@@ -26,6 +26,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir))
 
 
+def op7_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; the smallest id of a component is kept."""
+    return vectors.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     return packing.pack_documents(documents(spark, sf_dir))
@@ -43,7 +48,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op6_byte_bpe, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
