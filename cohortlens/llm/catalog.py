@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, neardup, packing, pii, quality, vectors
+from cohortlens.llm import bpe, langid, neardup, packing, pii, quality, secrets, vectors
 from cohortlens.llm.common import documents, read_table
 
 
@@ -21,6 +21,11 @@ def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, and all spans, of every document."""
+    return secrets.secret_digests(secrets.find_secrets(documents(spark, sf_dir)))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and digest of every document's ids, and digest of the bytes decoded from them."""
     return bpe.encode_digests(documents(spark, sf_dir))
@@ -48,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
