@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, langid, neardup, packing, pii, quality, secrets, vectors
+from cohortlens.llm import bpe, extract, langid, neardup, packing, pii, quality, secrets, vectors
 from cohortlens.llm.common import documents, read_table
 
 
@@ -16,6 +16,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir), read_table(spark, sf_dir, "labels"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document; the smallest id of a class is kept."""
     return neardup.near_duplicates(documents(spark, sf_dir))
@@ -53,7 +58,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
