@@ -11,6 +11,7 @@ height, and all others are dropped.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -59,7 +60,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
     words: list[str] = []
     link_chars = 0
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    links = 0
+    opened: Counter = Counter()  # how often a name stands in the stack
 
     def flush() -> None:
         nonlocal link_chars
@@ -70,10 +71,9 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         link_chars = 0
 
     def close(at: int) -> None:
-        nonlocal links
         if any(n in BLOCKS for n, _, _ in stack[at:]):
             flush()
-        links -= sum(n == "a" for n, _, _ in stack[at:])
+        opened.subtract(n for n, _, _ in stack[at:])
         del stack[at:]
 
     at, last = 0, html.rfind(">") + 1
@@ -85,12 +85,12 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
         at = m.end()
         if m["text"] is not None:
             words.append(m["text"])
-            if links:
+            if opened["a"]:
                 link_chars += len(m["text"].strip())
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if stack[i][0] == name:
                         close(i)
                         break
@@ -107,8 +107,9 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 words.append(" ")
                 continue
             if name in BLOCKS:
-                for i in range(len(stack) - 1, -1, -1):  # an open paragraph or item ends where the next block begins
-                    if stack[i][0] == "p" or stack[i][0] in CLOSED_BY_SELF.get(name, ()):
+                ends = {"p"} | CLOSED_BY_SELF.get(name, set())  # an open paragraph or item ends where the next block begins
+                for i in range(len(stack) - 1, -1, -1) if any(opened[x] for x in ends) else ():
+                    if stack[i][0] in ends:
                         close(i)
                         break
                     if stack[i][0] in SCOPES:
@@ -120,7 +121,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
                 around = stack[-1] if stack else ("", False, False)
                 inside = around[2] or name in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?(main|article)\b", m["attrs"], re.I))
                 stack.append((name, around[1] or is_boilerplate(name, m["attrs"], inside), inside))
-                links += name == "a"
+                opened[name] += 1
     flush()
     return lines
 
@@ -142,7 +143,7 @@ def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, m
         while i < len(sums) and sums[i]:
             i += 1
         regions.append((max(sums[surge:i]), [lines[j][0] for j in range(surge, i) if size[j]]))
-    floor = 0 if marked else min([min_surge, *[max(r[0] for r in regions)] * bool(regions)])
+    floor = 0 if marked else min(min_surge, max((height for height, _ in regions), default=0))
     for height, texts in regions:
         if height >= floor:
             kept += texts
