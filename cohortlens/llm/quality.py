@@ -17,7 +17,9 @@ from cohortlens.llm.common import bounded_fraction, hash_fraction, map_columns,
 
 BUCKETS = 1 << 16
 MAX_TARGET_DOCS = 50_000
-MIN_SCORE = -0.2
+MIN_SCORE = -0.25
+#: Weight of the prior belief that a bucket is as frequent in the target as in the corpus, in occurrences.
+PRIOR = 10
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 
@@ -116,7 +118,11 @@ def trusted_documents(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TA
 
 def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
                   max_target_docs: int = MAX_TARGET_DOCS) -> list[int]:
-    """Log ratio target/raw of each bucket in micronats, add-one smoothed (2 x ``buckets`` numbers)."""
+    """Log ratio target/raw of each bucket in micronats (2 x ``buckets`` numbers).
+
+    Counts are smoothed towards a ratio of one, so that a rare n-gram which the target happens to lack weighs little:
+    a document need not be labelled to score well, in a small corpus either.
+    """
     import math
 
     raw = gram_counts(docs, buckets)
@@ -126,10 +132,11 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     n_raw, n_target = [0] * (2 * buckets), [0] * (2 * buckets)
     for r in both:
         n_raw[r["bucket"]], n_target[r["bucket"]] = r["n_raw"], r["n_target"] or 0
-    if not any(n_target):
+    all_raw, all_target = sum(n_raw), sum(n_target)
+    if not all_target:
         return [0] * (2 * buckets)
-    all_raw, all_target = sum(n_raw) + 2 * buckets, sum(n_target) + 2 * buckets
-    return [round(1e6 * math.log((t + 1) / all_target * all_raw / (r + 1))) for r, t in zip(n_raw, n_target)]
+    expected = all_target / all_raw
+    return [round(1e6 * math.log((t + PRIOR * expected) / (r + PRIOR) / expected)) for r, t in zip(n_raw, n_target)]
 
 
 SCORED = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
