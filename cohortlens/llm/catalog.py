@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, extract, langid, neardup, packing, pii, quality, secrets, vectors
+from cohortlens.llm import bpe, extract, langid, licences, neardup, packing, pii, quality, secrets, vectors
 from cohortlens.llm.common import documents, read_table
 
 
@@ -21,6 +21,12 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated or inherited licence of every document."""
+    files = licences.document_paths(read_table(spark, sf_dir, "documents"))
+    return licences.scan_licences(files).withColumnRenamed("file_id", "doc_id")
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document; the smallest id of a class is kept."""
     return neardup.near_duplicates(documents(spark, sf_dir))
@@ -58,8 +64,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_licence_scan, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_licence_scan": licences.oracle()}

@@ -34,7 +34,8 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     """Apply ``fn`` to each Arrow batch as a dict of Python lists; rows in, rows out.
 
     ``fn`` may be a factory (``make(): fn``) when it has attribute ``per_task``:
-    it is then called once a task, so that vocabularies are parsed once.
+    it is then called once a task, so that vocabularies are parsed once. A step may return None, and may have an
+    attribute ``finish`` for the rows that follow the task's last batch.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -46,6 +47,9 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        def record(out):
+            return pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+
         step = fn() if factory else fn
         for batch in batches:
             rows = batch.num_rows
@@ -54,8 +58,9 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
                 part = batch.slice(lo, min(1024, rows - lo))
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out and len(out[names[0]]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[f.name], type=f.type) for f in target], schema=target)
+                    yield record(out)
+        if hasattr(step, "finish"):
+            yield record(step.finish())
 
     return df.mapInArrow(run, schema)
 

@@ -89,18 +89,18 @@ def gram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     def make():
         import numpy as np
 
-        known = WordHashes()
+        known, total = WordHashes(), np.zeros(2 * buckets, np.int64)
 
         def step(rows):
-            total = np.zeros(2 * buckets, np.int64)
-            for text in rows["text"]:
-                if text:
-                    h = hash_words(text, known)
-                    if len(h):
-                        total += np.bincount(grams(h, buckets), minlength=2 * buckets)
+            parts = [grams(hash_words(t, known), buckets) for t in rows["text"] if t]
+            if parts:
+                total[:] += np.bincount(np.concatenate(parts), minlength=2 * buckets)
+
+        def finish():
             at = np.flatnonzero(total)
             return {"bucket": at.tolist(), "n": total[at].tolist()}
 
+        step.finish = finish
         return step
 
     return (map_columns(docs.select("text"), make, "bucket int, n long")
