@@ -6,13 +6,15 @@ the partition layout or checking in another engine gives the same rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import hash_order, hash_uniform
-from cohortlens.operators.ranking import group_index
+from cohortlens.operators.quotas import inside, quota_cuts
 
 
 def hash_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -23,23 +25,21 @@ def hash_sample(df: DataFrame, key: str, fraction: float, seed: int) -> DataFram
     return df.where(hash_uniform(key, seed) < F.lit(min(float(fraction), 1.0)))
 
 
-def exact_sample(df: DataFrame, n: int | str | Column, key: str, by: Sequence[str] = (), seed: int = 1,
-                 rank_col: str | None = None) -> DataFrame:
-    """Exactly ``n`` rows per stratum (all rows if fewer), in seeded hash order.
+def exact_sample(df: DataFrame, n: int | str | Column, key: str, by: Sequence[str] = (), seed: int = 1) -> DataFrame:
+    """Exactly ``n`` rows per stratum (all rows if fewer), the first in seeded hash order.
 
-    ``n`` may be a constant or a column (per-stratum quota). The in-stratum
-    rank is a distributed group index, so a dominant stratum is not ranked by
-    a single task.
+    ``n`` may be a constant or a column (per-stratum quota, the same in all of
+    a stratum's rows). Strata are compared by equality: rows with a null
+    stratum are in no sample. See :mod:`quotas` for why no row is sorted.
     """
     quota = F.lit(n) if isinstance(n, int) else (F.col(n) if isinstance(n, str) else n)
-    keyed = df.withColumn("_cl_h", hash_order(key, seed))
-    ranked = group_index(keyed, list(by), ["_cl_h", key], "_cl_rank")
-    out = ranked.where(F.col("_cl_rank") <= quota)
-    if rank_col:
-        out = out.withColumnRenamed("_cl_rank", rank_col)
-    else:
-        out = out.drop("_cl_rank")
-    return out.drop("_cl_h")
+    strata = list(by) or ["_cl_all_rows"]
+    base = df if by else df.withColumn("_cl_all_rows", F.lit(0))
+    digest = F.coalesce(hash_order(key, seed), F.lit(""))
+    quotas = base.groupBy(*strata).agg(F.first(quota).cast("long").alias("_cl_quota")).select(
+        *strata, F.lit("row").alias("_cl_item"), F.lit(0).alias("_cl_slot"), "_cl_quota")
+    cuts = quota_cuts(base.select(*strata, F.lit("row").alias("_cl_item"), digest.alias("_cl_h"), key), strata, key, quotas)
+    return base.join(F.broadcast(cuts), strata).where(inside("row", 0, digest, key)).select(*df.columns)
 
 
 def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7, seed: int = 5043,
@@ -49,32 +49,32 @@ def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7, seed: in
                          .otherwise(F.lit("test")))
 
 
-def random_holdout(df: DataFrame, weights: Sequence[float] = (0.7, 0.3), seed: int = 5043) -> list[DataFrame]:
-    """Spark's own ``randomSplit`` (the reference's call), for parity runs."""
-    return df.randomSplit(list(weights), seed)
-
-
 def id_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of ``left`` whose key is not in ``right`` (anti join, no literal lists)."""
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def poisson_copies(key: str, seed: int, ratio: float) -> Column:
+    """A Poisson(``ratio``) number drawn from u(key, seed): how often a row is drawn with replacement."""
+    bounds, p, total, k = [], math.exp(-ratio), 0.0, 0
+    while total < 1.0 - 1e-15 and p > 0 and k < 64 + 4 * ratio:
+        total += p
+        bounds.append(total)
+        k += 1
+        p *= ratio / k
+    u = hash_uniform(key, seed)
+    return reduce(lambda a, b: a + b, [F.when(u >= F.lit(b), F.lit(1)).otherwise(F.lit(0)) for b in bounds])
+
+
 def rebalance(df: DataFrame, label: str, ratio: float, seed: int, key: str,
-              keep_class: float = 0.0, sample_class: float = 1.0, method: str = "hash") -> DataFrame:
+              keep_class: float = 0.0, sample_class: float = 1.0) -> DataFrame:
     """Keep ``keep_class``; draw ``sample_class`` with replacement at ``ratio``; union.
 
-    ``method="hash"``: each sampled-class row appears floor(ratio) times plus
-    once more when u(key, seed) < frac(ratio) (deterministic, SQL-checkable).
-    ``method="poisson"``: Spark's ``sample(withReplacement=True)`` as in the
-    reference. Adds a ``copy`` column (1-based) to tell replicas apart.
+    Each row of the sampled class appears a Poisson(``ratio``) number of times,
+    keyed by md5, as sampling with replacement does in a large table. Adds a
+    ``copy`` column (1-based) to tell replicas apart.
     """
     kept = df.where(F.col(label) == F.lit(keep_class)).withColumn("copy", F.lit(1))
-    pool = df.where(F.col(label) == F.lit(sample_class))
-    if method == "poisson":
-        drawn = pool.sample(True, ratio, seed).withColumn("copy", F.lit(1))
-        return kept.unionByName(drawn)
-    whole, frac = int(ratio), ratio - int(ratio)
-    times = F.lit(whole) + F.when(hash_uniform(key, seed) < F.lit(frac), F.lit(1)).otherwise(F.lit(0))
-    drawn = (pool.withColumn("_cl_t", times).where(F.col("_cl_t") > 0)
-             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_cl_t")))).drop("_cl_t"))
+    drawn = (df.where(F.col(label) == F.lit(sample_class)).withColumn("_cl_t", poisson_copies(key, seed, ratio))
+             .where(F.col("_cl_t") > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_cl_t")))).drop("_cl_t"))
     return kept.unionByName(drawn)

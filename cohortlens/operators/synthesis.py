@@ -6,8 +6,8 @@ job over a row skeleton ``(dataset, id)``:
 * :func:`marginals` - counts from rates (ceil / floor rules) per config row;
 * :func:`expected_cells` - the 2x2 cells hitting a target odds ratio, from
   the quadratic (OR-1)s^2 + (L-A-OR*L-OR*D)s + OR*L*D = 0, as column math;
-* :func:`assign_outcome` / :func:`quota_assign` - exact quotas per stratum by
-  ranking rows on md5(id:seed) with a distributed group index;
+* :func:`assign_outcome` / :func:`quota_assign` - exact quotas per stratum in
+  the order of md5(id:seed), by hash cuts (:mod:`quotas`);
 * :func:`normal_attribute` - abs(round_half_even(mu + sigma*z)), z by
   Box-Muller on md5 uniforms;
 * :func:`independent_marginals` and :func:`blocked_outcomes` - the other two
@@ -19,20 +19,17 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import hash_uniform
-from cohortlens.operators.ranking import group_index
+from cohortlens.operators.quotas import inside, quota_cuts
 
 # Fixed values of the reference's generators.
-# v2 configuration: N 10,000, 10 datasets, death rate 0.2, male ratio 0.75;
-# abnormal rates PT 0.28, PTT 0.2, platelets 0.1, HF 0.18;
-# odds ratios gender 6, PT 3.3, PTT 7.8, platelets 4.84, HF 3.3.
-V2_CONFIG = {
-    "n": 10000, "datasets": 10, "doa_rate": 0.2, "male_ratio": 0.75,
-    "abnormal": {"PT": 0.28, "PTT": 0.2, "Platelets": 0.1, "HF": 0.18},
-    "odds_ratio": {"Gender": 6.0, "PT": 3.3, "PTT": 7.8, "Platelets": 4.84, "HF": 3.3},
+# Fixed-rate variant (floor rounding): per lab the death rate, the low and the high rate and the odds ratio.
+FIXED_RATES = {
+    "PT": (0.099, 0.277, 0.723, 5.5),
+    "PTT": (0.103, 0.079, 0.921, 8.8),
+    "Platelets": (0.09, 0.034, 0.966, 4.8),
 }
 # Per-dataset seeds: age j, gender j+1, PT j+2, PTT j+3, platelets j+4, HF j+5, DOA j+6.
 SEED_OFFSETS = {"Age": 0, "Gender": 1, "PT": 2, "PTT": 3, "Platelets": 4, "HF": 5, "DOA": 6}
@@ -68,12 +65,23 @@ def marginals(config: DataFrame, rounding: str = "ceil") -> DataFrame:
             .withColumn("low", low).withColumn("high", high.cast("long")))
 
 
+def fixed_rate_config(sizes: DataFrame, n: str = "n") -> DataFrame:
+    """The fixed-rate variant's configuration for every row of ``sizes``: one row per lab."""
+    labs = F.array(*[F.struct(F.lit(k).alias("feature"), F.lit(d).alias("dead_rate"), F.lit(lo).alias("low_rate"),
+                              F.lit(hi).alias("high_rate"), F.lit(o).alias("odds_ratio"))
+                     for k, (d, lo, hi, o) in FIXED_RATES.items()])
+    keys = [c for c in sizes.columns if c != n]
+    return sizes.select(*keys, F.col(n).alias("n"), F.explode(labs).alias("_cl_l")).select(*keys, "n", "_cl_l.*")
+
+
 def expected_cells(marg: DataFrame, odds_ratio: str = "odds_ratio") -> DataFrame:
     """Cells (dead_low, dead_high, alive_low, alive_high) for a target odds ratio.
 
     s = the smaller admissible root, dead_low = ceil(s), clamped to the
-    feasible range [max(0, D - H), min(L, D)]. OR = 1 gives ceil(L*D/N);
-    complex roots give null cells and a ``reason``.
+    feasible range [max(0, D - H), min(L, D)]. OR = 1 gives ceil(L*D/N). The
+    cells are null, and ``reason`` says why, when a marginal or the odds ratio
+    is null, the odds ratio is negative, the roots are complex or no cell fits
+    the marginals.
     """
     o = F.col(odds_ratio).cast("double")
     L, H, D, A, N = (F.col(c).cast("double") for c in ("low", "high", "dead", "alive", "n"))
@@ -82,23 +90,28 @@ def expected_cells(marg: DataFrame, odds_ratio: str = "odds_ratio") -> DataFrame
     r = o * L * D
     disc = q * q - F.lit(4.0) * p * r
     root = F.sqrt(disc)
-    r1 = (-q + root) / (F.lit(2.0) * p)
-    r2 = (-q - root) / (F.lit(2.0) * p)
+    r1 = F.try_divide(-q + root, F.lit(2.0) * p)
+    r2 = F.try_divide(-q - root, F.lit(2.0) * p)
     lo_b = F.greatest(F.lit(0.0), D - H)
     hi_b = F.least(L, D)
     small, big = F.least(r1, r2), F.greatest(r1, r2)
-    s = (F.when(p == 0, L * D / N)
-         .when(disc < 0, F.lit(None).cast("double"))
+    reason = (F.when(L.isNull() | H.isNull() | D.isNull() | A.isNull() | N.isNull(), F.lit("missing marginal"))
+              .when(o.isNull(), F.lit("no odds ratio"))
+              .when(o < 0, F.lit("negative odds ratio"))
+              .when((lo_b > hi_b) | (L < 0) | (D < 0), F.lit("infeasible marginals"))
+              .when((p != 0) & (disc < 0), F.lit("complex roots")))
+    s = (F.when(reason.isNotNull(), F.lit(None).cast("double"))
+         .when(p == 0, F.try_divide(L * D, N))
          .when((small >= lo_b - F.lit(1.0)) & (small <= hi_b), small)
          .otherwise(big))
-    dl = F.least(F.greatest(F.ceil(s).cast("double"), lo_b), hi_b).cast("long")
+    # greatest and least skip nulls: without a root there must be no cell.
+    dl = F.when(s.isNotNull(), F.least(F.greatest(F.ceil(s).cast("double"), lo_b), hi_b)).cast("long")
     out = (marg.withColumn("dead_low", dl)
            .withColumn("dead_high", F.col("dead") - F.col("dead_low"))
            .withColumn("alive_low", F.col("low") - F.col("dead_low"))
            .withColumn("alive_high", F.col("high") - F.col("dead_high")))
     realised = F.try_divide(F.col("dead_low").cast("double") * F.col("alive_high").cast("double"),
                             F.col("dead_high").cast("double") * F.col("alive_low").cast("double"))
-    reason = F.when((p != 0) & (disc < 0), F.lit("complex roots")).otherwise(F.lit(None).cast("string"))
     return out.withColumn("realised_or", F.round(realised, 6)).withColumn("reason", reason)
 
 
@@ -111,16 +124,16 @@ def assign_outcome(skeleton: DataFrame, quotas: DataFrame, by: Sequence[str] = (
                    dead_col: str = "dead") -> DataFrame:
     """Exactly ``dead`` rows per stratum get outcome 0 (dead), the rest 1.
 
-    ``quotas`` has one row per stratum (small; joined by key, broadcast by
-    AQE when it is). Rows are ranked by md5(id:seed) inside the stratum.
+    ``quotas`` has one row per stratum (configuration). The rows with the
+    lowest md5(id:seed) are the dead ones. A stratum without a quota has none.
     """
     seed_c = seed if isinstance(seed, Column) else F.lit(seed)
-    keyed = skeleton.withColumn("_cl_h", _seeded_hash(key, seed_c))
-    ranked = group_index(keyed, list(by), ["_cl_h", key], "_cl_rank")
-    q = quotas.select(*by, F.col(dead_col).alias("_cl_dead"))
-    return (ranked.join(q, list(by), "left")
-            .withColumn(outcome, F.when(F.col("_cl_rank") <= F.col("_cl_dead"), F.lit(0.0)).otherwise(F.lit(1.0)))
-            .drop("_cl_h", "_cl_rank", "_cl_dead"))
+    digest = F.coalesce(_seeded_hash(key, seed_c), F.lit(""))
+    rows = skeleton.select(*by, F.lit(outcome).alias("_cl_item"), digest.alias("_cl_h"), key)
+    slots = quotas.select(*by, F.lit(outcome).alias("_cl_item"), F.lit(0).alias("_cl_slot"), F.col(dead_col).alias("_cl_quota"))
+    cuts = quota_cuts(rows, list(by), key, slots)
+    return (skeleton.join(F.broadcast(cuts), list(by), "left")
+            .withColumn(outcome, F.when(inside(outcome, 0, digest, key), F.lit(0.0)).otherwise(F.lit(1.0))).drop("_cl_cuts"))
 
 
 def quota_assign(df: DataFrame, cells: DataFrame, features: Sequence[str], by: Sequence[str] = ("dataset_id",),
@@ -130,31 +143,28 @@ def quota_assign(df: DataFrame, cells: DataFrame, features: Sequence[str], by: S
 
     Within dead rows the first ``dead_low`` (md5 order) get 0 and the next
     ``dead_high`` get 1; within alive rows likewise with ``alive_low`` /
-    ``alive_high``; rows beyond both quotas stay null (unassigned). All
-    features are ranked in one distributed sort over the (row, feature)
-    long form, then pivoted back to one column per feature.
+    ``alive_high``; rows beyond both quotas, and all rows where the cells are
+    null, stay null (unassigned). Columns of ``df`` named like a feature are replaced.
     """
     seeds = seeds or {f: F.lit(SEED_OFFSETS.get(f, i)) for i, f in enumerate(features)}
-    feats = F.array(*[F.struct(F.lit(f).alias("feature"),
-                               (seeds[f] if isinstance(seeds[f], Column) else F.lit(seeds[f])).cast("string")
-                               .alias("seed")) for f in features])
-    # Other columns ride along and become grouping keys of the pivot, so no
-    # join back to the input is needed.
-    extra = [c for c in df.columns if c not in {*by, key, outcome, *features}]
-    base = df.select(*by, key, outcome, *extra)
-    long = (base.select(*by, key, outcome, *extra, F.explode(feats).alias("_cl_fs"))
-            .select(*by, key, outcome, *extra, F.col("_cl_fs.feature").alias("feature"),
-                    _seeded_hash(key, F.col("_cl_fs.seed")).alias("_cl_h")))
-    ranked = group_index(long, [*by, outcome, "feature"], ["_cl_h", key], "_cl_rank")
-    c = cells.select(*by, "feature", "dead_low", "dead_high", "alive_low", "alive_high")
-    j = ranked.join(c, [*by, "feature"], "left")
-    is_dead = F.col(outcome) == F.lit(dead)
-    low_q = F.when(is_dead, F.col("dead_low")).otherwise(F.col("alive_low"))
-    high_q = F.when(is_dead, F.col("dead_high")).otherwise(F.col("alive_high"))
-    value = (F.when(F.col("_cl_rank") <= low_q, F.lit(0.0))
-             .when(F.col("_cl_rank") <= low_q + high_q, F.lit(1.0)))
-    return (j.select(*by, key, outcome, *extra, "feature", value.alias("value"))
-            .groupBy(*by, key, outcome, *extra).pivot("feature", list(features)).agg(F.first("value")))
+    base = df.select(*[c for c in df.columns if c not in features])
+    digests = {f: F.coalesce(_seeded_hash(key, seeds[f] if isinstance(seeds[f], Column) else F.lit(seeds[f])), F.lit(""))
+               for f in features}
+    strata = [*by, "_cl_dead"]
+    flagged = base.withColumn("_cl_dead", F.col(outcome) == F.lit(dead))
+    long = (flagged.select(*strata, key, F.explode(F.array(*[F.struct(F.lit(f).alias("item"), d.alias("h")) for f, d in digests.items()])).alias("_cl_x"))
+            .select(*strata, key, F.col("_cl_x.item").alias("_cl_item"), F.col("_cl_x.h").alias("_cl_h")))
+    side = F.explode(F.array(F.struct(F.lit(True).alias("d"), F.col("dead_low").alias("lo"), F.col("dead_high").alias("hi")),
+                             F.struct(F.lit(False).alias("d"), F.col("alive_low").alias("lo"), F.col("alive_high").alias("hi"))))
+    quota = F.explode(F.array(F.struct(F.lit(0).alias("slot"), F.col("_cl_s.lo").alias("q")),
+                              F.struct(F.lit(1).alias("slot"), (F.col("_cl_s.lo") + F.col("_cl_s.hi")).alias("q"))))
+    slots = (cells.where(F.col("feature").isin(list(features))).select(*by, F.col("feature").alias("_cl_item"), side.alias("_cl_s"))
+             .select(*by, F.col("_cl_s.d").alias("_cl_dead"), "_cl_item", quota.alias("_cl_q"))
+             .select(*strata, "_cl_item", F.col("_cl_q.slot").alias("_cl_slot"), F.col("_cl_q.q").alias("_cl_quota")))
+    cuts = quota_cuts(long, strata, key, slots)
+    labelled = flagged.join(F.broadcast(cuts), strata, "left")
+    values = [F.when(inside(f, 0, d, key), F.lit(0.0)).when(inside(f, 1, d, key), F.lit(1.0)).alias(f) for f, d in digests.items()]
+    return labelled.select(*base.columns, *values)
 
 
 def normal_attribute(df: DataFrame, key: str, seed: Column | int | str, mu: float = AGE_MU,
@@ -206,28 +216,32 @@ def independent_marginals(skeleton: DataFrame, by: Sequence[str] = ("dataset_id"
         return F.floor(F.col("_cl_n") * F.lit(float(c)) / F.lit(total)).cast("long")
 
     labs = list(counts["labs"])
-    quota = sizes.select(*by, scaled(counts["male"]).alias("q_Gender"),
-                         *[scaled(counts["labs"][lab][0]).alias(f"q_{lab}") for lab in labs])
     items = ["Gender", *labs]
-    first = (skeleton.select(*by, key, F.explode(F.array(*[F.lit(x) for x in items])).alias("feature"))
-             .withColumn("_cl_h", _seeded_hash(key, F.concat(F.lit(f"{seed}:"), F.col("feature")))))
-    r1 = group_index(first, [*by, "feature"], ["_cl_h", key], "_cl_r1").join(quota, list(by), "left")
-    quota_1 = F.expr("CASE feature " + " ".join(f"WHEN '{x}' THEN q_{x}" for x in items) + " END")
-    chosen = r1.withColumn("_cl_in", F.col("_cl_r1") <= quota_1)
-    lab_low = sizes.select(*by, *[scaled(counts["labs"][lab][1]).alias(f"l_{lab}") for lab in labs])
-    measured = (chosen.where(F.col("_cl_in") & (F.col("feature") != "Gender"))
-                .withColumn("_cl_h2", _seeded_hash(key, F.concat(F.lit(f"{seed}:low:"), F.col("feature")))))
-    r2 = group_index(measured.select(*by, key, "feature", "_cl_h2"), [*by, "feature"], ["_cl_h2", key], "_cl_r2")
-    quota_2 = F.expr("CASE feature " + " ".join(f"WHEN '{x}' THEN l_{x}" for x in labs) + " END")
-    lab_vals = (r2.join(lab_low, list(by), "left")
-                .select(*by, key, "feature",
-                        F.when(F.col("_cl_r2") <= quota_2, F.lit(0.0)).otherwise(F.lit(1.0)).alias("value")))
-    gender_vals = (chosen.where(F.col("feature") == "Gender")
-                   .select(*by, key, "feature",
-                           F.when(F.col("_cl_in"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("value")))
-    wide = (gender_vals.unionByName(lab_vals).groupBy(*by, key)
-            .pivot("feature", items).agg(F.first("value")))
-    return skeleton.select(*by, key).join(wide, [*by, key], "left")
+
+    def slots(counted: Mapping[str, int]) -> DataFrame:
+        pairs = F.explode(F.array(*[F.struct(F.lit(x).alias("item"), scaled(c).alias("q")) for x, c in counted.items()]))
+        return (sizes.select(*by, pairs.alias("_cl_p"))
+                .select(*by, F.col("_cl_p.item").alias("_cl_item"), F.lit(0).alias("_cl_slot"), F.col("_cl_p.q").alias("_cl_quota")))
+
+    def digest(item: str, draw: str) -> Column:
+        return F.coalesce(_seeded_hash(key, F.lit(f"{seed}:{draw}{item}")), F.lit(""))
+
+    def long(df: DataFrame, names: Sequence[str], draw: str, when: Mapping[str, Column]) -> DataFrame:
+        cells = F.array(*[F.when(when.get(x, F.lit(True)), F.struct(F.lit(x).alias("item"), digest(x, draw).alias("h"))) for x in names])
+        return (df.select(*by, key, F.explode(cells).alias("_cl_x")).where(F.col("_cl_x").isNotNull())
+                .select(*by, key, F.col("_cl_x.item").alias("_cl_item"), F.col("_cl_x.h").alias("_cl_h")))
+
+    base = skeleton.select(*by, key)
+    first = quota_cuts(long(base, items, "", {}), list(by), key,
+                       slots({"Gender": counts["male"], **{x: counts["labs"][x][0] for x in labs}}))
+    drawn = base.join(F.broadcast(first), list(by), "left").select(
+        *by, key, *[inside(x, 0, digest(x, ""), key).alias(f"_cl_in_{x}") for x in items])
+    second = quota_cuts(long(drawn, labs, "low:", {x: F.col(f"_cl_in_{x}") for x in labs}), list(by), key,
+                        slots({x: counts["labs"][x][1] for x in labs}))
+    low = lambda x: F.when(inside(x, 0, digest(x, "low:"), key), F.lit(0.0)).otherwise(F.lit(1.0))
+    return drawn.join(F.broadcast(second), list(by), "left").select(
+        *by, key, F.when(F.col("_cl_in_Gender"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("Gender"),
+        *[F.when(F.col(f"_cl_in_{x}"), low(x)).alias(x) for x in labs])
 
 
 def blocked_outcomes(indexed: DataFrame, index_col: str = "index", block: int = 1000,
@@ -243,8 +257,10 @@ def blocked_outcomes(indexed: DataFrame, index_col: str = "index", block: int =
     with_b = indexed.withColumn("_cl_b", b)
     rate = F.element_at(F.array(*[F.lit(float(r)) for r in rates]),
                         (F.col("_cl_b") % F.lit(len(rates)) + F.lit(1)).cast("int"))
-    sizes = with_b.groupBy("_cl_b").agg(F.count(F.lit(1)).alias("_cl_rows"))
-    quotas = sizes.select("_cl_b", F.floor(rate * F.col("_cl_rows")).cast("long").alias("dead"))
-    seed_c = (F.col("_cl_b") + F.lit(1)) * F.lit(seed)
-    return assign_outcome(with_b.drop(outcome) if outcome in with_b.columns else with_b, quotas, ["_cl_b"],
-                          key, seed=seed_c, outcome=outcome).withColumnRenamed("_cl_b", "block")
+    # A block is a window of bounded size, so its rows are ranked directly.
+    digest = _seeded_hash(key, (F.col("_cl_b") + F.lit(1)) * F.lit(seed))
+    ranked = (with_b.withColumn("_cl_rows", F.count(F.lit(1)).over(Window.partitionBy("_cl_b")))
+              .withColumn("_cl_rank", F.row_number().over(Window.partitionBy("_cl_b").orderBy(digest, key))))
+    dead = F.floor(rate * F.col("_cl_rows")).cast("long")
+    return (ranked.withColumn(outcome, F.when(F.col("_cl_rank") <= dead, F.lit(0.0)).otherwise(F.lit(1.0)))
+            .drop("_cl_rows", "_cl_rank").withColumnRenamed("_cl_b", "block"))

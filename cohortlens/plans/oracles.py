@@ -6,6 +6,8 @@ labels, ...). Column names and types match the Spark results.
 
 from __future__ import annotations
 
+import math
+
 # The cohort adapter (see cohortlens.sources.testdata), written once as SQL.
 COHORT_CTE = """cohort AS (
   SELECT l_linenumber AS dataset_id,
@@ -117,18 +119,20 @@ roots AS (SELECT *, q * q - 4.0 * p * r AS disc,
                  (-q + sqrt(CASE WHEN q * q - 4.0 * p * r >= 0 THEN q * q - 4.0 * p * r END)) / NULLIF(2.0 * p, 0) AS r1,
                  (-q - sqrt(CASE WHEN q * q - 4.0 * p * r >= 0 THEN q * q - 4.0 * p * r END)) / NULLIF(2.0 * p, 0) AS r2
           FROM pq),
-sel AS (SELECT *, CASE WHEN p = 0 THEN CAST(low AS DOUBLE) * dead / n
-                       WHEN disc < 0 THEN NULL
+sel AS (SELECT *, CASE WHEN odds_ratio IS NULL OR odds_ratio < 0 OR lo_b > hi_b OR (p <> 0 AND disc < 0) THEN NULL
+                       WHEN p = 0 THEN CAST(low AS DOUBLE) * dead / n
                        WHEN least(r1, r2) >= lo_b - 1.0 AND least(r1, r2) <= hi_b THEN least(r1, r2)
                        ELSE greatest(r1, r2) END AS s
         FROM roots),
-ec0 AS (SELECT dataset_id, feature, n, dead, alive, low, high, odds_ratio, p, disc,
-               CAST(least(greatest(ceil(s), lo_b), hi_b) AS BIGINT) AS dead_low FROM sel),
+ec0 AS (SELECT dataset_id, feature, n, dead, alive, low, high, odds_ratio, p, disc, lo_b, hi_b,
+               CASE WHEN s IS NOT NULL THEN CAST(least(greatest(ceil(s), lo_b), hi_b) AS BIGINT) END AS dead_low FROM sel),
 ec AS (SELECT dataset_id, feature, n, dead, alive, low, high, round(odds_ratio, 6) AS odds_ratio, dead_low,
               dead - dead_low AS dead_high, low - dead_low AS alive_low, high - (dead - dead_low) AS alive_high,
               round(CAST(dead_low AS DOUBLE) * (high - (dead - dead_low))
                     / NULLIF(CAST(dead - dead_low AS DOUBLE) * (low - dead_low), 0), 6) AS realised_or,
-              CASE WHEN p <> 0 AND disc < 0 THEN 'complex roots' END AS reason
+              CASE WHEN odds_ratio IS NULL THEN 'no odds ratio' WHEN odds_ratio < 0 THEN 'negative odds ratio'
+                   WHEN lo_b > hi_b THEN 'infeasible marginals'
+                   WHEN p <> 0 AND disc < 0 THEN 'complex roots' END AS reason
        FROM ec0)"""
 
 
@@ -302,10 +306,17 @@ SELECT CASE WHEN {_u('id', 5043)} < 0.7 THEN 'train' ELSE 'test' END AS split,
 FROM cohort GROUP BY 1"""
     q["id_difference"] = f"""WITH {COHORT_CTE}
 SELECT id, dataset_id FROM cohort c WHERE NOT EXISTS (SELECT 1 FROM cohort d WHERE d.DOA = 0 AND d.id = c.id)"""
+    # Poisson(0.3) by its distribution function: the number of bounds that u reaches.
+    bounds, p, total = [], math.exp(-(0.1 + 0.1 * 2)), 0.0
+    for k in range(1, 14):
+        total += p
+        bounds.append(total)
+        p *= (0.1 + 0.1 * 2) / k
+    drawn = " + ".join(f"CAST({_u('id', 2)} >= {b!r} AS INTEGER)" for b in bounds)
     q["rebalance"] = f"""WITH {COHORT_CTE}
 SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 0
 UNION ALL
-SELECT id, DOA, 1 AS copy FROM cohort WHERE DOA = 1 AND {_u('id', 2)} < 0.1 + 0.1 * 2"""
+SELECT id, DOA, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy FROM (SELECT id, DOA, {drawn} AS n FROM cohort WHERE DOA = 1) WHERE n > 0"""
     q["marginals"] = f"""WITH {COHORT_CTE}, {_config_cte()}
 SELECT dataset_id, feature, n, CAST(ceil(n * (CAST(dead AS DOUBLE) / n)) AS BIGINT) AS dead,
        CAST(n - ceil(n * (CAST(dead AS DOUBLE) / n)) AS BIGINT) AS alive,
