@@ -51,5 +51,5 @@ def mean_abs_distance(left: Sequence[str], right: Sequence[str]) -> Column:
 
 
 def minmax_scale(value: Column, lo: Column, hi: Column) -> Column:
-    """(v - lo) / (hi - lo); a zero range maps to 0 instead of NaN/Infinity."""
-    return F.coalesce(F.try_divide(value - lo, hi - lo), F.lit(0.0))
+    """(v - lo) / (hi - lo); a zero range maps to 0 instead of NaN/Infinity, a null value stays null."""
+    return F.when(value.isNull(), F.lit(None).cast("double")).when(hi == lo, F.lit(0.0)).otherwise((value - lo) / (hi - lo))

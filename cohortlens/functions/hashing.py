@@ -31,13 +31,3 @@ def hash_uniform(key: Column | str, seed: int | str) -> Column:
     digits = F.substring(hash_key(key, seed), 1, _HEX_DIGITS)
     as_int = F.conv(digits, 16, 10).cast("double")
     return (as_int + F.lit(0.5)) / F.lit(_SCALE)
-
-
-def sql_hash_uniform(key_sql: str, seed: int | str) -> str:
-    """The same uniform written as DuckDB SQL (for oracles and tests)."""
-    return (f"((('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || ':{seed}'), 1, {_HEX_DIGITS}))::BIGINT"
-            f" + 0.5) / {_SCALE!r})")
-
-
-def sql_hash_order(key_sql: str, seed: int | str) -> str:
-    return f"md5(CAST({key_sql} AS VARCHAR) || ':{seed}')"

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import hash_order
 from cohortlens.operators.ranking import group_index
+from cohortlens.session import stored
 
 
 def contiguous_blocks(df: DataFrame, k: int, index_col: str = "index", block_col: str = "block") -> DataFrame:
@@ -34,31 +33,18 @@ def block_summary(blocked: DataFrame, block_col: str = "block", index_col: str =
                  F.count_if(F.col(outcome) == F.lit(dead)).alias("n_dead")))
 
 
-def block_folds(blocked: DataFrame, block_col: str = "block") -> Iterator[tuple[int, DataFrame, DataFrame]]:
-    """Yield ``(fold, train, test)`` lazily for every full block (leave one block out).
-
-    Each pair is two filters over the same (checkpointed) blocked table; the
-    fold count comes from a one-row aggregate.
-    """
-    n_full = blocked.where(~F.col("is_tail")).select(F.max(block_col)).first()[0]
-    if n_full is None:
-        return
-    for i in range(int(n_full) + 1):
-        yield i, blocked.where(F.col(block_col) != i), blocked.where(F.col(block_col) == i)
-
-
 def fold_summary(blocked: DataFrame, block_col: str = "block", outcome: str = "DOA",
                  dead: float = 0.0) -> DataFrame:
     """Per fold: test and train sizes and deaths, without materialising any fold.
 
-    train = table totals - test block (totals by scalar subquery).
+    train = table totals - test block. The blocks are counted once and stored;
+    the totals are sums over them.
     """
-    total = blocked.select(F.count(F.lit(1))).scalar()
-    total_dead = blocked.select(F.count_if(F.col(outcome) == F.lit(dead))).scalar()
-    per = (blocked.where(~F.col("is_tail")).groupBy(block_col)
-           .agg(F.count(F.lit(1)).alias("test_rows"),
-                F.count_if(F.col(outcome) == F.lit(dead)).alias("test_dead")))
-    return per.select(F.col(block_col).alias("fold"), "test_rows", "test_dead",
+    per = stored(blocked.groupBy(block_col, "is_tail")
+                 .agg(F.count(F.lit(1)).alias("test_rows"),
+                      F.count_if(F.col(outcome) == F.lit(dead)).alias("test_dead")), "folds")
+    total, total_dead = per.select(F.sum("test_rows")).scalar(), per.select(F.sum("test_dead")).scalar()
+    return per.where(~F.col("is_tail")).select(F.col(block_col).alias("fold"), "test_rows", "test_dead",
                       (total - F.col("test_rows")).alias("train_rows"),
                       (total_dead - F.col("test_dead")).alias("train_dead"))
 

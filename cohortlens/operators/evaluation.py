@@ -19,7 +19,11 @@ def label_mapping(df: DataFrame, col: str = "DOA", label_col: str = "label") ->
     Same order as MLlib's ``StringIndexer`` (frequencyDesc). The class table is
     aggregated map-side, so only one row per class is shuffled.
     """
-    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
+    return rank_classes(df.groupBy(col).agg(F.count(F.lit(1)).alias("n")), col, label_col)
+
+
+def rank_classes(counts: DataFrame, col: str, label_col: str = "label") -> DataFrame:
+    """Add the index to a table of classes and their counts ``n``: one row per class, so one small window."""
     order = Window.orderBy(F.desc("n"), F.col(col).cast("string").asc())
     return counts.withColumn(label_col, (F.row_number().over(order) - F.lit(1)).cast("double"))
 
@@ -31,6 +35,20 @@ def index_label(df: DataFrame, col: str = "DOA", label_col: str = "label",
     return df.join(m, col, "left")
 
 
+def restore_label(df: DataFrame, mapping: DataFrame, col: str = "DOA", label_col: str = "label",
+                  prediction: str = "prediction", out: str = "predicted_value") -> DataFrame:
+    """The original class of each predicted index (the inverse of :func:`index_label`); unknown indices give null."""
+    m = mapping.select(F.col(label_col).alias(prediction), F.col(col).alias(out))
+    return df.join(F.broadcast(m), prediction, "left")  # one row per class
+
+
+def mean_fold_accuracy(folds: DataFrame, accuracy: str = "accuracy", digits: int | None = 6) -> DataFrame:
+    """Number of folds and the mean, lowest and highest of their accuracies (folds without one are not counted)."""
+    r = lambda c: F.round(c, digits) if digits is not None else c
+    return folds.agg(F.count(accuracy).alias("folds"), r(F.avg(accuracy)).alias("mean_accuracy"),
+                     r(F.min(accuracy)).alias("min_accuracy"), r(F.max(accuracy)).alias("max_accuracy"))
+
+
 def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "prediction",
                      by: Sequence[str] = (), positive: float = 1.0) -> DataFrame:
     """tp, tn, fp, fn, n in one aggregate."""

@@ -3,78 +3,101 @@
 The reference matches left rows one at a time, in collection order, each
 step a Spark job that excludes the right ids used so far (exact greedy), or
 looks only at ~10 randomly sampled remaining right rows (sampled greedy).
-Both are rebuilt as a few set-based rounds over all pairs at once:
-
-* :func:`match_exact` - mutual-best rounds on collapsed cells. Each round
-  every left cell names its nearest remaining right cell and every right
-  cell its nearest left cell (ties by cell key, so the order on edges is
-  total); mutual choices are matched for min(count_left, count_right) rows.
-  The globally smallest edge is always mutual, so every round makes
-  progress; the result is the sorted-edge greedy matching (order-free, so
-  it differs from the reference's collection-order greedy; see README).
+Both are rebuilt as set-based steps over all pairs at once:
+
+* :func:`match_exact` - sorted-edge greedy matching on collapsed cells: edges
+  between left and right cells are taken by (distance, left cell, right cell),
+  each for min(count left, count right) of the rows that are left. The order
+  is total, so the result is unique (order-free, unlike the reference's
+  collection order; see README). Pairs with few enough edges are matched by
+  one task each, straight down the sorted edges. Larger ones are matched in
+  mutual-best rounds: a cell pair that each choose the other is next among its
+  own edges, so that taking all such pairs at once gives the same result.
 * :func:`match_sampled` - candidate rounds on rows. Each round the
   remaining right rows get a fresh md5 permutation (distributed group
-  index), every remaining left row draws ``m`` candidate ranks among them,
+  index), every remaining left row looks at ``m`` different ones,
   keeps the nearest, and each right row accepts the nearest left row that
   chose it. Candidates always come from rows still free, as in the reference.
 
-Cell and row tables are checkpointed every round (shared checkpoint dir),
-so lineage stays short and a lost executor only recomputes one round.
+Rounds end when a pair has no free rows on one side: in every round each such
+pair matches at least one row, so there is no cap. Tables are stored or
+checkpointed every round (shared folder), so lineage stays short.
 """
 
 from __future__ import annotations
 
-import os
-import sys
-import time
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import mean_abs_distance
 from cohortlens.functions.hashing import hash_order, hash_uniform
 from cohortlens.operators.ranking import group_index
 from cohortlens.operators.similarity import (
-    BINARY, DIST_COLS, PAIR, broadcast_if_small, collapse_cells, dataset_pairs, distance_summary, joint_minmax,
-    pair_rows,
+    BINARY, DIST_COLS, PAIR, asof_both, complete_rows, distance_summary, pair_cells, pair_rows, with_incomplete,
 )
-from cohortlens.functions.columns import minmax_scale
+from cohortlens.session import stored
 
 N_PATTERNS = 1 << len(BINARY)
+#: Edges of a pair that one task sorts (some 100 MB); beyond it the pair is matched in rounds, with the same result.
+MAX_TASK_EDGES = 4_000_000
+
+
+def _greedy(left, right):
+    """Sorted-edge greedy matching of one pair's cells: pandas frames (p, v, n) -> (distance, m)."""
+    import numpy as np
+    import pandas as pd
+
+    left, right = (x.sort_values(["p", "v"]) for x in (left, right))
+    lp, rp = left["p"].to_numpy(np.int64), right["p"].to_numpy(np.int64)
+    ham = np.array([bin(i).count("1") for i in range(N_PATTERNS)], np.float64)[lp[:, None] ^ rp[None, :]]
+    dist = ((ham + np.abs(left["v"].to_numpy()[:, None] - right["v"].to_numpy()[None, :])) / 6.0).ravel()
+    free_l, free_r = left["n"].tolist(), right["n"].tolist()
+    todo, width = min(sum(free_l), sum(free_r)), len(free_r)
+    out: dict[float, int] = {}
+    # Cells are in order, so a stable sort orders ties by left cell, then right cell.
+    for e in np.argsort(dist, kind="stable").tolist():
+        if not todo:
+            break
+        i, j = divmod(e, width)
+        m = min(free_l[i], free_r[j])
+        if m:
+            free_l[i] -= m
+            free_r[j] -= m
+            todo -= m
+            out[dist[e]] = out.get(dist[e], 0) + m
+    return pd.DataFrame({"distance": list(out), "m": list(out.values())}, columns=["distance", "m"])
 
 
-def _log(msg: str) -> None:
-    if os.environ.get("COHORTLENS_DEBUG"):
-        print(f"[{time.strftime('%H:%M:%S')}] {msg}", file=sys.stderr, flush=True)
+def _match_in_tasks(left: DataFrame, right: DataFrame) -> DataFrame:
+    def one(key, lft, rgt):
+        import pandas as pd
 
+        if lft.empty or rgt.empty:
+            return pd.DataFrame(columns=[*PAIR, "distance", "m"])
+        out = _greedy(lft, rgt)
+        for name, k in zip(PAIR, key):
+            out.insert(0, name, k)
+        return out[[*PAIR, "distance", "m"]]
 
-def _best_partner(src: DataFrame, dst: DataFrame, src_is_left: bool = True) -> DataFrame:
-    """Nearest ``dst`` cell for every ``src`` cell: (pair, sp, sv, dp, dv, distance).
+    kinds = dict(left.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in PAIR) + ", distance double, m long"
+    return left.groupBy(*PAIR).cogroup(right.groupBy(*PAIR)).applyInPandas(one, schema)
 
-    Ties are broken by a hash of the edge (left key, right key), the same
-    from both sides, then by the partner's key: a total order on edges that
-    spreads tied choices over many partners instead of one. The search is the
-    as-of scan of :mod:`similarity`: src cells expanded over the 32
-    patterns, nearest dst value at or below / above inside each pattern.
-    """
+
+def _best_partner(src: DataFrame, dst: DataFrame, src_is_left: bool = True) -> DataFrame:
+    """Next ``dst`` cell of every ``src`` cell in the order of edges: (pair, sp, sv, dp, dv, distance)."""
     sx = src.select(*PAIR, F.col("p").alias("sp"), F.col("v").alias("sv"),
                     F.explode(F.sequence(F.lit(0), F.lit(N_PATTERNS - 1))).alias("p"))
-    items = (sx.select(*PAIR, "p", F.col("sv").alias("v"), F.lit(0).alias("is_dst"), "sp", "sv",
-                       F.lit(None).cast("double").alias("dv"))
-             .unionByName(dst.select(*PAIR, "p", "v", F.lit(1).alias("is_dst"), F.lit(None).cast("int").alias("sp"),
+    items = (sx.select(*PAIR, "p", F.col("sv").alias("v"), "sp", "sv", F.lit(None).cast("double").alias("dv"))
+             .unionByName(dst.select(*PAIR, "p", "v", F.lit(None).cast("int").alias("sp"),
                                      F.lit(None).cast("double").alias("sv"), F.col("v").alias("dv"))))
-    order = Window.partitionBy(*PAIR, "p").orderBy(F.col("v").asc(), F.col("is_dst").desc())
-    prev = F.last("dv", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("dv", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scanned = items.select("*", prev.alias("_prev"), nxt.alias("_next")).where(F.col("is_dst") == 0)
-    cands = scanned.select(*PAIR, "sp", "sv", "p",
-                           F.explode(F.array("_prev", "_next")).alias("dv")).where(F.col("dv").isNotNull())
+    scanned = asof_both(items, [*PAIR, "p"], found="dv").where(F.col("sp").isNotNull())
+    cands = scanned.select(*PAIR, "sp", "sv", "p", F.explode(F.array("_prev", "_next")).alias("dv")).where("dv is not null")
     ham = F.bit_count(F.col("sp").bitwiseXOR(F.col("p"))).cast("double")
     dist = (ham + F.abs(F.col("sv") - F.col("dv"))) / F.lit(6.0)
-    ends = ["sp", "sv", "p", "dv"] if src_is_left else ["p", "dv", "sp", "sv"]
-    tie = F.xxhash64(*ends)
-    best = (cands.select(*PAIR, "sp", "sv", F.struct(dist.alias("distance"), tie.alias("t"), F.col("p").alias("dp"),
-                                                     "dv").alias("e"))
+    best = (cands.select(*PAIR, "sp", "sv", F.struct(dist.alias("distance"), F.col("p").alias("dp"), "dv").alias("e"))
             .groupBy(*PAIR, "sp", "sv").agg(F.min("e").alias("e")))
     return best.select(*PAIR, "sp", "sv", "e.dp", "e.dv", "e.distance")
 
@@ -88,101 +111,98 @@ def _subtract(cells: DataFrame, taken: DataFrame) -> DataFrame:
 
 
 def _active(left: DataFrame, right: DataFrame) -> DataFrame:
-    both = left.select(*PAIR).distinct().join(right.select(*PAIR).distinct(), PAIR)
-    return broadcast_if_small(both)
-
-
-def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
-                max_rounds: int = 1000) -> DataFrame:
-    """Exact greedy one-to-one matching per pair; summary with ``n_unmatched``."""
-    pairs = dataset_pairs(df, dataset_col)
-    mm = broadcast_if_small(joint_minmax(df, pairs, value, dataset_col))
-    cells = collapse_cells(df, dataset_col, value)
-
-    def side(col: str) -> DataFrame:
-        return (cells.join(mm, cells[dataset_col] == mm[col])
-                .select(*PAIR, F.col("pattern").alias("p"),
-                        minmax_scale(F.col("v"), F.col("lo"), F.col("hi")).alias("v"), "n"))
-
-    left, right = side("ds_a").checkpoint(), side("ds_b").checkpoint()
-    totals = left.groupBy(*PAIR).agg(F.sum("n").alias("n_left")).checkpoint()
-    matched = None
-    for _ in range(max_rounds):
-        act = _active(left, right)
-        n_act = act.count()
-        _log(f"exact round {_}: active pairs {n_act}")
-        if n_act == 0:
-            break
-        lft, rgt = left.join(act, PAIR), right.join(act, PAIR)
+    """Pairs with free rows on both sides."""
+    return stored(left.select(*PAIR).distinct().join(right.select(*PAIR).distinct(), PAIR), "active")
+
+
+def _match_in_rounds(left: DataFrame, right: DataFrame) -> list[DataFrame]:
+    """(pair, distance, m) of each round; stored."""
+    rounds: list[DataFrame] = []
+    while True:
+        active = _active(left, right)
+        if active.isEmpty():
+            return rounds
+        lft, rgt = stored(left.join(active, PAIR), "left"), stored(right.join(active, PAIR), "right")
         bl = _best_partner(lft, rgt, True)
-        br = _best_partner(rgt, lft, False).select(*PAIR, F.col("sp").alias("rp"), F.col("sv").alias("rv"),
-                                            F.col("dp").alias("lp2"), F.col("dv").alias("lv2"))
-        mutual = bl.join(br, PAIR).where((F.col("sp") == F.col("lp2")) & (F.col("sv") == F.col("lv2"))
-                                         & (F.col("dp") == F.col("rp")) & (F.col("dv") == F.col("rv")))
+        br = _best_partner(rgt, lft, False).select(*PAIR, F.col("sp").alias("dp"), F.col("sv").alias("dv"),
+                                                   F.col("dp").alias("sp"), F.col("dv").alias("sv"))
         ln = lft.select(*PAIR, F.col("p").alias("sp"), F.col("v").alias("sv"), F.col("n").alias("nl"))
         rn = rgt.select(*PAIR, F.col("p").alias("dp"), F.col("v").alias("dv"), F.col("n").alias("nr"))
-        acc = (mutual.join(ln, [*PAIR, "sp", "sv"]).join(rn, [*PAIR, "dp", "dv"])
-               .select(*PAIR, "sp", "sv", "dp", "dv", "distance", F.least("nl", "nr").alias("m"))).checkpoint()
-        got = acc.select(*PAIR, "distance", "m")
-        matched = got if matched is None else matched.unionByName(got)
-        left = _subtract(left, acc.select(*PAIR, F.col("sp").alias("p"), F.col("sv").alias("v"), "m")).checkpoint()
-        right = _subtract(right, acc.select(*PAIR, F.col("dp").alias("p"), F.col("dv").alias("v"), "m")).checkpoint()
-        matched = matched.checkpoint()
-    if matched is None:
-        matched = left.limit(0).select(*PAIR, F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("m"))
-    summary = distance_summary(matched, weight="m")
-    return (totals.join(summary, PAIR, "left")
+        acc = stored(bl.join(br, [*PAIR, "sp", "sv", "dp", "dv"]).join(ln, [*PAIR, "sp", "sv"]).join(rn, [*PAIR, "dp", "dv"])
+                     .select(*PAIR, "sp", "sv", "dp", "dv", "distance", F.least("nl", "nr").alias("m")), "round")
+        rounds.append(acc.select(*PAIR, "distance", "m"))
+        left = _subtract(lft, acc.select(*PAIR, F.col("sp").alias("p"), F.col("sv").alias("v"), "m"))
+        right = _subtract(rgt, acc.select(*PAIR, F.col("dp").alias("p"), F.col("dv").alias("v"), "m"))
+
+
+def _with_unmatched(matched: DataFrame, totals: DataFrame, weight: str | None) -> DataFrame:
+    return (totals.join(distance_summary(matched, weight=weight), PAIR, "left")
             .select(*PAIR, F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "avg_distance", "min_distance",
-                    "max_distance", "zero_dist_percent", "distance_sum", "n_nonzero",
+                    "max_distance", "zero_dist_percent", "distance_sum", F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"),
                     (F.col("n_left") - F.coalesce("n_matched", F.lit(0))).cast("long").alias("n_unmatched")))
 
 
-def match_sampled(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10,
-                  seed: int = 100, max_rounds: int = 1000) -> DataFrame:
-    """Sampled greedy one-to-one matching per pair (``m`` free candidates per left row per round)."""
-    rows = pair_rows(df.select(dataset_col, key, *DIST_COLS), dataset_col)
-    left = rows.where(F.col("side") == 0).select(*PAIR, F.col(key).alias("l_id"),
-                                                 *[F.col(c).alias(f"l_{c}") for c in DIST_COLS]).checkpoint()
-    right = rows.where(F.col("side") == 1).select(*PAIR, F.col(key).alias("r_id"),
-                                                  *[F.col(c).alias(f"r_{c}") for c in DIST_COLS]).checkpoint()
-    totals = left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_left")).checkpoint()
-    matched = None
-    for rnd in range(max_rounds):
-        act = _active(left, right)
-        n_act = act.count()
-        if os.environ.get("COHORTLENS_DEBUG"):
-            _log(f"sampled round {rnd}: active pairs {n_act}, left rows {left.count()}")
-        if n_act == 0:
+def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
+                pairs: Sequence[tuple] | None = None, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+    """Exact greedy one-to-one matching per pair; summary with ``n_unmatched`` left rows and ``n_incomplete`` rows.
+
+    Matches min(n_left, n_right) rows of every pair.
+    """
+    left, right = (stored(x.withColumnRenamed("pattern", "p"), "side") for x in pair_cells(df, dataset_col, value, pairs))
+    sizes = stored(left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("cl"), F.sum("n").alias("n_left"))
+                   .join(right.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("cr")), PAIR, "left"), "sizes")
+    small = sizes.where(F.col("cl") * F.coalesce("cr", F.lit(0)) <= max_task_edges).select(*PAIR)
+    large = sizes.where(F.col("cl") * F.col("cr") > max_task_edges).select(*PAIR)
+    matched = stored(_match_in_tasks(left.join(small, PAIR, "left_semi"), right.join(small, PAIR, "left_semi")), "matched")
+    for part in _match_in_rounds(left.join(large, PAIR, "left_semi"), right.join(large, PAIR, "left_semi")):
+        matched = matched.unionByName(part)
+    out = _with_unmatched(matched, sizes.select(*PAIR, "n_left"), "m")
+    return with_incomplete(out, df, [*BINARY, value], dataset_col)
+
+
+def sampled_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10, seed: int = 100,
+                    pairs: Sequence[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matched rows (ds_a, ds_b, l_id, r_id, distance) of the sampled method, and left rows per pair.
+
+    Candidates of a left row are ``m`` consecutive places of the round's random
+    order, from a place drawn by md5 for (pair, row, round): ``m`` different
+    rows, a fresh draw in every pair and round. Ties go by md5 of both ids.
+    """
+    rows = stored(pair_rows(complete_rows(df.select(dataset_col, key, *DIST_COLS)), dataset_col, pairs=pairs), "pair-rows")
+    left = rows.where(F.col("side") == 0).select(*PAIR, F.col(key).alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in DIST_COLS])
+    right = rows.where(F.col("side") == 1).select(*PAIR, F.col(key).alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in DIST_COLS])
+    totals = stored(left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_left")), "totals")
+    distance = mean_abs_distance([f"l_{c}" for c in DIST_COLS], [f"r_{c}" for c in DIST_COLS])
+    matched, rnd = None, 0
+    while True:
+        active = _active(left, right)
+        if active.isEmpty():
             break
-        lft, rgt = left.join(act, PAIR), right.join(act, PAIR)
-        ranked = group_index(rgt.withColumn("_h", hash_order("r_id", f"{seed}:{rnd}")), PAIR, ["_h", "r_id"], "rk")
-        sizes = broadcast_if_small(ranked.groupBy(*PAIR).agg(F.max("rk").alias("n_free")))
-        draws = (lft.join(sizes, PAIR)
-                 .withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(m))))
-                 .withColumn("rk", (F.floor(hash_uniform(F.concat(F.col("l_id").cast("string"), F.lit(":"),
-                                                                   F.col("_j").cast("string")), f"{seed}:{rnd}")
-                                            * F.col("n_free")) + F.lit(1)).cast("long")))
-        cand = draws.join(ranked.drop("_h"), [*PAIR, "rk"])
-        dist = mean_abs_distance([f"l_{c}" for c in DIST_COLS], [f"r_{c}" for c in DIST_COLS])
-        tie = F.xxhash64("l_id", "r_id", F.lit(seed + rnd))
-        choice = (cand.select(*PAIR, "l_id", F.struct(dist.alias("d"), tie.alias("t"), F.col("r_id").alias("r"))
-                              .alias("e"))
-                  .groupBy(*PAIR, "l_id").agg(F.min("e").alias("e"))
-                  .select(*PAIR, "l_id", F.col("e.d").alias("distance"), F.col("e.t").alias("t"),
-                          F.col("e.r").alias("r_id")))
-        acc = (choice.groupBy(*PAIR, "r_id")
-               .agg(F.min(F.struct("distance", "t", "l_id")).alias("e"))
-               .select(*PAIR, "r_id", F.col("e.l_id").alias("l_id"), F.col("e.distance").alias("distance"))
-               ).checkpoint()
-        got = acc.select(*PAIR, "distance")
-        matched = got if matched is None else matched.unionByName(got)
-        left = left.join(acc.select(*PAIR, "l_id"), [*PAIR, "l_id"], "left_anti").checkpoint()
-        right = right.join(acc.select(*PAIR, "r_id"), [*PAIR, "r_id"], "left_anti").checkpoint()
-        matched = matched.checkpoint()
+        tag = f"{seed}:{rnd}"
+        ranked = group_index(right.join(active, PAIR).withColumn("_h", hash_order("r_id", tag)), PAIR, ["_h", "r_id"], "rk")
+        ranked = ranked.drop("_h")
+        sizes = stored(ranked.groupBy(*PAIR).agg(F.max("rk").alias("n_free")), "free")
+        start = F.floor(hash_uniform(F.concat_ws(":", *PAIR, "l_id"), tag) * F.col("n_free"))
+        place = F.explode(F.sequence(F.lit(0), F.least(F.lit(m), F.col("n_free").cast("int")) - 1))
+        draws = (left.join(sizes, PAIR).withColumn("_j", place)
+                 .withColumn("rk", ((start + F.col("_j")) % F.col("n_free") + 1).cast("long")))
+        tie = F.md5(F.concat_ws(":", "l_id", "r_id", F.lit(tag)))
+        choice = (draws.join(ranked, [*PAIR, "rk"])
+                  .groupBy(*PAIR, "l_id").agg(F.min(F.struct(distance.alias("d"), tie.alias("t"), F.col("r_id").alias("r"))).alias("e")))
+        acc = stored(choice.groupBy(*PAIR, F.col("e.r").alias("r_id"))
+                     .agg(F.min(F.struct(F.col("e.d").alias("d"), F.col("e.t").alias("t"), "l_id")).alias("a"))
+                     .select(*PAIR, "a.l_id", "r_id", F.col("a.d").alias("distance")), "round")
+        matched = acc if matched is None else matched.unionByName(acc)
+        left = stored(left.join(acc.select(*PAIR, "l_id"), [*PAIR, "l_id"], "left_anti"), "left")
+        right = stored(right.join(acc.select(*PAIR, "r_id"), [*PAIR, "r_id"], "left_anti"), "right")
+        rnd += 1
     if matched is None:
-        matched = left.limit(0).select(*PAIR, F.lit(0.0).alias("distance"))
-    summary = distance_summary(matched)
-    return (totals.join(summary, PAIR, "left")
-            .select(*PAIR, F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "avg_distance", "min_distance",
-                    "max_distance", "zero_dist_percent", "distance_sum", "n_nonzero",
-                    (F.col("n_left") - F.coalesce("n_matched", F.lit(0))).cast("long").alias("n_unmatched")))
+        matched = rows.limit(0).select(*PAIR, F.col(key).alias("l_id"), F.col(key).alias("r_id"), F.lit(0.0).alias("distance"))
+    return matched, totals
+
+
+def match_sampled(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10,
+                  seed: int = 100, pairs: Sequence[tuple] | None = None) -> DataFrame:
+    """Sampled greedy one-to-one matching per pair (``m`` free candidates per left row per round)."""
+    matched, totals = sampled_matches(df, key, dataset_col, m, seed, pairs)
+    return with_incomplete(_with_unmatched(matched, totals, None), df, dataset_col=dataset_col)

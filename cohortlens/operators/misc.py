@@ -18,8 +18,3 @@ def register_views(spark: SparkSession, views: Mapping[str, DataFrame]) -> list[
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return list(views)
-
-
-def sql(spark: SparkSession, text: str, **args) -> DataFrame:
-    """Parameterised SQL (named markers ``:name``), no string formatting of values."""
-    return spark.sql(text, args=args or None)

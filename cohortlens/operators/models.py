@@ -2,7 +2,6 @@
 
 Fits are MLlib jobs (distributed); the only driver-side loop is over folds,
 which is inherent (one model per fold) and runs on a bounded thread pool.
-Predictions of all folds are unioned and scored by one grouped aggregate.
 """
 
 from __future__ import annotations
@@ -16,7 +15,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.evaluation import binary_metrics, confusion_counts, index_label, label_mapping
+from cohortlens.operators.evaluation import binary_metrics, confusion_counts, index_label, rank_classes
+from cohortlens.session import stored
 
 # The reference's model settings.
 FOREST_FOLDS = dict(numTrees=50, maxDepth=8, maxBins=100, impurity="gini", featureSubsetStrategy="auto", seed=5043)
@@ -55,40 +55,42 @@ def importance_table(spark: SparkSession, model, features: Sequence[str], tag: i
     return df.orderBy(F.desc("importance"), F.asc("feature"))
 
 
+FOLD_COUNTS = "num long, tp long, tn long, fp long, fn long, n long"
+
+
 def evaluate_folds(blocked: DataFrame, features: Sequence[str], outcome: str = "DOA", kind: str = "forest",
                    params: dict | None = None, block_col: str = "block", evaluate_on: str = "test",
-                   max_parallel: int = 4) -> DataFrame:
+                   max_parallel: int = 4, folds: Sequence[int] | None = None) -> DataFrame:
     """Leave-one-block-out evaluation: one row per full block ``num, accuracy, precision, recall, f1``.
 
     For fold i the model is fitted on every other row (tail included) with
     a label index fitted on those training rows, and scored on block i
     (``evaluate_on="train"`` scores the training rows, as the reference's
-    code path does). Needs at least two blocks; otherwise the result is empty.
+    code path does). ``folds`` limits the work to some blocks: there is a fit
+    for each. Needs at least two blocks; otherwise the result is empty.
+    A fold's five counts are kept as it finishes, so the plan does not grow.
     """
     spark = blocked.sparkSession
-    # Blocks are numbered 0..n_full-1, so one scalar gives the fold list.
-    last = blocked.where(~F.col("is_tail")).agg(F.max(block_col)).first()[0]
+    # Class counts of every block, once; a fold's training counts are those of the other blocks.
+    classes = stored(blocked.groupBy(block_col, "is_tail", outcome).agg(F.count(F.lit(1)).alias("_cl_n")), "classes")
+    last = classes.where(~F.col("is_tail")).agg(F.max(block_col)).first()[0]
     full = list(range(int(last) + 1)) if last is not None else []
     if len(full) < 2:
-        schema = "num long, tp long, tn long, fp long, fn long, n long, accuracy double, precision double, " \
-                 "recall double, f1 double"
-        return spark.createDataFrame([], schema)
+        return binary_metrics(spark.createDataFrame([], FOLD_COUNTS))
 
-    def one(i: int) -> DataFrame:
+    def one(i: int) -> tuple:
         train = blocked.where(F.col(block_col) != i)
         test = blocked.where(F.col(block_col) == i)
-        mapping = label_mapping(train, outcome, "label")
+        mapping = rank_classes(classes.where(F.col(block_col) != i).groupBy(outcome).agg(F.sum("_cl_n").alias("n")), outcome, "label")
         model = fit_model(index_label(train, outcome, "label", mapping), features, kind, params)
         scored_on = test if evaluate_on == "test" else train
-        pred = model.transform(index_label(scored_on, outcome, "label", mapping))
-        return pred.select(F.lit(i).cast("long").alias("num"), "label", "prediction")
+        got = confusion_counts(model.transform(index_label(scored_on, outcome, "label", mapping))).first()
+        return (i, *(got[c] for c in ("tp", "tn", "fp", "fn", "n")))
 
-    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(full)))) as pool:
-        parts = list(pool.map(one, full))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return binary_metrics(confusion_counts(union, by=["num"]))
+    wanted = full if folds is None else [i for i in full if i in set(folds)]
+    with ThreadPoolExecutor(max_workers=max(1, min(max_parallel, len(wanted) or 1))) as pool:
+        rows = list(pool.map(one, wanted))
+    return binary_metrics(spark.createDataFrame(rows, FOLD_COUNTS))
 
 
 def evaluate_holdout(df: DataFrame, features: Sequence[str], outcome: str = "DOA", key: str | None = None,

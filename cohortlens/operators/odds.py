@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranking import running_total
+from cohortlens.session import stored
 
 CELLS = ["dead_low", "dead_high", "alive_low", "alive_high"]
 
@@ -64,16 +65,16 @@ def threshold_odds_scan(df: DataFrame, order_col: str = "index", outcome: str =
     """Odds ratio of outcome vs. "row lies below threshold t" for t = step, 2*step, ... < n.
 
     ``order_col`` must be a dense 1-based row number. Rows are aggregated per
-    step-block first (map-side), block counts are prefix-summed with a
-    two-level running total, and table totals come from scalar subqueries.
+    step-block first (map-side) and stored, block counts are prefix-summed by
+    levels, and the totals are sums of the blocks: the input is read once.
     Output: threshold, alive_below, dead_above, dead_below, alive_above, odds_ratio.
     """
-    blocks = (df.select(
+    blocks = stored(df.select(
         (F.floor((F.col(order_col) - F.lit(1)) / F.lit(step)) + F.lit(1)).cast("long").alias("block"),
         F.when(F.col(outcome) == F.lit(alive), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("alive"))
-        .groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("alive").alias("alive")))
-    total_rows = df.select(F.count(F.lit(1))).scalar()
-    total_alive = df.select(F.count_if(F.col(outcome) == F.lit(alive))).scalar()
+        .groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum("alive").alias("alive")), "scan-blocks")
+    total_rows = blocks.select(F.sum("rows")).scalar()
+    total_alive = blocks.select(F.sum("alive")).scalar()
     cum = running_total(blocks, "block", ["rows", "alive"])
     t = (F.col("block") * F.lit(step)).cast("long")
     alive_below = F.col("alive_cum")

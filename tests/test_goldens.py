@@ -54,6 +54,18 @@ def test_expected_cells_or_one_and_complex(spark):
     assert 0 <= got[2]["dead_low"] <= 1
 
 
+def test_expected_cells_without_a_solution(spark):
+    rows = [(1, 100, 20, 80, 30, 70, None, "no odds ratio"), (2, 100, 20, 80, 50, 50, -1.0, "negative odds ratio"),
+            (3, 100, 20, 80, None, 70, 2.0, "missing marginal"), (4, 100, 90, 10, 5, 20, 2.0, "infeasible marginals"),
+            # The discriminant is negative only where more rows are dead than there are.
+            (5, 30, 50, -20, 50, 50, 2.0, "complex roots")]
+    cfg = spark.createDataFrame([r[:-1] for r in rows], "i int, n long, dead long, alive long, low long, high long, odds_ratio double")
+    assert (50 + 20 - 2 * 50 - 2 * 50) ** 2 - 4 * 1 * 2 * 50 * 50 < 0
+    for r in expected_cells(cfg).collect():
+        assert r["reason"] == rows[r["i"] - 1][-1]
+        assert r["dead_low"] is r["dead_high"] is r["alive_low"] is r["alive_high"] is r["realised_or"] is None
+
+
 def test_threshold_scan_golden(spark):
     """Blocks of 1,000 with death rates .1 ... .99: the odds ratios are exact whatever the seed."""
     skel = spark.range(1, 10001).select(F.col("id"), F.col("id").alias("index"))

@@ -141,18 +141,49 @@ def test_exact_sample_sizes_and_determinism(spark):
     assert sorted(r["id"] for r in a.collect()) == sorted(r["id"] for r in b.collect())
 
 
-def test_rebalance_modes(spark):
+def test_rebalance_draws_with_replacement(spark):
+    import math
+    from collections import Counter
+
     from cohortlens.operators.sampling import rebalance
-    df = spark.range(0, 2000).select("id", (F.col("id") % 3 != 0).cast("double").alias("DOA"))
-    h = rebalance(df, "DOA", 1.5, 1, "id")
-    n0 = df.where("DOA = 0").count()
-    n1 = df.where("DOA = 1").count()
-    got = h.groupBy("DOA").count().collect()
-    counts = {r["DOA"]: r["count"] for r in got}
-    assert counts[0.0] == n0
-    assert n1 <= counts[1.0] <= 2 * n1
-    p = rebalance(df, "DOA", 0.3, 2, "id", method="poisson")
-    assert p.where("DOA = 0").count() == n0
+    df = spark.range(0, 20000).select("id", (F.col("id") % 2 != 0).cast("double").alias("DOA"))
+    for ratio in (0.3, 1.5):
+        got = rebalance(df, "DOA", ratio, 1, "id")
+        assert got.where("DOA = 0").count() == 10000
+        times = Counter(r["id"] for r in got.where("DOA = 1").collect())
+        # Poisson counts: mean, and the share of rows drawn more than once.
+        assert sum(times.values()) / 10000 == pytest.approx(ratio, rel=0.06)
+        many = 1 - math.exp(-ratio) * (1 + ratio)
+        assert sum(n > 1 for n in times.values()) / 10000 == pytest.approx(many, rel=0.2)
+
+
+def test_quota_cuts_equal_ranks(spark):
+    from cohortlens.operators.synthesis import assign_outcome, quota_assign
+    from cohortlens.functions.hashing import hash_order
+    df = spark.range(0, 4000).select(F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.lit(2)).alias("s"), "id")
+    quotas = spark.createDataFrame([(1, 0), (2, 10 ** 9)], "s int, dead long")
+    got = {r["s"]: (r["d"], r["n"]) for r in assign_outcome(df, quotas, ["s"]).groupBy("s").agg(
+        F.count_if(F.col("DOA") == 0).alias("d"), F.count("*").alias("n")).collect()}
+    assert got == {1: (0, 1334), 2: (2666, 2666)}
+    quotas = spark.createDataFrame([(1, 7), (2, 100)], "s int, dead long")
+    dead = {r["id"] for r in assign_outcome(df, quotas, ["s"], seed=5).where("DOA = 0").collect()}
+    w = Window.partitionBy("s").orderBy(hash_order("id", 5), "id")
+    ranked = df.withColumn("r", F.row_number().over(w)).join(quotas, "s").where("r <= dead")
+    assert dead == {r["id"] for r in ranked.collect()}
+    cells = spark.createDataFrame([(1, "f", 2, 3, 10, 20), (2, "f", None, None, None, None)],
+                                  "s int, feature string, dead_low long, dead_high long, alive_low long, alive_high long")
+    out = quota_assign(assign_outcome(df, quotas, ["s"], seed=5), cells, ["f"], ["s"])
+    got = {(r["s"], r["DOA"], r["f"]): r["count"] for r in out.groupBy("s", "DOA", "f").count().collect()}
+    assert got == {(1, 0.0, 0.0): 2, (1, 0.0, 1.0): 3, (1, 0.0, None): 2, (1, 1.0, 0.0): 10, (1, 1.0, 1.0): 20,
+                   (1, 1.0, None): 1297, (2, 0.0, None): 100, (2, 1.0, None): 2566}
+
+
+def test_average_rank_without_partitions(spark):
+    from cohortlens.operators.ranking import average_rank
+    df = spark.range(0, 500).select("id", F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("v"))
+    got = {r["id"]: r["v_rank"] for r in average_rank(df, ["v"]).collect()}
+    want = average_rank(df.withColumn("p", F.lit(1)), ["v"], ["p"])
+    assert got == {r["id"]: r["v_rank"] for r in want.collect()}
 
 
 def test_read_cohorts_arity_and_junk(spark, tmp_path):
@@ -200,12 +231,100 @@ def test_match_sampled_one_to_one(spark):
         assert r["min_distance"] >= nn[(a, b)]["min_distance"] - 1e-9
 
 
-def test_match_exact_small(spark):
+def _greedy_by_rows(la, lb):
+    """Sorted-edge greedy over rows: edges by distance, then left pattern and value, then right."""
+    lo = min(r[2] for r in la + lb)
+    hi = max(r[2] for r in la + lb)
+    norm = lambda r: (r[2] - lo) / (hi - lo)
+    pat = lambda r: sum(int(r[k]) << (7 - k) for k in range(3, 8))
+    edges = sorted(((bin(pat(x) ^ pat(y)).count("1") + abs(norm(x) - norm(y))) / 6.0, pat(x), norm(x), pat(y), norm(y), i, j)
+                   for i, x in enumerate(la) for j, y in enumerate(lb))
+    used_l, used_r, out = set(), set(), []
+    for d, *_, i, j in edges:
+        if i not in used_l and j not in used_r:
+            used_l.add(i)
+            used_r.add(j)
+            out.append(d)
+    return out
+
+
+@pytest.mark.parametrize("task_edges", [4_000_000, 0])
+def test_match_exact_against_brute_force(spark, task_edges):
+    """Down the sorted edges in one task, and in mutual-best rounds: both are the greedy matching."""
     from cohortlens.operators.matching import match_exact
+    sizes = [(1, 25), (2, 20), (3, 14)]
+    df = _toy_cohort(spark, sizes)
+    rows = [tuple(r) for r in df.collect()]
+    got = {(r["ds_a"], r["ds_b"]): r for r in match_exact(df, max_task_edges=task_edges).collect()}
+    for a, b in itertools.combinations([1, 2, 3], 2):
+        want = _greedy_by_rows([r for r in rows if r[0] == a], [r for r in rows if r[0] == b])
+        r = got[(a, b)]
+        assert r["n_matched"] == len(want) and r["n_unmatched"] == dict(sizes)[a] - len(want)
+        assert r["distance_sum"] == pytest.approx(sum(want), abs=1e-6)
+        assert r["max_distance"] == pytest.approx(max(want), abs=1e-6)
+
+
+def test_missing_values_in_every_method(spark):
+    from cohortlens.operators.pairwise import METHODS
     df = _toy_cohort(spark, [(1, 12), (2, 10)])
-    r = match_exact(df).first()
-    assert r["n_matched"] == 10 and r["n_unmatched"] == 2
-    assert 0.0 <= r["min_distance"] <= r["avg_distance"] <= r["max_distance"] <= 1.0
+    gaps = (df.withColumn("PT", F.when(F.col("id") != 2003, F.col("PT"))).withColumn("Age", F.when(~F.col("id").isin(1001, 1002), F.col("Age"))))
+    whole = df.where(~F.col("id").isin(2003, 1001, 1002))
+    for name, fn in METHODS.items():
+        a, b = fn(gaps).first().asDict(), fn(whole).first().asDict()
+        assert a.pop("n_incomplete") == 3 and b.pop("n_incomplete") == 0, name
+        if name != "sampled":
+            assert a == b, name
+        assert a["n_matched"] == (10 if name == "nearest" else 9) and a["avg_distance"] is not None
+    empty = df.where("dataset_id = 1")
+    assert all(fn(empty).count() == 0 for fn in METHODS.values())
+
+
+def test_distance_summary_leaves_nulls_out(spark):
+    from cohortlens.operators.similarity import distance_summary
+    df = spark.createDataFrame([(1, 2, 0.2), (1, 2, None), (1, 2, 0.4), (1, 2, 0.0)], "ds_a int, ds_b int, distance double")
+    r = distance_summary(df).first()
+    assert (r["n_matched"], r["n_null"], r["avg_distance"], r["n_nonzero"]) == (3, 1, 0.2, 2)
+
+
+def test_minmax_and_pattern(spark):
+    from cohortlens.functions.columns import minmax_scale
+    from cohortlens.operators.similarity import collapse_cells
+    c = lambda v: F.lit(v).cast("double")
+    r = spark.range(1).select(minmax_scale(c(None), c(1), c(9)), minmax_scale(c(3), c(3), c(3)), minmax_scale(c(5), c(1), c(9))).first()
+    assert tuple(r) == (None, 0.0, 0.5)
+    df = _toy_cohort(spark, [(1, 3)]).withColumn("PT", F.lit(-1.0))
+    with pytest.raises(Exception, match="PT must be 0 or 1"):
+        collapse_cells(df).collect()
+
+
+def test_asof_crosses_buckets(spark):
+    from cohortlens.operators.similarity import asof_both
+    offers = [0.1, 0.1001, 0.5, 0.93]
+    asks = [i / 97 for i in range(98)]
+    rows = [(1, v, v) for v in offers] + [(1, v, None) for v in asks] + [(2, 0.3, None)]
+    got = asof_both(spark.createDataFrame(rows, "g int, v double, rv double"), ["g"]).where("rv is null").collect()
+    for r in got:
+        mine = offers if r["g"] == 1 else []
+        assert r["_prev"] == max((o for o in mine if o <= r["v"]), default=None)
+        assert r["_next"] == min((o for o in mine if o >= r["v"]), default=None)
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from cohortlens import session
+
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session)
 
 
 def test_parse_provenance_names(spark):
