@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, extract, langid, licences, neardup, packing, pii, quality, secrets, vectors
+from cohortlens.llm import bpe, extract, langid, licences, neardup, oracles, packing, pii, quality, secrets, vectors
 from cohortlens.llm.common import documents, read_table
 
 
@@ -68,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_licence_scan": licences.oracle()}
+    return oracles.oracle_sql()

@@ -264,17 +264,19 @@ def test_licences_cases(spark):
     assert licences.scan_licences(files.limit(0)).count() == 0
 
 
-def test_licence_oracle(spark):
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+def test_oracles(spark, name):
     import duckdb
 
     from tools.check_oracles import digest
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
-    res = con.execute(catalog.oracle_sql()["op3_licence_scan"])
-    df = catalog.op3_licence_scan(spark, SF001)
+    for t in ("documents", "labels", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
+    res = con.execute(catalog.oracle_sql()[name])
+    df = catalog.queries()[name](spark, SF001)
     rows = [tuple(r) for r in df.collect()]
-    assert digest(df.columns, rows)[0] == digest([d[0] for d in res.description], res.fetchall())[0]
+    assert rows and digest(df.columns, rows)[0] == digest([d[0] for d in res.description], res.fetchall())[0]
 
 
 def test_pipeline_against_brute_force(spark):
