@@ -42,5 +42,5 @@ def test_query_matches_oracle(spark, duck, name):
     res = duck.execute(ORACLES[name])
     o_cols, o_rows = [d[0] for d in res.description], res.fetchall()
     assert sorted(s_cols) == sorted(o_cols)
-    assert len(s_rows) == len(o_rows)
+    assert len(s_rows) == len(o_rows) > 0
     assert digest(s_cols, s_rows)[0] == digest(o_cols, o_rows)[0]
