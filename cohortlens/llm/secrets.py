@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import bounded_fraction, hash_fraction
 
-# The base rules.
+# The base rules. A run too short for the access or hex rule holds no later match either, so that their
+# lengths can stand in the patterns; an assignment with too short a value must still be consumed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-LONG_HEX = r"[0-9a-f]{24}"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 #: What the models see; letters count in small form.
@@ -45,8 +45,8 @@ def bigram_counts(strings: DataFrame) -> DataFrame:
 def labelled_samples(docs: DataFrame, max_docs: int) -> tuple[DataFrame, DataFrame]:
     """Random strings (values found by the base rules in any text) and identifiers (of about ``max_docs`` texts)."""
     values = F.concat(F.regexp_extract_all("text", F.lit(ASSIGN), 2), F.regexp_extract_all("text", F.lit(ACCESS), 0),
-                      F.regexp_extract_all("text", F.lit(LONG_HEX + "[0-9a-f]*"), 0))
-    secrets = (docs.where(F.col("text").rlike(f"{ASSIGN}|AKIA|{LONG_HEX}")).select(F.explode(values).alias("s"))
+                      F.regexp_extract_all("text", F.lit(HEX), 0))
+    secrets = (docs.where(F.col("text").rlike(f"{ASSIGN}|{ACCESS}|{HEX}")).select(F.explode(values).alias("s"))
                .where("length(s) >= 16 and s rlike '[0-9]'"))
     share = bounded_fraction(docs.select("doc_id"), max_docs)
     some = docs.where(hash_fraction(F.coalesce("doc_id", F.lit(-1)), share)) if share < 1 else docs
@@ -68,12 +68,17 @@ def train_ratios(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> list[int]:
     return [round(1e6 * (r - i)) for r, i in zip(*logs)]
 
 
-def _matches(kind: int, pattern: str, good: Column | str) -> str:
-    """SQL for the array of (kind, gap, size, good) of a rule's matches; ``good`` is SQL over ``m`` and ``i``."""
+def _matches(kind: int, pattern: str, good: str, value: int = 0) -> str:
+    """SQL for the array of (kind, nth, gap, size, good) of a rule's matches.
+
+    ``good`` is SQL over ``m.hit``, the match, and ``m.value``, the pattern's group ``value``. Gaps and matches are zipped,
+    so that each pattern runs over a text a fixed number of times.
+    """
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    hits = f"regexp_extract_all(text, '{quoted}', 0)"
-    return (f"transform({hits}, (m, i) -> named_struct('kind', {kind}, 'nth', i, "
-            f"'gap', cast(length(get(split(text, '{quoted}', -1), i)) as bigint), 'size', cast(length(m) as bigint), 'good', {good}))")
+    zipped = (f"arrays_zip(split(text, '{quoted}', -1), regexp_extract_all(text, '{quoted}', 0), "
+              f"regexp_extract_all(text, '{quoted}', {value}))")
+    return (f"transform(filter(transform({zipped}, z -> named_struct('gap', z.`0`, 'hit', z.`1`, 'value', z.`2`)), m -> m.hit is not null), (m, i) -> named_struct('kind', {kind}, 'nth', i, "
+            f"'gap', cast(length(m.gap) as bigint), 'size', cast(length(m.hit) as bigint), 'good', {good}))")
 
 
 def find_secrets(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_ratio: int = MIN_RATIO,
@@ -86,16 +91,14 @@ def find_secrets(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rati
     """
     docs = docs.select("doc_id", "text")
     ratios = train_ratios(docs, max_train_docs)
-    any_rule = f"{ASSIGN}|AKIA[A-Z0-9]{{16}}|{LONG_HEX}|{CANDIDATE}"
+    any_rule = f"{ASSIGN}|{ACCESS}|{HEX}|{CANDIDATE}"
     may = F.coalesce(F.col("text").rlike(any_rule), F.lit(False))
-    quoted = ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
     model = f"cast(split('{','.join(map(str, ratios))}', ',') as array<bigint>)"
-    code = lambda at: f"instr('{ALPHABET}', substring(lower(m), {at}, 1)) - 1"
-    ratio = (f"aggregate(sequence(1, length(m) - 1), 0L, (a, p) -> a + get({model}, "
+    code = lambda at: f"instr('{ALPHABET}', substring(lower(m.hit), {at}, 1)) - 1"
+    ratio = (f"aggregate(sequence(1, length(m.hit) - 1), 0L, (a, p) -> a + get({model}, "
              f"cast(({code('p')}) * {len(ALPHABET)} + {code('p + 1')} as int)))")
-    rules = [_matches(0, ASSIGN, f"length(get(regexp_extract_all(text, '{quoted}', 2), i)) >= 6"),
-             _matches(1, ACCESS, "length(m) >= 20"), _matches(2, HEX, "length(m) >= 24"),
-             _matches(3, CANDIDATE, f"{ratio} >= greatest({min_ratio}L, {min_ratio_per_step}L * (length(m) - 1))")]
+    rules = [_matches(0, ASSIGN, "length(m.value) >= 6", 2), _matches(1, ACCESS, "true"), _matches(2, HEX, "true"),
+             _matches(3, CANDIDATE, f"{ratio} >= greatest({min_ratio}L, {min_ratio_per_step}L * (length(m.hit) - 1))")]
     cells = (docs.where(may).withColumn("row", F.monotonically_increasing_id())
              .select("row", "doc_id", F.explode_outer(F.expr(f"concat({', '.join(rules)})")).alias("s"))
              .select("row", "doc_id", "s.*"))
