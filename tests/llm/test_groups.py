@@ -302,3 +302,22 @@ def test_pipeline_against_brute_force(spark):
         assert (tables[4][i] == t) == (not pii.scan(t, pii.anchors()))
     assert check_packing(list(tables[4].items()), steps[5].collect()) <= 1
     assert P.run(spark, SF001).count() == steps[5].count()
+
+
+def test_pipeline_stages_with_awkward_rows(spark):
+    """Nulls, empty and very long texts, repeated rows, clashing names and no rows at all, for every stage."""
+    import corpus_pipeline as P
+
+    docs = frame(spark, AWKWARD + [(8, "ein Text mit genug Wörtern, der für sich allein steht und bleiben darf")])
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") > 5, F.lit("de"))).withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length("text"))
+    kept = {"quality_rules": Counter([None, 8]), "language_id": Counter([None, 5, 6, 6, 7, 8]),
+            "near_dedup": Counter([None, 1, 2, 3, 5, 6, 7, 8]), "pii": Counter([None, 1, 2, 3, 5, 6, 6, 7, 8])}
+    for name, stage in P.STAGES:
+        out, none = stage(spark, docs, SF001), stage(spark, docs.limit(0), SF001)
+        assert none.count() == 0
+        if name == "packing":
+            rows = [(r.doc_id, r.text) for r in docs.collect()]
+            assert check_packing(rows, out.collect()) <= 1
+        else:
+            assert out.columns == none.columns == docs.columns
+            assert Counter(r.doc_id for r in out.collect()) == kept[name], name
