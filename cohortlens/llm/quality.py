@@ -30,7 +30,7 @@ class WordHashes(dict):
     def __missing__(self, word):
         from hashlib import md5
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = int(md5(word).hexdigest()[:15], 16)
         return h
