@@ -31,10 +31,11 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 CLOSED_BY_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("html body article main section div table td th ul ol dl aside nav footer header form blockquote figure details dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|nav|navbar|navigation|menu|breadcrumbs?|"
-                   r"footer|masthead|site-?header|notices?|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|login|share|sharing|"
-                   r"social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|pagination|pager|toolbar|widgets?|skip)"
+PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|aside|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
+                   r"footer|masthead|notices?|alerts?|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|login|share|sharing|"
+                   r"social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|feedback|pagination|pager|toolbar|topbar|widgets?|skip)"
                    r"(?=$|[\s_-])", re.I)
+PAGE_HEADERS = re.compile(r"(?:^|\s)(?:(?:site|top|global)[_-]?)?header(?=$|\s)", re.I)
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|"
                    r"<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
@@ -49,7 +50,8 @@ def is_boilerplate(name: str, attrs: str, inside: bool) -> bool:
         key, value = key.lower(), a or b or c
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and PARTS.search(value):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and (
+                PARTS.search(value) or not inside and PAGE_HEADERS.search(value)):
             return True
     return False
 

@@ -184,6 +184,8 @@ def test_extraction_against_the_article_element(spark):
     ("<div class=content><p>" + "long words " * 20 + "<div class='ad'>buy</div><p>end &lt;b&gt; &#233;&nbsp;x</div>"
      "<div id=comments><p>" + "I think so " * 20 + "</div>", ("long words " * 20).strip() + "\n\nend <b> é x"),
     ("<article><header><h1>Title</h1></header><p>One.<p>Two <i>th</i>ree<aside>no</aside></article><p>" + "outside " * 30, "Title\n\nOne.\n\nTwo three"),
+    ("<div id='header'>Site name</div><div class='entry-header'><h1>Title</h1></div><p>" + "text " * 30 + "<div class='site-alert'>" + "note " * 30,
+     "Title\n\n" + ("text " * 30).strip()),
     ("<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>" + "text " * 30 + "</body>", ("text " * 30).strip()),
 ])
 def test_extraction_cases(html, text):
