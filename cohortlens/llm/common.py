@@ -82,6 +82,27 @@ def bounded_fraction(df: DataFrame, bound: int) -> float:
     return 1.0 if n <= bound else bound / n
 
 
+BITMAP_BITS = 1 << 25
+
+
+def split_by_bitmap(df: DataFrame, key: Column, keys: DataFrame, bits: int = BITMAP_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ``keys``, rows whose key is surely not): a filter that needs no shuffle.
+
+    The keys' hashes set bits in a map of ``bits`` bits, broadcast as its non-zero words: at most ``bits`` / 64 rows,
+    whatever the size of the tables. An exact join of the first part follows; the map only spares the rest the shuffle.
+    A full map spares nothing and changes no result. A null key is surely not in ``keys``.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place(F.col(keys.columns[0]))
+    words = (keys.select(F.floor(at / 64).cast("long").alias("_word"), F.expr("1L").alias("_one"), (at % 64).cast("int").alias("_bit"))
+             .groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_bits")))
+    words = F.broadcast(materialise(words, "bitmap"))
+    mine = place(key)
+    hit = ((F.floor(mine / 64).cast("long") == F.col("_word"))
+           & (F.col("_bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (mine % 64).cast("int"))) != 0) & key.isNotNull())
+    return df.join(words, hit, "left_semi"), df.join(words, hit, "left_anti")
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) for every node of ``edges(src, dst)``; component = smallest node.
 

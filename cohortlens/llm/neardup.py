@@ -19,7 +19,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import connected_components, map_columns, materialise, per_task
+from cohortlens.llm.common import connected_components, map_columns, materialise, per_task, split_by_bitmap
 from cohortlens.llm.quality import WordHashes, hash_words
 
 SHINGLE = 5
@@ -123,7 +123,10 @@ def overlaps(bags: list):
         here[owner[a:b], col[a:b] - lo] = 1
         rows = np.flatnonzero(here.any(axis=1))
         part = here[rows]
-        total[np.ix_(rows, rows)] += part @ part.T
+        if len(rows) == m:
+            total += part @ part.T
+        else:
+            total[np.ix_(rows, rows)] += part @ part.T
     return total
 
 
@@ -131,15 +134,19 @@ def linked_roots(bags: list, similarity: Fraction):
     """For each bag the lowest index that links of ``similarity`` or more lead to; empty bags link with none."""
     import numpy as np
 
+    m = len(bags)
     sizes = np.array([int(c.sum()) for _, c in bags], np.int64)
     p, q = similarity.numerator, similarity.denominator
-    # overlap / (a + b - overlap) >= p / q, in whole numbers
-    near = (p + q) * overlaps(bags).astype(np.int64) >= p * (sizes[:, None] + sizes[None, :])
+    shared, near = overlaps(bags), np.zeros((m, m), bool)
+    slices = [slice(lo, lo + 256) for lo in range(0, m, 256)]
+    for s in slices:  # overlap / (a + b - overlap) >= p / q, in whole numbers, some rows at a time
+        near[s] = (p + q) * shared[s].astype(np.int64) >= p * (sizes[s, None] + sizes[None, :])
+    del shared
     near &= (sizes[:, None] > 0) & (sizes[None, :] > 0)
     np.fill_diagonal(near, True)
-    root = np.arange(len(bags))
+    root = np.arange(m)
     while True:
-        low = np.where(near, root[None, :], len(bags)).min(axis=1)
+        low = np.concatenate([np.where(near[s], root[None, :], m).min(axis=1) for s in slices]) if m else root
         low = low[low]
         if (low == root).all():
             return root
@@ -200,9 +207,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     blocks = (held.join(sets, "bucket").select("bucket", "text_key", own.alias("own"), other.alias("other"))
               .select("bucket", "text_key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")))
-    wanted = texts.join(held.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.col("first_id").alias("doc_id"))
-    bodies = (ids.where("text is not null")
-              .withColumn("text_key", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
+    wanted = materialise(texts.join(held.select("text_key").distinct(), "text_key", "left_semi")
+                         .select("text_key", F.col("first_id").alias("doc_id")), "wanted")
+    # Only texts that share a bucket are shuffled.
+    likely, _ = split_by_bitmap(ids.where("text is not null"), F.col("doc_id"), wanted.select("doc_id"))
+    bodies = (likely.withColumn("text_key", F.conv(F.substring(F.md5("text"), 1, 15), 16, 10).cast("long"))
               .join(wanted, ["text_key", "doc_id"]))
 
     def verify(table):
@@ -241,13 +250,14 @@ def drop_near_duplicates(docs: DataFrame, **params) -> DataFrame:
 
     The row that stays of a shared id is the one whose text comes first in order. Rows without an id all stay.
     """
-    verdict = near_duplicates(docs, **params).where("kept and doc_id is not null").select("doc_id").distinct()
-    verdict = materialise(verdict, "kept")
-    named = docs.where("doc_id is not null").join(verdict, "doc_id", "left_semi").select(docs.columns)
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id")
-    again = materialise(again, "shared-ids")
-    once = named.join(again, "doc_id", "left_anti").select(docs.columns)
-    rest = named.join(again, "doc_id", "left_semi").select(docs.columns)
+    named = docs.where("doc_id is not null")
+    verdict = near_duplicates(docs, **params).where("doc_id is not null").groupBy("doc_id").agg(
+        F.first("kept").alias("kept"), F.count("*").alias("rows"))
+    special = materialise(verdict.where("not kept or rows > 1"), "special")
+    # Rows of other ids, most of them, stay where they are; the rest meet the table of special ids.
+    likely, other = split_by_bitmap(named, F.col("doc_id"), special.select("doc_id"))
+    once = likely.join(special, "doc_id", "left_anti").select(docs.columns)
     order = F.struct(F.col("text").isNull(), F.col("text"), F.xxhash64(*[F.col(c) for c in docs.columns]))
-    one = rest.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*")
-    return once.unionByName(one).unionByName(docs.where("doc_id is null"))
+    one = (likely.join(special.where("kept"), "doc_id", "left_semi").groupBy("doc_id")
+           .agg(F.min_by(F.struct(*docs.columns), order).alias("_row")).select("_row.*"))
+    return other.unionByName(once).unionByName(one).unionByName(docs.where("doc_id is null"))
