@@ -111,7 +111,8 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     has changed. All state is in written tables; the driver sees one count a
     round. Nulls and self-links add nothing.
     """
-    links = edges.where("src is not null and dst is not null and src <> dst")
+    # One realisation of the edges: both directions must come from the same.
+    links = materialise(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), f"{name}-edges")
     links = materialise(links.select("src", "dst").union(links.select("dst", "src")).distinct(), f"{name}-links")
     labels = materialise(links.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")),
                          f"{name}-labels")

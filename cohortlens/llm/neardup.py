@@ -219,6 +219,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
         known, seen = WordHashes(), set()
         doc_ids, bags = [], []
+        # Rows arrive in any order; in order of ids, a component's root is its smallest id.
+        table = table.sort_by([("doc_id", "ascending"), ("text_key", "ascending")])
         for key, doc_id, text in zip(*(table.column(c).to_pylist() for c in ("text_key", "doc_id", "text"))):
             if key not in seen:  # a repeated row
                 seen.add(key)

@@ -93,6 +93,22 @@ def test_near_duplicate_cases(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_components_of_edges_that_differ_in_each_evaluation(spark):
+    """Edges may come out of a shuffle in another order, and so with other roots, each time they are computed."""
+    from cohortlens.llm.common import connected_components, map_columns
+
+    def step(rows):
+        import random
+
+        flip = [random.random() < 0.5 for _ in rows["id"]]
+        a = [x if x % 50 == 0 else x - 1 for x in rows["id"]]
+        return {"src": [y if f else x for x, y, f in zip(rows["id"], a, flip)], "dst": [x if f else y for x, y, f in zip(rows["id"], a, flip)]}
+
+    edges = map_columns(spark.range(1000), step, "src long, dst long")
+    got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
+    assert got == {i: i // 50 * 50 for i in range(1000)}
+
+
 def test_linked_roots_thresholds_are_inclusive():
     known = neardup.WordHashes()
     a, b = (neardup.bag(" ".join(map(str, range(n))), known) for n in (12, 14))  # 8 shingles of 10: exactly 0.8
