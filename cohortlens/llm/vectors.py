@@ -239,6 +239,7 @@ def build_graph(nodes: DataFrame, model, block_nodes: int, degree: int) -> tuple
     def build(table):
         import pyarrow as pa
 
+        table = table.sort_by([("key", "ascending")])  # the same graph in whatever order the rows arrive
         keys = table.column("key").to_pylist()
         lists = robust_prune(matrix(table.column("vec").to_pylist()), degree)
         return pa.table({"key": pa.array(keys, pa.int64()), "near": pa.array([[keys[j] for j in a] for a in lists], pa.list_(pa.int64()))})
@@ -275,6 +276,7 @@ def search_graph(graph: DataFrame, sizes: DataFrame, nodes: DataFrame, model, pr
         import pyarrow as pa
 
         found_rows = {"key": [], "links": [], "src": [], "dst": []}
+        left, right = left.sort_by([("key", "ascending")]), right.sort_by([("key", "ascending")])
         if left.num_rows and right.num_rows:
             keys = left.column("key").to_pylist()
             place = {k: i for i, k in enumerate(keys)}
