@@ -21,7 +21,7 @@ MAX_TRAIN_DOCS = 40_000
 FOLDS = 5
 UNKNOWN = "und"
 SLOTS = 512
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 19
 
 
 def letter_vectors(dimensions: int, seed: int = 7):
