@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one for each block of the page. A line counts with the length of its text, or with
 nothing when it stands in a menu, header, footer, sidebar, notice, advert, form or among reader comments, or, outside
-an article element, is mostly links. The lengths are summed over sliding windows of lines. Text surges where a
+an article element, is mostly links. A part known by its class or id alone, or a form, must not hold most of the page's
+text or its largest article. The lengths are summed over sliding windows of lines. Text surges where a
 window's sum leaves zero and dives where it comes back to zero; the counting lines of a region between a surge and a
 dive are kept when its sums reach the threshold. Where a page marks its article, regions in it are kept whatever their
 height, and all others are dropped.
@@ -24,17 +25,23 @@ MIN_SURGE = 80
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe svg math object select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form button menu dialog header fieldset".split())
+BOILERPLATE = frozenset("nav footer aside button menu dialog header".split())
+FORMS = frozenset("form fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
                    "th thead tr ul".split())
 CLOSED_BY_SELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = frozenset("html body article main section div table td th ul ol dl aside nav footer header form blockquote figure details dialog".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-PARTS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|aside|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
-                   r"footer|masthead|notices?|alerts?|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|login|share|sharing|"
-                   r"social|related|recommend\w*|comments?|commentlist|disqus|respond|replies|feedback|pagination|pager|toolbar|topbar|widgets?|skip)"
-                   r"(?=$|[\s_-])", re.I)
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+WORDS = (r"(?:ads?|advert[a-z]*|adsense|banner|sponsor[a-z]*|promo[a-z]*|side-?bar|aside|nav|navbar|navigation|menu|menubar|breadcrumbs?|"
+         r"footer|masthead|notices?|alerts?|cookies?|consent|gdpr|popup|modal|newsletter|subscri[a-z]+|signup|login|share|sharing|"
+         r"social|related|recommend[a-z]*|comments?|commentlist|disqus|respond|replies|feedback|pagination|pager|toolbar|topbar|widgets?|skip)")
+PLACES = (r"(?:site|page|post|entry|main|global|top|bottom|left|right|primary|secondary|area|section|list|box|container|wrapper|wrap|block|"
+          r"bar|links?|buttons?|icons?|items?|inner|group|panel|slot|thread|message|[0-9]+)")
+#: A whole class or id of such words: "has-sidebar" or "post-with-comments" name a layout, not a part.
+PARTS = re.compile(rf"(?:{PLACES}[_-])*{WORDS}(?:[_-](?:{WORDS}|{PLACES}))*", re.I)
+#: Parts that may well be longer than the text they belong to, or hold article elements of their own.
+LISTS = re.compile(r"comment|disqus|respond|replies|feedback|related|recommend", re.I)
 PAGE_HEADERS = re.compile(r"(?:^|\s)(?:(?:site|top|global)[_-]?)?header(?=$|\s)", re.I)
 
 TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|"
@@ -42,40 +49,83 @@ TOKEN = re.compile(r"<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
-def is_boilerplate(name: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds no main text; an article's own header does."""
+SURE, LIKELY, LIST = 3, 2, 1
+
+
+def boilerplate(name: str, attrs: str, inside: bool) -> int:
+    """SURE if an element holds no main text, LIKELY or LIST if its name says so, else 0; an article's own header does hold text."""
     if name in BOILERPLATE and not (name == "header" and inside):
-        return True
+        return SURE
+    found = LIKELY if name in FORMS else 0
     for key, a, b, c in ATTRIBUTE.findall(attrs) if attrs and not attrs.isspace() else ():
         key, value = key.lower(), a or b or c
         if key == "role" and value.lower() in ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and (
-                PARTS.search(value) or not inside and PAGE_HEADERS.search(value)):
-            return True
-    return False
-
-
-def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, in boilerplate, in the article) of each line of the page that has text."""
-    lines: list[tuple[str, int, bool, bool]] = []
+            return SURE
+        if key == "role" and value.lower() == "form":
+            found = found or LIKELY
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            hits = [x for x in value.split() if PARTS.fullmatch(x)]
+            if any(LISTS.search(x) for x in hits):
+                found = found or LIST
+            elif hits or not inside and PAGE_HEADERS.search(value):
+                found = found or LIKELY
+    return found
+
+
+def in_parts(lines: list[tuple[str, int, bool, int, int]], marks: list[tuple[int, int]], homes: list[int]) -> list[bool]:
+    """Whether the text of each likely part counts as boilerplate, by what the part holds.
+
+    A part that holds most of the page's text or its largest article is none, unless it is a list (comments, related
+    pages) beside which enough text stands and whose article is not most of the page's. ``marks`` has (part around, kind)
+    of each part and ``homes`` the part around each article; both are numbered from 1.
+    """
+    held, articles, total = [0] * (len(marks) + 1), [0] * (len(homes) + 1), 0
+    for text, linked, sure, mark, article in lines:
+        if not sure:
+            own = max(0, len(text) - linked)
+            total += own
+            held[mark] += own
+            articles[article] += own
+    articles[0] = -1
+    best = max(range(len(articles)), key=articles.__getitem__)
+    for i in range(len(marks), 0, -1):
+        held[marks[i - 1][0]] += held[i]
+    holds, at = set(), homes[best - 1] if best else 0
+    while at:
+        holds.add(at)
+        at = marks[at - 1][0]
+    counts = [False]
+    for i, (around, kind) in enumerate(marks, 1):
+        whole = (2 * held[i] > total or i in holds) and (
+            kind != LIST or total - held[i] < MIN_SURGE or i in holds and 2 * articles[best] > total)
+        counts.append(counts[around] or not whole)
+    if all(sure or counts[mark] for _, _, sure, mark, _ in lines):
+        return [False] * len(counts)  # names alone do not empty a page
+    return counts
+
+
+def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters in links, in boilerplate, number of its article or 0) of each line of the page that has text."""
+    lines: list[tuple[str, int, bool, int, int]] = []
     words: list[str] = []
     link_chars = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+    stack: list[tuple[str, bool, int, int]] = []  # name, surely boilerplate, likely part, article
+    marks: list[tuple[int, int]] = []
+    homes: list[int] = []
     opened: Counter = Counter()  # how often a name stands in the stack
 
     def flush() -> None:
         nonlocal link_chars
         text = " ".join(unescape("".join(words)).split())
         if text:
-            lines.append((text, link_chars, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]))
+            lines.append((text, link_chars, *(stack[-1][1:] if stack else (False, 0, 0))))
         words.clear()
         link_chars = 0
 
     def close(at: int) -> None:
-        if any(n in BLOCKS for n, _, _ in stack[at:]):
+        if any(x[0] in BLOCKS for x in stack[at:]):
             flush()
-        opened.subtract(n for n, _, _ in stack[at:])
+        opened.subtract(x[0] for x in stack[at:])
         del stack[at:]
 
     at, last = 0, html.rfind(">") + 1
@@ -102,6 +152,8 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
                     if name in BLOCKS:
                         flush()
                 continue
+            if name in ("svg", "math") and m["attrs"].endswith("/"):
+                continue
             if name in RAW:
                 # Raw elements end at their own end tag, or with the head or page.
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
@@ -120,15 +172,22 @@ def page_lines(html: str) -> list[tuple[str, int, bool, bool]]:
             elif name == "br":
                 words.append(" ")
             if name not in VOID and not m["attrs"].endswith("/"):
-                around = stack[-1] if stack else ("", False, False)
-                inside = around[2] or name in ("article", "main") or bool(re.search(r"\brole\s*=\s*[\"']?(main|article)\b", m["attrs"], re.I))
-                stack.append((name, around[1] or is_boilerplate(name, m["attrs"], inside), inside))
+                _, sure, part, article = stack[-1] if stack else ("", False, 0, 0)
+                if not article and (name in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?(main|article)\b", m["attrs"], re.I)):
+                    homes.append(part)
+                    article = len(homes)
+                kind = 0 if sure else boilerplate(name, m["attrs"], bool(article))
+                if kind in (LIKELY, LIST):
+                    marks.append((part, kind))
+                    part = len(marks)
+                stack.append((name, sure or kind == SURE, part, article))
                 opened[name] += 1
     flush()
-    return lines
+    counts = in_parts(lines, marks, homes)
+    return [(text, linked, sure or counts[mark], article) for text, linked, sure, mark, article in lines]
 
 
-def main_lines(lines: list[tuple[str, int, bool, bool]], window: int = WINDOW, min_surge: int = MIN_SURGE) -> list[str]:
+def main_lines(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, min_surge: int = MIN_SURGE) -> list[str]:
     """The lines between surges and dives of the page's text."""
     marked = any(inside and not boiler for _, _, boiler, inside in lines)
     size = [0 if boiler or (marked and not inside) or (not marked and 2 * linked > len(text)) else len(text)

@@ -192,6 +192,30 @@ def test_extraction_cases(html, text):
     assert extract.extract_text(html) == text
 
 
+BODY = "".join(f"<p>Paragraph {i} tells the story of the page at some length.</p>" for i in range(6))
+STORY = "\n\n".join(f"Paragraph {i} tells the story of the page at some length." for i in range(6))
+
+
+@pytest.mark.parametrize("html,text", [
+    *[(f"<div class='{c}'>{BODY}</div><div class='sidebar-left'>aside</div>", STORY) for c in (
+        "content has-sidebar", "no-sidebar", "site cookie-consent", "post-with-comments", "layout with-menu")],
+    (f"<form id=aspnet>{BODY}</form>", STORY),
+    (f"<div class=sidebar><article>{BODY}</article></div><p>" + "other " * 90, STORY),
+    # A list of comments stays out, also when it is longer than the text or made of articles.
+    (f"<div>{BODY}</div><div id=comments>" + "<article><p>I disagree with all of it.</p></article>" * 30 + "</div>", STORY),
+    (f"<article>{BODY}</article><div class='cookie-consent'>We use cookies.</div>", STORY),
+    ("<p>before<svg viewBox='0 0 1 1'/></p><p>after<math/> all</p>", "before\n\nafter all"),
+    ("<p>x<svg><text>no</text></svg>y", "x y"),
+])
+def test_extraction_names_are_checked_by_what_they_hold(html, text):
+    assert extract.extract_text(html) == text
+
+
+@pytest.mark.parametrize("html", ["<div class=ad>x" * 20_000, "<div class='" + "ad-" * 30_000 + "!'>x", "<article>x" * 20_000])
+def test_extraction_of_nested_parts_is_linear(html):
+    test_extraction_is_linear(html)
+
+
 @pytest.mark.parametrize("html", ["<a " * 30_000, '<a "' * 30_000, "<" * 50_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" * 20_000 + "x"])
 def test_extraction_is_linear(html):
     import time
