@@ -5,8 +5,10 @@ nothing when it stands in a menu, header, footer, sidebar, notice, advert, form
 an article element, is mostly links. A part known by its class or id alone, or a form, must not hold most of the page's
 text or its largest article. The lengths are summed over sliding windows of lines. Text surges where a
 window's sum leaves zero and dives where it comes back to zero; the counting lines of a region between a surge and a
-dive are kept when its sums reach the threshold. Where a page marks its article, regions in it are kept whatever their
-height, and all others are dropped.
+dive are kept when its sums reach the threshold. Regions in article or main elements are compared with those beside
+them: while the highest window in them, times a weight, is not exceeded outside, they are the text, whole and whatever
+their height. Otherwise the threshold holds for all regions alike. The weight is low if there are several such elements,
+since these may be teasers.
 """
 
 from __future__ import annotations
@@ -21,6 +23,9 @@ from cohortlens.llm.common import map_columns
 
 WINDOW = 3
 MIN_SURGE = 80
+#: How much more a window counts in the only article of a page, and in one of several.
+ARTICLE_WEIGHT = 16
+ARTICLES_WEIGHT = 2
 
 # Element names of HTML by their part in a page.
 RAW = frozenset("script style noscript template textarea title iframe svg math object select head".split())
@@ -187,14 +192,10 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
     return [(text, linked, sure or counts[mark], article) for text, linked, sure, mark, article in lines]
 
 
-def main_lines(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, min_surge: int = MIN_SURGE) -> list[str]:
-    """The lines between surges and dives of the page's text."""
-    marked = any(inside and not boiler for _, _, boiler, inside in lines)
-    size = [0 if boiler or (marked and not inside) or (not marked and 2 * linked > len(text)) else len(text)
-            for text, linked, boiler, inside in lines]
+def regions(size: list[int], window: int) -> list[tuple[int, list[int]]]:
+    """(largest window sum, counting lines) of each stretch from a surge to a dive."""
     sums = [sum(size[i:i + window]) for i in range(len(size))]
-    kept: list[str] = []
-    regions: list[tuple[int, list[str]]] = []
+    found: list[tuple[int, list[int]]] = []
     i = 0
     while i < len(sums):
         if not sums[i]:
@@ -203,12 +204,28 @@ def main_lines(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, mi
         surge = i
         while i < len(sums) and sums[i]:
             i += 1
-        regions.append((max(sums[surge:i]), [lines[j][0] for j in range(surge, i) if size[j]]))
-    floor = 0 if marked else min(min_surge, max((height for height, _ in regions), default=0))
-    for height, texts in regions:
-        if height >= floor:
-            kept += texts
-    return kept
+        found.append((max(sums[surge:i]), [j for j in range(surge, i) if size[j]]))
+    return found
+
+
+def main_lines(lines: list[tuple[str, int, bool, int]], window: int = WINDOW, min_surge: int = MIN_SURGE,
+               weight: int = ARTICLE_WEIGHT, list_weight: int = ARTICLES_WEIGHT) -> list[str]:
+    """The lines between surges and dives of the page's text, in and outside its articles."""
+    articles = {article for _, _, boiler, article in lines if article and not boiler}
+    full = [0 if boiler else len(text) for text, _, boiler, _ in lines]
+    plain = [0 if 2 * linked > len(text) else n for n, (text, linked, _, _) in zip(full, lines)]
+    # The links of a single article belong to it; those of several may be headings of teasers.
+    inner = [n if lines[j][3] else 0 for j, n in enumerate(full if len(articles) == 1 else plain)]
+    outer = [0 if lines[j][3] else n for j, n in enumerate(plain)]
+    within, beside = regions(inner, window), regions(outer, window)
+    height = max((h for h, _ in within), default=0) * (weight if len(articles) == 1 else list_weight)
+    top = max((h for h, _ in beside), default=0)
+    if articles and top <= height:
+        return [lines[j][0] for j, n in enumerate(full) if n and lines[j][3]]
+    # No article, or one that the text beside it exceeds: both by the same floor.
+    found = within + beside
+    floor = min(min_surge, max((h for h, _ in found), default=0))
+    return [lines[j][0] for j in sorted(j for h, at in found if h >= floor for j in at)]
 
 
 def extract_text(html: str | None) -> str:

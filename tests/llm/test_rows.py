@@ -211,6 +211,19 @@ def test_extraction_names_are_checked_by_what_they_hold(html, text):
     assert extract.extract_text(html) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    # A body in a div is not lost to teasers, whether there are several or one.
+    (f"<div>{BODY * 3}</div>" + "<article><h2><a href=x>Another story</a></h2><p>Short.</p></article>" * 4, "\n\n".join([STORY] * 3)),
+    (f"<div>{BODY * 3}</div><nav>menu</nav><div>x</div><article>Read on.</article>", "\n\n".join([STORY] * 3)),
+    # Articles stay whole beside shorter text.
+    (f"<article>{BODY}<p>End.</p></article><div>Some more text beside the article of this page.</div>", STORY + "\n\nEnd."),
+    (f"<article>{BODY}</article><article><p>Second.</p></article><div>{BODY}</div>", STORY + "\n\nSecond."),
+])
+def test_extraction_compares_articles_with_text_beside_them(html, text):
+    got = extract.extract_text(html)
+    assert got.startswith(text) and len(got) < len(text) + 40
+
+
 @pytest.mark.parametrize("html", ["<div class=ad>x" * 20_000, "<div class='" + "ad-" * 30_000 + "!'>x", "<article>x" * 20_000])
 def test_extraction_of_nested_parts_is_linear(html):
     test_extraction_is_linear(html)
