@@ -1,6 +1,7 @@
 """Licence scans: TF-IDF cosine of licence statements to templates, then inheritance from the nearest directory.
 
-A file's candidates are its lines with a licence cue and, if there is such a line, its whole text (a licence file).
+A file's candidates are its lines with a licence cue and, if there is such a line, the runs of neighbouring lines (all
+comments, or none) and their paragraphs that hold one (a header), and its whole text (a licence file).
 Terms are weighted by their number and by the inverse document frequency over all files; terms that no template has
 weigh as the most common ones. A candidate states the template with the highest cosine, from a threshold on. A file
 without a statement inherits that of the nearest directory above it that holds a licence file: the first file directly
@@ -12,11 +13,22 @@ All steps are DataFrame functions: sparse vectors are rows (file, candidate, ter
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Short forms in which public licences are stated.
+NOTICE = ("This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published "
+          "by the Free Software Foundation, either version {2} of the License, or (at your option) any later version.")
+REST = (" This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+        "FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU "
+        "{1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>.")
+GNU = [("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"),
+       ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")]
+#: Whole licences, one file each.
+TEXTS = Path(__file__).parent / "licence_texts"
+
+# Short forms in which public licences are stated, headers and full texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -34,8 +46,25 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Proprietary", "All rights reserved."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in "
+                   "writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+                   "either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+            "the above copyright notice and this permission notice appear in all copies."),
+    *[(k, NOTICE.format(*x)) for k, *x in GNU],
+    *[(k, NOTICE.format(*x) + REST.format(*x)) for k, *x in GNU],
+    *[(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))],
 ]
-CUE = r"(?i)licen[sc]e|all rights reserved|public domain|permission is hereby granted|redistribut|spdx"
+CUE = r"(?i)licen[sc]e|all rights reserved|public domain|permission is hereby granted|permission to use|redistribut|spdx"
+#: The start of a comment line, runs of lines that have one or have none, and what parts the paragraphs of a run.
+MARK = r"[ \t]*+(?:#|//|--|;|%|/?\*)"
+RUN = rf"(?m)(?:^{MARK}[^\n]*+(?:\n|\z)){{2,}}+|(?:^(?!{MARK})[ \t]*+[^\s][^\n]*+(?:\n|\z)){{2,}}+"
+GAP = r"(?m)^[ \t]*+[#/*;%-]++[ \t\r]*+$"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 MIN_COSINE = 0.7
 
@@ -66,8 +95,12 @@ def stated_licences(files: DataFrame, min_cosine: float = MIN_COSINE) -> DataFra
     # As many rows as the templates have terms.
     unit = weighted.join(F.broadcast(norms), "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("norm")).alias("tw"))
 
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    parts = (files.where(F.col("text").rlike(CUE)).select("file_id", F.posexplode(F.concat(lines, F.array("text"))).alias("part", "body")))
+    cued = lambda x: x.rlike(CUE)
+    lines = F.filter(F.split("text", "\n"), cued)
+    runs = F.filter(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)), cued)
+    paragraphs = F.filter(F.flatten(F.transform(runs, lambda x: F.split(x, GAP))), cued)
+    parts = (files.where(F.col("text").rlike(CUE))
+             .select("file_id", F.posexplode(F.array_distinct(F.concat(lines, runs, paragraphs, F.array("text")))).alias("part", "body")))
     tf = (parts.select("file_id", "part", F.explode(terms_of("body")).alias("term"))
           .groupBy("file_id", "part", "term").agg(F.count("*").cast("double").alias("tf")))
     scored = tf.join(F.broadcast(vocabulary), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))

@@ -280,6 +280,26 @@ def test_licences_cases(spark):
     assert licences.scan_licences(files.limit(0)).count() == 0
 
 
+def test_licence_headers_and_whole_texts(spark):
+    code = "\n".join(f"value_{i} = compute(value_{i // 2}, {i})" for i in range(200))
+    notice = ("{0} This program is free software{3} you can redistribute it and/or modify\n{0} it under the terms of the GNU {1}General Public License as published by\n"
+              "{0} the Free Software Foundation, either version {2} of the License, or\n{0} (at your option) any later version.\n")
+    mpl = ("{0} This Source Code Form is subject to the terms of the Mozilla Public\n{0} License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+           "{0} file, You can obtain one at http://mozilla.org/MPL/2.0/.\n")
+    isc = licences.TEXTS.joinpath("ISC.txt").read_text()
+    cases = [("GPL-3.0", "# x.py\n# Copyright (C) 2020 Someone\n#\n" + notice.format("#", "", 3, ":") + code), ("MPL-2.0", mpl.format("//") + code),
+             ("MPL-2.0", "/* " + mpl.format(" *")[2:] + " */\n" + code), ("GPL-3.0", "/*\n" + notice.format("  ", "", 3, ":") + "*/\n" + code),
+             ("GPL-2.0", notice.format("", "", 2, ";")), ("AGPL-3.0", notice.format("", "Affero ", 3, ":")), ("GPL-3.0", notice.format("", "", 3, ":")),
+             ("ISC", "Copyright (c) 2020 Someone\n\n" + isc), ("ISC", "".join(f"// {x}\n" for x in isc.splitlines()) + code), (None, "# a\n" * 50_000 + "# licence plates\n")]
+    cases += [(p.stem, "Copyright 2020 Someone\n" + p.read_text()) for p in sorted(licences.TEXTS.glob("*.txt"))]
+    rows = [(i, f"/{i}/x", t) for i, (_, t) in enumerate(cases)] + [(1000, "/0/below/y", code)]
+    # Without other files no term would be rare.
+    rows += [(2000 + r.doc_id, f"/z{r.doc_id}/d", r.text) for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()]
+    by = {r.file_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "file_id long, path string, text string")).where("file_id < 2000").collect()}
+    assert [by[i].stated for i in range(len(cases))] == [k for k, _ in cases]
+    assert (by[1000].stated, by[1000].licence, by[1000].inherited_from) == (None, "GPL-3.0", "/0")
+
+
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_oracles(spark, name):
     import duckdb
