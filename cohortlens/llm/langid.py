@@ -22,6 +22,11 @@ FOLDS = 5
 UNKNOWN = "und"
 SLOTS = 512
 BLOCK_CHARS = 1 << 19
+#: A text is of an unlearned language below this part of the cosine that all but LOW of a language's training documents reach.
+FLOOR = 0.5
+LOW = 0.01
+#: Fewer training documents tell nothing of a language's cosines.
+MIN_FLOOR_DOCS = 8
 
 
 def letter_vectors(dimensions: int, seed: int = 7):
@@ -110,16 +115,23 @@ def held_out(id_col="doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
+def training_rows(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """About ``max_docs`` rows at most with an id, text and lang, picked by a hash of the id."""
+    rows = docs.where("lang is not null and text is not null and doc_id is not null")
+    share = bounded_fraction(rows.select("doc_id"), max_docs)
+    return rows.where(hash_fraction(F.col("doc_id"), share)) if share < 1 else rows
+
+
 def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, max_docs: int = MAX_TRAIN_DOCS) -> dict[str, list[int]]:
-    """Language -> prototype, from about ``max_docs`` rows at most with an id, text and lang, picked by a hash of the id.
+    """Language -> prototype, from the ``training_rows``.
 
     Each task bundles its own rows and emits one vector a language; Spark adds them. The driver receives languages x
     ``dimensions`` numbers.
     """
-    rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    share = bounded_fraction(rows.select("doc_id"), max_docs)
-    rows = rows.where(hash_fraction(F.col("doc_id"), share)) if share < 1 else rows
+    return prototypes_of(training_rows(docs, max_docs), dimensions)
 
+
+def prototypes_of(rows: DataFrame, dimensions: int) -> dict[str, list[int]]:
     @per_task
     def make():
         import numpy as np
@@ -199,14 +211,40 @@ def identify_language(docs: DataFrame, train: DataFrame | None = None, dimension
                        "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def cosine_floors(rows: DataFrame, model, dimensions: int) -> dict[str, float]:
+    """Language -> smallest cosine of a text in it, from the cosines of the training rows that are predicted rightly.
+
+    A language with few of them takes the lowest floor of the others, or 0. The driver receives a row a language.
+    """
+
+    @per_task
+    def make():
+        predict = predictor(model.value, dimensions)
+
+        def step(rows):
+            found, scores = predict(rows["text"])
+            mine = [(x, round(s, 3)) for x, s, lang in zip(found, scores, rows["lang"]) if x == lang]
+            return {"lang": [x for x, _ in mine], "score": [s for _, s in mine]}
+
+        return step
+
+    low = (map_columns(rows.select("text", "lang"), make, "lang string, score double").groupBy("lang")
+           .agg(F.count("*").alias("n"), F.percentile("score", F.lit(LOW)).alias("low")).collect())
+    floors = {r["lang"]: FLOOR * r["low"] for r in low if r["n"] >= MIN_FLOOR_DOCS}
+    least = min(floors.values(), default=0.0)
+    return {x: floors.get(x, least) for x in model.value}
+
+
 def language_filter(docs: DataFrame, min_score: float = 0.0, languages: list[str] | None = None,
                     dimensions: int = DIMENSIONS, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """The documents with a predicted language (in ``languages``, if given) and a score of ``min_score`` or more.
 
-    All columns stay as they are. Texts without a letter are rejected.
+    The score must also reach the language's floor (``cosine_floors``), so that texts in no learned language and random
+    letters are rejected, as are texts without a letter. All columns stay as they are.
     """
-    model = train_prototypes(docs.select("doc_id", "text", "lang").where(~held_out()), dimensions, max_train_docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = training_rows(docs.select("doc_id", "text", "lang").where(~held_out()), max_train_docs)
+    shared = docs.sparkSession.sparkContext.broadcast(prototypes_of(rows, dimensions))
+    floors = cosine_floors(rows, shared, dimensions)
 
     def keep(batches):
         import pyarrow as pa
@@ -216,7 +254,7 @@ def language_filter(docs: DataFrame, min_score: float = 0.0, languages: list[str
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, min(1024, batch.num_rows - lo))
                 found, scores = predict(part.column("text").to_pylist())
-                yield part.filter(pa.array([x != UNKNOWN and s >= min_score and (languages is None or x in languages)
+                yield part.filter(pa.array([x != UNKNOWN and s >= max(min_score, floors[x]) and (languages is None or x in languages)
                                             for x, s in zip(found, scores)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -357,3 +357,22 @@ def test_pipeline_stages_with_awkward_rows(spark):
         else:
             assert out.columns == none.columns == docs.columns
             assert Counter(r.doc_id for r in out.collect()) == kept[name], name
+
+
+def test_pipeline_rejects_unlearned_languages(spark):
+    """Random letters and texts in languages that no document is labelled with; the others stay."""
+    import corpus_pipeline as P
+
+    rng = random.Random(4)
+    planted = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(k)) for k in (100, 400, 2000, 9000) for _ in range(5)]
+    planted += [t * k for k in (1, 3, 10) for t in (
+        "to jest zupełnie inny język i nie ma go wśród wyuczonych bo pisze po polsku z wieloma znakami ",
+        "Это текст на русском языке, которого нет среди выученных, и потому его надо отбросить. ",
+        "tämä on suomenkielinen teksti jota ei ole opetettu mallille lainkaan ja siksi se pitäisi hylätä ")]
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    good = P.keep_good_quality(spark, docs, SF01)
+    new = spark.createDataFrame([(-1 - i, x) for i, x in enumerate(planted)], "doc_id long, text string")
+    kept = {r.doc_id for r in P.keep_known_language(spark, good.unionByName(new, allowMissingColumns=True), SF01).select("doc_id").collect()}
+    known = {r.doc_id for r in good.select("doc_id").collect()}
+    assert not {i for i in kept if i < 0}
+    assert len(kept & known) >= 0.995 * len(known)
