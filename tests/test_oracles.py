@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from tests.conftest import SF001
+from tests.conftest import SF001, SF01
 from tools.check_oracles import TABLES, digest
 
 ORACLES = E.oracle_sql()
@@ -44,3 +44,13 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(s_cols) == sorted(o_cols)
     assert len(s_rows) == len(o_rows) > 0
     assert digest(s_cols, s_rows)[0] == digest(o_cols, o_rows)[0]
+
+
+def test_whole_job_checks_leave_no_fold_or_pair_out(spark):
+    pairs = {tuple(r) for r in E.queries()["match_sampled_all"](spark, SF001).select("ds_a", "ds_b").collect()}
+    assert pairs == {(a, b) for a in range(1, 8) for b in range(a + 1, 8)}
+    near = E.queries()["pairwise_similarity_nearest_all"](spark, SF001)
+    assert {tuple(r) for r in near.select("File1", "File2").collect()} == pairs
+    rows = spark.read.parquet(f"{SF01}/lineitem.parquet").count()
+    folds = [r.num for r in E.queries()["fold_evaluation_all"](spark, SF01).select("num").collect()]
+    assert sorted(folds) == list(range(rows // 2500)) and len(folds) > 6
