@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import bpe, extract, langid, licences, neardup, oracles, packing, pii, quality, secrets, vectors
+from cohortlens.llm import bpe, extract, fim, langid, licences, neardup, oracles, packing, periodic, pii, quality, secrets, vectors, wordbpe
 from cohortlens.llm.common import documents, read_table
 
 
@@ -63,8 +63,24 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", F.col("span_list").alias("spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, lengths and digests of every document's fill-in-middle output and of the text restored from it."""
+    return fim.fim_digests(documents(spark, sf_dir))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's periodic runs, the longest one, and digest of the text without their repeats."""
+    return periodic.run_digests(documents(spark, sf_dir))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digest of every document's ids in the vocabulary with word ends, and digest of the text decoded from them."""
+    return wordbpe.word_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_licence_scan, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_html_extraction, op3_licence_scan, op4_bag_minhash, op5_secrets, op6_byte_bpe, op7_flat_graph, op8_packing, op9_language_id, op10_pii,
+                                   op11_fill_in_middle, op12_periodic_runs, op13_word_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

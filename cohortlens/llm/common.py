@@ -30,6 +30,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLICE_ROWS = 1024
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator:
+    """An Arrow batch in order, in slices of up to ``rows`` rows and, but for single rows above it, ``size`` bytes of text."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    upto = np.zeros(batch.num_rows + 1, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            upto[1:] += np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        hi = int(np.searchsorted(upto, upto[lo] + size, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + rows, batch.num_rows)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str) -> DataFrame:
     """Apply ``fn`` to each Arrow batch as a dict of Python lists; rows in, rows out.
 
@@ -52,10 +74,7 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
 
         step = fn() if factory else fn
         for batch in batches:
-            rows = batch.num_rows
-            # Long texts: some MB of text at a time, whatever the batch holds.
-            for lo in range(0, rows, 1024):
-                part = batch.slice(lo, min(1024, rows - lo))
+            for part in slices(batch):
                 out = step({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 if out and len(out[names[0]]):
                     yield record(out)

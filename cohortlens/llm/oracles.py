@@ -72,6 +72,22 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id
 FROM embeddings LEFT JOIN classes ON classes.node = vec_id LEFT JOIN degrees ON degrees.node = vec_id"""
 
 
+def fill_in_middle() -> str:
+    return r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+                      sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+             ('0x' || h[25:32])::BIGINT AS h4 FROM units),
+cuts AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+                     WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+parts AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:], '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_quality_rules": quality_rules(), "op3_licence_scan": licences.oracle(), "op4_bag_minhash": near_duplicates(),
-            "op7_flat_graph": flat_graph()}
+            "op7_flat_graph": flat_graph(), "op11_fill_in_middle": fill_in_middle()}
