@@ -6,13 +6,16 @@ looks only at ~10 randomly sampled remaining right rows (sampled greedy).
 Both are rebuilt as set-based steps over all pairs at once:
 
 * :func:`match_exact` - sorted-edge greedy matching on collapsed cells: edges
-  between left and right cells are taken by (distance, left cell, right cell),
+  between left and right cells are taken by (findings that differ, difference
+  in value, mask of those findings, direction, left cell), that is by distance,
   each for min(count left, count right) of the rows that are left. The order
   is total, so the result is unique (order-free, unlike the reference's
   collection order; see README). Pairs with few enough edges are matched by
-  one task each, straight down the sorted edges. Larger ones are matched in
-  mutual-best rounds: a cell pair that each choose the other is next among its
-  own edges, so that taking all such pairs at once gives the same result.
+  one task each. The cells of larger ones are dealt by ranges of values and
+  matched level by level (:mod:`greedy`): a task decides the edges that no
+  cell outside its range can touch, and what is left is dealt anew. The
+  result is the same, and a round settles all but the cells near the ranges'
+  ends, so that their number does not grow with the edges.
 * :func:`match_sampled` - candidate rounds on rows. Each round the
   remaining right rows get a fresh md5 permutation (distributed group
   index), every remaining left row looks at ``m`` different ones,
@@ -27,6 +30,7 @@ checkpointed every round (shared folder), so lineage stays short.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,80 +38,118 @@ from pyspark.sql import functions as F
 from cohortlens.functions.columns import mean_abs_distance
 from cohortlens.functions.hashing import hash_order, hash_uniform
 from cohortlens.operators.ranking import group_index
+from cohortlens.operators.greedy import LEVELS, match_pair
 from cohortlens.operators.similarity import (
-    BINARY, DIST_COLS, PAIR, asof_both, complete_rows, distance_summary, pair_cells, pair_rows, with_incomplete,
+    BINARY, DIST_COLS, PAIR, collapse_cells, complete_rows, dataset_pairs, distance_summary, joint_minmax, pair_rows, with_incomplete,
 )
-from cohortlens.session import stored
-
-N_PATTERNS = 1 << len(BINARY)
-#: Edges of a pair that one task sorts (some 100 MB); beyond it the pair is matched in rounds, with the same result.
-MAX_TASK_EDGES = 4_000_000
-
-
-def _greedy(left, right):
-    """Sorted-edge greedy matching of one pair's cells: pandas frames (p, v, n) -> (distance, m)."""
-    import numpy as np
-    import pandas as pd
-
-    left, right = (x.sort_values(["p", "v"]) for x in (left, right))
-    lp, rp = left["p"].to_numpy(np.int64), right["p"].to_numpy(np.int64)
-    ham = np.array([bin(i).count("1") for i in range(N_PATTERNS)], np.float64)[lp[:, None] ^ rp[None, :]]
-    dist = ((ham + np.abs(left["v"].to_numpy()[:, None] - right["v"].to_numpy()[None, :])) / 6.0).ravel()
-    free_l, free_r = left["n"].tolist(), right["n"].tolist()
-    todo, width = min(sum(free_l), sum(free_r)), len(free_r)
-    out: dict[float, int] = {}
-    # Cells are in order, so a stable sort orders ties by left cell, then right cell.
-    for e in np.argsort(dist, kind="stable").tolist():
-        if not todo:
-            break
-        i, j = divmod(e, width)
-        m = min(free_l[i], free_r[j])
-        if m:
-            free_l[i] -= m
-            free_r[j] -= m
-            todo -= m
-            out[dist[e]] = out.get(dist[e], 0) + m
-    return pd.DataFrame({"distance": list(out), "m": list(out.values())}, columns=["distance", "m"])
-
-
-def _match_in_tasks(left: DataFrame, right: DataFrame) -> DataFrame:
-    def one(key, lft, rgt):
+from cohortlens.session import drop_stored, stored
+
+#: Edges between the cells of a pair up to which one task matches it: some 30,000 cells a side.
+MAX_TASK_EDGES = 1_000_000_000
+#: Cells that one task of a larger pair holds.
+CHUNK_CELLS = 50_000
+
+
+def exact_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
+                pairs: Sequence[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pair, side, p, v, n) of every pair's cells, with their values as they are, and (pair, width) of the values' ranges."""
+    cells = stored(collapse_cells(df, dataset_col, value).withColumnRenamed("pattern", "p"), "cells")
+    mm = stored(joint_minmax(cells, dataset_pairs(cells, dataset_col, pairs), "v", dataset_col), "ranges")
+    left, right = (cells.join(mm, cells[dataset_col] == mm[ds]).select(*PAIR, F.lit(side).alias("side"), "p", F.col("v").cast("double").alias("v"), "n")
+                   for side, ds in enumerate(PAIR))
+    return left.unionByName(right), mm.select(*PAIR, (F.col("hi") - F.col("lo")).cast("double").alias("width"))
+
+
+def _pair_type(df: DataFrame) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{c} {kinds[c]}" for c in PAIR)
+
+
+def _match_in_tasks(cells: DataFrame) -> DataFrame:
+    """(pair, level, delta, m) of pairs that fit a task, each in one."""
+
+    def one(key, frame):
         import pandas as pd
 
-        if lft.empty or rgt.empty:
-            return pd.DataFrame(columns=[*PAIR, "distance", "m"])
-        out = _greedy(lft, rgt)
+        frame = frame.sort_values(["side", "p", "v"])
+        rows = match_pair(*(frame[c].tolist() for c in ("side", "p", "v", "n")))
+        out = pd.DataFrame(rows, columns=["level", "delta", "m"])
         for name, k in zip(PAIR, key):
             out.insert(0, name, k)
-        return out[[*PAIR, "distance", "m"]]
+        return out[[*PAIR, "level", "delta", "m"]]
 
-    kinds = dict(left.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in PAIR) + ", distance double, m long"
-    return left.groupBy(*PAIR).cogroup(right.groupBy(*PAIR)).applyInPandas(one, schema)
+    return cells.groupBy(*PAIR).applyInPandas(one, f"{_pair_type(cells)}, level int, delta double, m long")
 
 
-def _best_partner(src: DataFrame, dst: DataFrame, src_is_left: bool = True) -> DataFrame:
-    """Next ``dst`` cell of every ``src`` cell in the order of edges: (pair, sp, sv, dp, dv, distance)."""
-    sx = src.select(*PAIR, F.col("p").alias("sp"), F.col("v").alias("sv"),
-                    F.explode(F.sequence(F.lit(0), F.lit(N_PATTERNS - 1))).alias("p"))
-    items = (sx.select(*PAIR, "p", F.col("sv").alias("v"), "sp", "sv", F.lit(None).cast("double").alias("dv"))
-             .unionByName(dst.select(*PAIR, "p", "v", F.lit(None).cast("int").alias("sp"),
-                                     F.lit(None).cast("double").alias("sv"), F.col("v").alias("dv"))))
-    scanned = asof_both(items, [*PAIR, "p"], found="dv").where(F.col("sp").isNotNull())
-    cands = scanned.select(*PAIR, "sp", "sv", "p", F.explode(F.array("_prev", "_next")).alias("dv")).where("dv is not null")
-    ham = F.bit_count(F.col("sp").bitwiseXOR(F.col("p"))).cast("double")
-    dist = (ham + F.abs(F.col("sv") - F.col("dv"))) / F.lit(6.0)
-    best = (cands.select(*PAIR, "sp", "sv", F.struct(dist.alias("distance"), F.col("p").alias("dp"), "dv").alias("e"))
-            .groupBy(*PAIR, "sp", "sv").agg(F.min("e").alias("e")))
-    return best.select(*PAIR, "sp", "sv", "e.dp", "e.dv", "e.distance")
+def _match_chunks(cells: DataFrame, level: int, chunks: int) -> DataFrame:
+    """One round of a level: matches (``m`` rows at ``delta``) and, where ``m`` is null, the cells that are left.
 
+    The cells are dealt by ranges of (pair, value), so that a pair with most of them is spread. A task's first and last
+    pair may go on in its neighbours.
+    """
+    names = [*PAIR, "side", "p", "v", "n", "delta", "m"]
+    schema = f"{_pair_type(cells)}, side int, p int, v double, n long, delta double, m long"
 
-def _subtract(cells: DataFrame, taken: DataFrame) -> DataFrame:
-    """Remaining counts after matching; empty cells dropped."""
-    t = taken.groupBy(*PAIR, "p", "v").agg(F.sum("m").alias("_m"))
-    return (cells.join(t, [*PAIR, "p", "v"], "left")
-            .select(*PAIR, "p", "v", (F.col("n") - F.coalesce("_m", F.lit(0))).alias("n"))
-            .where(F.col("n") > 0))
+    def run(frames):
+        import pandas as pd
+        from pyspark import TaskContext
+
+        frames = [f for f in frames if len(f)]
+        if not frames:
+            return
+        part = TaskContext.get().partitionId()
+        groups = list(pd.concat(frames).groupby(PAIR, sort=True))
+        for i, (key, frame) in enumerate(groups):
+            frame = frame.sort_values(["side", "p", "v"])
+            side, p, v, free = (frame[c].tolist() for c in ("side", "p", "v", "n"))
+            rows = match_pair(side, p, v, free, [level], chunks > 1 and i == 0 and part > 0, chunks > 1 and i == len(groups) - 1 and part < chunks - 1)
+            out = pd.DataFrame([(None, None, None, None, d, m) for _, d, m in rows] + [(*c, None, None) for c in zip(side, p, v, free) if c[3]],
+                               columns=names[2:])
+            for name, k in zip(reversed(PAIR), reversed(key)):
+                out.insert(0, name, k)
+            yield out.astype({c: "Int64" for c in ("side", "p", "n", "m")})
+
+    keys = [*PAIR, "v"]
+    dealt = cells.repartitionByRange(chunks, *keys) if chunks > 1 else cells.coalesce(1)
+    return dealt.select(*PAIR, "side", "p", "v", "n").mapInPandas(run, schema)
+
+
+def _facing(cells: DataFrame, level: int) -> DataFrame:
+    """The cells that have one of the other side, of any value, at ``level``."""
+    kinds = stored(cells.select(*PAIR, "side", "p").distinct(), "kinds")  # at most 64 a pair
+    other = kinds.select(*[F.col(c).alias(f"_{c}") for c in (*PAIR, "side", "p")])
+    near = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_{c}") for c in PAIR])
+    met = kinds.join(other, near & (F.col("side") != F.col("_side")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("_p"))) == level), "left_semi")
+    return cells.join(met, [*PAIR, "side", "p"], "left_semi")
+
+
+def _match_in_levels(cells: DataFrame, chunk_cells: int) -> list[DataFrame]:
+    """(pair, level, delta, m) of each round; stored. Rounds of a level go on, with ranges of other cells, until one task
+    holds all that is left of it. A round that settles less than a quarter of its cells makes the ranges larger."""
+    rounds: list[DataFrame] = []
+    left = stored(cells, "left")
+    for level in range(LEVELS):
+        size = chunk_cells
+        while True:
+            active = stored(_facing(left, level), "active")
+            count = active.count()
+            if not count:
+                drop_stored(active)
+                break
+            chunks = -(-count // size)
+            out = stored(_match_chunks(active, level, chunks), "round")
+            rounds.append(out.where("m is not null").select(*PAIR, F.lit(level).alias("level"), "delta", "m"))
+            rest = out.where("m is null").select(*PAIR, "side", "p", "v", "n")
+            idle = left.join(active.select(*PAIR, "side", "p").distinct(), [*PAIR, "side", "p"], "left_anti")
+            done = left
+            left = stored(idle.unionByName(rest), "left")
+            drop_stored(done)
+            drop_stored(active)
+            if chunks == 1:
+                break
+            if rest.count() > 0.75 * count:
+                size *= 2
+    return rounds
 
 
 def _active(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -115,26 +157,6 @@ def _active(left: DataFrame, right: DataFrame) -> DataFrame:
     return stored(left.select(*PAIR).distinct().join(right.select(*PAIR).distinct(), PAIR), "active")
 
 
-def _match_in_rounds(left: DataFrame, right: DataFrame) -> list[DataFrame]:
-    """(pair, distance, m) of each round; stored."""
-    rounds: list[DataFrame] = []
-    while True:
-        active = _active(left, right)
-        if active.isEmpty():
-            return rounds
-        lft, rgt = stored(left.join(active, PAIR), "left"), stored(right.join(active, PAIR), "right")
-        bl = _best_partner(lft, rgt, True)
-        br = _best_partner(rgt, lft, False).select(*PAIR, F.col("sp").alias("dp"), F.col("sv").alias("dv"),
-                                                   F.col("dp").alias("sp"), F.col("dv").alias("sv"))
-        ln = lft.select(*PAIR, F.col("p").alias("sp"), F.col("v").alias("sv"), F.col("n").alias("nl"))
-        rn = rgt.select(*PAIR, F.col("p").alias("dp"), F.col("v").alias("dv"), F.col("n").alias("nr"))
-        acc = stored(bl.join(br, [*PAIR, "sp", "sv", "dp", "dv"]).join(ln, [*PAIR, "sp", "sv"]).join(rn, [*PAIR, "dp", "dv"])
-                     .select(*PAIR, "sp", "sv", "dp", "dv", "distance", F.least("nl", "nr").alias("m")), "round")
-        rounds.append(acc.select(*PAIR, "distance", "m"))
-        left = _subtract(lft, acc.select(*PAIR, F.col("sp").alias("p"), F.col("sv").alias("v"), "m"))
-        right = _subtract(rgt, acc.select(*PAIR, F.col("dp").alias("p"), F.col("dv").alias("v"), "m"))
-
-
 def _with_unmatched(matched: DataFrame, totals: DataFrame, weight: str | None) -> DataFrame:
     return (totals.join(distance_summary(matched, weight=weight), PAIR, "left")
             .select(*PAIR, F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "avg_distance", "min_distance",
@@ -143,19 +165,26 @@ def _with_unmatched(matched: DataFrame, totals: DataFrame, weight: str | None) -
 
 
 def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
-                pairs: Sequence[tuple] | None = None, max_task_edges: int = MAX_TASK_EDGES) -> DataFrame:
+                pairs: Sequence[tuple] | None = None, max_task_edges: int = MAX_TASK_EDGES,
+                chunk_cells: int = CHUNK_CELLS) -> DataFrame:
     """Exact greedy one-to-one matching per pair; summary with ``n_unmatched`` left rows and ``n_incomplete`` rows.
 
-    Matches min(n_left, n_right) rows of every pair.
+    Matches min(n_left, n_right) rows of every pair. Pairs of up to ``max_task_edges`` edges between cells are matched by
+    one task each, larger ones in rounds over ranges of about ``chunk_cells`` cells, with the same result.
     """
-    left, right = (stored(x.withColumnRenamed("pattern", "p"), "side") for x in pair_cells(df, dataset_col, value, pairs))
-    sizes = stored(left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("cl"), F.sum("n").alias("n_left"))
-                   .join(right.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("cr")), PAIR, "left"), "sizes")
-    small = sizes.where(F.col("cl") * F.coalesce("cr", F.lit(0)) <= max_task_edges).select(*PAIR)
+    cells, widths = exact_cells(df, dataset_col, value, pairs)
+    cells = stored(cells, "pair-cells")
+    count = lambda side, what: F.sum(F.when(F.col("side") == side, what).otherwise(0))
+    sizes = stored(cells.groupBy(*PAIR).agg(count(0, 1).alias("cl"), count(1, 1).alias("cr"), count(0, F.col("n")).alias("n_left"))
+                   .where("cl > 0"), "sizes")
+    small = sizes.where(F.col("cl") * F.col("cr") <= max_task_edges).select(*PAIR)
     large = sizes.where(F.col("cl") * F.col("cr") > max_task_edges).select(*PAIR)
-    matched = stored(_match_in_tasks(left.join(small, PAIR, "left_semi"), right.join(small, PAIR, "left_semi")), "matched")
-    for part in _match_in_rounds(left.join(large, PAIR, "left_semi"), right.join(large, PAIR, "left_semi")):
-        matched = matched.unionByName(part)
+    matched = stored(_match_in_tasks(cells.join(small, PAIR, "left_semi")), "matched")
+    if not large.isEmpty():
+        for part in _match_in_levels(cells.join(large, PAIR, "left_semi"), chunk_cells):
+            matched = matched.unionByName(part)
+    apart = F.when(F.col("width") > 0, F.col("delta") / F.col("width")).otherwise(F.lit(0.0))
+    matched = matched.join(widths, PAIR).select(*PAIR, ((F.col("level") + apart) / F.lit(6.0)).alias("distance"), "m")
     out = _with_unmatched(matched, sizes.select(*PAIR, "n_left"), "m")
     return with_incomplete(out, df, [*BINARY, value], dataset_col)
 

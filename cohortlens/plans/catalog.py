@@ -492,6 +492,11 @@ def q_match_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_exact(_sim_cohort(spark, sf_dir))
 
 
+def q_match_exact_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact matching by ranges of values, level by level, as pairs too large for a task go."""
+    return match_exact(_sim_cohort(spark, sf_dir), max_task_edges=0)
+
+
 def q_match_exact_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the exact matching with missing values, and the bounds of its distances."""
     s = match_exact(_gappy_cohort(spark, sf_dir))
@@ -598,6 +603,7 @@ def queries() -> dict[str, Query]:
         "clinical_cv": q_clinical_cv,
         "match_sampled": q_match_sampled,
         "match_exact": q_match_exact,
+        "match_exact_levels": q_match_exact_levels,
         "match_exact_check": q_match_exact_check,
         "match_sampled_check": q_match_sampled_check,
         "match_sampled_all": q_match_sampled_all,

@@ -218,6 +218,41 @@ gaps AS (SELECT dataset_id, count(*) FILTER (WHERE Age IS NULL OR PT IS NULL) AS
          FROM gappy GROUP BY dataset_id)"""
 
 
+def _greedy_state(name: str, start: str, which: str) -> str:
+    """Cells by (pair, side, p, a) with their free rows, after one class of edges an iteration; side 2 has the rows matched by
+    class, side 9 the class reached. No two edges of a class (mask, difference) share a cell."""
+    return f"""{name}(ds_a, ds_b, side, p, a, n) USING KEY (ds_a, ds_b, side, p, a) AS (
+  {start} UNION ALL SELECT 0, 0, 9, 0, 0, (SELECT min(idx) - 1 FROM classes WHERE {which})
+  UNION
+  (WITH c AS (SELECT classes.* FROM classes JOIN recurring.{name} s ON s.side = 9 AND classes.idx = s.n + 1 WHERE {which}),
+   hit AS (SELECT l.ds_a, l.ds_b, l.p AS lp, l.a AS la, r.p AS rp, r.a AS ra, l.n AS ln, r.n AS rn, least(l.n, r.n) AS m, l.idx
+           FROM (SELECT s.*, c.idx, xor(s.p, c.mask) AS tp, s.a + c.delta AS ta FROM recurring.{name} s, c WHERE s.side = 0 AND s.n > 0) l
+           JOIN (SELECT * FROM recurring.{name} WHERE side = 1 AND n > 0) r ON r.ds_a = l.ds_a AND r.ds_b = l.ds_b AND r.p = l.tp AND r.a = l.ta)
+   SELECT ds_a, ds_b, 0, lp, la, ln - m FROM hit UNION ALL SELECT ds_a, ds_b, 1, rp, ra, rn - m FROM hit
+   UNION ALL SELECT ds_a, ds_b, 2, 0, idx, sum(m)::BIGINT FROM hit GROUP BY ds_a, ds_b, idx UNION ALL SELECT 0, 0, 9, 0, 0, idx FROM c))"""
+
+
+def match_exact_sql() -> str:
+    """The sorted-edge greedy matching by its rule, for whole-number ages: first equal findings, then the rest of the cells."""
+    return f"""WITH RECURSIVE {COHORT_CTE.replace('cohort AS (', 'cohort AS MATERIALIZED (', 1)},
+cells AS MATERIALIZED (SELECT dataset_id AS ds, CAST(16 * Gender + 8 * PT + 4 * PTT + 2 * Platelets + DOA AS INTEGER) AS p, CAST(Age AS INTEGER) AS a,
+                              count(*) AS n FROM cohort GROUP BY ALL),
+totals AS (SELECT ds, min(a) AS lo, max(a) AS hi, sum(n)::BIGINT AS n FROM cells GROUP BY ds),
+sides AS MATERIALIZED (SELECT x.ds AS ds_a, y.ds AS ds_b, greatest(x.hi, y.hi) - least(x.lo, y.lo) AS width, x.n AS n_left FROM totals x JOIN totals y ON x.ds < y.ds),
+classes AS MATERIALIZED (SELECT row_number() OVER (ORDER BY bit_count(mask), k, mask, down) AS idx, mask, k, CASE WHEN down THEN -k ELSE k END AS delta
+                         FROM (SELECT unnest(range(32))::INTEGER AS mask), (SELECT unnest(range((SELECT max(width) + 1 FROM sides)))::INTEGER AS k),
+                              (VALUES (false), (true)) d(down) WHERE k > 0 OR NOT down),
+{_greedy_state('same', "SELECT ds_a, ds_b, 0, p, a, n::BIGINT FROM sides JOIN cells ON ds = ds_a UNION ALL SELECT ds_a, ds_b, 1, p, a, n::BIGINT FROM sides JOIN cells ON ds = ds_b", 'mask = 0')},
+{_greedy_state('rest', 'SELECT ds_a, ds_b, side, p, a, n FROM same WHERE side < 2 AND n > 0', 'mask > 0')},
+d AS (SELECT ds_a, ds_b, m, (bit_count(mask) + k / width::DOUBLE) / 6 AS distance
+      FROM (SELECT ds_a, ds_b, a AS idx, n AS m FROM same WHERE side = 2 UNION ALL SELECT ds_a, ds_b, a, n FROM rest WHERE side = 2) JOIN classes USING (idx) JOIN sides USING (ds_a, ds_b))
+SELECT ds_a, ds_b, sum(m)::BIGINT AS n_matched, round(sum(m * distance) / sum(m), 6) AS avg_distance, round(min(distance), 6) AS min_distance,
+       round(max(distance), 6) AS max_distance, round(coalesce(sum(m) FILTER (WHERE distance = 0), 0) * 100.0::DOUBLE / sum(m), 6) AS zero_dist_percent,
+       round(sum(m * distance), 6) AS distance_sum, coalesce(sum(m) FILTER (WHERE distance > 0), 0)::BIGINT AS n_nonzero,
+       (any_value(n_left) - sum(m))::BIGINT AS n_unmatched, 0::BIGINT AS n_incomplete
+FROM d JOIN sides USING (ds_a, ds_b) GROUP BY ds_a, ds_b"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["contingency"] = f"WITH {COHORT_CTE}\n{_cells_union(FEATURES)}"
@@ -446,6 +481,7 @@ near AS (
                               f"a.g + b.g AS n_incomplete {counts}")
     q["match_exact_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
                               f"a.c - least(a.c, b.c) AS n_unmatched, a.g + b.g AS n_incomplete, true AS in_bounds {counts}")
+    q["match_exact"] = q["match_exact_levels"] = match_exact_sql()
     q["match_sampled_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
                                 f"least(a.c, b.c) AS n_left, least(a.c, b.c) AS n_right, true AS in_bounds, a.g + b.g AS n_incomplete {counts} "
                                 "WHERE b.dataset_id <= 3")
