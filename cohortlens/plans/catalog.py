@@ -33,8 +33,9 @@ from cohortlens.sources.csv import parse_provenance, read_clinical, read_cohorts
 from cohortlens.sources.sinks import write_table
 from cohortlens.sources.testdata import COHORT_COLUMNS
 from cohortlens.operators.models import (
-    CLINICAL_FOREST, cross_val_predictions, evaluate_folds, evaluate_holdout, fit_forest, importance_table,
+    CLINICAL_FOREST, FOREST_FOLDS, FOREST_HOLDOUT, cross_val_predictions, evaluate_folds, evaluate_holdout, fold_training_cells, forest_table,
 )
+from cohortlens.operators.trees import forest_importances
 from cohortlens.sources.testdata import MODEL_FEATURES
 from cohortlens.operators.matching import match_exact, match_sampled, sampled_matches
 from cohortlens.operators.pairwise import pairwise_similarity
@@ -426,25 +427,22 @@ def _consistent(num: str, den: str, ratio: str) -> F.Column:
     return F.col(ratio).eqNullSafe(want)
 
 
-def _fold_check(spark: SparkSession, sf_dir: str, folds=None) -> DataFrame:
+def q_fold_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training and test counts of every cell of every fold: what the models of the folds are fitted on."""
+    cells, _ = fold_training_cells(_blocked(spark, sf_dir, MODEL_K), MODEL_FEATURES)
+    return cells
+
+
+def q_fold_evaluation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written fold table, fold sizes, positives and the metrics' arithmetic, of every fold."""
     blocks = _blocked(spark, sf_dir, MODEL_K // 4)
     small = dict(numTrees=3, maxDepth=3, seed=5043)
-    path = write_table(evaluate_folds(blocks, MODEL_FEATURES, "DOA", "forest", small, folds=folds), scratch_path(spark, "folds"))
+    path = write_table(evaluate_folds(blocks, MODEL_FEATURES, "DOA", "forest", small), scratch_path(spark, "folds"))
     return spark.read.parquet(path).select("num", "n", (F.col("tp") + F.col("fn")).alias("positives"),
                         ((F.expr("tp + tn + fp + fn = n")) & _consistent("tp + tn", "n", "accuracy") & _consistent("tp", "tp + fp", "precision")
                          & _consistent("tp", "tp + fn", "recall") & _consistent("2 * tp", "2 * tp + fp + fn", "f1")).alias("consistent"))
 
 
-def q_fold_evaluation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can know of a fold evaluation: written fold table, fold sizes, positives, and the metrics' arithmetic (six folds)."""
-    return _fold_check(spark, sf_dir, range(6))
-
-
-def q_fold_evaluation_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of every fold."""
-    return _fold_check(spark, sf_dir)
-
-
 def q_holdout_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test size and arithmetic of a hold-out evaluation with small models."""
     models = (("forest", "forest", dict(numTrees=3, maxDepth=3, seed=5043)), ("gbt", "gbt", dict(maxIter=3, maxDepth=3, seed=5043)))
@@ -453,9 +451,9 @@ def q_holdout_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_importance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Importances are shares of one, for every feature."""
+    """Importances of a small forest are shares of one, for every feature."""
     c = index_label(cohort(spark, sf_dir), "DOA", "label")
-    table = importance_table(spark, fit_forest(c, MODEL_FEATURES, dict(numTrees=5, maxDepth=8, seed=5043)), MODEL_FEATURES, 0)
+    table = forest_importances(forest_table(c, MODEL_FEATURES, "label", {**FOREST_FOLDS, "numTrees": 5}), MODEL_FEATURES)
     return table.agg(F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
                      F.min(F.col("importance") >= 0).alias("no_negative"))
 
@@ -472,9 +470,15 @@ def q_evaluate_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate_holdout(cohort(spark, sf_dir, with_index=True), MODEL_FEATURES, "DOA", key="id")
 
 
+def q_holdout_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forest of the hold-out evaluation alone."""
+    return evaluate_holdout(cohort(spark, sf_dir, with_index=True), MODEL_FEATURES, "DOA", key="id", models=(("forest", "forest", FOREST_HOLDOUT),))
+
+
 def q_importance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = index_label(cohort(spark, sf_dir), "DOA", "label")
-    return importance_table(spark, fit_forest(c, MODEL_FEATURES), MODEL_FEATURES, 0)
+    table = forest_importances(forest_table(c, MODEL_FEATURES, "label"), MODEL_FEATURES)
+    return table.withColumn("importance", F.round("importance", 6)).orderBy(F.desc("importance"), F.asc("feature"))
 
 
 CLINICAL_FEATURES = ["n_chars", "quality", "toxic"]
@@ -509,25 +513,16 @@ def q_match_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_sampled(_sim_cohort(spark, sf_dir))
 
 
-def _sampled_check(spark: SparkSession, sf_dir: str, pairs=None) -> DataFrame:
+def q_match_sampled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled matching is one to one and leaves no row that could be matched, values missing."""
     c = _gappy_cohort(spark, sf_dir)
-    matched, _ = sampled_matches(c, pairs=pairs)
+    matched, _ = sampled_matches(c)
     s = matched.groupBy("ds_a", "ds_b").agg(
         F.count(F.lit(1)).alias("n_matched"), F.count_distinct("l_id").alias("n_left"), F.count_distinct("r_id").alias("n_right"),
         F.min((F.col("distance") >= 0) & (F.col("distance") <= 1)).alias("in_bounds"))
     return with_incomplete(s, c)
 
 
-def q_match_sampled_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled matching is one to one and leaves no row that could be matched (datasets 1 to 3, values missing)."""
-    return _sampled_check(spark, sf_dir, [(1, 2), (1, 3), (2, 3)])
-
-
-def q_match_sampled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all pairs of datasets."""
-    return _sampled_check(spark, sf_dir)
-
-
 def q_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs in the reference's sink layout, by rank, written as a table and read again."""
     path = write_table(pairwise_similarity(_sim_cohort(spark, sf_dir), "rank"), scratch_path(spark, "pairs"), fmt="csv")
@@ -535,10 +530,6 @@ def q_pairwise_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                     "maxDistance double, zeroDistPercent double")
 
 
-def q_pairwise_similarity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise_similarity(_sim_cohort(spark, sf_dir), "nearest", [(1, 2), (3, 1), (5, 7)])
-
-
 def q_pairwise_similarity_nearest_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_similarity(_sim_cohort(spark, sf_dir), "nearest")
 
@@ -605,19 +596,18 @@ def queries() -> dict[str, Query]:
         "match_exact": q_match_exact,
         "match_exact_levels": q_match_exact_levels,
         "match_exact_check": q_match_exact_check,
-        "match_sampled_check": q_match_sampled_check,
         "match_sampled_all": q_match_sampled_all,
         "match_with_gaps": q_match_with_gaps,
         "nearest_with_gaps": q_nearest_with_gaps,
-        "pairwise_similarity_nearest": q_pairwise_similarity_nearest,
         "pairwise_similarity_nearest_all": q_pairwise_similarity_nearest_all,
         "restore_label": q_restore_label,
         "mean_fold_accuracy": q_mean_fold_accuracy,
         "fixed_rate_cells": q_fixed_rate_cells,
         "missing_cells": q_missing_cells,
-        "fold_evaluation_check": q_fold_evaluation_check,
         "fold_evaluation_all": q_fold_evaluation_all,
+        "fold_cells": q_fold_cells,
         "holdout_check": q_holdout_check,
+        "holdout_forest": q_holdout_forest,
         "importance_check": q_importance_check,
         "clinical_cv_check": q_clinical_cv_check,
         "pairwise_similarity": q_pairwise_similarity,

@@ -232,6 +232,148 @@ def _greedy_state(name: str, start: str, which: str) -> str:
    UNION ALL SELECT ds_a, ds_b, 2, 0, idx, sum(m)::BIGINT FROM hit GROUP BY ds_a, ds_b, idx UNION ALL SELECT 0, 0, 9, 0, 0, idx FROM c))"""
 
 
+def _draw(n: str, tag: int, seed: int, keys: str) -> str:
+    """A Poisson number of copies of a cell's ``n`` rows, by the md5 of its place."""
+    digest = f"md5(concat_ws(':', fold, tree, {keys}) || ':{tag}:{seed}')"
+    unit = lambda at: f"((('0x' || substr({digest}, {at}, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+    return (f"CASE WHEN {n} <= 0 THEN 0 WHEN {n} <= 16 THEN len(list_filter((SELECT list(ends ORDER BY k) FROM poisson)[{n}], lambda x: {unit(1)} >= x)) "
+            f"ELSE greatest(0, {n} + CAST(round(sqrt({n}::DOUBLE) * (sqrt(-2.0 * ln({unit(1)})) * cos({2.0 * math.pi!r} * {unit(14)}))) AS BIGINT)) END")
+
+
+def _poisson_rows() -> str:
+    rows = []
+    for n in range(1, 17):
+        ends, k, total = [], 0, 0.0
+        while total < 1.0 - 1e-13 and k < 100:
+            total += math.exp(-n + k * math.log(n) - math.lgamma(k + 1))
+            ends.append(total)
+            k += 1
+        rows.append(f"({n}, [{', '.join(map(repr, ends))}])")
+    return ", ".join(rows)
+
+
+def _forest_ctes(d: int, trees: int, depth: int, chosen: int, seed: int) -> str:
+    """CTEs ``splits`` and ``voted`` of a forest per fold, grown from ``cells(fold, b0, ..., n0, n1, t0, t1)`` level by level."""
+    b = [f"b{i}" for i in range(d)]
+    keys = ", ".join(b)
+    value = lambda f: "CASE " + f + " " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(b)) + " END"
+    square = lambda s: f"(({s}0::DOUBLE * {s}0 + {s}1::DOUBLE * {s}1) / ({s}0 + {s}1)::DOUBLE)"
+    share = lambda s: f"CASE WHEN {s}0 + {s}1 > 0 THEN {s}1 * 1000000 // ({s}0 + {s}1) ELSE 0 END"
+    out = [f"poisson(k, ends) AS (VALUES {_poisson_rows()})",
+           f"""g0 AS MATERIALIZED (SELECT * FROM (SELECT fold, tree, {keys}, {_draw('n0', 0, seed, keys)}::BIGINT AS w0, {_draw('n1', 1, seed, keys)}::BIGINT AS w1, 1 AS node
+  FROM cells, range({trees}) r(tree) WHERE n0 + n1 > 0) WHERE w0 + w1 > 0)""",
+           "roots AS MATERIALIZED (SELECT fold, tree, sum(w0)::BIGINT AS r0, sum(w1)::BIGINT AS r1 FROM g0 GROUP BY ALL)",
+           f"v0 AS MATERIALIZED (SELECT fold, tree, {keys}, 1 AS node, {share('r')} AS p FROM cells JOIN roots USING (fold))"]
+    for i in range(depth):
+        hist = " UNION ALL ".join(f"SELECT fold, tree, node, {f} AS f, {c} AS bin, w0, w1 FROM g{i}" for f, c in enumerate(b))
+        out += [f"h{i} AS MATERIALIZED (SELECT fold, tree, node, f, bin, sum(w0)::BIGINT AS w0, sum(w1)::BIGINT AS w1 FROM ({hist}) GROUP BY ALL)",
+                f"""s{i} AS MATERIALIZED (
+  SELECT fold, tree, node, f, bin, l0, l1, r0, r1, score - parent AS gain FROM (
+    SELECT *, {square('l')} + {square('r')} AS score, {square('a')} AS parent FROM (
+      SELECT *, a0 - l0 AS r0, a1 - l1 AS r1 FROM (
+        SELECT *, sum(w0) OVER up AS l0, sum(w1) OVER up AS l1, sum(w0) OVER whole AS a0, sum(w1) OVER whole AS a1 FROM h{i}
+        WINDOW up AS (PARTITION BY fold, tree, node, f ORDER BY bin), whole AS (PARTITION BY fold, tree, node, f)))
+    WHERE r0 + r1 > 0 AND a0 > 0 AND a1 > 0)
+  JOIN (SELECT fold, tree, node, f FROM (SELECT DISTINCT fold, tree, node, f FROM h{i})
+        QUALIFY row_number() OVER (PARTITION BY fold, tree, node ORDER BY md5(concat_ws(':', fold, tree, node, f, {seed}))) <= {chosen}) USING (fold, tree, node, f)
+  WHERE score > parent * {1.0 + 1e-12!r}::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY fold, tree, node ORDER BY score DESC, f, bin) = 1)""",
+                f"""g{i + 1} AS MATERIALIZED (SELECT fold, tree, {keys}, w0, w1, 2 * node + CAST({value('f')} > bin AS INTEGER) AS node
+  FROM g{i} JOIN (SELECT fold, tree, node, f, bin FROM s{i}) USING (fold, tree, node))""",
+                f"""v{i + 1} AS MATERIALIZED (SELECT fold, tree, {keys}, CASE WHEN f IS NULL THEN -1 ELSE 2 * node + CAST({value('f')} > bin AS INTEGER) END AS node,
+  CASE WHEN f IS NULL THEN p WHEN {value('f')} > bin THEN {share('r')} ELSE {share('l')} END AS p FROM v{i} LEFT JOIN s{i} USING (fold, tree, node))"""]
+    out.append("splits AS (" + " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(depth)) + ")")
+    out.append(f"""voted AS (SELECT cells.*, CAST(2 * votes > {trees} * 1000000 AS INTEGER) AS prediction
+  FROM cells JOIN (SELECT fold, {keys}, sum(p) AS votes FROM v{depth} GROUP BY ALL) USING (fold, {keys}))""")
+    return ",\n".join(out)
+
+
+def _bin_ctes(source: str, features, max_bins: int) -> str:
+    """CTEs ``bin_<i>`` (v, b): a bin for each value, or for about equal shares of the rows where there are too many values."""
+    return ",\n".join(f"""bin_{i} AS MATERIALIZED (SELECT v, dense_rank() OVER (ORDER BY o) - 1 AS b FROM (
+  SELECT v, CASE WHEN count(*) OVER () <= {max_bins} THEN v ELSE floor((sum(n) OVER (ORDER BY v) - n) * {max_bins} / (sum(n) OVER ())) END AS o
+  FROM (SELECT {f}::DOUBLE AS v, count(*) AS n FROM {source} GROUP BY ALL)))""" for i, f in enumerate(features))
+
+
+def _binned(source: str, features) -> str:
+    bins = ", ".join(f"bin_{i}.b AS b{i}" for i in range(len(features)))
+    return f"SELECT {source}.*, {bins} FROM {source} " + " ".join(f"JOIN bin_{i} ON bin_{i}.v = {f}" for i, f in enumerate(features))
+
+
+def _leave_one_out(d: int, by_frequency: bool) -> str:
+    """CTE ``cells`` from ``own(fold, tail, bins, c0, c1)``: every fold's training counts are all counts less its own."""
+    keys = ", ".join(f"b{i}" for i in range(d))
+    pick = "CASE WHEN flip THEN {} ELSE {} END" if by_frequency else "{1}"
+    p = lambda a, b: pick.format(b, a)
+    return f"""per_fold AS (
+  SELECT f.fold, {keys}, a0 - coalesce(c0, 0) AS x0, a1 - coalesce(c1, 0) AS x1, coalesce(c0, 0) AS y0, coalesce(c1, 0) AS y1
+  FROM (SELECT {keys}, sum(c0) AS a0, sum(c1) AS a1 FROM own GROUP BY ALL) CROSS JOIN (SELECT DISTINCT fold FROM own WHERE NOT tail) f
+  LEFT JOIN own USING (fold, {keys})),
+cells AS MATERIALIZED (SELECT fold, {keys}, {p('x0', 'x1')}::BIGINT AS n0, {p('x1', 'x0')}::BIGINT AS n1, {p('y0', 'y1')}::BIGINT AS t0, {p('y1', 'y0')}::BIGINT AS t1
+  FROM per_fold JOIN (SELECT fold, sum(x1) > sum(x0) AS flip FROM per_fold GROUP BY fold) USING (fold))"""
+
+
+MODEL = ["Age", "Gender", "PT", "PTT", "Platelets"]
+MODEL_BINS = ", ".join(f"b{i}" for i in range(5))
+
+
+def fold_cells_sql(k: int) -> str:
+    return f"""WITH {COHORT_CTE}, {_blocks_cte(k)},
+{_bin_ctes('cohort', MODEL, 100)},
+own AS MATERIALIZED (SELECT block::INTEGER AS fold, is_tail AS tail, {MODEL_BINS}, count(*) FILTER (WHERE DOA = 0) AS c0, count(*) FILTER (WHERE DOA = 1) AS c1
+  FROM ({_binned('blocked', MODEL)}) GROUP BY ALL),
+{_leave_one_out(5, True)}"""
+
+
+def folds_forest_sql(k: int, trees: int, depth: int) -> str:
+    ratio = lambda a, b: f"round(({a})::DOUBLE / NULLIF(({b})::DOUBLE, 0), 6)"
+    return f"""{fold_cells_sql(k)},
+{_forest_ctes(5, trees, depth, 3, 5043)},
+counts AS (SELECT fold::BIGINT AS num, (sum(t1) FILTER (WHERE prediction = 1)) AS p1, (sum(t0) FILTER (WHERE prediction = 0)) AS p2,
+                  (sum(t0) FILTER (WHERE prediction = 1)) AS p3, (sum(t1) FILTER (WHERE prediction = 0)) AS p4, sum(t0 + t1)::BIGINT AS n FROM voted GROUP BY fold),
+whole AS (SELECT num, coalesce(p1, 0)::BIGINT AS tp, coalesce(p2, 0)::BIGINT AS tn, coalesce(p3, 0)::BIGINT AS fp, coalesce(p4, 0)::BIGINT AS fn, n FROM counts)
+SELECT *, {ratio('tp + tn', 'n')} AS accuracy, {ratio('tp', 'tp + fp')} AS "precision", {ratio('tp', 'tp + fn')} AS recall, {ratio('2 * tp', '2 * tp + fp + fn')} AS f1 FROM whole"""
+
+
+def holdout_forest_sql() -> str:
+    return f"""WITH {COHORT_CTE},
+{_bin_ctes('cohort', MODEL, 100)},
+cells AS MATERIALIZED (SELECT 0 AS fold, {MODEL_BINS}, count(*) FILTER (WHERE train AND DOA = 0) AS n0, count(*) FILTER (WHERE train AND DOA = 1) AS n1,
+    count(*) FILTER (WHERE NOT train AND DOA = 0) AS t0, count(*) FILTER (WHERE NOT train AND DOA = 1) AS t1
+  FROM (SELECT *, {_u('id', 5043)} < 0.7 AS train FROM ({_binned('cohort', MODEL)})) GROUP BY ALL),
+{_forest_ctes(5, 20, 8, 3, 5043)}
+SELECT 'forest' AS model, sum(t0 + t1)::BIGINT AS n, sum(CASE WHEN prediction = 1 THEN t1 ELSE t0 END)::BIGINT AS correct,
+       round(sum(CASE WHEN prediction = 1 THEN t1 ELSE t0 END)::DOUBLE / sum(t0 + t1)::DOUBLE, 6) AS accuracy FROM voted"""
+
+
+def importance_sql(trees: int, digits: int = 6) -> str:
+    return f"""WITH {COHORT_CTE},
+{_bin_ctes('cohort', MODEL, 100)},
+dead AS (SELECT count(*) FILTER (WHERE DOA = 1) > count(*) FILTER (WHERE DOA = 0) AS fewer FROM cohort),
+cells AS MATERIALIZED (SELECT 0 AS fold, {MODEL_BINS}, count(*) FILTER (WHERE (DOA = 1) = fewer) AS n0, count(*) FILTER (WHERE (DOA = 0) = fewer) AS n1, 0 AS t0, 0 AS t1
+  FROM ({_binned('cohort', MODEL)}), dead GROUP BY ALL),
+{_forest_ctes(5, trees, 8, 3, 5043)},
+shares AS (SELECT fold, f, sum(g / whole) AS s FROM (SELECT fold, tree, f, sum(gain) AS g, sum(sum(gain)) OVER (PARTITION BY fold, tree) AS whole FROM splits GROUP BY fold, tree, f) GROUP BY ALL),
+named(f, feature) AS (VALUES {', '.join(f"({i}, '{c}')" for i, c in enumerate(MODEL))})
+SELECT 0 AS fold, feature, round(coalesce(s / sum(s) OVER (), 0), {digits}) AS importance FROM named LEFT JOIN shares USING (f)"""
+
+
+def clinical_cv_sql(folded: str) -> str:
+    features = ["n_chars", "quality", "toxic"]
+    return f"""WITH {CLINICAL_CTE},
+folded AS MATERIALIZED (SELECT f.fold, f.outcome, n_chars::DOUBLE AS n_chars, coalesce(quality, -1)::DOUBLE AS quality, coalesce(toxic, -1)::DOUBLE AS toxic
+  FROM ({folded}) f JOIN clinical USING (doc_id)),
+{_bin_ctes('folded', features, 32)},
+own AS MATERIALIZED (SELECT fold, false AS tail, b0, b1, b2, count(*) FILTER (WHERE outcome = 0) AS c0, count(*) FILTER (WHERE outcome = 1) AS c1
+  FROM ({_binned('folded', features)}) GROUP BY ALL),
+{_leave_one_out(3, False)},
+{_forest_ctes(3, 10, 8, 2, 42)},
+t AS (SELECT prediction AS p, sum(t0)::BIGINT AS c0, sum(t1)::BIGINT AS c1 FROM voted GROUP BY ALL),
+m AS (SELECT c.c AS class, coalesce(sum(CASE WHEN c.c = 1 THEN c1 ELSE c0 END) FILTER (WHERE p = c.c), 0)::BIGINT AS tp, sum(CASE WHEN c.c = 1 THEN c1 ELSE c0 END)::BIGINT AS actual,
+             coalesce(sum(c0 + c1) FILTER (WHERE p = c.c), 0)::BIGINT AS predicted FROM t, (VALUES (0), (1)) c(c) GROUP BY c.c)
+SELECT class::DOUBLE AS class, tp, actual, predicted, round(tp::DOUBLE / NULLIF(predicted, 0), 6) AS "precision", round(tp::DOUBLE / NULLIF(actual, 0), 6) AS recall FROM m"""
+
+
 def match_exact_sql() -> str:
     """The sorted-edge greedy matching by its rule, for whole-number ages: first equal findings, then the rest of the cells."""
     return f"""WITH RECURSIVE {COHORT_CTE.replace('cohort AS (', 'cohort AS MATERIALIZED (', 1)},
@@ -482,13 +624,9 @@ near AS (
     q["match_exact_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
                               f"a.c - least(a.c, b.c) AS n_unmatched, a.g + b.g AS n_incomplete, true AS in_bounds {counts}")
     q["match_exact"] = q["match_exact_levels"] = match_exact_sql()
-    q["match_sampled_check"] = (f"WITH {whole}, {GAPPY_CTE}\nSELECT a.dataset_id AS ds_a, b.dataset_id AS ds_b, least(a.c, b.c) AS n_matched, "
-                                f"least(a.c, b.c) AS n_left, least(a.c, b.c) AS n_right, true AS in_bounds, a.g + b.g AS n_incomplete {counts} "
-                                "WHERE b.dataset_id <= 3")
     sink = """ds_a AS File1, ds_b AS File2, avg_distance AS avgDistance, min_distance AS minDistance, max_distance AS maxDistance,
        zero_dist_percent AS zeroDistPercent"""
     q["pairwise_similarity"] = f"SELECT {sink} FROM ({q['match_rank_aligned']})"
-    q["pairwise_similarity_nearest"] = (f"SELECT {sink} FROM ({q['nearest_neighbor']}) WHERE (ds_a, ds_b) IN ((1, 2), (1, 3), (5, 7))")
     q["restore_label"] = f"""WITH {COHORT_CTE}, {SCORED_CTE}
 SELECT s.dataset_id, s.DOA, m.DOA AS predicted_value, count(*) AS n FROM scored s LEFT JOIN mapping m ON m.label = s.prediction GROUP BY ALL"""
     q["mean_fold_accuracy"] = f"""WITH folded AS ({q['stratified_folds']}),
@@ -509,9 +647,11 @@ SELECT dataset_id, feature, n, dead, n - dead AS alive, low, high, o AS odds_rat
 SELECT dataset_id, feature, CASE WHEN bad IS NULL THEN dead_low END AS dead_low, CASE WHEN bad IS NULL THEN dead_high END AS dead_high,
        CASE WHEN bad IS NULL THEN alive_low END AS alive_low, CASE WHEN bad IS NULL THEN alive_high END AS alive_high, bad AS reason
 FROM (SELECT *, CASE feature WHEN 'PT' THEN 'no odds ratio' WHEN 'PTT' THEN 'negative odds ratio' WHEN 'HF' THEN 'infeasible marginals' END AS bad FROM ec)"""
-    q["fold_evaluation_check"] = f"""WITH {COHORT_CTE}, {_blocks_cte(2500)}
-SELECT block AS num, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS positives, true AS consistent
-FROM blocked WHERE NOT is_tail AND block < 6 GROUP BY block"""
+    q["evaluate_folds_forest"] = folds_forest_sql(10_000, 50, 8)
+    q["fold_cells"] = fold_cells_sql(10_000) + f" SELECT fold, {MODEL_BINS}, n0, n1, t0, t1 FROM cells"
+    q["holdout_forest"] = holdout_forest_sql()
+    q["importance_table"] = importance_sql(50)
+    q["clinical_cv"] = clinical_cv_sql(q["stratified_folds"])
     q["fold_evaluation_all"] = f"""WITH {COHORT_CTE}, {_blocks_cte(2500)}
 SELECT block AS num, count(*) AS n, count(*) FILTER (WHERE DOA = 0) AS positives, true AS consistent
 FROM blocked WHERE NOT is_tail GROUP BY block"""
@@ -520,7 +660,8 @@ FROM blocked WHERE NOT is_tail GROUP BY block"""
     q["pairwise_similarity_nearest_all"] = f"SELECT {sink} FROM ({q['nearest_neighbor']})"
     q["holdout_check"] = f"""WITH {COHORT_CTE}
 SELECT model, count(*) AS n, true AS consistent FROM cohort, (VALUES ('forest'), ('gbt')) v(model) WHERE NOT ({_u('id', 5043)} < 0.7) GROUP BY model"""
-    q["importance_check"] = "SELECT CAST(5 AS BIGINT) AS features, 1.0::DOUBLE AS total, true AS no_negative"
+    q["importance_check"] = f"""SELECT count(DISTINCT feature) AS features, round(sum(importance), 6) AS total, bool_and(importance >= 0) AS no_negative
+FROM ({importance_sql(5, 12)})"""
     q["clinical_cv_check"] = f"""SELECT fold, outcome, count(*) AS "rows", count(*) AS predictions FROM ({q['stratified_folds']}) GROUP BY ALL"""
     sim_cols = "dataset_id, id, Age, Gender, PT, PTT, Platelets, DOA"
     q["csv_round_trip"] = f"WITH {COHORT_CTE}\nSELECT {sim_cols} FROM cohort"
