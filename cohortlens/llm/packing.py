@@ -9,6 +9,9 @@ level by level, until one is left.
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,29 @@ PIECE = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
          "part long, ids binary")
 
 
+def special_tokens(data: bytes) -> dict[str, int]:
+    """Text -> id of the added tokens of a tokenizers file; those that normalise or strip their surroundings are an error."""
+    added = json.loads(data).get("added_tokens", []) if data.lstrip().startswith(b"{") else []
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that are normalised or strip their surroundings are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
+def document_encoder(data: bytes, pattern: str):
+    """text -> ids (32-bit little-endian) as the tokenizers library gives them: added tokens found in the text keep their own id."""
+    encode, special = encoder(data, pattern), special_tokens(data)
+    if not special:
+        return encode
+    marks = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
+    ids = {t: i.to_bytes(4, "little") for t, i in special.items()}
+
+    def run(text: str) -> bytes:
+        parts = marks.split(text)
+        return encode(text) if len(parts) == 1 else b"".join(ids[p] if k % 2 else encode(p) for k, p in enumerate(parts))
+
+    return run
+
+
 class Packer:
     """Open windows of one task. Pieces are (doc_id, start, doc_tokens, ids as bytes)."""
 
@@ -103,7 +129,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None
                    n_open: int = OPEN_WINDOWS, merge_group: int = MERGE_GROUP, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Each document is its ids and then ``end_id``; a null text counts as empty, so such a document is ``end_id`` alone.
+    Each document is its ids, with those of the file's added tokens where a text spells one, and then ``end_id``; a null text counts as empty, so such a document is ``end_id`` alone.
     Sequences hold ``window`` ids, but for one at most over the whole table. Repeated rows are packed each by itself.
     Equal fits go to the window opened first. Which documents share a sequence depends on the partitioning; what a task
     packs depends on its rows alone, so a repeated task packs alike, and the result is written once before it is read.
@@ -117,7 +143,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, pattern: str | None
 
         from pyspark import TaskContext
 
-        encode, end = encoder(vocabulary.value, pattern), struct.pack("<I", end_id)
+        encode, end = document_encoder(vocabulary.value, pattern), struct.pack("<I", end_id)
         part = TaskContext.get().partitionId()
         packer = Packer(part << 32, window, n_open)
         for batch in batches:

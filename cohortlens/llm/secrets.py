@@ -37,7 +37,8 @@ MIN_RATIO_PER_STEP = 400_000
 
 def bigram_counts(strings: DataFrame) -> DataFrame:
     """(pair, n) over all strings of column ``s``; the one-character string before a step is its state."""
-    steps = F.expr("transform(sequence(1, greatest(1, length(s) - 1)), i -> substring(lower(s), i, 2))")
+    # The characters are split once, so that a long string costs its length.
+    steps = F.expr("transform(array(split(lower(s), '')), c -> zip_with(slice(c, 1, greatest(1, size(c) - 1)), slice(c, 2, size(c)), (x, y) -> concat(x, coalesce(y, ''))))[0]")
     return (strings.where("length(s) > 1").select(F.explode(steps).alias("pair"))
             .groupBy("pair").agg(F.count("*").alias("n")))
 
@@ -94,9 +95,10 @@ def find_secrets(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rati
     any_rule = f"{ASSIGN}|{ACCESS}|{HEX}|{CANDIDATE}"
     may = F.coalesce(F.col("text").rlike(any_rule), F.lit(False))
     model = f"cast(split('{','.join(map(str, ratios))}', ',') as array<bigint>)"
-    code = lambda at: f"instr('{ALPHABET}', substring(lower(m.hit), {at}, 1)) - 1"
-    ratio = (f"aggregate(sequence(1, length(m.hit) - 1), 0L, (a, p) -> a + get({model}, "
-             f"cast(({code('p')}) * {len(ALPHABET)} + {code('p + 1')} as int)))")
+    # Split once into characters and folded over their pairs, so that a run costs its length.
+    codes = f"transform(split(lower(m.hit), ''), x -> instr('{ALPHABET}', x) - 1)"
+    pairs = f"zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x * {len(ALPHABET)} + y)"
+    ratio = f"aggregate(transform(array({codes}), c -> {pairs})[0], 0L, (a, i) -> a + get({model}, i))"
     rules = [_matches(0, ASSIGN, "length(m.value) >= 6", 2), _matches(1, ACCESS, "true"), _matches(2, HEX, "true"),
              _matches(3, CANDIDATE, f"{ratio} >= greatest({min_ratio}L, {min_ratio_per_step}L * (length(m.hit) - 1))")]
     cells = (docs.where(may).withColumn("row", F.monotonically_increasing_id())

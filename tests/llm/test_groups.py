@@ -166,9 +166,30 @@ def test_random_spans_against_brute_force(spark):
             assert got[-1 - i] == (f"random:1:{1 + len(t)}" if good else ""), t
 
 
+def test_long_runs_take_time_in_proportion(spark):
+    import time
+
+    rng = random.Random(9)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    labelled = [(i, "api_key = " + "".join(rng.choices(alphabet, k=30)) + " ordinary words of a plain text teach the other model" * 20)
+                for i in range(200)]
+    seconds = []
+    for n in (100_000, 400_000):
+        docs = frame(spark, labelled + [(100, "data " + "".join(rng.choices(alphabet, k=n)))])
+        t0 = time.perf_counter()
+        got = {r.doc_id: r.spans for r in secrets.secret_digests(secrets.find_secrets(docs)).collect()}
+        seconds.append(time.perf_counter() - t0)
+        assert got[100] == f"random:5:{5 + n}"
+    assert seconds[1] < 4 * seconds[0] + 20
+
+
 def check_packing(docs, pieces, window=1024):
-    encode = bpe.encoder(bpe.vocabulary_file("byte_bpe_50k.json"), bpe.default_pattern())
-    ids = [(i, encode(t or "") + b"\0\0\0\0") for i, t in docs]
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    found = library.encode_batch([t or "" for _, t in docs], add_special_tokens=False)
+    ids = [(i, np.array([*e.ids, 0], "<u4").tobytes()) for (i, _), e in zip(docs, found)]
     assert sum(len(x) // 4 for _, x in ids) == sum(p.length for p in pieces)
     by_id = defaultdict(list)
     for i, x in ids:
@@ -199,6 +220,7 @@ def test_packing_of_all_documents(spark):
 
 def test_packing_cases_and_levels(spark):
     rows = AWKWARD + [(100 + i, "some words " * (i % 90)) for i in range(200)]
+    rows += [(400, "a <|endoftext|> b"), (401, "<|endoftext|>" * 3), (402, "<|endoftext|")]
     docs = frame(spark, rows).repartition(23)
     pieces = packing.pack_documents(docs, window=64, n_open=3, merge_group=3).collect()
     assert check_packing(rows, pieces, 64) <= 1
