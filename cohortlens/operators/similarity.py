@@ -8,13 +8,13 @@ pairs:
 * :func:`joint_minmax` - Age min/max over both datasets of each pair;
 * :func:`pair_rows` - each row tagged with every pair it belongs to (side 0
   = first dataset, side 1 = second) and its pair-normalised Age;
-* :func:`match_rank_aligned` - rank both sides by (row sum, id) with a
-  distributed group index and join equal ranks;
+* :func:`match_rank_aligned` - rank every dataset by (row sum, id) with one
+  distributed group index for all pairs and join equal ranks;
 * :func:`nearest_neighbor` - nearest right row for every left row (with
   replacement) on *collapsed cells*: rows with equal features are one cell
   with a count, the five binary findings form a 5-bit pattern, and the
   nearest Age inside each right pattern is an as-of lookup (windows over one
-  bucket of values of one pattern), so no cross product of rows or cells is formed;
+  range of values of one pattern), so no cross product of rows or cells is formed;
 * :func:`distance_summary` - avg / min / max distance and zero-distance share.
 
 Rows with a missing value in a compared column cannot be matched. Every method
@@ -35,13 +35,12 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import mean_abs_distance, minmax_scale, row_sum
 from cohortlens.operators.ranking import group_index
-from cohortlens.session import stored
+from cohortlens.session import default_partitions, stored
 
 # The binary columns and the distance column order of the reference.
 BINARY = ["Gender", "PT", "PTT", "Platelets", "DOA"]
 DIST_COLS = BINARY + ["Age"]
 PAIR = ["ds_a", "ds_b"]
-VALUE_BUCKETS = 256
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str] = DIST_COLS) -> DataFrame:
@@ -125,23 +124,61 @@ def distance_summary(matches: DataFrame, by: Sequence[str] = PAIR, distance: str
         (F.col("n_matched") - F.col("_zero")).cast("long").alias("n_nonzero"))
 
 
+def dataset_ranks(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", cols: Sequence[str] = DIST_COLS,
+                  value: str = "Age") -> DataFrame:
+    """Rows with ``rank`` and ``full_rank``: their places in their dataset by row sum, whatever the pair.
+
+    A row's sum in a pair is its part, the sum of the other columns, which must be whole, and its value scaled to [0, 1].
+    So the order inside a dataset is (part, value, key) in all pairs, but for one tie: where the pair's range is the
+    dataset's own, the highest value of one part has the sum of the lowest of the next, and these rows, a block of
+    consecutive ranks, are in order of key. ``rank`` leaves that tie out and ``full_rank`` has it in. The rows are
+    sorted once; those of the lowest and highest values are numbered again inside their blocks.
+    """
+    rest = [c for c in cols if c != value]
+    total = row_sum(rest)
+    part = F.when(total == F.floor(total), total).otherwise(F.raise_error(F.concat(F.lit("row sums must be whole, not "), total.cast("string"))).cast("double"))
+    rows = complete_rows(df.select(dataset_col, key, *cols), cols).where(F.col(dataset_col).isNotNull()).withColumn("_part", part)
+    ranked = group_index(rows, [dataset_col], ["_part", value, key], "rank")
+    ends = stored(ranked.groupBy(F.col(dataset_col).alias("_ds")).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx")), "ends")
+    ranked = ranked.join(ends, F.col(dataset_col) == F.col("_ds")).drop("_ds")
+    at_end = (F.col(value) == F.col("_mn")) | (F.col(value) == F.col("_mx"))
+    blocks = ranked.where(at_end).withColumn("_block", F.when((F.col(value) == F.col("_mx")) & (F.col("_mx") > F.col("_mn")), F.col("_part") + 1).otherwise(F.col("_part")))
+    again = group_index(blocks, [dataset_col, "_block"], [key, "rank"], "_pos")
+    first = stored(blocks.groupBy(dataset_col, "_block").agg(F.min("rank").alias("_first")), "blocks")
+    again = again.join(first, [dataset_col, "_block"]).withColumn("full_rank", F.col("_first") + F.col("_pos") - 1)
+    keep = [dataset_col, key, *cols, "rank", "full_rank"]
+    return ranked.where(~at_end).withColumn("full_rank", F.col("rank")).select(*keep).unionByName(again.select(*keep))
+
+
 def rank_aligned_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id",
-                         cols: Sequence[str] = DIST_COLS, pairs: Sequence[tuple] | None = None) -> DataFrame:
+                         cols: Sequence[str] = DIST_COLS, pairs: Sequence[tuple] | None = None, value: str = "Age") -> DataFrame:
     """Matched row pairs of the rank-aligned method: (ds_a, ds_b, rank, l_id, r_id, distance).
 
-    Both sides are ranked by (row sum rounded to 9 places, id); ranks are
-    unique, the equi-join on (pair, rank) keeps min(n_a, n_b) pairs of complete
-    rows; rows with a missing value take no part.
+    Both sides are ranked by (row sum, id); ranks are unique, so that min(n_a, n_b) complete rows of every pair meet; rows
+    with a missing value take no part. Ranks come from :func:`dataset_ranks`, once for all pairs, and
+    the join is by rank alone: a row is shuffled once (twice where its two ranks differ), not once a pair, and a
+    rank has one row a dataset.
     """
-    rows = pair_rows(complete_rows(df.select(dataset_col, key, *cols), cols), dataset_col, pairs=pairs)
-    rows = rows.withColumn("_sum9", F.round(row_sum(cols), 9))
-    ranked = group_index(rows, ["ds_a", "ds_b", "side"], ["_sum9", key], "rank")
-    left = ranked.where(F.col("side") == 0).select(*PAIR, "rank", F.col(key).alias("l_id"),
-                                                   *[F.col(c).alias(f"l_{c}") for c in cols])
-    right = ranked.where(F.col("side") == 1).select(*PAIR, "rank", F.col(key).alias("r_id"),
-                                                    *[F.col(c).alias(f"r_{c}") for c in cols])
-    joined = left.join(right, [*PAIR, "rank"])
-    return joined.select(*PAIR, "rank", "l_id", "r_id",
+    ranked = stored(dataset_ranks(df, key, dataset_col, cols, value), "ranks")
+    every = dataset_pairs(ranked, dataset_col, pairs)
+    mm = joint_minmax(ranked, every, value, dataset_col)
+    ext = stored(ranked.groupBy(dataset_col).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx")), "ends")
+    of = lambda ds: ext.select(F.col(dataset_col).alias(ds), F.col("_mn").alias(f"_mn_{ds}"), F.col("_mx").alias(f"_mx_{ds}"))
+    mm = mm.join(of("ds_a"), "ds_a").join(of("ds_b"), "ds_b")
+    whole = lambda ds: ((F.col(f"_mn_{ds}") == F.col("lo")) & (F.col(f"_mx_{ds}") == F.col("hi")))
+    mm = stored(mm.select(*PAIR, "lo", "hi", whole("ds_a").alias("_full_a"), whole("ds_b").alias("_full_b")), "pairs")
+    same = F.col("rank") == F.col("full_rank")
+    uses = F.explode(F.when(same, F.array(F.struct(F.col("rank").alias("at"), F.lit(True).alias("plain"), F.lit(True).alias("full"))))
+                     .otherwise(F.array(F.struct(F.col("rank").alias("at"), F.lit(True).alias("plain"), F.lit(False).alias("full")),
+                                        F.struct(F.col("full_rank").alias("at"), F.lit(False).alias("plain"), F.lit(True).alias("full")))))
+    placed = ranked.withColumn("_u", uses)
+    side = lambda ds, s: placed.select(F.col(dataset_col).alias(ds), F.col("_u.at").alias(f"{s}_at"), F.col("_u.plain").alias(f"{s}_plain"),
+                                       F.col("_u.full").alias(f"{s}_full"), F.col(key).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in cols])
+    left, right = side("ds_a", "l"), side("ds_b", "r")
+    met = left.join(right, (F.col("l_at") == F.col("r_at")) & (F.col("ds_a") < F.col("ds_b"))).join(mm, PAIR)
+    fits = (F.when(F.col("_full_a"), F.col("l_full")).otherwise(F.col("l_plain")) & F.when(F.col("_full_b"), F.col("r_full")).otherwise(F.col("r_plain")))
+    scaled = met.where(fits).withColumns({f"{s}_{value}": minmax_scale(F.col(f"{s}_{value}"), F.col("lo"), F.col("hi")) for s in "lr"})
+    return scaled.select(*PAIR, F.col("l_at").alias("rank"), "l_id", "r_id",
                          mean_abs_distance([f"l_{c}" for c in cols], [f"r_{c}" for c in cols]).alias("distance"))
 
 
@@ -180,15 +217,17 @@ def pair_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age
 
 
 def asof_both(items: DataFrame, by: Sequence[str], value: str = "v", found: str = "rv",
-              buckets: int = VALUE_BUCKETS) -> DataFrame:
+              buckets: int | None = None) -> DataFrame:
     """Add ``_prev`` and ``_next``: the nearest ``found`` (null where a row offers none) at or below, and at or above.
 
-    Values lie in [0, 1]. A row looks at its own bucket of values by two running
-    windows, one each way, both linear; what lies beyond the bucket comes from
-    the buckets' lowest and highest offers, a table of at most ``buckets`` rows
-    a group. So a window holds one bucket of one group.
+    The rows are dealt by ranges of (by, value) into ``buckets`` partitions (as many as shuffles have), whose ends
+    follow the rows: values that crowd in one place are spread as well as others. Inside a partition two running windows, one
+    each way, are linear; what lies beyond comes from the partitions' lowest and highest offers, a row
+    for each partition of a group, carried from one to the next. The dealing is checkpointed, since the
+    windows and the ends must come from the same one.
     """
-    keyed = items.withColumn("_b", F.least(F.floor(F.col(value) * buckets), F.lit(buckets - 1)).cast("int"))
+    n = buckets or default_partitions(items.sparkSession)
+    keyed = items.repartitionByRange(n, *by, value).withColumn("_b", F.spark_partition_id()).checkpoint(eager=True)
     offers = F.col(found).isNotNull()
     up = Window.partitionBy(*by, "_b").orderBy(F.col(value).asc(), offers.desc()).rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*by, "_b").orderBy(F.col(value).desc(), offers.desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -197,7 +236,7 @@ def asof_both(items: DataFrame, by: Sequence[str], value: str = "v", found: str
     below = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     above = Window.partitionBy(*by).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     beyond = ends.select(*by, "_b", F.max("_hi").over(below).alias("_below"), F.min("_lo").over(above).alias("_above"))
-    return (inside.join(beyond, [*by, "_b"])
+    return (inside.join(stored(beyond, "ends"), [*by, "_b"])
             .withColumn("_prev", F.coalesce("_p", "_below")).withColumn("_next", F.coalesce("_n", "_above"))
             .drop("_b", "_p", "_n", "_below", "_above"))
 
