@@ -125,6 +125,28 @@ def match_level(side, pattern, value, free, level, low_open=False, high_open=Fal
     return out
 
 
+def match_sample(left, right, starts, m):
+    """(left, right, distance) by place: each left row in turn takes the nearest of ``m`` free right rows.
+
+    ``left`` and ``right`` are lists of rows of numbers in a random order, ``starts`` a uniform number for each left row: the
+    candidates are the free rows from that share of their order on, going round. The first of equals is taken.
+    """
+    import numpy as np
+
+    table = np.array(right, float)
+    free, out = list(range(len(right))), []
+    for i, (row, u) in enumerate(zip(left, starts)):
+        n = len(free)
+        if not n:
+            break
+        at = int(u * n)
+        places = [(at + j) % n for j in range(min(m, n))]
+        distances = np.abs(table[[free[k] for k in places]] - row).sum(axis=1) / table.shape[1]
+        best = int(distances.argmin())
+        out.append((i, free.pop(places[best]), float(distances[best])))
+    return out
+
+
 def match_pair(side, pattern, value, free, levels=range(LEVELS), low_open=False, high_open=False):
     """(level, difference, rows) of all ``levels`` of one pair of datasets, nearest first; ``free`` is changed in place."""
     out = []

@@ -16,15 +16,14 @@ Both are rebuilt as set-based steps over all pairs at once:
   cell outside its range can touch, and what is left is dealt anew. The
   result is the same, and a round settles all but the cells near the ranges'
   ends, so that their number does not grow with the edges.
-* :func:`match_sampled` - candidate rounds on rows. Each round the
-  remaining right rows get a fresh md5 permutation (distributed group
-  index), every remaining left row looks at ``m`` different ones,
-  keeps the nearest, and each right row accepts the nearest left row that
-  chose it. Candidates always come from rows still free, as in the reference.
-
-Rounds end when a pair has no free rows on one side: in every round each such
-pair matches at least one row, so there is no cap. Tables are stored or
-checkpointed every round (shared folder), so lineage stays short.
+* :func:`match_sampled` - the free rows of a pair are dealt by md5 into buckets,
+  and in its bucket each left row in turn takes the nearest of ``m`` random
+  rows still free, as in the reference. What uneven buckets leave is dealt
+  anew, so that two or three rounds do.
+
+Rounds end when a pair has no free rows on one side: a pair that fits one bucket,
+or one task, is finished in its round, so there is no cap. Tables are stored
+every round (shared folder), so lineage stays short.
 """
 
 from __future__ import annotations
@@ -35,10 +34,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.columns import mean_abs_distance
 from cohortlens.functions.hashing import hash_order, hash_uniform
-from cohortlens.operators.ranking import group_index
-from cohortlens.operators.greedy import LEVELS, match_pair
+from cohortlens.operators.greedy import LEVELS, match_pair, match_sample
 from cohortlens.operators.similarity import (
     BINARY, DIST_COLS, PAIR, collapse_cells, complete_rows, dataset_pairs, distance_summary, joint_minmax, pair_rows, with_incomplete,
 )
@@ -48,6 +45,8 @@ from cohortlens.session import drop_stored, stored
 MAX_TASK_EDGES = 1_000_000_000
 #: Cells that one task of a larger pair holds.
 CHUNK_CELLS = 50_000
+#: Rows of either side in a bucket of the sampled matching, about.
+BUCKET_ROWS = 1000
 
 
 def exact_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
@@ -152,11 +151,6 @@ def _match_in_levels(cells: DataFrame, chunk_cells: int) -> list[DataFrame]:
     return rounds
 
 
-def _active(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs with free rows on both sides."""
-    return stored(left.select(*PAIR).distinct().join(right.select(*PAIR).distinct(), PAIR), "active")
-
-
 def _with_unmatched(matched: DataFrame, totals: DataFrame, weight: str | None) -> DataFrame:
     return (totals.join(distance_summary(matched, weight=weight), PAIR, "left")
             .select(*PAIR, F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "avg_distance", "min_distance",
@@ -190,43 +184,52 @@ def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Ag
 
 
 def sampled_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10, seed: int = 100,
-                    pairs: Sequence[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+                    pairs: Sequence[tuple] | None = None, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
     """Matched rows (ds_a, ds_b, l_id, r_id, distance) of the sampled method, and left rows per pair.
 
-    Candidates of a left row are ``m`` consecutive places of the round's random
-    order, from a place drawn by md5 for (pair, row, round): ``m`` different
-    rows, a fresh draw in every pair and round. Ties go by md5 of both ids.
+    A round deals the free rows of both sides of a pair by md5 into buckets of about ``bucket_rows``; in its
+    bucket each left row in turn, in the order of its md5, takes the nearest of ``m`` rows still free. A
+    bucket is a random part of the pair, so that the candidates are a random sample of its free rows. Only what the buckets'
+    uneven sizes leave goes on to the next round: some 1 / sqrt(bucket_rows) of it.
     """
-    rows = stored(pair_rows(complete_rows(df.select(dataset_col, key, *DIST_COLS)), dataset_col, pairs=pairs), "pair-rows")
-    left = rows.where(F.col("side") == 0).select(*PAIR, F.col(key).alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in DIST_COLS])
-    right = rows.where(F.col("side") == 1).select(*PAIR, F.col(key).alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in DIST_COLS])
-    totals = stored(left.groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_left")), "totals")
-    distance = mean_abs_distance([f"l_{c}" for c in DIST_COLS], [f"r_{c}" for c in DIST_COLS])
-    matched, rnd = None, 0
+    rows = stored(pair_rows(complete_rows(df.select(dataset_col, key, *DIST_COLS)), dataset_col, pairs=pairs)
+                  .select(*PAIR, "side", F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in DIST_COLS]), "pair-rows")
+    totals = stored(rows.where("side = 0").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_left")), "totals")
+    kinds = dict(rows.dtypes)
+    schema = f"{_pair_type(rows)}, side int, _id {kinds['_id']}, {', '.join(f'{c} double' for c in DIST_COLS)}, r_id {kinds['_id']}, distance double"
+
+    def one(key, frame):
+        import pandas as pd
+
+        frame = frame.sort_values(["side", "_h", "_id"])
+        left, right = (frame[frame["side"] == s].reset_index(drop=True) for s in (0, 1))
+        found = match_sample(left[DIST_COLS].to_numpy(float), right[DIST_COLS].to_numpy(float), left["_u"].tolist(), m)
+        i, j = [x[0] for x in found], [x[1] for x in found]
+        taken = left.iloc[i].copy()
+        taken["r_id"], taken["distance"] = right["_id"].iloc[j].to_numpy(), [x[2] for x in found]
+        rest = pd.concat([left.drop(index=i), right.drop(index=j)])
+        return pd.concat([taken, rest]).reindex(columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = [*PAIR, "side", "_id", *DIST_COLS]
+    matched, free, rnd = None, rows, 0
     while True:
-        active = _active(left, right)
-        if active.isEmpty():
+        count = lambda s: F.count_if(F.col("side") == s)
+        sizes = stored(free.groupBy(*PAIR).agg(count(0).alias("nl"), count(1).alias("nr")).where("nl > 0 and nr > 0")
+                       .select(*PAIR, F.ceil(F.greatest("nl", "nr") / F.lit(bucket_rows)).cast("int").alias("_n")), "sizes")
+        if sizes.isEmpty():
             break
         tag = f"{seed}:{rnd}"
-        ranked = group_index(right.join(active, PAIR).withColumn("_h", hash_order("r_id", tag)), PAIR, ["_h", "r_id"], "rk")
-        ranked = ranked.drop("_h")
-        sizes = stored(ranked.groupBy(*PAIR).agg(F.max("rk").alias("n_free")), "free")
-        start = F.floor(hash_uniform(F.concat_ws(":", *PAIR, "l_id"), tag) * F.col("n_free"))
-        place = F.explode(F.sequence(F.lit(0), F.least(F.lit(m), F.col("n_free").cast("int")) - 1))
-        draws = (left.join(sizes, PAIR).withColumn("_j", place)
-                 .withColumn("rk", ((start + F.col("_j")) % F.col("n_free") + 1).cast("long")))
-        tie = F.md5(F.concat_ws(":", "l_id", "r_id", F.lit(tag)))
-        choice = (draws.join(ranked, [*PAIR, "rk"])
-                  .groupBy(*PAIR, "l_id").agg(F.min(F.struct(distance.alias("d"), tie.alias("t"), F.col("r_id").alias("r"))).alias("e")))
-        acc = stored(choice.groupBy(*PAIR, F.col("e.r").alias("r_id"))
-                     .agg(F.min(F.struct(F.col("e.d").alias("d"), F.col("e.t").alias("t"), "l_id")).alias("a"))
-                     .select(*PAIR, "a.l_id", "r_id", F.col("a.d").alias("distance")), "round")
+        name = F.concat_ws(":", *PAIR, "side", "_id")
+        dealt = (free.join(sizes, PAIR).withColumn("_bucket", F.floor(hash_uniform(name, f"bucket:{tag}") * F.col("_n")).cast("int"))
+                 .withColumn("_h", hash_order(name, tag)).withColumn("_u", hash_uniform(name, f"start:{tag}")))
+        out = stored(dealt.groupBy(*PAIR, "_bucket").applyInPandas(one, schema), "round")
+        acc = out.where("distance is not null").select(*PAIR, F.col("_id").alias("l_id"), "r_id", "distance")
         matched = acc if matched is None else matched.unionByName(acc)
-        left = stored(left.join(acc.select(*PAIR, "l_id"), [*PAIR, "l_id"], "left_anti"), "left")
-        right = stored(right.join(acc.select(*PAIR, "r_id"), [*PAIR, "r_id"], "left_anti"), "right")
+        free = out.where("distance is null").select(*columns)
         rnd += 1
     if matched is None:
-        matched = rows.limit(0).select(*PAIR, F.col(key).alias("l_id"), F.col(key).alias("r_id"), F.lit(0.0).alias("distance"))
+        matched = rows.limit(0).select(*PAIR, F.col("_id").alias("l_id"), F.col("_id").alias("r_id"), F.lit(0.0).alias("distance"))
     return matched, totals
 
 

@@ -116,3 +116,35 @@ def test_exact_matching_on_workers_without_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(path)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
     assert done.returncode == 0 and "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_sampled_rounds_are_few_and_distances_right(spark, monkeypatch):
+    """One to one and complete, each distance that of its two rows; buckets far smaller than the table leave little over."""
+    from pyspark.sql import functions as F
+
+    from cohortlens.operators import matching
+    from cohortlens.operators.similarity import BINARY
+
+    n = {1: 1500, 2: 1300, 3: 40}
+    rows = [(ds, ds * 10_000 + i, float((i * 37 + ds) % 71), *[float((i * (ds + 2) >> b) & 1) for b in range(5)]) for ds, k in n.items() for i in range(k)]
+    df = spark.createDataFrame(rows, f"dataset_id int, id long, Age double, {', '.join(f'{c} double' for c in BINARY)}")
+    rounds = []
+    keep = matching.stored
+    monkeypatch.setattr(matching, "stored", lambda d, name: rounds.append(name) or keep(d, name))
+    matched, totals = matching.sampled_matches(df, bucket_rows=60)
+    got = matched.collect()
+    assert rounds.count("round") <= 5
+    by_id = {r[1]: r for r in rows}
+    for (a, b) in ((1, 2), (1, 3), (2, 3)):
+        mine = [r for r in got if (r.ds_a, r.ds_b) == (a, b)]
+        assert len(mine) == min(n[a], n[b]) == len({r.l_id for r in mine}) == len({r.r_id for r in mine})
+        ages = [r[2] for r in rows if r[0] in (a, b)]
+        width = max(ages) - min(ages)
+        for r in mine:
+            x, y = by_id[r.l_id], by_id[r.r_id]
+            assert (x[0], y[0]) == (a, b)
+            assert r.distance == pytest.approx((sum(abs(p - q) for p, q in zip(x[3:], y[3:])) + abs(x[2] - y[2]) / width) / 6)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, matching.sampled_matches(df.repartition(3), bucket_rows=60)[0].collect()))
+    # Ten candidates beat one, and one bucket takes all.
+    far = lambda m: matching.sampled_matches(df, m=m)[0].agg(F.avg("distance")).first()[0]
+    assert far(10) < 0.7 * far(1)
