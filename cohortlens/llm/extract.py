@@ -31,7 +31,7 @@ ARTICLES_WEIGHT = 2
 RAW = frozenset("script style noscript template textarea title iframe svg math object select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside button menu dialog header".split())
-FORMS = frozenset("form fieldset".split())
+FORMS = frozenset("form fieldset label".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot "
                    "th thead tr ul".split())
@@ -109,23 +109,31 @@ def in_parts(lines: list[tuple[str, int, bool, int, int]], marks: list[tuple[int
     return counts
 
 
+def spaced(raw: str) -> str:
+    return " ".join(unescape(raw).split())
+
+
 def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, in boilerplate, number of its article or 0) of each line of the page that has text."""
-    lines: list[tuple[str, int, bool, int, int]] = []
-    words: list[str] = []
-    link_chars = 0
+    """(text, characters in links, in boilerplate, number of its article or 0) of each line of the page that has text.
+
+    Text keeps the marks of all elements around it, so that a button, a hidden span or an advert's link inside a
+    paragraph is left out of the paragraph's line.
+    """
+    lines: list[list[tuple[str, int, tuple[bool, int, int]]]] = []  # runs of text, with (surely boilerplate, likely part, article)
+    runs: list[tuple[str, int, tuple[bool, int, int]]] = []
     stack: list[tuple[str, bool, int, int]] = []  # name, surely boilerplate, likely part, article
     marks: list[tuple[int, int]] = []
     homes: list[int] = []
     opened: Counter = Counter()  # how often a name stands in the stack
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
+
+    def say(text: str) -> None:
+        runs.append((text, len(text.strip()) if opened["a"] else 0, stack[-1][1:] if stack else (False, 0, 0)))
 
     def flush() -> None:
-        nonlocal link_chars
-        text = " ".join(unescape("".join(words)).split())
-        if text:
-            lines.append((text, link_chars, *(stack[-1][1:] if stack else (False, 0, 0))))
-        words.clear()
-        link_chars = 0
+        if any(not text.isspace() for text, _, _ in runs):
+            lines.append(runs.copy())
+        runs.clear()
 
     def close(at: int) -> None:
         if any(x[0] in BLOCKS for x in stack[at:]):
@@ -136,14 +144,12 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
     at, last = 0, html.rfind(">") + 1
     while at < len(html):
         if at >= last:  # no tag can end any more
-            words.append(html[at:].partition("<!--")[0])
+            say(html[at:].partition("<!--")[0])
             break
         m = TOKEN.match(html, at)
         at = m.end()
         if m["text"] is not None:
-            words.append(m["text"])
-            if opened["a"]:
-                link_chars += len(m["text"].strip())
+            say(m["text"])
         elif m["name"]:
             name = m["name"].lower()
             if m["close"]:
@@ -161,9 +167,11 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
                 continue
             if name in RAW:
                 # Raw elements end at their own end tag, or with the head or page.
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                end = None if name in endless else re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                if not end:
+                    endless.add(name)
                 at = end.end() if end else (len(html) if name != "head" else at)
-                words.append(" ")
+                say(" ")
                 continue
             if name in BLOCKS:
                 ends = {"p"} | CLOSED_BY_SELF.get(name, set())  # an open paragraph or item ends where the next block begins
@@ -175,7 +183,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
                         break
                 flush()
             elif name == "br":
-                words.append(" ")
+                say(" ")
             if name not in VOID and not m["attrs"].endswith("/"):
                 _, sure, part, article = stack[-1] if stack else ("", False, 0, 0)
                 if not article and (name in ("article", "main") or re.search(r"\brole\s*=\s*[\"']?(main|article)\b", m["attrs"], re.I)):
@@ -188,8 +196,28 @@ def page_lines(html: str) -> list[tuple[str, int, bool, int]]:
                 stack.append((name, sure or kind == SURE, part, article))
                 opened[name] += 1
     flush()
-    counts = in_parts(lines, marks, homes)
-    return [(text, linked, sure or counts[mark], article) for text, linked, sure, mark, article in lines]
+    held = []
+    for line in lines:
+        by_state: dict[tuple[bool, int, int], list] = {}
+        for text, linked, state in line:
+            by_state.setdefault(state, []).append((text, linked))
+        for state, parts in by_state.items():
+            if text := spaced("".join(t for t, _ in parts)):
+                held.append((text, sum(n for _, n in parts), *state))
+    counts = in_parts(held, marks, homes)
+    out = []
+    for line in lines:
+        kept = [not sure and not counts[part] for _, _, (sure, part, _) in line]
+        text = spaced("".join(t if k else " " for (t, _, _), k in zip(line, kept)))
+        if not text:  # all of it is boilerplate
+            kept, text = [True] * len(line), spaced("".join(t for t, _, _ in line))
+            sure = True
+        else:
+            sure = False
+        if text:
+            first = next(state for (t, _, state), k in zip(line, kept) if k and spaced(t))
+            out.append((text, sum(n for (_, n, _), k in zip(line, kept) if k), sure, first[2]))
+    return out
 
 
 def regions(size: list[int], window: int) -> list[tuple[int, list[int]]]:

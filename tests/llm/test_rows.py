@@ -224,12 +224,43 @@ def test_extraction_compares_articles_with_text_beside_them(html, text):
     assert got.startswith(text) and len(got) < len(text) + 40
 
 
+@pytest.mark.parametrize("inline", [
+    "<button>Subscribe</button>", "<span class='ad'>Buy now</span>", "<a class='ad' href=x>Buy now</a>", "<a class='share' href=x>Tweet</a>",
+    "<span hidden>secret words</span>", "<label>Your name</label>", "<i role=alert>Careful</i>", "<b><span class='newsletter-signup'>Join <u>us</u></span></b>"])
+def test_extraction_leaves_inline_boilerplate_out(inline):
+    assert extract.extract_text(f"<article><p>Body one.</p>{inline}<p>Body two.</p></article>") == "Body one.\n\nBody two."
+    assert extract.extract_text(f"<article><p>Body one, {inline} still one.</p><p>Body two.</p></article>") == "Body one, still one.\n\nBody two."
+    assert extract.extract_text(f"<div><p>{'Body one ' * 30}{inline}</p><p>Body two.</p></div>") == ("Body one " * 30).strip() + "\n\nBody two."
+
+
+def test_extraction_regions_against_definitions():
+    """Surge and dive by their definitions, line by line: a window's sum leaves zero, and comes back to it."""
+    rng = random.Random(8)
+    for _ in range(400):
+        window, floor = rng.randrange(1, 5), rng.choice([1, 20, 80])
+        lines = [("x" * rng.choice([0, 1, 5, 30, 90]) or "y" * 7, 0, rng.random() < 0.5, 0) for _ in range(rng.randrange(1, 30))]
+        size = [0 if boiler else len(t) for t, _, boiler, _ in lines]
+        sums = [sum(size[i:i + window]) for i in range(len(size))]
+        want = []
+        least = min(floor, max(sums))
+        for j, n in enumerate(size):
+            if n:
+                lo = hi = j  # a window that starts at a counting line is not zero
+                while lo and sums[lo - 1]:
+                    lo -= 1
+                while hi + 1 < len(sums) and sums[hi + 1]:
+                    hi += 1
+                if max(sums[lo:hi + 1]) >= least:
+                    want.append(lines[j][0])
+        assert extract.main_lines(lines, window, floor) == want
+
+
 @pytest.mark.parametrize("html", ["<div class=ad>x" * 20_000, "<div class='" + "ad-" * 30_000 + "!'>x", "<article>x" * 20_000])
 def test_extraction_of_nested_parts_is_linear(html):
     test_extraction_is_linear(html)
 
 
-@pytest.mark.parametrize("html", ["<a " * 30_000, '<a "' * 30_000, "<" * 50_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" * 20_000 + "x"])
+@pytest.mark.parametrize("html", ["<a " * 30_000, '<a "' * 30_000, "<" * 50_000, "<b>" * 20_000 + "</i>" * 20_000, "<p>" * 20_000 + "x", "<head>" * 40_000, "<p>a <i>b</i>" * 20_000])
 def test_extraction_is_linear(html):
     import time
 
