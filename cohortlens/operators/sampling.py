@@ -39,7 +39,7 @@ def exact_sample(df: DataFrame, n: int | str | Column, key: str, by: Sequence[st
     quotas = base.groupBy(*strata).agg(F.first(quota).cast("long").alias("_cl_quota")).select(
         *strata, F.lit("row").alias("_cl_item"), F.lit(0).alias("_cl_slot"), "_cl_quota")
     cuts = quota_cuts(base.select(*strata, F.lit("row").alias("_cl_item"), digest.alias("_cl_h"), key), strata, key, quotas)
-    return base.join(F.broadcast(cuts), strata).where(inside("row", 0, digest, key)).select(*df.columns)
+    return base.join(cuts, strata).where(inside("row", 0, digest, key)).select(*df.columns)
 
 
 def holdout_split(df: DataFrame, key: str, train_fraction: float = 0.7, seed: int = 5043,

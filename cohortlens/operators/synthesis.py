@@ -132,7 +132,7 @@ def assign_outcome(skeleton: DataFrame, quotas: DataFrame, by: Sequence[str] = (
     rows = skeleton.select(*by, F.lit(outcome).alias("_cl_item"), digest.alias("_cl_h"), key)
     slots = quotas.select(*by, F.lit(outcome).alias("_cl_item"), F.lit(0).alias("_cl_slot"), F.col(dead_col).alias("_cl_quota"))
     cuts = quota_cuts(rows, list(by), key, slots)
-    return (skeleton.join(F.broadcast(cuts), list(by), "left")
+    return (skeleton.join(cuts, list(by), "left")
             .withColumn(outcome, F.when(inside(outcome, 0, digest, key), F.lit(0.0)).otherwise(F.lit(1.0))).drop("_cl_cuts"))
 
 
@@ -162,7 +162,7 @@ def quota_assign(df: DataFrame, cells: DataFrame, features: Sequence[str], by: S
              .select(*by, F.col("_cl_s.d").alias("_cl_dead"), "_cl_item", quota.alias("_cl_q"))
              .select(*strata, "_cl_item", F.col("_cl_q.slot").alias("_cl_slot"), F.col("_cl_q.q").alias("_cl_quota")))
     cuts = quota_cuts(long, strata, key, slots)
-    labelled = flagged.join(F.broadcast(cuts), strata, "left")
+    labelled = flagged.join(cuts, strata, "left")
     values = [F.when(inside(f, 0, d, key), F.lit(0.0)).when(inside(f, 1, d, key), F.lit(1.0)).alias(f) for f, d in digests.items()]
     return labelled.select(*base.columns, *values)
 
@@ -234,12 +234,12 @@ def independent_marginals(skeleton: DataFrame, by: Sequence[str] = ("dataset_id"
     base = skeleton.select(*by, key)
     first = quota_cuts(long(base, items, "", {}), list(by), key,
                        slots({"Gender": counts["male"], **{x: counts["labs"][x][0] for x in labs}}))
-    drawn = base.join(F.broadcast(first), list(by), "left").select(
+    drawn = base.join(first, list(by), "left").select(
         *by, key, *[inside(x, 0, digest(x, ""), key).alias(f"_cl_in_{x}") for x in items])
     second = quota_cuts(long(drawn, labs, "low:", {x: F.col(f"_cl_in_{x}") for x in labs}), list(by), key,
                         slots({x: counts["labs"][x][1] for x in labs}))
     low = lambda x: F.when(inside(x, 0, digest(x, "low:"), key), F.lit(0.0)).otherwise(F.lit(1.0))
-    return drawn.join(F.broadcast(second), list(by), "left").select(
+    return drawn.join(second, list(by), "left").select(
         *by, key, F.when(F.col("_cl_in_Gender"), F.lit(1.0)).otherwise(F.lit(0.0)).alias("Gender"),
         *[F.when(F.col(f"_cl_in_{x}"), low(x)).alias(x) for x in labs])
 
