@@ -5,11 +5,12 @@ Here a global index is built from a range-partitioned sort instead:
 
 1. ``repartitionByRange`` + ``sortWithinPartitions`` on the ordering keys
    (Spark samples the full compound key, so a hot leading value is split);
-2. each row's position inside its partition, then a reliable
-   ``checkpoint()`` (shared ``spark.checkpoint.dir``). Positions and
-   per-partition counts must come from one realisation of the sort: the
-   range partitioner's sample is seeded by RDD id, so two branches over the
-   same logical plan may cut the key space differently;
+2. the sorted partitions are written once as Parquet, one file each (shared
+   ``spark.checkpoint.dir``), and a row's position is its number in its file.
+   Positions and per-partition counts must come from one realisation of the
+   sort: the range partitioner's sample is seeded by RDD id, so two branches
+   over the same logical plan may cut the key space differently. Readers
+   prune the columns that they do not need;
 3. per-partition row counts (one row per partition: a proven size bound,
    safe to broadcast) turned into prefix offsets.
 """
@@ -21,9 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import default_partitions, stored
-
-_POS_SHIFT = 1 << 33  # monotonically_increasing_id = partition << 33 | position
+from cohortlens.session import default_partitions, scratch_path, stored
 
 
 def _sort_col(c: str | Column) -> Column:
@@ -31,14 +30,13 @@ def _sort_col(c: str | Column) -> Column:
 
 
 def _positions(df: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
-    """Range-partitioned, sorted rows with (partition id, position), materialised."""
-    ranged = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_cl_pid", F.spark_partition_id())
-              .withColumn("_cl_pos", F.monotonically_increasing_id()
-                          - F.col("_cl_pid").cast("long") * F.lit(_POS_SHIFT)))
-    # Cut lineage: the summary and the rows then read the same materialised sort.
-    return ranged.checkpoint(eager=True)
+    """Range-partitioned, sorted rows with (partition id, position), written once and read back."""
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_cl_pid", F.spark_partition_id())
+    path = scratch_path(spark, "sorted")
+    # One file a partition, so that the row's number in its file is its position.
+    ranged.write.option("maxRecordsPerFile", 0).parquet(path)
+    return spark.read.schema(ranged.schema).parquet(path).select("*", F.col("_metadata.row_index").alias("_cl_pos"))
 
 
 def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str | Column],
@@ -50,9 +48,10 @@ def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     group) - at most partitions + groups - 1 rows - gives each group's rows
     in earlier partitions and its first position in this one:
     index = rows before + (position - first position) + start.
-    Without groups the summary has one row per partition (a proven bound)
-    and is broadcast; with groups it is stored, so that the planner chooses the
-    join by its real size.
+    The result reads the written table: it can be kept and queried again
+    without another sort, until ``session.drop_scratch``. Without groups the
+    summary has one row per partition (a proven bound) and is broadcast; with
+    groups the planner chooses the join by the stored summary's real size.
     """
     spark = df.sparkSession
     n = num_partitions or default_partitions(spark)
@@ -65,7 +64,8 @@ def group_index(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[s
     before = spec.orderBy("_cl_pid").rowsBetween(Window.unboundedPreceding, -1)
     base = (F.coalesce(F.sum("_cl_n").over(before), F.lit(0)) - F.col("_cl_first")).alias("_cl_base")
     offsets = summary.select("_cl_pid", *[F.col(c).alias(f"_cl_k_{c}") for c in group_cols], base)
-    offsets = stored(offsets, "offsets") if group_cols else F.broadcast(offsets)
+    offsets = stored(offsets, "offsets")
+    offsets = offsets if group_cols else F.broadcast(offsets)
     cond = ranked["_cl_pid"] == offsets["_cl_pid"]
     for c in group_cols:
         cond = cond & ranked[c].eqNullSafe(offsets[f"_cl_k_{c}"])
@@ -108,6 +108,27 @@ def running_total(df: DataFrame, order_col: str, value_cols: Sequence[str], fano
     return out.drop("_cl_sb", *[f"_cl_in_{v}" for v in value_cols], *[f"_cl_o_{v}" for v in value_cols])
 
 
+def value_ranks(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(*by, column, value, rank) of every value of numeric ``cols`` within each group: average rank with ties.
+
+    Rows are counted by value first (``weight`` holds a row's multiplicity), so only distinct values are ordered. A null
+    is a value, the smallest. Without groups the values get a distributed index and prefix sums, with groups one window
+    over a group's distinct values.
+    """
+    by = list(by)
+    entries = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
+    long = df.select(*by, (F.col(weight) if weight else F.lit(1)).cast("long").alias("n"), F.expr(f"stack({len(cols)}, {entries}) as (column, value)"))
+    counts = long.groupBy(*by, "column", "value").agg(F.sum("n").alias("n"))
+    if by:
+        w = Window.partitionBy(*by, "column").orderBy(F.col("value").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumn("rank", F.sum("n").over(w) - (F.col("n") - 1) / 2.0).drop("n")
+    upto = running_total(global_index(counts, ["column", "value"], "_cl_at"), "_cl_at", ["n"])
+    # All columns have as many rows: the rows of the columns before are a multiple of that number.
+    first = stored(upto.groupBy(F.col("column").alias("_cl_c")).agg(F.min(F.col("n_cum") - F.col("n")).alias("_cl_first")), "firsts")
+    return (upto.join(first, F.col("column") == F.col("_cl_c"))
+            .select("column", "value", (F.col("n_cum") - F.col("_cl_first") - (F.col("n") - 1) / 2.0).alias("rank")))
+
+
 def average_rank(df: DataFrame, cols: Sequence[str], partition_cols: Sequence[str] = (),
                  suffix: str = "_rank") -> DataFrame:
     """Average rank with ties of each column within each partition (Spearman's ranks).

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,11 +66,40 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/cohortlens-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _file_system(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the tables that this library has written below the shared folder; no DataFrame may still read them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/cohortlens-scratch")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _DERIVED.clear()
+    files, path = _file_system(spark, f"{checkpoint_dir(spark).rstrip('/')}/cohortlens-scratch")
+    files.delete(path, True)
+
+
+_DERIVED: dict[tuple, tuple] = {}
+
+
+def derived_once(spark: SparkSession, source: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()``, a written table derived from the table at path ``source``; made once a session.
+
+    It is made anew when ``source`` has another time of change or size (a folder changes when files come or go), or
+    when its files are gone. ``drop_scratch`` forgets it.
+    """
+    files, path = _file_system(spark, source)
+    status = files.getFileStatus(path)
+    key = (id(spark), checkpoint_dir(spark), str(status.getPath()), name)
+    version = (status.getModificationTime(), status.getLen())
+    kept = _DERIVED.get(key)
+    if kept is None or kept[0] != version or not all(_exists(spark, f) for f in kept[1].inputFiles()[:1]):
+        kept = _DERIVED[key] = (version, make())
+    return kept[1]
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    files, path = _file_system(spark, name)
+    return files.exists(path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -85,11 +115,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def drop_stored(df: DataFrame) -> None:
     """Delete the tables below the scratch folder that ``df`` reads; no DataFrame may still read them."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if "/cohortlens-scratch/" in path:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    for name in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if "/cohortlens-scratch/" in name:
+            files, path = _file_system(df.sparkSession, name)
+            files.delete(path, True)
 
 
 def default_partitions(spark: SparkSession) -> int:

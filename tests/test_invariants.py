@@ -178,6 +178,60 @@ def test_quota_cuts_equal_ranks(spark):
                    (1, 1.0, None): 1297, (2, 0.0, None): 100, (2, 1.0, None): 2566}
 
 
+def test_spearman_on_counts_with_gaps_and_without_blocks(spark):
+    from cohortlens.operators.ranking import average_rank
+    from cohortlens.operators.stats import corr_matrix
+    df = spark.range(0, 3000).selectExpr("cast(if(id % 3 = 0, null, id % 2) as int) as g", "if(id % 11 = 0, null, cast(pmod(hash(id), 40) as double)) as a",
+                                         "pmod(hash(id, 1), 7) as b", "1.0D as constant", "if(id % 5 = 0, 'NaN', cast(id as double) / 7) as c")
+    df = df.withColumn("c", F.col("c").cast("double"))
+    cols, varied = ["a", "b", "constant", "c"], ["a", "b", "c"]
+    for by, most in ((["g"], 10_000), (["g"], 0), ([], 0)):
+        got = {(r[0] if by else None, r.feature_a, r.feature_b): r.value for r in corr_matrix(df, cols, by, "spearman", None, most).collect()}
+        ranked = average_rank(df.withColumn("p", F.lit(1)), cols, by or ["p"])
+        means = ranked.groupBy(*by).agg(*[F.corr(f"{a}_rank", f"{b}_rank").alias(f"{a}.{b}") for a in varied for b in varied])
+        for r in means.collect():
+            for a in cols:
+                for b in cols:
+                    value = got[r[0] if by else None, a, b]
+                    want = 1.0 if a == b else None if "constant" in (a, b) else pytest.approx(r[f"{a}.{b}"], abs=1e-9)
+                    assert value == want, (a, b)
+    assert corr_matrix(df.limit(0), cols, ["g"], "spearman").count() == 0
+
+
+def test_index_is_kept_and_read_by_columns(spark):
+    df = spark.range(0, 20_000).selectExpr("pmod(hash(id), 1000) as k", "id as t", "cast(id as string) as wide")
+    g = global_index(df, ["k", "t"], "i", num_partitions=7)
+    assert sum("/sorted-" in f for f in g.inputFiles()) == 7
+    want = df.toPandas().sort_values(["k", "t"])["t"].tolist()
+    for n in ("8k", "1m"):  # however the files are split over tasks
+        spark.conf.set("spark.sql.files.maxPartitionBytes", n)
+        try:
+            got = g.orderBy("i").toPandas()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert got["t"].tolist() == want and got["i"].tolist() == list(range(1, 20_001))
+    plan = g.select("i", "t")._jdf.queryExecution().executedPlan().toString()
+    assert "wide" not in plan and "Sort" not in plan
+
+
+def test_cohort_index_is_sorted_once_a_table(spark, tmp_path):
+    import time
+
+    from cohortlens.session import drop_scratch
+    from cohortlens.sources.testdata import cohort, load_table
+    rows = load_table(spark, "/root/testdata/sf0.001", "lineitem")
+    rows.limit(100).write.parquet(f"{tmp_path}/lineitem.parquet")
+    once = cohort(spark, str(tmp_path), with_index=True)
+    again = cohort(spark, f"{tmp_path}/", with_index=True)
+    assert sorted(once.inputFiles()) == sorted(again.inputFiles())
+    time.sleep(0.01)
+    rows.limit(150).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    assert cohort(spark, str(tmp_path), with_index=True).count() == 150  # a table written anew is sorted anew
+    drop_scratch(spark)
+    after = cohort(spark, str(tmp_path), with_index=True)
+    assert [r.id for r in after.orderBy("id").collect()] == list(range(1, 151))
+
+
 def test_average_rank_without_partitions(spark):
     from cohortlens.operators.ranking import average_rank
     df = spark.range(0, 500).select("id", F.when(F.col("id") % 9 != 0, F.col("id") % 7).alias("v"))
