@@ -1,11 +1,11 @@
 """Secret scans in DataFrame functions alone.
 
 Base rules are regular expressions. Further secrets come from two character Markov models, one of random strings (the
-values that the base rules find) and one of ordinary identifiers (other word-like strings): a candidate is a secret if
-the log-likelihood ratio of the two is high enough.
+values that the base rules find) and one of ordinary identifiers (other word-like strings): a run of 8 or more characters
+with a letter is a secret if the log-likelihood ratio of the two is high enough.
 
 Positions come from splitting a text at a rule's matches: a match starts after all earlier gaps and matches. Only
-texts with a match go that way.
+texts with a match go that way; the others pass as one row without a text.
 """
 
 from __future__ import annotations
@@ -26,12 +26,11 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: What the models see; letters count in small form.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: A run of 16 or more such characters with a letter, and with a digit or a small letter before a capital one.
-CANDIDATE = (r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[A-Za-z+/_=-]*+[0-9]|[A-Z+/_=-]*+[a-z][a-z+/_=-]*+[A-Z])"
-             r"[A-Za-z0-9+/_=-]{16,}")
+#: A run of 8 or more such characters with a letter.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{8,}"
 IDENTIFIER = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_]{3,}(?![A-Za-z0-9+/_=-])"
 MAX_TRAIN_DOCS = 20_000
-MIN_RATIO = 10_000_000
+MIN_RATIO = 12_000_000
 MIN_RATIO_PER_STEP = 400_000
 
 
@@ -69,15 +68,18 @@ def train_ratios(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> list[int]:
     return [round(1e6 * (r - i)) for r, i in zip(*logs)]
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _matches(kind: int, pattern: str, good: str, value: int = 0) -> str:
     """SQL for the array of (kind, nth, gap, size, good) of a rule's matches.
 
     ``good`` is SQL over ``m.hit``, the match, and ``m.value``, the pattern's group ``value``. Gaps and matches are zipped,
     so that each pattern runs over a text a fixed number of times.
     """
-    quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    zipped = (f"arrays_zip(split(text, '{quoted}', -1), regexp_extract_all(text, '{quoted}', 0), "
-              f"regexp_extract_all(text, '{quoted}', {value}))")
+    quoted = _quoted(pattern)
+    zipped = f"arrays_zip(split(text, {quoted}, -1), regexp_extract_all(text, {quoted}, 0), regexp_extract_all(text, {quoted}, {value}))"
     return (f"transform(filter(transform({zipped}, z -> named_struct('gap', z.`0`, 'hit', z.`1`, 'value', z.`2`)), m -> m.hit is not null), (m, i) -> named_struct('kind', {kind}, 'nth', i, "
             f"'gap', cast(length(m.gap) as bigint), 'size', cast(length(m.hit) as bigint), 'good', {good}))")
 
@@ -87,22 +89,29 @@ def find_secrets(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rati
     """doc_id and secrets, an array of (start, end, kind) in text order, of every document.
 
     Kinds are assign, access, hex (base rules) and random (Markov models). Positions are code points, the end
-    exclusive. A random span that overlaps a base span is not given. A null text counts as empty. Repeated rows each
-    get a row; other columns are ignored. Without any labelled sample both models are uniform and give no span.
+    exclusive. Letters are scored in small form: capitals are rare in identifiers, so that a model with case calls headings
+    and names in capitals random. A random span that overlaps a base span is not given. A null text counts as empty.
+    Repeated rows each get a row; other columns are ignored. Without any labelled sample both models are uniform and give no span.
     """
     docs = docs.select("doc_id", "text")
     ratios = train_ratios(docs, max_train_docs)
-    any_rule = f"{ASSIGN}|{ACCESS}|{HEX}|{CANDIDATE}"
-    may = F.coalesce(F.col("text").rlike(any_rule), F.lit(False))
     model = f"cast(split('{','.join(map(str, ratios))}', ',') as array<bigint>)"
-    # Split once into characters and folded over their pairs, so that a run costs its length.
-    codes = f"transform(split(lower(m.hit), ''), x -> instr('{ALPHABET}', x) - 1)"
-    pairs = f"zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x * {len(ALPHABET)} + y)"
-    ratio = f"aggregate(transform(array({codes}), c -> {pairs})[0], 0L, (a, i) -> a + get({model}, i))"
+
+    def scored(run: str) -> str:
+        # Split once into characters and folded over their pairs, so that a run costs its length.
+        codes = f"transform(split(lower({run}), ''), x -> instr('{ALPHABET}', x) - 1)"
+        pairs = f"zip_with(slice(c, 1, size(c) - 1), slice(c, 2, size(c) - 1), (x, y) -> x * {len(ALPHABET)} + y)"
+        ratio = f"aggregate(transform(array({codes}), c -> {pairs})[0], 0L, (a, i) -> a + get({model}, i))"
+        return f"{ratio} >= greatest({min_ratio}L, {min_ratio_per_step}L * (length({run}) - 1))"
+
+    # Every run is scored where its text lies; only texts with a match are taken apart into positions.
+    runs = f"array_distinct(regexp_extract_all(text, {_quoted(CANDIDATE)}, 0))"
+    docs = docs.withColumn("odd", F.expr(f"coalesce(exists({runs}, r -> {scored('r')}), false)"))
+    any_rule = f"odd or coalesce(rlike(text, {_quoted(f'{ASSIGN}|{ACCESS}|{HEX}')}), false)"
     rules = [_matches(0, ASSIGN, "length(m.value) >= 6", 2), _matches(1, ACCESS, "true"), _matches(2, HEX, "true"),
-             _matches(3, CANDIDATE, f"{ratio} >= greatest({min_ratio}L, {min_ratio_per_step}L * (length(m.hit) - 1))")]
-    cells = (docs.where(may).withColumn("row", F.monotonically_increasing_id())
-             .select("row", "doc_id", F.explode_outer(F.expr(f"concat({', '.join(rules)})")).alias("s"))
+             f"if(odd, {_matches(3, CANDIDATE, scored('m.hit'))}, array())"]
+    cells = (docs.withColumn("row", F.monotonically_increasing_id())
+             .select("row", "doc_id", F.explode_outer(F.expr(f"if({any_rule}, concat({', '.join(rules)}), null)")).alias("s"))
              .select("row", "doc_id", "s.*"))
     before = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = (cells.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(before))
@@ -116,12 +125,10 @@ def find_secrets(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS, min_rati
         F.coalesce(F.min(F.when(base, F.col("start"))).over(behind), F.lit(1 << 62)) >= F.col("end"))
     spans = spans.withColumn("good", F.col("good") & ((F.col("kind") < 3) | clear))
     names = F.array(*[F.lit(k) for k in KINDS])
-    found = (spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"),
-                                      F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("start", "kind", "end")))).alias("s"))
-             .select("doc_id", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
-                                                                   F.get(names, x["kind"]).alias("kind"))).alias("secrets")))
-    none = docs.where(~may).select("doc_id", F.array().cast(found.schema["secrets"].dataType).alias("secrets"))
-    return found.unionByName(none)
+    return (spans.groupBy("row").agg(F.first("doc_id").alias("doc_id"),
+                                     F.array_sort(F.collect_list(F.when(F.col("good"), F.struct("start", "kind", "end")))).alias("s"))
+            .select("doc_id", F.transform("s", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"),
+                                                                  F.get(names, x["kind"]).alias("kind"))).alias("secrets")))
 
 
 def secret_digests(found: DataFrame) -> DataFrame:

@@ -153,7 +153,11 @@ def test_random_spans_against_brute_force(spark):
     ratios = secrets.train_ratios(docs)
     n, at = len(secrets.ALPHABET), {c: i for i, c in enumerate(secrets.ALPHABET)}
     rng = random.Random(9)
-    tokens = ["".join(rng.choice("abcXYZ019_-") for _ in range(rng.randint(16, 40))) for _ in range(60)]
+    tokens = ["".join(rng.choice("abcXYZ019_-") for _ in range(rng.randint(8, 40))) for _ in range(60)]
+    small, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    one_case = ["".join(rng.choices(a, k=k)) for a, k in ((small, 20), (small.upper(), 24), (mixed, 14)) for _ in range(30)]
+    plain = ["CONCLUSION", "HttpRequestHandler", "getElementById", "DISCLAIMER", "README_FIRST", "2024-01-15", "1234567890123456"]
+    tokens += one_case + plain
     rows = docs.union(spark.createDataFrame([(-1 - i, f" {t} ") for i, t in enumerate(tokens)], "doc_id long, text string"))
     ratios = secrets.train_ratios(rows)
     got = {r.doc_id: r.spans for r in secrets.secret_digests(secrets.find_secrets(rows)).collect()}
@@ -164,6 +168,8 @@ def test_random_spans_against_brute_force(spark):
         good = m and total >= max(secrets.MIN_RATIO, secrets.MIN_RATIO_PER_STEP * (len(t) - 1)) and not base_secrets(t)
         if not base_secrets(t):
             assert got[-1 - i] == (f"random:1:{1 + len(t)}" if good else ""), t
+    assert sum(got[-61 - i] != "" for i in range(90)) >= 70
+    assert not any(got[-151 - i] for i in range(len(plain)))
 
 
 def test_long_runs_take_time_in_proportion(spark):
