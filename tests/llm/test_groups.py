@@ -272,6 +272,8 @@ def test_vectors_against_brute_force(spark):
     true = sum(n for n, _ in want.values())
     assert sum(min(found[i][0], want[i][0]) for i in want) >= 0.99 * true
     assert all(found[i][0] <= want[i][0] for i in want)
+    poor = vectors.near_duplicate_vectors(df, shard_nodes=150, block_nodes=100, block_queries=130, probes=1, degree=1, min_recall=1.1).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in poor if r.vec_id is not None} == want  # ends by comparing whole blocks
     assert sum(found[i][1] == want[i][1] for i in want) >= 0.995 * len(want)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
     assert vectors.near_duplicate_vectors(df.limit(0)).count() == 0
@@ -283,14 +285,71 @@ def test_vectors_whole_table(spark):
     assert got == brute_vectors(rows)
 
 
+def searched(queries, own, x, **options):
+    a, b, n = vectors.range_search(queries, own, x, vectors.robust_prune(x), 0.9, **options)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    found = np.zeros((len(queries), len(x)), bool)
+    found[a, b] = True
+    return found, n / max(1, len(queries))
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_graph_search_finds_the_range():
     rng = np.random.Generator(np.random.PCG64(8))
     x = rng.normal(size=(600, 24))
     x[300:] = x[:300] + 0.2 * rng.normal(size=(300, 24))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    found = vectors.range_search(x, np.arange(600), x, vectors.robust_prune(x), 0.9)
+    x = unit(x)
     true = x @ x.T >= 0.9
-    assert (found & true).sum() >= 0.999 * true.sum()
+    members, _ = searched(x, np.arange(600), x)
+    strangers, _ = searched(x, np.full(600, -1), x)
+    assert not (members & ~true).any() and not (strangers & ~true).any()
+    assert (members & true).sum() >= 0.999 * true.sum() and (strangers & true).sum() >= 0.99 * true.sum()
+    assert (searched(x, np.full(600, -1), x, beam=600)[0] == true).all()  # everything is compared
+    assert (searched(x[:7], np.full(7, -1), x, share=3, beam=600)[0] == true[:7]).all()
+
+
+def test_graph_search_visits_few_nodes():
+    rng = np.random.Generator(np.random.PCG64(9))
+    visits = []
+    for n in (500, 4000):
+        x = rng.normal(size=(n, 48))
+        x[n // 2:] = x[:n // 2] + 0.2 * rng.normal(size=(n // 2, 48))
+        x = unit(x)
+        found, visited = searched(x[::4], np.arange(0, n, 4), x)
+        assert (found == (x[::4] @ x.T >= 0.9)).all()
+        visits.append(visited)
+    assert visits[1] < 2 * visits[0] and visits[1] < 4000 / 10
+
+
+def test_graph_search_in_a_dense_ball():
+    rng = np.random.Generator(np.random.PCG64(10))
+    x = unit(rng.normal(size=(1, 16)) + 0.1 * rng.normal(size=(800, 16)))
+    found, visited = searched(x, np.arange(800), x)
+    assert (found == (x @ x.T >= 0.9)).all() and visited < 2 * 800  # bounded by comparing all, not by its edges
+
+
+def test_graph_search_passes_over_far_blocks():
+    rng = np.random.Generator(np.random.PCG64(11))
+    x = unit(np.eye(16)[:1] + 0.05 * rng.normal(size=(300, 16)))
+    far = unit(np.eye(16)[1:2] + 0.05 * rng.normal(size=(50, 16)))
+    found, visited = searched(far, np.full(50, -1), x)
+    assert not found.any() and visited <= 16
+
+
+def test_recall_is_audited_by_query(spark):
+    """A ball of 200 found links must not hide pairs that were missed."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    ball, pairs = rng.normal(size=16) + 0.05 * rng.normal(size=(60, 16)), rng.normal(size=(20, 16))
+    x = np.concatenate([ball, pairs, pairs + 0.01 * rng.normal(size=(20, 16))])
+    nodes = vectors.nodes_of(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    nodes = nodes.selectExpr("key", "dim", "vec", "vec_id rep", "1L copies")
+    links = nodes.where("rep < 60").selectExpr("key", "59L links")
+    assert abs(vectors.audit_recall(nodes, links, 100, 0.9) - 0.6) < 1e-9
+    assert vectors.audit_recall(nodes, links.union(nodes.where("rep >= 60").selectExpr("key", "1L links")), 100, 0.9) == 1.0
+    assert vectors.audit_recall(nodes.where("rep = 60"), links, 1, 0.9) == 1.0
 
 
 def test_licences_cases(spark):
