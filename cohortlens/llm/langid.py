@@ -1,6 +1,6 @@
 """Language identification with hyperdimensional letter n-gram profiles.
 
-Every letter slot has a fixed random vector of +1/-1. A trigram's vector is
+Every letter of every script has a fixed random vector of +1/-1 of its own. A trigram's vector is
 the first letter's rotated twice, times the second's rotated once, times the
 third's (binding by permutation). A document is the sum of its trigrams'
 vectors (bundling); a language's prototype is the sum of its training
@@ -20,8 +20,9 @@ DIMENSIONS = 1024
 MAX_TRAIN_DOCS = 40_000
 FOLDS = 5
 UNKNOWN = "und"
-SLOTS = 512
 BLOCK_CHARS = 1 << 19
+#: Letters below this code point have a row in one table, each other one a generator seeded with its code point.
+LATIN = 384
 #: A text is of an unlearned language below this part of the cosine that all but LOW of a language's training documents reach.
 FLOOR = 0.5
 LOW = 0.01
@@ -30,72 +31,90 @@ MIN_FLOOR_DOCS = 8
 
 
 def letter_vectors(dimensions: int, seed: int = 7):
+    """A function: code points -> one row of +1/-1 each; what is no letter (0) has one too."""
     import numpy as np
 
-    return (np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (SLOTS, dimensions)) * 2 - 1).astype(np.int8)
+    low = (np.random.Generator(np.random.PCG64(seed)).integers(0, 2, (LATIN, dimensions)) * 2 - 1).astype(np.int8)
+    drawn: dict = {}
 
+    def rows(points):
+        out = low[np.minimum(points, LATIN - 1)]
+        for i in np.flatnonzero(points >= LATIN):
+            point = int(points[i])
+            if point not in drawn:
+                if len(drawn) >= 1 << 14:  # some MB a task
+                    drawn.clear()
+                drawn[point] = (np.random.Generator(np.random.PCG64([seed, point])).integers(0, 2, dimensions) * 2 - 1).astype(np.int8)
+            out[i] = drawn[point]
+        return out
+
+    return rows
 
-def trigram_vectors(ids, letters):
-    """One row per trigram id: rotated and multiplied letter vectors."""
-    import numpy as np
 
-    return (np.roll(letters, 2, axis=1)[ids >> 18] * np.roll(letters, 1, axis=1)[(ids >> 9) & 511]
-            * letters[ids & 511]).astype(np.float32)
+def trigram_vectors(ids, bits, rows):
+    """One row per trigram id (three places of ``bits`` bits): letter vectors, rotated twice, once and not, multiplied."""
+    twice, once, plain = rows
+    mask = (1 << bits) - 1
+    return (twice[ids >> 2 * bits] * once[(ids >> bits) & mask] * plain[ids & mask]).astype("float32")
 
 
-def slot_table():
-    """Slot of each code point of the basic plane; 0 for what is no letter, which also bounds words."""
+def letter_table():
+    """Each code point, or 0 for what is no letter, which also bounds words."""
     import numpy as np
 
-    slots = np.zeros(1 << 16, np.int64)
-    for cp in range(1 << 16):
-        if chr(cp).isalpha():
-            slots[cp] = cp if cp < 384 else 384 + cp % 128
-    return slots
+    return np.array([cp if chr(cp).isalpha() else 0 for cp in range(0x110000)], np.int32)
 
 
-def text_slots(texts: list[str], slots):
-    """Letter slots of all texts, a bound before and after each, and the text each belongs to."""
+def text_letters(texts: list[str], table):
+    """Letters of all texts as code points, a bound before and after each word, and the text each belongs to."""
     import numpy as np
 
     lows = [t.lower() for t in texts]
-    points = np.frombuffer(("\n" + "\n".join(lows) + "\n").encode("utf-32-le"), np.uint32).astype(np.int64)
+    points = np.frombuffer(("\n" + "\n".join(lows) + "\n").encode("utf-32-le"), np.uint32)
     ends = np.cumsum([len(t) + 1 for t in lows])
-    out = slots[np.minimum(points, 0xFFFF)]
-    for at in np.flatnonzero(points > 0xFFFF):
-        out[at] = 384 + points[at] % 128 if chr(points[at]).isalpha() else 0
+    out = table[points]
     owner = np.searchsorted(ends, np.arange(len(points)), side="left")
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] > 0) | (out[:-1] > 0)
     return out[keep], np.minimum(owner[keep], len(texts) - 1)
 
 
-def trigram_counts(texts: list[str], slots):
-    """(text index, trigram id, count) of the trigrams around each letter."""
+def trigram_counts(texts: list[str], table):
+    """(text index, trigram id, count) of the trigrams around each letter, the letters of these texts and the bits of
+    a letter's place in an id."""
     import numpy as np
 
-    s, owner = text_slots(texts, slots)
+    points, owner = text_letters(texts, table)
+    present = np.zeros(len(table), bool)
+    present[points] = present[0] = True
+    alphabet = np.flatnonzero(present)
+    place = np.zeros(len(table), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    s, bits = place[points], max(1, (len(alphabet) - 1).bit_length())
     mid = s[1:-1] > 0
-    ids = (s[:-2][mid] << 18) | (s[1:-1][mid] << 9) | s[2:][mid]
-    key, n = np.unique((owner[1:-1][mid] << 27) | ids, return_counts=True)
-    return key >> 27, key & ((1 << 27) - 1), n
+    ids = (s[:-2][mid] << 2 * bits) | (s[1:-1][mid] << bits) | s[2:][mid]
+    # At most 18 bits a letter and 9 for the 512 texts of a block.
+    key, n = np.unique((owner[1:-1][mid] << 3 * bits) | ids, return_counts=True)
+    return key >> 3 * bits, key & ((1 << 3 * bits) - 1), n, alphabet, bits
 
 
-def bundle(texts: list[str], letters, slots, group=None):
+def bundle(texts: list[str], letters, table, group=None):
     """One bundled vector per text, or per ``group`` number of the texts."""
     import numpy as np
 
-    doc, ids, n = trigram_counts(texts, slots)
+    doc, ids, n, alphabet, bits = trigram_counts(texts, table)
+    plain = letters(alphabet)
+    vectors = (np.roll(plain, 2, axis=1), np.roll(plain, 1, axis=1), plain)
     rows = len(texts) if group is None else int(max(group)) + 1
     if group is not None:
         doc = np.asarray(group)[doc]
     known, col = np.unique(ids, return_inverse=True)
-    total = np.zeros((rows, letters.shape[1]), np.float32)
+    total = np.zeros((rows, plain.shape[1]), np.float32)
     for lo in range(0, len(known), 4096):  # some MB of trigram vectors at a time
         at = (col >= lo) & (col < lo + 4096)
         counts = np.zeros((rows, min(4096, len(known) - lo)), np.float32)
         np.add.at(counts, (doc[at], col[at] - lo), n[at])
-        total += counts @ trigram_vectors(known[lo:lo + 4096], letters)
+        total += counts @ trigram_vectors(known[lo:lo + 4096], bits, vectors)
     return total
 
 
@@ -136,7 +155,7 @@ def prototypes_of(rows: DataFrame, dimensions: int) -> dict[str, list[int]]:
     def make():
         import numpy as np
 
-        letters, slots = letter_vectors(dimensions), slot_table()
+        letters, table = letter_vectors(dimensions), letter_table()
 
         def step(rows):
             langs = sorted(set(rows["lang"]))
@@ -144,7 +163,7 @@ def prototypes_of(rows: DataFrame, dimensions: int) -> dict[str, list[int]]:
             total = np.zeros((len(langs), dimensions), np.int64)
             for lo, hi in blocks(rows["text"]):
                 group = [number[x] for x in rows["lang"][lo:hi]]
-                got = bundle(rows["text"][lo:hi], letters, slots, group)
+                got = bundle(rows["text"][lo:hi], letters, table, group)
                 total[:len(got)] += got.astype(np.int64)
             return {"lang": [x for x in langs for _ in range(dimensions)], "at": list(range(dimensions)) * len(langs),
                     "v": total.ravel().tolist()}
@@ -163,7 +182,7 @@ def predictor(prototypes: dict[str, list[int]], dimensions: int):
     """texts -> (languages, scores), made once a task."""
     import numpy as np
 
-    letters, slots = letter_vectors(dimensions), slot_table()
+    letters, table = letter_vectors(dimensions), letter_table()
     langs = sorted(prototypes)
     protos = np.array([prototypes[x] for x in langs], np.float64).reshape(len(langs), dimensions)
     protos /= np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-300)
@@ -172,7 +191,7 @@ def predictor(prototypes: dict[str, list[int]], dimensions: int):
         texts = [t or "" for t in texts]
         found, scores = [], []
         for lo, hi in blocks(texts):
-            vectors = bundle(texts[lo:hi], letters, slots).astype(np.float64)
+            vectors = bundle(texts[lo:hi], letters, table).astype(np.float64)
             norms = np.linalg.norm(vectors, axis=1)
             cosines = np.round(vectors @ protos.T / np.maximum(norms, 1e-300)[:, None], 6) if langs else np.zeros((hi - lo, 1))
             best = cosines.argmax(axis=1)  # ties: the first in name order

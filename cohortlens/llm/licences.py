@@ -13,7 +13,7 @@ All steps are DataFrame functions: sparse vectors are rows (file, candidate, ter
 from __future__ import annotations
 
 import re
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +26,16 @@ REST = (" This {0} is distributed in the hope that it will be useful, but WITHOU
 GNU = [("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"),
        ("LGPL-3.0", "library", "Lesser ", "3"), ("AGPL-3.0", "program", "Affero ", "3")]
 #: Whole licences, one file each.
-TEXTS = Path(__file__).parent / "licence_texts"
+TEXTS = resources.files(__package__) / "licence_texts"  # also within a zipped package
+
+
+def whole_texts(folder=TEXTS) -> list[tuple[str, str]]:
+    """(name, text) of every licence text in ``folder``; none at all is an error, for scans would silently miss them."""
+    found = sorted((p.name, p.read_text(encoding="utf-8")) for p in folder.iterdir() if p.name.endswith(".txt")) if folder.is_dir() else []
+    if not found:
+        raise FileNotFoundError(f"no licence texts in {folder}")
+    return [(name.removesuffix(".txt"), text) for name, text in found]
+
 
 # Short forms in which public licences are stated, headers and full texts.
 TEMPLATES = [
@@ -58,7 +67,7 @@ TEMPLATES = [
             "the above copyright notice and this permission notice appear in all copies."),
     *[(k, NOTICE.format(*x)) for k, *x in GNU],
     *[(k, NOTICE.format(*x) + REST.format(*x)) for k, *x in GNU],
-    *[(p.stem, p.read_text()) for p in sorted(TEXTS.glob("*.txt"))],
+    *whole_texts(),
 ]
 CUE = r"(?i)licen[sc]e|all rights reserved|public domain|permission is hereby granted|permission to use|redistribut|spdx"
 #: The start of a comment line, runs of lines that have one or have none, and what parts the paragraphs of a run.

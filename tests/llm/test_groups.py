@@ -352,6 +352,20 @@ def test_recall_is_audited_by_query(spark):
     assert vectors.audit_recall(nodes.where("rep = 60"), links, 1, 0.9) == 1.0
 
 
+def test_licence_texts_are_read_from_a_zip_and_never_missing(tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "p.zip", "w") as z:
+        z.writestr("licence_texts/B.txt", "b ©")
+        z.writestr("licence_texts/A-1.0.txt", "a")
+        z.writestr("licence_texts/note.md", "no")
+    assert licences.whole_texts(zipfile.Path(tmp_path / "p.zip", "licence_texts/")) == [("A-1.0", "a"), ("B", "b ©")]
+    for folder in (tmp_path, tmp_path / "none"):
+        with pytest.raises(FileNotFoundError):
+            licences.whole_texts(folder)
+    assert {"MIT", "Apache-2.0"} <= {name for name, _ in licences.whole_texts()}
+
+
 def test_licences_cases(spark):
     rows = [(1, "/a/LICENSE", "Licensed under the Apache License, Version 2.0."), (2, "/a/b/c/x", "no statement"), (3, "/a/b/LICENSE", "Released under the MIT License."),
             (4, "/k/y", "x\nAll rights reserved.\ny"), (5, "/z/q", None), (6, None, "nothing"), (None, "/a/w", "Released under the MIT License."), (2, "/a/b/c/x", "no statement"),

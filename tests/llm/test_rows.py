@@ -123,14 +123,31 @@ def test_language_cases(spark):
 def test_language_vectors_against_letter_by_letter():
     import numpy as np
 
-    letters, slots = langid.letter_vectors(64), langid.slot_table()
-    text = "Ab é, ab"
-    s = [0, *[int(slots[ord(c)]) for c in "ab"], 0, int(slots[ord("é")]), 0, *[int(slots[ord(c)]) for c in "ab"], 0]
-    want = np.zeros(64)
-    for a, b, c in zip(s, s[1:], s[2:]):
-        if b:
-            want += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
-    assert (langid.bundle([text, ""], letters, slots) == np.array([want, np.zeros(64)])).all()
+    letters, table = langid.letter_vectors(64), langid.letter_table()
+    for text, s in (("Ab é, ab", "\0ab\0é\0ab\0"), ("Жю, 漢字 ذ 𝒳\U00020000!", "\0жю\0漢字\0ذ\0𝒳\U00020000\0")):
+        v = [letters(np.array([ord(c)]))[0].astype(int) for c in s]
+        want = sum((np.roll(a, 2) * np.roll(b, 1) * c for x, a, b, c in zip(s[1:], v, v[1:], v[2:]) if x != "\0"), np.zeros(64))
+        assert (langid.bundle([text, ""], letters, table) == np.array([want, np.zeros(64)])).all()
+        # The same letters have the same vectors in whatever company.
+        assert (langid.bundle(["xyz Ωмир", text], letters, table)[1] == want).all()
+
+
+def test_every_letter_has_its_own_vector(spark):
+    import numpy as np
+
+    letters = langid.letter_vectors(1024)
+    points = np.array([0, *map(ord, "abzéаяذж漢字𝒳"), 0x0430 + 0x200, 0x4E00, 0x4E80])
+    v = letters(np.unique(points)).astype(int)
+    assert set(np.unique(v)) == {-1, 1} and abs(v @ v.T - 1024 * np.eye(len(v))).max() < 200
+    assert (letters(points[::-1])[::-1] == letters(points)).all()
+    # Two scripts whose letters lie 512 apart, with the same words.
+    rng = random.Random(3)
+    words = ["".join(chr(0x430 + rng.randrange(16)) for _ in range(5)) for _ in range(40)]
+    shift = lambda t: "".join(chr(ord(c) + 0x200) if c != " " else c for c in t)
+    rows = [(i, " ".join(rng.choices(words, k=30)), "one") for i in range(60)]
+    rows = [(i, shift(t) if i % 2 else t, "two" if i % 2 else "one") for i, t, _ in rows]
+    got = langid.identify_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {(r.doc_id % 2, r.lang_pred) for r in got} == {(0, "one"), (1, "two")}
 
 
 def test_pii_base_spans_equal_plain_expressions(spark):
