@@ -14,10 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import bounded_fraction, hash_fraction, map_columns, per_task
+from cohortlens.llm.common import map_columns, per_task
 
 DIMENSIONS = 1024
-MAX_TRAIN_DOCS = 40_000
 FOLDS = 5
 UNKNOWN = "und"
 BLOCK_CHARS = 1 << 19
@@ -134,20 +133,18 @@ def held_out(id_col="doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
-    """About ``max_docs`` rows at most with an id, text and lang, picked by a hash of the id."""
-    rows = docs.where("lang is not null and text is not null and doc_id is not null")
-    share = bounded_fraction(rows.select("doc_id"), max_docs)
-    return rows.where(hash_fraction(F.col("doc_id"), share)) if share < 1 else rows
+def training_rows(docs: DataFrame) -> DataFrame:
+    """All rows with an id, text and lang."""
+    return docs.where("lang is not null and text is not null and doc_id is not null")
 
 
-def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, max_docs: int = MAX_TRAIN_DOCS) -> dict[str, list[int]]:
-    """Language -> prototype, from the ``training_rows``.
+def train_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, list[int]]:
+    """Language -> prototype, from all ``training_rows``.
 
     Each task bundles its own rows and emits one vector a language; Spark adds them. The driver receives languages x
     ``dimensions`` numbers.
     """
-    return prototypes_of(training_rows(docs, max_docs), dimensions)
+    return prototypes_of(training_rows(docs), dimensions)
 
 
 def prototypes_of(rows: DataFrame, dimensions: int) -> dict[str, list[int]]:
@@ -156,18 +153,21 @@ def prototypes_of(rows: DataFrame, dimensions: int) -> dict[str, list[int]]:
         import numpy as np
 
         letters, table = letter_vectors(dimensions), letter_table()
+        total: dict = {}
 
         def step(rows):
             langs = sorted(set(rows["lang"]))
             number = {x: i for i, x in enumerate(langs)}
-            total = np.zeros((len(langs), dimensions), np.int64)
             for lo, hi in blocks(rows["text"]):
                 group = [number[x] for x in rows["lang"][lo:hi]]
-                got = bundle(rows["text"][lo:hi], letters, table, group)
-                total[:len(got)] += got.astype(np.int64)
-            return {"lang": [x for x in langs for _ in range(dimensions)], "at": list(range(dimensions)) * len(langs),
-                    "v": total.ravel().tolist()}
+                for x, got in zip(langs, bundle(rows["text"][lo:hi], letters, table, group).astype(np.int64)):
+                    total[x] = total[x] + got if x in total else got
 
+        def finish():
+            return {"lang": [x for x in total for _ in range(dimensions)], "at": list(range(dimensions)) * len(total),
+                    "v": [v for x in total for v in total[x].tolist()]}
+
+        step.finish = finish
         return step
 
     sums = (map_columns(rows.select("text", "lang"), make, "lang string, at int, v long")
@@ -204,16 +204,15 @@ def predictor(prototypes: dict[str, list[int]], dimensions: int):
     return predict
 
 
-def identify_language(docs: DataFrame, train: DataFrame | None = None, dimensions: int = DIMENSIONS,
-                      max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+def identify_language(docs: DataFrame, train: DataFrame | None = None, dimensions: int = DIMENSIONS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document.
 
-    Trains on the rows of ``train`` (default: ``docs``) that are not held out. A null text, or one without a letter, or
+    Trains on all rows of ``train`` (default: ``docs``) that are not held out. A null text, or one without a letter, or
     any text when nothing could be learned, is ``und`` with score 0. A null id is never held out and never trained on.
     Equal cosines go to the first language by name. Repeated rows each get a row; other columns are ignored.
     """
     source = (docs if train is None else train).select("doc_id", "text", "lang")
-    model = train_prototypes(source.where(~held_out()), dimensions, max_train_docs)
+    model = train_prototypes(source.where(~held_out()), dimensions)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @per_task
@@ -255,13 +254,13 @@ def cosine_floors(rows: DataFrame, model, dimensions: int) -> dict[str, float]:
 
 
 def language_filter(docs: DataFrame, min_score: float = 0.0, languages: list[str] | None = None,
-                    dimensions: int = DIMENSIONS, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+                    dimensions: int = DIMENSIONS) -> DataFrame:
     """The documents with a predicted language (in ``languages``, if given) and a score of ``min_score`` or more.
 
     The score must also reach the language's floor (``cosine_floors``), so that texts in no learned language and random
-    letters are rejected, as are texts without a letter. All columns stay as they are.
+    letters are rejected, as are texts without a letter. Prototypes and floors come from all rows that are not held out. All columns stay as they are.
     """
-    rows = training_rows(docs.select("doc_id", "text", "lang").where(~held_out()), max_train_docs)
+    rows = training_rows(docs.select("doc_id", "text", "lang").where(~held_out()))
     shared = docs.sparkSession.sparkContext.broadcast(prototypes_of(rows, dimensions))
     floors = cosine_floors(rows, shared, dimensions)
 

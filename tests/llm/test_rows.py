@@ -120,6 +120,20 @@ def test_language_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {None, 5, 6, 7, 21, 22}
 
 
+def test_language_models_see_every_training_row(spark):
+    """A language of one document among 60,000 is learned: no sample stands for the training rows."""
+    rows = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit("the cat").alias("text"), F.lit("en").alias("lang"))
+    train = rows.where(~langid.held_out())
+    model = langid.train_prototypes(train)
+    one, n = langid.train_prototypes(train.limit(1)), train.count()
+    assert model["en"] == [n * v for v in one["en"]]
+    rare = [i for i in range(60_000, 60_100) if zlib.crc32(str(i).encode()) % 5][:4]
+    more = rows.unionByName(spark.createDataFrame([(i, "жук ждёт", "ru") for i in rare[:1]] + [(i, "жук", None) for i in rare[1:]], "doc_id long, text string, lang string"))
+    kept = langid.language_filter(more).where(F.col("doc_id") >= 60_000)
+    assert {r.doc_id for r in kept.collect()} == set(rare)
+    assert {r.lang_pred for r in langid.identify_language(more).where(F.col("doc_id") >= 60_000).collect()} == {"ru"}
+
+
 def test_language_vectors_against_letter_by_letter():
     import numpy as np
 
