@@ -5,6 +5,7 @@ The functions go to the executors by value: they need numpy there, but not this
 
 from __future__ import annotations
 
+import math
 import sys
 from hashlib import md5
 
@@ -15,6 +16,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A split must raise the sum of squares by more than rounding can.
 MIN_RISE = 1.0 + 1e-12
+#: Counts up to which Poisson draws follow the exact distribution; above, a rounded normal one with the same mean and variance.
+EXACT_POISSON = 16
+#: Pairs of a cell and a tree that are handled at a time: some 10 MB of arrays.
+BLOCK_ENTRIES = 40_000
 
 
 def histograms(bins, place, n_nodes, weights):
@@ -52,31 +57,81 @@ def class_score(left, right):
     return score
 
 
-def grow_classes(bins, w0, w1, depth, chosen, key, seed):
-    """Splits (node, feature, bin, l0, l1, r0, r1, gain) of one classification tree; ``key`` starts the nodes' hashed orders."""
+def poisson_ends(n):
+    """Cumulative probabilities of 0, 1, 2, ... under Poisson(n), up to where a uniform of 52 bits can lie."""
+    out, p, total, k = [], math.exp(-n), 0.0, 0
+    while total < 1.0 - 1e-13 and k < 100:
+        total += p
+        out.append(total)
+        k += 1
+        p *= n / k
+    return out
+
+
+def poisson_draws(counts, names, tail):
+    """How often each cell of ``counts`` rows is drawn, by the md5 of its name and ``tail``, as ``trees.poisson_draw``."""
+    out = np.zeros(len(counts), np.int64)
+    some = np.flatnonzero(counts > 0)
+    digests = np.frombuffer(b"".join([md5(names[i] + tail).digest() for i in some.tolist()]), ">u8").reshape(-1, 2).astype(np.uint64)
+    # Digits 1 to 13 and 14 to 26 of the 32 of a digest.
+    first, second = digests[:, 0] >> np.uint64(12), ((digests[:, 0] & np.uint64(0xFFF)) << np.uint64(40)) | (digests[:, 1] >> np.uint64(24))
+    u, v = ((x.astype(np.float64) + 0.5) / float(16 ** 13) for x in (first, second))
+    n = counts[some]
+    drawn = np.zeros(len(some), np.int64)
+    for k in np.unique(n[n <= EXACT_POISSON]).tolist():
+        drawn[n == k] = np.searchsorted(poisson_ends(k), u[n == k], side="right")
+    wide = n > EXACT_POISSON
+    z = np.sqrt(-2.0 * np.log(u[wide])) * np.cos(2.0 * math.pi * v[wide])
+    step = np.sqrt(n[wide].astype(np.float64)) * z
+    drawn[wide] = np.maximum(0, n[wide] + (np.sign(step) * np.floor(np.abs(step) + 0.5)).astype(np.int64))
+    out[some] = drawn
+    return out
+
+
+def grow_classes(bins, w0, w1, depth, chosen, keys, seed, owner):
+    """Splits of several classification trees at a time, as arrays (tree, node, feature, bin, l0, l1, r0, r1, gain).
+
+    ``owner`` says which tree a row belongs to; ``keys`` start the hashed orders of the nodes of each tree.
+    """
     node = np.ones(len(bins), np.int64)
     out = []
     d = bins.shape[1]
     for _ in range(depth):
-        ids, place = np.unique(node, return_inverse=True)
+        ids, place = np.unique(owner << depth + 1 | node, return_inverse=True)
+        tree, at = ids >> depth + 1, ids & (1 << depth + 1) - 1
         a0, a1 = np.bincount(place, w0), np.bincount(place, w1)
-        allowed = np.zeros((len(ids), d), bool)
-        for i, n in enumerate(ids.tolist()):
-            order = sorted(range(d), key=lambda f: md5(f"{key}:{n}:{f}:{seed}".encode()).hexdigest())
-            allowed[i, order[:chosen]] = True
+        open_ = (a0 > 0) & (a1 > 0)  # Nodes of one class are leaves.
+        keep = open_[place]
+        ids, a0, a1, tree, at = ids[open_], a0[open_], a1[open_], tree[open_], at[open_]
+        if not len(ids):
+            break
+        place = (np.cumsum(open_) - 1)[place[keep]]
+        bins, w0, w1, owner, node = bins[keep], w0[keep], w1[keep], owner[keep], node[keep]
+        allowed = np.ones((len(ids), d), bool)
+        if chosen < d:
+            allowed[:] = False
+            tails = [f":{f}:{seed}".encode() for f in range(d)]
+            for i, (t, n) in enumerate(zip(tree.tolist(), at.tolist())):
+                start = md5(f"{keys[t]}:{n}".encode())
+                order = []
+                for f, tail in enumerate(tails):
+                    digest = start.copy()
+                    digest.update(tail)
+                    order.append((digest.digest(), f))
+                order.sort()
+                allowed[i, [f for _, f in order[:chosen]]] = True
         feature, cut, score = best_splits(class_score, bins, place, len(ids), (w0, w1), allowed)
         parent = squares_over_sum(a0, a1)
-        split = (feature >= 0) & (a0 > 0) & (a1 > 0) & (score > parent * MIN_RISE)
+        split = (feature >= 0) & (score > parent * MIN_RISE)
         if not split.any():
             break
         keep = split[place]
-        bins, w0, w1, place, node = bins[keep], w0[keep], w1[keep], place[keep], node[keep]
+        bins, w0, w1, place, owner, node = bins[keep], w0[keep], w1[keep], place[keep], owner[keep], node[keep]
         right = bins[np.arange(len(bins)), feature[place]] > cut[place]
         r0, r1 = np.bincount(place, w0 * right, len(ids)), np.bincount(place, w1 * right, len(ids))
-        for i in np.flatnonzero(split).tolist():
-            out.append((int(ids[i]), int(feature[i]), int(cut[i]), int(a0[i] - r0[i]), int(a1[i] - r1[i]), int(r0[i]), int(r1[i]), float(score[i] - parent[i])))
+        out.append([x[split] for x in (tree, at, feature, cut, a0 - r0, a1 - r1, r0, r1, score - parent)])
         node = 2 * node + right
-    return out
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 9
 
 
 def value_score(left, right):
@@ -128,27 +183,32 @@ def boosted_margins(bins, n0, n1, iterations, depth, step):
 def votes_of(bins, trees, nodes, features, cuts, left, right, depth):
     """Sum over the trees of the leaf value that each cell reaches; the arrays after ``bins`` are the splits, a row each.
 
-    ``left`` and ``right`` are whole numbers; node 0 has the value of an unsplit root as its right.
+    ``left`` and ``right`` are whole numbers; node 0 has the value of an unsplit root as its right. Some trees at a time.
     """
     votes = np.zeros(len(bins), np.int64)
-    for t in np.unique(trees).tolist():
-        mine = np.flatnonzero(trees == t)
-        feature = np.full(1 << depth, -1)
-        cut, low, high = (np.zeros(1 << depth, np.int64) for _ in range(3))
-        at = nodes[mine]
+    every, number = np.unique(trees, return_inverse=True)
+    some = max(1, BLOCK_ENTRIES // max(1, len(bins)))
+    for lo in range(0, len(every), some):
+        mine = np.flatnonzero((number >= lo) & (number < lo + some))
+        n = min(some, len(every) - lo)
+        at = (number[mine] - lo << depth) + nodes[mine]
+        feature = np.full(n << depth, -1)
+        cut, low, high = (np.zeros(n << depth, np.int64) for _ in range(3))
         feature[at], cut[at], low[at], high[at] = features[mine], cuts[mine], left[mine], right[mine]
-        feature[0] = -1
-        value = np.full(len(bins), high[0])
-        rows, node = np.arange(len(bins)), np.ones(len(bins), np.int64)
+        base = np.repeat(np.arange(n) << depth, len(bins))
+        feature[np.arange(n) << depth] = -1
+        value = high[base]
+        entry, row, node = np.arange(n * len(bins)), np.tile(np.arange(len(bins)), n), np.ones(n * len(bins), np.int64)
         for _ in range(depth):
-            go = feature[node] >= 0
-            rows, node = rows[go], node[go]
-            if not len(rows):
+            go = feature[base + node] >= 0
+            entry, row, base, node = entry[go], row[go], base[go], node[go]
+            if not len(entry):
                 break
-            up = bins[rows, feature[node]] > cut[node]
-            value[rows] = np.where(up, high[node], low[node])
+            here = base + node
+            up = bins[row, feature[here]] > cut[here]
+            value[entry] = np.where(up, high[here], low[here])
             node = 2 * node + up
             inside = node < 1 << depth
-            rows, node = rows[inside], node[inside]
-        votes += value
+            entry, row, base, node = entry[inside], row[inside], base[inside], node[inside]
+        votes += value.reshape(n, len(bins)).sum(axis=0)
     return votes

@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranking import global_index, running_total
-from cohortlens.operators.tree_growth import MIN_RISE, boosted_margins, grow_classes, votes_of
+from cohortlens.operators.tree_growth import BLOCK_ENTRIES, EXACT_POISSON, MIN_RISE, boosted_margins, grow_classes, poisson_draws, poisson_ends, votes_of
 from cohortlens.session import drop_stored, stored
 
-#: Counts up to which Poisson draws follow the exact distribution; above, a rounded normal one with the same mean and variance.
-EXACT_POISSON = 16
 #: Cells of a fold up to which one task grows a tree of it; larger ones grow by jobs over all cells, with the same result.
 TASK_CELLS = 200_000
+#: Groups of a fold's trees that are grown by a task each, at least, while there are trees enough.
+TREE_GROUPS = 200
 #: Leaf shares and votes are whole numbers of this unit, so that their sums have no order.
 UNIT = 1_000_000
 
@@ -84,17 +84,6 @@ def leave_one_out(cells: DataFrame, n_features: int, fold_col: str, folds: Seque
         "fold", *keys, (F.col("a0") - c("t0")).alias("n0"), (F.col("a1") - c("t1")).alias("n1"), c("t0").alias("t0"), c("t1").alias("t1"))
 
 
-def poisson_ends(n: int) -> list[float]:
-    """Cumulative probabilities of 0, 1, 2, ... under Poisson(n), up to where a uniform of 52 bits can lie."""
-    out, p, total, k = [], math.exp(-n), 0.0, 0
-    while total < 1.0 - 1e-13 and k < 100:
-        total += p
-        out.append(total)
-        k += 1
-        p *= n / k
-    return out
-
-
 def poisson_draw(n: Column, digest: Column) -> Column:
     """How often a cell of ``n`` rows is drawn, by an md5 digest: Poisson(n), normal above ``EXACT_POISSON``."""
     unit = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16 ** 13))
@@ -125,21 +114,51 @@ def largest_fold(cells: DataFrame) -> int:
     return cells.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _grow_in_tasks(rows: DataFrame, n_features: int, max_depth: int, chosen: int, seed: int) -> DataFrame:
+def _grow_in_tasks(cells: DataFrame, n_features: int, num_trees: int, max_depth: int, chosen: int, seed: int) -> DataFrame:
+    """Each fold's trees, some at a time: as many groups of trees a fold as give ``TREE_GROUPS`` tasks' worth in all."""
     keys = bin_columns(n_features)
+    folds = cells.select("fold").distinct().count()
+    parts = max(1, min(num_trees, -(-TREE_GROUPS // max(1, folds))))
 
     def one(key, frame):
         import numpy as np
         import pandas as pd
 
-        fold, tree = key
-        w0, w1 = frame["w0"].to_numpy(np.float64), frame["w1"].to_numpy(np.float64)
-        found = grow_classes(frame[keys].to_numpy(np.int64), w0, w1, max_depth, chosen, f"{fold}:{tree}", seed)
-        found.append((0, None, None, 0, 0, int(w0.sum()), int(w1.sum()), 0.0))
-        out = pd.DataFrame([(fold, tree, *x) for x in found], columns=[c.split()[0] for c in SPLITS.split(", ")])
-        return out.astype({"feature": "Int32", "bin": "Int32"})
+        fold, part = key
+        bins, n0, n1 = frame[keys].to_numpy(np.int64), frame["n0"].to_numpy(np.int64), frame["n1"].to_numpy(np.int64)
+        ends = [(":" + ":".join(map(str, b))).encode() for b in bins.tolist()]
+        mine = list(range(part, num_trees, parts))
+        some = max(1, BLOCK_ENTRIES // max(1, len(bins)))
+        made = []
+        for lo in range(0, len(mine), some):
+            block = mine[lo:lo + some]
+            w0, w1 = [], []
+            for t in block:
+                names = [f"{fold}:{t}".encode() + e for e in ends]
+                w0.append(poisson_draws(n0, names, f":0:{seed}".encode()))
+                w1.append(poisson_draws(n1, names, f":1:{seed}".encode()))
+            w0, w1 = np.array(w0, np.float64), np.array(w1, np.float64)
+            drawn = (w0 + w1).ravel() > 0
+            owner = np.repeat(np.arange(len(block)), len(bins))[drawn]
+            found = grow_classes(np.tile(bins, (len(block), 1))[drawn], w0.ravel()[drawn], w1.ravel()[drawn], max_depth, chosen,
+                                 [f"{fold}:{t}" for t in block], seed, owner)
+            some_rows = pd.DataFrame(dict(zip(names_of[1:], found)))
+            rooted = np.unique(owner)  # A tree that drew no cell has no root.
+            zeros = np.zeros(len(rooted), np.int64)
+            roots = pd.DataFrame({"tree": rooted, "node": zeros, "feature": -1, "bin": -1, "l0": zeros, "l1": zeros, "r0": w0.sum(axis=1)[rooted],
+                                  "r1": w1.sum(axis=1)[rooted], "gain": 0.0})
+            rows = pd.concat([some_rows, roots]).astype({c: "int64" for c in names_of[1:-1]})
+            rows["tree"] = np.array(block)[rows["tree"].to_numpy()]
+            made.append(rows)
+        out = pd.concat(made)
+        out.insert(0, "fold", fold)
+        out = out.astype({"feature": "Int32", "bin": "Int32"})
+        out.loc[out["node"] == 0, ["feature", "bin"]] = None
+        return out
 
-    return rows.groupBy("fold", "tree").applyInPandas(one, SPLITS)
+    names_of = [c.split()[0] for c in SPLITS.split(", ")]
+    part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    return cells.select("fold", *keys, "n0", "n1", part.alias("part")).groupBy("fold", "part").applyInPandas(one, SPLITS)
 
 
 def boosted_predictions(cells: DataFrame, n_features: int, iterations: int, max_depth: int, step: float) -> DataFrame:
@@ -167,16 +186,14 @@ def grow_forest(cells: DataFrame, n_features: int, num_trees: int = 50, max_dept
     """
     keys = bin_columns(n_features)
     chosen = subset_size(subset, n_features, num_trees)
+    if largest_fold(cells) <= task_cells:
+        return stored(_grow_in_tasks(cells, n_features, num_trees, max_depth, chosen, seed), "forest")
     tree = F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1)))
     key = F.concat_ws(":", "fold", "tree", *keys)
     draw = lambda c, tag: poisson_draw(F.col(c), F.md5(F.concat(key, F.lit(f":{tag}:{seed}"))))
     rows = (cells.select("fold", *keys, "n0", "n1").withColumn("tree", tree)
             .select("fold", "tree", *keys, draw("n0", 0).alias("w0"), draw("n1", 1).alias("w1"), F.lit(1).alias("node")).where("w0 + w1 > 0"))
     rows = stored(rows, "tree-rows")
-    if largest_fold(cells) <= task_cells:
-        out = stored(_grow_in_tasks(rows, n_features, max_depth, chosen, seed), "forest")
-        drop_stored(rows)
-        return out
     none = F.lit(None).cast("int")
     made = [stored(rows.groupBy("fold", "tree").agg(F.sum("w0").alias("r0"), F.sum("w1").alias("r1"))
                    .select("fold", "tree", F.lit(0).alias("node"), none.alias("feature"), none.alias("bin"), F.lit(0).cast("long").alias("l0"),
