@@ -28,6 +28,8 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEVELS = 6
+#: Rows of a bucket of the sampled matching whose free ones are counted together.
+SPAN = 32
 
 
 class Zone:
@@ -125,26 +127,53 @@ def match_level(side, pattern, value, free, level, low_open=False, high_open=Fal
     return out
 
 
-def match_sample(left, right, starts, m):
-    """(left, right, distance) by place: each left row in turn takes the nearest of ``m`` free right rows.
+def match_samples(left, left_of, right, right_of, starts, m):
+    """(left, right, distance) as arrays of places: in every bucket each left row in turn takes the nearest of ``m`` free right rows.
 
-    ``left`` and ``right`` are lists of rows of numbers in a random order, ``starts`` a uniform number for each left row: the
-    candidates are the free rows from that share of their order on, going round. The first of equals is taken.
+    ``left`` and ``right`` are rows of numbers by bucket, in a random order there; ``left_of`` and ``right_of`` name their
+    buckets, in ascending order. ``starts`` has a uniform number for each left row: the candidates are the bucket's free
+    rows from that share of their order on, going round. The first of equals is taken. A step takes the next left row
+    of all buckets at once.
     """
     import numpy as np
 
-    table = np.array(right, float)
-    free, out = list(range(len(right))), []
-    for i, (row, u) in enumerate(zip(left, starts)):
-        n = len(free)
-        if not n:
-            break
-        at = int(u * n)
-        places = [(at + j) % n for j in range(min(m, n))]
-        distances = np.abs(table[[free[k] for k in places]] - row).sum(axis=1) / table.shape[1]
-        best = int(distances.argmin())
-        out.append((i, free.pop(places[best]), float(distances[best])))
-    return out
+    kinds, number = np.unique(np.concatenate([left_of, right_of]), return_inverse=True)
+    n_left, n_right = (np.bincount(x, minlength=len(kinds)) for x in (number[:len(left_of)], number[len(left_of):]))
+    first_left, first_right = np.cumsum(n_left) - n_left, np.cumsum(n_right) - n_right
+    steps = np.minimum(n_left, n_right)
+    order = np.argsort(-steps, kind="stable")  # Buckets that still go on come first.
+    steps, n_right, first_left, first_right = steps[order], n_right[order], first_left[order], first_right[order]
+    # The free rows of a bucket: a ring of neighbours, and counts of runs of SPAN rows to find one by its number.
+    after, before = np.arange(1, len(right) + 1), np.arange(-1, len(right) - 1)
+    full = n_right > 0
+    after[(first_right + n_right - 1)[full]], before[first_right[full]] = first_right[full], (first_right + n_right - 1)[full]
+    spans = -(-int(n_right.max(initial=1)) // SPAN)
+    free = (np.arange(spans * SPAN) < n_right[:, None]).reshape(len(kinds), spans, SPAN)
+    counts = free.sum(axis=2)
+    out = []
+    for i in range(int(steps.max(initial=0))):
+        n = int(np.searchsorted(-steps, -i, side="left"))
+        row, left_row = np.arange(n), first_left[:n] + i
+        size = n_right[:n] - i
+        at = (starts[left_row] * size).astype(np.int64) % size
+        upto = np.cumsum(counts[:n], axis=1)
+        span = (upto <= at[:, None]).sum(axis=1)
+        at = at - (upto[row, span] - counts[row, span])
+        place = span * SPAN + (np.cumsum(free[row, span], axis=1) <= at[:, None]).sum(axis=1)
+        near = np.empty((n, m), np.int64)
+        near[:, 0] = first_right[:n] + place
+        for j in range(1, m):
+            near[:, j] = after[near[:, j - 1]]
+        distances = np.abs(right[near] - left[left_row][:, None, :]).sum(axis=2) / right.shape[1]
+        best = distances.argmin(axis=1)
+        taken = near[row, best]
+        out.append((left_row, taken, distances[row, best]))
+        place = taken - first_right[:n]
+        free[row, place // SPAN, place % SPAN] = False
+        counts[row, place // SPAN] -= 1
+        a, b = before[taken], after[taken]
+        after[a], before[b] = b, a
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
 def match_pair(side, pattern, value, free, levels=range(LEVELS), low_open=False, high_open=False):

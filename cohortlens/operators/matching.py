@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.hashing import hash_order, hash_uniform
-from cohortlens.operators.greedy import LEVELS, match_pair, match_sample
+from cohortlens.operators.greedy import LEVELS, match_pair, match_samples
 from cohortlens.operators.similarity import (
     BINARY, DIST_COLS, PAIR, collapse_cells, complete_rows, dataset_pairs, distance_summary, joint_minmax, pair_rows, with_incomplete,
 )
@@ -47,6 +47,8 @@ MAX_TASK_EDGES = 1_000_000_000
 CHUNK_CELLS = 50_000
 #: Rows of either side in a bucket of the sampled matching, about.
 BUCKET_ROWS = 1000
+#: Buckets that one group of the sampled matching holds, each with a row's step at a time.
+GROUP_BUCKETS = 200
 
 
 def exact_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
@@ -199,14 +201,16 @@ def sampled_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_
     schema = f"{_pair_type(rows)}, side int, _id {kinds['_id']}, {', '.join(f'{c} double' for c in DIST_COLS)}, r_id {kinds['_id']}, distance double"
 
     def one(key, frame):
+        import numpy as np
         import pandas as pd
 
-        frame = frame.sort_values(["side", "_h", "_id"])
+        digests = np.frombuffer(b"".join(frame["_h"]), ">u8").reshape(-1, 2)
+        frame = frame.iloc[np.lexsort((digests[:, 1], digests[:, 0], frame["_bucket"], frame["side"]))]
         left, right = (frame[frame["side"] == s].reset_index(drop=True) for s in (0, 1))
-        found = match_sample(left[DIST_COLS].to_numpy(float), right[DIST_COLS].to_numpy(float), left["_u"].tolist(), m)
-        i, j = [x[0] for x in found], [x[1] for x in found]
-        taken = left.iloc[i].copy()
-        taken["r_id"], taken["distance"] = right["_id"].iloc[j].to_numpy(), [x[2] for x in found]
+        i, j, distance = match_samples(left[DIST_COLS].to_numpy(float), left["_bucket"].to_numpy(), right[DIST_COLS].to_numpy(float),
+                                       right["_bucket"].to_numpy(), left["_u"].to_numpy(float), m)
+        taken = left[[*PAIR, "side", "_id"]].iloc[i].copy()
+        taken["r_id"], taken["distance"] = right["_id"].iloc[j].to_numpy(), distance
         rest = pd.concat([left.drop(index=i), right.drop(index=j)])
         return pd.concat([taken, rest]).reindex(columns=names)
 
@@ -222,8 +226,10 @@ def sampled_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_
         tag = f"{seed}:{rnd}"
         name = F.concat_ws(":", *PAIR, "side", "_id")
         dealt = (free.join(sizes, PAIR).withColumn("_bucket", F.floor(hash_uniform(name, f"bucket:{tag}") * F.col("_n")).cast("int"))
-                 .withColumn("_h", hash_order(name, tag)).withColumn("_u", hash_uniform(name, f"start:{tag}")))
-        out = stored(dealt.groupBy(*PAIR, "_bucket").applyInPandas(one, schema), "round")
+                 .withColumn("_h", F.unhex(hash_order(name, tag)))
+                 .withColumn("_u", F.when(F.col("side") == 0, hash_uniform(name, f"start:{tag}"))))
+        group = F.floor(F.col("_bucket") / F.lit(GROUP_BUCKETS)).alias("_group")
+        out = stored(dealt.groupBy(*PAIR, group).applyInPandas(one, schema), "round")
         acc = out.where("distance is not null").select(*PAIR, F.col("_id").alias("l_id"), "r_id", "distance")
         matched = acc if matched is None else matched.unionByName(acc)
         free = out.where("distance is null").select(*columns)

@@ -148,3 +148,28 @@ def test_sampled_rounds_are_few_and_distances_right(spark, monkeypatch):
     # Ten candidates beat one, and one bucket takes all.
     far = lambda m: matching.sampled_matches(df, m=m)[0].agg(F.avg("distance")).first()[0]
     assert far(10) < 0.7 * far(1)
+
+
+def test_sampled_matching_of_many_buckets_equals_row_by_row():
+    """All buckets in step take what each left row in turn would take from a list of its bucket's free rows."""
+    import numpy as np
+
+    from cohortlens.operators.greedy import match_samples
+
+    rng = np.random.default_rng(2)
+    for buckets, most, m in ((60, 90, 10), (7, 3, 10), (3, 400, 4), (1, 0, 10)):
+        n_left, n_right = rng.integers(0, most + 1, buckets), rng.integers(0, most + 1, buckets)
+        left, right = (np.round(rng.random((n.sum(), 6)) * 3) / 3 for n in (n_left, n_right))
+        left_of, right_of = (np.repeat(np.arange(buckets), n) for n in (n_left, n_right))
+        starts = rng.random(len(left))
+        want = []
+        for b in range(buckets):
+            free = np.flatnonzero(right_of == b).tolist()
+            for i in np.flatnonzero(left_of == b).tolist():
+                if free:
+                    near = [(int(starts[i] * len(free)) + j) % len(free) for j in range(min(m, len(free)))]
+                    distances = [float(np.abs(right[free[k]] - left[i]).sum() / 6) for k in near]
+                    best = distances.index(min(distances))
+                    want.append((i, free.pop(near[best]), distances[best]))
+        got = match_samples(left, left_of, right, right_of, starts, m)
+        assert sorted(zip(*(x.tolist() for x in got))) == want
