@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.ranking import value_ranks
-from cohortlens.session import stored
+from cohortlens.session import default_partitions, stored
 
 
 def _pair_name(a: str, b: str) -> str:
@@ -16,6 +16,8 @@ def _pair_name(a: str, b: str) -> str:
 
 
 MAX_GROUP_ROWS = 1_000_000
+#: Rows of all groups that one task ranks, about; each of its windows sorts their cells.
+TASK_ROWS = 200_000
 
 
 def _spearman_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str], max_group_rows: int) -> DataFrame:
@@ -24,17 +26,22 @@ def _spearman_moments(df: DataFrame, cols: Sequence[str], by: Sequence[str], max
     Rows are collapsed to weighted cells, and cells get average ranks. A group of n rows has the mean rank (n + 1) / 2
     whatever its ties, so one pass over deviations is enough: they are halves of whole numbers.
     """
-    largest = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] if by else None
-    ranked = _cells_ranked_in_tasks(df, cols, by) if by and (largest or 0) <= max_group_rows else _cells_ranked_by_joins(df, cols, by)
+    largest, rows = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first() if by else (None, None)
+    in_tasks = by and (largest or 0) <= max_group_rows
+    ranked = _cells_ranked_in_tasks(df, cols, by, rows or 0) if in_tasks else _cells_ranked_by_joins(df, cols, by)
     dev = {c: F.col(f"_cl_r_{c}") - F.col("_cl_mean") for c in cols}
     aggs = [F.sqrt(F.sum(F.col("_cl_n") * dev[c] * dev[c])).alias(f"_cl_sd__{c}") for c in cols]
     aggs += [F.sum(F.col("_cl_n") * dev[a] * dev[b]).alias(_pair_name(a, b)) for i, a in enumerate(cols) for b in cols[i + 1:]]
     return ranked.groupBy(*by).agg(*aggs)
 
 
-def _cells_ranked_in_tasks(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """(*by, *cols, _cl_n, _cl_mean, _cl_r_<col>) of groups that fit a task: one exchange, windows over cells."""
-    cells = df.select(*by, *cols).repartition(*by).groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_cl_n"))
+def _cells_ranked_in_tasks(df: DataFrame, cols: Sequence[str], by: Sequence[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(*by, *cols, _cl_n, _cl_mean, _cl_r_<col>) of groups that fit a task: one exchange, windows over cells.
+
+    There are as many tasks as ``rows`` in all need, so that a task's memory does not grow with the table.
+    """
+    tasks = max(default_partitions(df.sparkSession), -(-rows // task_rows))
+    cells = df.select(*by, *cols).repartition(tasks, *by).groupBy(*by, *cols).agg(F.count(F.lit(1)).alias("_cl_n"))
     ranks = []
     for c in cols:
         upto = F.sum("_cl_n").over(Window.partitionBy(*by).orderBy(F.col(c).asc_nulls_first()))
