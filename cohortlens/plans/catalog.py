@@ -28,7 +28,7 @@ from cohortlens.operators.similarity import (
 from cohortlens.functions.columns import row_sum
 from cohortlens.functions.columns import cast_all, project, rename_positional, suffix_columns, valid_rows
 from cohortlens.operators.misc import register_views, top_n
-from cohortlens.session import scratch_path
+from cohortlens.session import scratch_path, stored
 from cohortlens.sources.csv import parse_provenance, read_clinical, read_cohorts, write_cohort_csv
 from cohortlens.sources.sinks import write_table
 from cohortlens.sources.testdata import COHORT_COLUMNS
@@ -365,7 +365,8 @@ def provenance_label(cfg: DataFrame) -> DataFrame:
 def q_parse_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write datasets under provenance-named folders, read them back, parse the names."""
     c = _sim_cohort(spark, sf_dir)
-    labels = provenance_label(measured_config(cohort(spark, sf_dir)))
+    # Stored, so that the planner sees that it is one row a dataset: joined by a shuffle, each dataset would be one task.
+    labels = stored(provenance_label(measured_config(cohort(spark, sf_dir))), "labels")
     path = scratch_path(spark, "cohort-prov")
     write_cohort_csv(c.join(labels, "dataset_id"), path, COHORT_COLUMNS, partition_col="provenance")
     back = parse_provenance(read_cohorts(spark, path, COHORT_COLUMNS, dataset_col="source_path"), "source_path")

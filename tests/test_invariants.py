@@ -390,3 +390,28 @@ def test_parse_provenance_names(spark):
     assert (a["seeds"], a["gender_or"], a["pt_or"], a["ptt_or"], a["platelet_or"], a["created"]) == \
         ("1234567", 6.0, 3.3, 7.8, 4.84, "20260101_120000")
     assert b["seeds"] is None and b["pt_or"] is None
+
+
+def test_provenance_labels_are_not_shuffled_with_the_rows(spark, monkeypatch):
+    """A shuffle by dataset would leave all rows of a dataset to one task."""
+    from cohortlens.plans import catalog
+
+    plans = []
+    write = catalog.write_cohort_csv
+
+    def keep(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        write(df, *args, **kwargs)
+
+    monkeypatch.setattr(catalog, "write_cohort_csv", keep)
+    assert catalog.q_parse_provenance(spark, SF01).count() > 0
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
+
+
+def test_spearman_tasks_grow_with_the_rows(spark):
+    from cohortlens.operators import stats
+
+    rows = spark.range(4000).select((F.col("id") % 100).alias("block"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y"))
+    ranked = stats._cells_ranked_in_tasks(rows, ["x", "y"], ["block"], 4000, task_rows=100)
+    assert ranked.rdd.getNumPartitions() == 40
+    assert ranked.agg(F.sum("_cl_n")).first()[0] == 4000
