@@ -2,7 +2,7 @@
 
 Rows are counted once into cells: equal binned features make one cell with a count per class. Binning bounds the cells,
 whatever the number of rows, and a fold's training set is the total less the fold's own cells, so that no fold reads the
-rows again. Where a fold's cells fit a task, each tree grows in one. Beyond that all trees of all folds grow together,
+rows again. Where a fold's cells fit a task, its trees grow in tasks, some at a time. Beyond that all trees of all folds grow together,
 level by level: one histogram (node, feature, bin) by a grouped aggregate, prefix sums along the bins, the best split of every
 node, and a join that sends the cells on to the children. Both give the same trees.
 

@@ -82,6 +82,15 @@ def test_poisson_draws(spark):
     assert spark.range(1).select(trees.poisson_draw(F.lit(0).cast("long"), F.md5(F.lit("x")))).first()[0] == 0
 
 
+def test_draws_in_tasks_equal_draws_of_spark(spark):
+    """A fold's trees draw in the task that grows them; the rows of a cell and tree are not made before."""
+    counts = [0, 1, 2, 15, 16, 17, 40, 5000] * 50
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(counts)], "id int, n long")
+    drawn = rows.select("id", trees.poisson_draw(F.col("n"), F.md5(F.concat(F.concat_ws(":", "id", F.lit(3)), F.lit(":0:7")))).alias("w"))
+    want = [r.w for r in drawn.orderBy("id").collect()]
+    assert trees.poisson_draws(np.array(counts), [f"{i}:3".encode() for i in range(len(counts))], b":0:7").tolist() == want
+
+
 def test_bins_of_few_and_many_values_and_nulls(spark):
     df = spark.range(1000).select((F.col("id") * F.col("id")).cast("double").alias("x"), (F.col("id") % 3).cast("double").alias("y"), F.lit(None).cast("double").alias("z"))
     ends = trees.feature_thresholds(df, ["x", "y", "z"], 8)
