@@ -91,11 +91,10 @@ def fold_cells(blocked: DataFrame, features: Sequence[str], outcome: str = "DOA"
 
 
 def by_frequency(cells: DataFrame) -> DataFrame:
-    """Class 0 becomes each fold's more frequent training class (ties: the first value), as a label index does."""
-    totals = cells.groupBy("fold").agg((F.sum("n1") > F.sum("n0")).alias("_flip"))
-    swap = lambda a, b: F.when(F.col("_flip"), F.col(b)).otherwise(F.col(a)).alias(a)
-    rest = [c for c in cells.columns if c not in ("n0", "n1", "t0", "t1")]
-    return cells.join(totals, "fold").select(*rest, swap("n0", "n1"), swap("n1", "n0"), swap("t0", "t1"), swap("t1", "t0"))
+    """Class 0 becomes each fold's more frequent training class (ties: the first value), as a label index does: where ``flip`` is true."""
+    swap = lambda a, b: F.when(F.col("flip"), F.col(b)).otherwise(F.col(a)).alias(a)
+    rest = [c for c in cells.columns if c not in ("n0", "n1", "t0", "t1", "flip")]
+    return cells.select(*rest, swap("n0", "n1"), swap("n1", "n0"), swap("t0", "t1"), swap("t1", "t0"))
 
 
 def _forest_predictions(cells: DataFrame, n_features: int, params: dict) -> tuple[DataFrame, DataFrame]:
@@ -114,7 +113,7 @@ def _boosted_predictions(cells: DataFrame, n_features: int, params: dict, folds:
     more than iterations, depth, bins, step and seed, by MLlib.
     """
     names = trees.bin_columns(n_features)
-    if set(params) <= {"maxIter", "maxDepth", "maxBins", "stepSize", "seed"} and trees.largest_fold(cells) <= task_cells:
+    if set(params) <= {"maxIter", "maxDepth", "maxBins", "stepSize", "seed"} and trees.fold_sizes(cells)[0] <= task_cells:
         return trees.boosted_predictions(cells, n_features, params.get("maxIter", 20), params.get("maxDepth", 5), params.get("stepSize", 0.1))
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     params = {"maxBins": 32, **params}
@@ -155,11 +154,16 @@ def fold_training_cells(blocked: DataFrame, features: Sequence[str], outcome: st
     Empty below two full blocks, where no fold could be trained.
     """
     cells = fold_cells(blocked, features, outcome, block_col, max_bins)
-    full = sorted(r[0] for r in cells.where(~F.col("is_tail")).select(block_col).distinct().collect())
+    sums = stored(cells.groupBy(F.col(block_col).cast("int").alias("fold")).agg(
+        F.bool_and("is_tail").alias("is_tail"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "blocks")
+    full = sorted(r[0] for r in sums.where(~F.col("is_tail")).select("fold").collect())
     wanted = [] if len(full) < 2 else [i for i in full if folds is None or i in set(folds)]
+    chosen = sums.where(~F.col("is_tail")) if folds is None else sums.where(F.col("fold").isin(wanted))
     # Block numbers are a row each: as many as there are models to fit.
-    per_fold = trees.leave_one_out(cells.drop("is_tail"), len(features), block_col, wanted or [-1])
-    return stored(by_frequency(per_fold if wanted else per_fold.limit(0)), "fold-cells"), wanted
+    whole = sums.agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
+    flip = F.col("a1") - F.col("n1") > F.col("a0") - F.col("n0")
+    chosen = stored((chosen if wanted else chosen.limit(0)).crossJoin(whole).select("fold", flip.alias("flip")), "wanted")
+    return stored(by_frequency(trees.leave_one_out(cells.drop("is_tail"), len(features), block_col, chosen)), "fold-cells"), wanted
 
 
 def evaluate_folds(blocked: DataFrame, features: Sequence[str], outcome: str = "DOA", kind: str = "forest",
@@ -242,8 +246,9 @@ def cross_val_predictions(df: DataFrame, features: Sequence[str], label: str, fo
     n = len(features)
     rows = trees.binned(df.withColumn("label", F.col(label).cast("double")), features, trees.feature_thresholds(df, features, _bins(kind, params)))
     cells = stored(trees.count_cells(rows, n, F.col("label"), [fold_col]), "cells")
-    folds = sorted(r[0] for r in cells.select(fold_col).distinct().collect())
-    per_fold = stored(trees.leave_one_out(cells.withColumnRenamed(fold_col, "_own"), n, "_own", folds), "fold-cells")
+    numbers = stored(cells.select(F.col(fold_col).cast("int").alias("fold")).distinct(), "numbers")
+    folds = sorted(r[0] for r in numbers.collect())
+    per_fold = stored(trees.leave_one_out(cells.withColumnRenamed(fold_col, "_own"), n, "_own", numbers), "fold-cells")
     scored = _predictions(per_fold, n, kind, params, folds, max_parallel).where("t0 + t1 > 0")
     keys = trees.bin_columns(n)
     scored = stored(scored.select(F.col("fold").alias("_fold"), *[F.col(b).alias(f"_{b}") for b in keys], "prediction"), "scored")

@@ -34,7 +34,9 @@ def best_splits(score_of, bins, place, n_nodes, weights, allowed=None):
     """(feature, bin, score) of each node's best split; feature -1 where there is none. Ties: first feature, lowest bin."""
     feature, cut, best = np.full(n_nodes, -1), np.zeros(n_nodes, np.int64), np.full(n_nodes, -np.inf)
     for f, sums in enumerate(histograms(bins, place, n_nodes, weights)):
-        score = score_of([s for s in sums], [s[:, -1:] - s for s in sums])
+        if sums[0].shape[1] < 2:
+            continue  # No child is empty, so that the last bin is no cut.
+        score = score_of([s[:, :-1] for s in sums], [s[:, -1:] - s[:, :-1] for s in sums])
         if allowed is not None:
             score[~allowed[:, f]] = -np.inf
         at = score.argmax(axis=1)
@@ -93,21 +95,20 @@ def grow_classes(bins, w0, w1, depth, chosen, keys, seed, owner):
 
     ``owner`` says which tree a row belongs to; ``keys`` start the hashed orders of the nodes of each tree.
     """
-    node = np.ones(len(bins), np.int64)
     out = []
     d = bins.shape[1]
+    # The open nodes: their trees and numbers, and the place of each row among them.
+    tree, at, place = np.arange(len(keys)), np.ones(len(keys), np.int64), owner
     for _ in range(depth):
-        ids, place = np.unique(owner << depth + 1 | node, return_inverse=True)
-        tree, at = ids >> depth + 1, ids & (1 << depth + 1) - 1
-        a0, a1 = np.bincount(place, w0), np.bincount(place, w1)
+        a0, a1 = np.bincount(place, w0, len(tree)), np.bincount(place, w1, len(tree))
         open_ = (a0 > 0) & (a1 > 0)  # Nodes of one class are leaves.
         keep = open_[place]
-        ids, a0, a1, tree, at = ids[open_], a0[open_], a1[open_], tree[open_], at[open_]
-        if not len(ids):
+        a0, a1, tree, at = a0[open_], a1[open_], tree[open_], at[open_]
+        if not len(tree):
             break
         place = (np.cumsum(open_) - 1)[place[keep]]
-        bins, w0, w1, owner, node = bins[keep], w0[keep], w1[keep], owner[keep], node[keep]
-        allowed = np.ones((len(ids), d), bool)
+        bins, w0, w1 = bins[keep], w0[keep], w1[keep]
+        allowed = np.ones((len(tree), d), bool)
         if chosen < d:
             allowed[:] = False
             tails = [f":{f}:{seed}".encode() for f in range(d)]
@@ -120,17 +121,18 @@ def grow_classes(bins, w0, w1, depth, chosen, keys, seed, owner):
                     order.append((digest.digest(), f))
                 order.sort()
                 allowed[i, [f for _, f in order[:chosen]]] = True
-        feature, cut, score = best_splits(class_score, bins, place, len(ids), (w0, w1), allowed)
+        feature, cut, score = best_splits(class_score, bins, place, len(tree), (w0, w1), allowed)
         parent = squares_over_sum(a0, a1)
         split = (feature >= 0) & (score > parent * MIN_RISE)
         if not split.any():
             break
         keep = split[place]
-        bins, w0, w1, place, owner, node = bins[keep], w0[keep], w1[keep], place[keep], owner[keep], node[keep]
+        bins, w0, w1, place = bins[keep], w0[keep], w1[keep], place[keep]
         right = bins[np.arange(len(bins)), feature[place]] > cut[place]
-        r0, r1 = np.bincount(place, w0 * right, len(ids)), np.bincount(place, w1 * right, len(ids))
+        r0, r1 = np.bincount(place, w0 * right, len(tree)), np.bincount(place, w1 * right, len(tree))
         out.append([x[split] for x in (tree, at, feature, cut, a0 - r0, a1 - r1, r0, r1, score - parent)])
-        node = 2 * node + right
+        tree, at = np.repeat(tree[split], 2), (2 * at[split][:, None] + [0, 1]).ravel()
+        place = 2 * (np.cumsum(split) - 1)[place] + right
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0)] * 9
 
 
@@ -180,23 +182,25 @@ def boosted_margins(bins, n0, n1, iterations, depth, step):
     return margin
 
 
-def votes_of(bins, trees, nodes, features, cuts, left, right, depth):
-    """Sum over the trees of the leaf value that each cell reaches; the arrays after ``bins`` are the splits, a row each.
+def votes_of(bins, owner, forests, trees, nodes, features, cuts, left, right, depth):
+    """Sum over the trees of its forest of the leaf value that each cell reaches; the arrays after ``owner`` are the splits, a row each.
 
-    ``left`` and ``right`` are whole numbers; node 0 has the value of an unsplit root as its right. Some trees at a time.
+    ``owner`` and ``forests`` are the forest of each cell and split, numbered from 0. ``left`` and ``right`` are whole numbers; node 0
+    has the value of an unsplit root as its right. Some trees at a time.
     """
     votes = np.zeros(len(bins), np.int64)
     every, number = np.unique(trees, return_inverse=True)
     some = max(1, BLOCK_ENTRIES // max(1, len(bins)))
+    wide = int(owner.max(initial=-1)) + 1
     for lo in range(0, len(every), some):
         mine = np.flatnonzero((number >= lo) & (number < lo + some))
         n = min(some, len(every) - lo)
-        at = (number[mine] - lo << depth) + nodes[mine]
-        feature = np.full(n << depth, -1)
-        cut, low, high = (np.zeros(n << depth, np.int64) for _ in range(3))
+        at = ((number[mine] - lo) * wide + forests[mine] << depth) + nodes[mine]
+        feature = np.full(n * wide << depth, -1)
+        cut, low, high = (np.zeros(n * wide << depth, np.int64) for _ in range(3))
         feature[at], cut[at], low[at], high[at] = features[mine], cuts[mine], left[mine], right[mine]
-        base = np.repeat(np.arange(n) << depth, len(bins))
-        feature[np.arange(n) << depth] = -1
+        base = (np.arange(n)[:, None] * wide + owner << depth).ravel()
+        feature[np.arange(n * wide) << depth] = -1
         value = high[base]
         entry, row, node = np.arange(n * len(bins)), np.tile(np.arange(len(bins)), n), np.ones(n * len(bins), np.int64)
         for _ in range(depth):

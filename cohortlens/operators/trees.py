@@ -2,7 +2,7 @@
 
 Rows are counted once into cells: equal binned features make one cell with a count per class. Binning bounds the cells,
 whatever the number of rows, and a fold's training set is the total less the fold's own cells, so that no fold reads the
-rows again. Where a fold's cells fit a task, its trees grow in tasks, some at a time. Beyond that all trees of all folds grow together,
+rows again. Where a fold's cells fit a task, its trees grow in tasks, some at a time, and small folds of a group together. Beyond that all trees of all folds grow together,
 level by level: one histogram (node, feature, bin) by a grouped aggregate, prefix sums along the bins, the best split of every
 node, and a join that sends the cells on to the children. Both give the same trees.
 
@@ -28,6 +28,10 @@ from cohortlens.session import drop_stored, stored
 TASK_CELLS = 200_000
 #: Groups of a fold's trees that are grown by a task each, at least, while there are trees enough.
 TREE_GROUPS = 200
+#: Cells of the folds that a task handles together, where there are folds enough for ``TREE_GROUPS`` tasks.
+GROUP_CELLS = 8_000
+#: Cells of a task of many groups, about.
+SHUFFLED_CELLS = 500_000
 #: Leaf shares and votes are whole numbers of this unit, so that their sums have no order.
 UNIT = 1_000_000
 
@@ -72,16 +76,20 @@ def count_cells(df: DataFrame, n_features: int, label: Column, by: Sequence[str]
     return df.groupBy(*by, *bin_columns(n_features)).agg(F.count_if(label == 0).alias("n0"), F.count_if(label == 1).alias("n1"))
 
 
-def leave_one_out(cells: DataFrame, n_features: int, fold_col: str, folds: Sequence[int]) -> DataFrame:
-    """(fold, bins, n0, n1, t0, t1): every fold's training counts, all cells less its own, and its own (test) counts."""
+def leave_one_out(cells: DataFrame, n_features: int, fold_col: str, folds: DataFrame) -> DataFrame:
+    """(folds, bins, n0, n1, t0, t1): every fold's training counts, all cells less its own, and its own (test) counts.
+
+    ``folds`` has a row for each ``fold`` (int), and may have other columns, which stay.
+    """
     keys = bin_columns(n_features)
-    total = cells.groupBy(*keys).agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1"))
-    each = total.withColumn("fold", F.explode(F.array(*[F.lit(int(i)) for i in folds])))
-    own = cells.where(F.col(fold_col).isin([int(i) for i in folds])).select(F.col(fold_col).cast("int").alias("fold"), *keys,
-                                                                            F.col("n0").alias("t0"), F.col("n1").alias("t1"))
+    total = stored(cells.groupBy(*keys).agg(F.sum("n0").alias("a0"), F.sum("n1").alias("a1")), "total")
+    # The folds are spread, so that their cells are not made by the one task that holds the totals.
+    each = folds.repartition(max(1, min(TREE_GROUPS, folds.count())), "fold").crossJoin(total)
+    own = (cells.withColumn("fold", F.col(fold_col).cast("int")).join(folds.select("fold"), "fold", "left_semi")
+           .select("fold", *keys, F.col("n0").alias("t0"), F.col("n1").alias("t1")))
     c = lambda x: F.coalesce(x, F.lit(0))
     return each.join(own, ["fold", *keys], "left").select(
-        "fold", *keys, (F.col("a0") - c("t0")).alias("n0"), (F.col("a1") - c("t1")).alias("n1"), c("t0").alias("t0"), c("t1").alias("t1"))
+        *folds.columns, *keys, (F.col("a0") - c("t0")).alias("n0"), (F.col("a1") - c("t1")).alias("n1"), c("t0").alias("t0"), c("t1").alias("t1"))
 
 
 def poisson_draw(n: Column, digest: Column) -> Column:
@@ -110,21 +118,31 @@ def subset_size(strategy: str, n_features: int, n_trees: int) -> int:
 SPLITS = "fold int, tree int, node int, feature int, bin int, l0 long, l1 long, r0 long, r1 long, gain double"
 
 
-def largest_fold(cells: DataFrame) -> int:
-    return cells.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def fold_sizes(cells: DataFrame) -> tuple[int, int]:
+    """The cells of the largest fold, and the number of folds."""
+    of = cells.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("folds")).first()
+    return of["n"] or 0, of["folds"]
+
+
+def _group_of(largest: int, folds: int) -> tuple[Column, int]:
+    """The group of a fold, and in how many tasks of about equal work the groups go."""
+    together = max(1, min(GROUP_CELLS // max(1, largest), folds // TREE_GROUPS))
+    groups = max(1, -(-folds // together))
+    return F.expr(f"fold div {together}"), max(1, min(groups, max(TREE_GROUPS, largest * folds // SHUFFLED_CELLS)))
 
 
-def _grow_in_tasks(cells: DataFrame, n_features: int, num_trees: int, max_depth: int, chosen: int, seed: int) -> DataFrame:
+def _grow_in_tasks(cells: DataFrame, n_features: int, num_trees: int, max_depth: int, chosen: int, seed: int, sizes: tuple[int, int]) -> DataFrame:
     """Each fold's trees, some at a time: as many groups of trees a fold as give ``TREE_GROUPS`` tasks' worth in all."""
     keys = bin_columns(n_features)
-    folds = cells.select("fold").distinct().count()
-    parts = max(1, min(num_trees, -(-TREE_GROUPS // max(1, folds))))
+    parts = max(1, min(num_trees, -(-TREE_GROUPS // max(1, sizes[1]))))
+    group, tasks = _group_of(*sizes)
 
     def one(key, frame):
         import numpy as np
         import pandas as pd
 
-        fold, part = key
+        part = key[1]
+        folds, place = np.unique(frame["fold"].to_numpy(np.int64), return_inverse=True)
         bins, n0, n1 = frame[keys].to_numpy(np.int64), frame["n0"].to_numpy(np.int64), frame["n1"].to_numpy(np.int64)
         ends = [(":" + ":".join(map(str, b))).encode() for b in bins.tolist()]
         mine = list(range(part, num_trees, parts))
@@ -134,31 +152,34 @@ def _grow_in_tasks(cells: DataFrame, n_features: int, num_trees: int, max_depth:
             block = mine[lo:lo + some]
             w0, w1 = [], []
             for t in block:
-                names = [f"{fold}:{t}".encode() + e for e in ends]
+                heads = [f"{f}:{t}".encode() for f in folds.tolist()]
+                names = [heads[i] + e for i, e in zip(place.tolist(), ends)]
                 w0.append(poisson_draws(n0, names, f":0:{seed}".encode()))
                 w1.append(poisson_draws(n1, names, f":1:{seed}".encode()))
-            w0, w1 = np.array(w0, np.float64), np.array(w1, np.float64)
-            drawn = (w0 + w1).ravel() > 0
-            owner = np.repeat(np.arange(len(block)), len(bins))[drawn]
-            found = grow_classes(np.tile(bins, (len(block), 1))[drawn], w0.ravel()[drawn], w1.ravel()[drawn], max_depth, chosen,
-                                 [f"{fold}:{t}" for t in block], seed, owner)
+            w0, w1 = np.array(w0, np.float64).ravel(), np.array(w1, np.float64).ravel()
+            # The trees of the block, each in every fold.
+            owner = (np.arange(len(block))[:, None] * len(folds) + place).ravel()
+            drawn = w0 + w1 > 0
+            found = grow_classes(np.tile(bins, (len(block), 1))[drawn], w0[drawn], w1[drawn], max_depth, chosen,
+                                 [f"{f}:{t}" for t in block for f in folds.tolist()], seed, owner[drawn])
             some_rows = pd.DataFrame(dict(zip(names_of[1:], found)))
-            rooted = np.unique(owner)  # A tree that drew no cell has no root.
+            rooted = np.unique(owner[drawn])  # A tree that drew no cell has no root.
             zeros = np.zeros(len(rooted), np.int64)
-            roots = pd.DataFrame({"tree": rooted, "node": zeros, "feature": -1, "bin": -1, "l0": zeros, "l1": zeros, "r0": w0.sum(axis=1)[rooted],
-                                  "r1": w1.sum(axis=1)[rooted], "gain": 0.0})
+            roots = pd.DataFrame({"tree": rooted, "node": zeros, "feature": -1, "bin": -1, "l0": zeros, "l1": zeros, "r0": np.bincount(owner, w0)[rooted],
+                                  "r1": np.bincount(owner, w1)[rooted], "gain": 0.0})
             rows = pd.concat([some_rows, roots]).astype({c: "int64" for c in names_of[1:-1]})
-            rows["tree"] = np.array(block)[rows["tree"].to_numpy()]
+            tree, fold = np.divmod(rows["tree"].to_numpy(), len(folds))
+            rows["tree"] = np.array(block)[tree]
+            rows.insert(0, "fold", folds[fold])
             made.append(rows)
-        out = pd.concat(made)
-        out.insert(0, "fold", fold)
-        out = out.astype({"feature": "Int32", "bin": "Int32"})
+        out = pd.concat(made).astype({"feature": "Int32", "bin": "Int32"})
         out.loc[out["node"] == 0, ["feature", "bin"]] = None
         return out
 
     names_of = [c.split()[0] for c in SPLITS.split(", ")]
     part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    return cells.select("fold", *keys, "n0", "n1", part.alias("part")).groupBy("fold", "part").applyInPandas(one, SPLITS)
+    rows = cells.select("fold", *keys, "n0", "n1", group.alias("_group"), part.alias("_part")).repartition(tasks * parts, "_group", "_part")
+    return rows.groupBy("_group", "_part").applyInPandas(one, SPLITS)
 
 
 def boosted_predictions(cells: DataFrame, n_features: int, iterations: int, max_depth: int, step: float) -> DataFrame:
@@ -186,8 +207,9 @@ def grow_forest(cells: DataFrame, n_features: int, num_trees: int = 50, max_dept
     """
     keys = bin_columns(n_features)
     chosen = subset_size(subset, n_features, num_trees)
-    if largest_fold(cells) <= task_cells:
-        return stored(_grow_in_tasks(cells, n_features, num_trees, max_depth, chosen, seed), "forest")
+    sizes = fold_sizes(cells)
+    if sizes[0] <= task_cells:
+        return stored(_grow_in_tasks(cells, n_features, num_trees, max_depth, chosen, seed, sizes), "forest")
     tree = F.explode(F.sequence(F.lit(0), F.lit(num_trees - 1)))
     key = F.concat_ws(":", "fold", "tree", *keys)
     draw = lambda c, tag: poisson_draw(F.col(c), F.md5(F.concat(key, F.lit(f":{tag}:{seed}"))))
@@ -241,30 +263,37 @@ def grow_forest(cells: DataFrame, n_features: int, num_trees: int = 50, max_dept
 def forest_votes(splits: DataFrame, cells: DataFrame, n_features: int, max_depth: int, task_cells: int = TASK_CELLS) -> DataFrame:
     """Add ``votes``, the trees' shares of class 1 in millionths, and ``prediction`` to cells of (fold, bins); a tie is class 0.
 
-    Folds of up to ``task_cells`` cells meet their forest in one task each; larger ones go down the trees by a join a level.
+    Folds of up to ``task_cells`` cells meet their forest in a task, small ones of a group together; larger ones go down the trees by
+    a join a level.
     """
     share = lambda s: F.when(F.col(f"{s}0") + F.col(f"{s}1") > 0, F.expr(f"{s}1 * {UNIT} div ({s}0 + {s}1)")).otherwise(0).cast("long").alias(s)
     model = splits.select("fold", "tree", "node", "feature", "bin", share("l"), share("r"))
     n_trees = splits.where("node = 0").groupBy("fold").agg(F.count(F.lit(1)).alias("_trees"))
-    if largest_fold(cells) <= task_cells:
-        voted = _votes_in_tasks(model, cells, n_features, max_depth)
+    sizes = fold_sizes(cells)
+    if sizes[0] <= task_cells:
+        voted = _votes_in_tasks(model, cells, n_features, max_depth, sizes)
     else:
         voted = _votes_by_joins(model, cells, n_features, max_depth)
     return voted.join(stored(n_trees, "sizes"), "fold").withColumn("prediction", (2 * F.col("votes") > F.col("_trees") * UNIT).cast("double")).drop("_trees")
 
 
-def _votes_in_tasks(model: DataFrame, cells: DataFrame, n_features: int, max_depth: int) -> DataFrame:
+def _votes_in_tasks(model: DataFrame, cells: DataFrame, n_features: int, max_depth: int, sizes: tuple[int, int]) -> DataFrame:
     keys = bin_columns(n_features)
+    group, tasks = _group_of(*sizes)
 
     def one(frame, splits):
         import numpy as np
 
+        folds, place = np.unique(frame["fold"].to_numpy(np.int64), return_inverse=True)
+        splits = splits[splits["fold"].isin(folds)]
         columns = [splits[c].fillna(-1).to_numpy(np.int64) for c in ("tree", "node", "feature", "bin", "l", "r")]
-        return frame.assign(votes=votes_of(frame[keys].to_numpy(np.int64), *columns, max_depth))
+        forests = np.searchsorted(folds, splits["fold"].to_numpy(np.int64))
+        return frame.drop(columns="_group").assign(votes=votes_of(frame[keys].to_numpy(np.int64), place, forests, *columns, max_depth))
 
     kinds = dict(cells.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in cells.columns) + ", votes long"
-    return cells.groupBy("fold").cogroup(model.groupBy("fold")).applyInPandas(one, schema)
+    grouped = lambda df: df.withColumn("_group", group).repartition(tasks, "_group").groupBy("_group")
+    return grouped(cells).cogroup(grouped(model)).applyInPandas(one, schema)
 
 
 def _votes_by_joins(model: DataFrame, cells: DataFrame, n_features: int, max_depth: int) -> DataFrame:

@@ -38,6 +38,38 @@ def test_trees_in_tasks_equal_trees_by_jobs(spark):
     assert len({v[-1] for v in votes}) == 2
 
 
+def test_small_folds_grow_and_vote_together(spark, monkeypatch):
+    """Folds share a task where there are many; their trees and votes are those that jobs over all cells give."""
+    cells = toy_cells(spark, 9).where("NOT (fold = 4 AND b0 > 0)")
+    monkeypatch.setattr(trees, "TREE_GROUPS", 2)
+    group, tasks = trees._group_of(*trees.fold_sizes(cells))
+    assert trees.fold_sizes(cells) == (56, 9) and tasks == 2 and cells.select(group).distinct().count() == 3
+    order = ["fold", "tree", "node", "feature", "bin", "l0", "l1", "r0", "r1"]
+    one, many = (trees.grow_forest(cells, 3, 4, 4, task_cells=n) for n in (trees.TASK_CELLS, 0))
+    key = lambda r: r[:3]
+    assert sorted(map(tuple, one.select(order).collect()), key=key) == sorted(map(tuple, many.select(order).collect()), key=key)
+    cols = ["fold", "b0", "b1", "b2", "votes", "prediction"]
+    votes = as_rows(trees.forest_votes(one, cells, 3, 4).select(cols))
+    assert votes == as_rows(trees.forest_votes(one, cells, 3, 4, task_cells=0).select(cols)) and len(votes) == 8 * 56 + 8
+
+
+def test_folds_are_a_table_and_their_cells_are_made_in_tasks(spark):
+    """No list of the folds is part of a plan, and no single task makes the cells of all folds."""
+    cells = spark.range(40 * 6).selectExpr("id div 6 AS block", "cast(id % 3 AS int) AS b0", "cast(id % 2 AS int) AS b1", "id % 5 AS n0", "id % 4 AS n1").where("id % 7 > 0")
+    for n in (5, 30):
+        folds = models.stored(spark.range(n).selectExpr("cast(id AS int) AS fold", "true AS flip"), "folds")
+        each = trees.leave_one_out(cells, 2, "block", folds)
+        plan = each._jdf.queryExecution().analyzed().toString()
+        assert "Repartition" in plan and "array(" not in plan and "IN (" not in plan
+        rows = each.collect()
+        counts = {(r.block, r.b0, r.b1): (r.n0, r.n1) for r in cells.collect()}
+        total = lambda b0, b1, i: sum(v[i] for k, v in counts.items() if k[1:] == (b0, b1))
+        assert each.columns == ["fold", "flip", "b0", "b1", "n0", "n1", "t0", "t1"] and len(rows) == n * 6
+        for r in rows:
+            own = counts.get((r.fold, r.b0, r.b1), (0, 0))
+            assert (r.t0, r.t1, r.n0 + r.t0, r.n1 + r.t1) == (*own, total(r.b0, r.b1, 0), total(r.b0, r.b1, 1))
+
+
 def test_splits_are_consistent_and_scored_by_sql(spark, tmp_path):
     """The written table alone gives the predictions and importances, in another engine."""
     import duckdb
