@@ -2,7 +2,7 @@
 
 Rows are binned and counted once into cells; a fold's training set is all cells
 less its own (:mod:`trees`). Forests of all folds grow together as tables.
-Boosted trees are fitted on a fold's cells by one task where they are few enough,
+Boosted trees are fitted on a fold's cells in a task where they are few enough,
 and else by MLlib with the counts as weights: there a driver-side loop runs over
 the folds, one model each, on a bounded thread pool.
 ``fit_model`` fits MLlib models on rows, for those who want the fitted object.
@@ -109,7 +109,7 @@ def _boosted_predictions(cells: DataFrame, n_features: int, params: dict, folds:
                          task_cells: int = trees.TASK_CELLS) -> DataFrame:
     """Cells with predictions of boosted trees per fold, fitted on the cells with their counts as weights.
 
-    Folds of up to ``task_cells`` cells are fitted by a task each, without subsampling; others, and all where ``params`` has
+    Folds of up to ``task_cells`` cells are fitted in tasks, small ones together, without subsampling; others, and all where ``params`` has
     more than iterations, depth, bins, step and seed, by MLlib.
     """
     names = trees.bin_columns(n_features)

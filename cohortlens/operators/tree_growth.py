@@ -144,41 +144,47 @@ def value_score(left, right):
     return score
 
 
-def tree_values(bins, w, y, depth):
-    """The value that a regression tree on weighted cells gives each cell, those without weight included."""
+def tree_values(bins, w, y, depth, owner):
+    """The value that a regression tree on weighted cells gives each cell, those without weight included.
+
+    ``owner`` is the tree of each cell, numbered from 0: the trees of several models grow at a time, each on its own cells.
+    """
     value = np.zeros(len(bins))
-    rows = np.arange(len(bins))
-    node = np.ones(len(bins), np.int64)
+    wy = w * y
+    wyy = wy * y
+    rows, place, nodes = np.arange(len(bins)), owner, int(owner.max(initial=-1)) + 1
     for level in range(depth + 1):
-        ids, place = np.unique(node, return_inverse=True)
-        weight, total = np.bincount(place, w[rows]), np.bincount(place, w[rows] * y[rows])
+        weight, total = np.bincount(place, w, nodes), np.bincount(place, wy, nodes)
         value[rows] = (total / np.maximum(weight, 1e-300))[place]
         if level == depth:
             break
-        feature, cut, score = best_splits(value_score, bins[rows], place, len(ids), (w[rows], w[rows] * y[rows]))
-        second = np.bincount(place, w[rows] * y[rows] * y[rows])
+        feature, cut, score = best_splits(value_score, bins, place, nodes, (w, wy))
+        second = np.bincount(place, wyy, nodes)
         # Variance must fall by more than rounding can lower it.
         split = (feature >= 0) & (score - total * total / np.maximum(weight, 1e-300) > 1e-12 * np.maximum(second, 1e-300))
-        keep = split[place]
-        rows, place, node = rows[keep], place[keep], node[keep]
-        if not len(rows):
+        if not split.any():
             break
-        node = 2 * node + (bins[rows, feature[place]] > cut[place])
+        if not split.all():
+            keep = split[place]
+            rows, place, bins, w, wy, wyy = rows[keep], place[keep], bins[keep], w[keep], wy[keep], wyy[keep]
+        place = 2 * (np.cumsum(split) - 1)[place] + (bins[np.arange(len(bins)), feature[place]] > cut[place])
+        nodes = 2 * int(split.sum())
     return value
 
 
-def boosted_margins(bins, n0, n1, iterations, depth, step):
+def boosted_margins(bins, n0, n1, iterations, depth, step, owner):
     """Margins of gradient-boosted trees under logistic loss, per cell: class 1 where positive.
 
     The first tree fits the labels -1 and 1 and counts whole; each further one fits the negative gradient and counts by ``step``.
+    ``owner`` is the model of each cell, numbered from 0.
     """
     w = n0 + n1
     label = np.where(w > 0, (n1 - n0) / np.maximum(w, 1e-300), 0.0)
-    margin = tree_values(bins, w, label, depth)
+    margin = tree_values(bins, w, label, depth, owner)
     for _ in range(iterations - 1):
         up, down = 4.0 / (1.0 + np.exp(2.0 * margin)), -4.0 / (1.0 + np.exp(-2.0 * margin))
         gradient = np.where(w > 0, (n1 * up + n0 * down) / np.maximum(w, 1e-300), 0.0)
-        margin = margin + step * tree_values(bins, w, gradient, depth)
+        margin = margin + step * tree_values(bins, w, gradient, depth, owner)
     return margin
 
 

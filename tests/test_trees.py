@@ -104,6 +104,29 @@ def test_boosted_trees_equal_mllib(spark):
     assert mine == theirs and {r[-1] for r in mine} == {0.0, 1.0}
 
 
+def test_small_folds_are_boosted_together(spark, monkeypatch):
+    """Folds share a task where there are many; each has the predictions that it has alone, however its cells arrive."""
+    cells = toy_cells(spark, 9).where("NOT (fold = 4 AND b0 > 0)")
+    params = dict(maxIter=6, maxDepth=4, seed=5043)
+    cols = ["fold", "b0", "b1", "b2", "n0", "n1", "t0", "t1", "prediction"]
+    alone = [r for i in range(9) for r in as_rows(models._boosted_predictions(cells.where(F.col("fold") == i), 3, params, [i], 1).select(cols))]
+    monkeypatch.setattr(trees, "TREE_GROUPS", 2)
+    group = trees._group_of(*trees.fold_sizes(cells))[0]
+    together = models._boosted_predictions(cells.orderBy(F.desc("b1"), "fold"), 3, params, list(range(9)), 1)
+    assert cells.select(group).distinct().count() == 3 and as_rows(together.select(cols)) == sorted(alone) and together.columns == [*cells.columns, "prediction"]
+
+
+def test_boosted_margins_of_several_models_are_those_of_each(spark):
+    from cohortlens.operators.tree_growth import boosted_margins
+
+    rng = np.random.default_rng(5)
+    parts = [(rng.integers(0, [9, 2, 2], (size, 3)), rng.poisson(4, size) * 1.0, rng.poisson(2, size) * 1.0) for size in (60, 1, 35)]
+    parts.append((parts[0][0], np.zeros(60), np.zeros(60)))
+    whole = boosted_margins(*(np.concatenate(x) for x in zip(*parts)), 7, 5, 0.1, np.repeat(np.arange(4), [60, 1, 35, 60]))
+    each = [boosted_margins(*p, 7, 5, 0.1, np.zeros(len(p[0]), int)) for p in parts]
+    assert whole.tolist() == np.concatenate(each).tolist() and (whole[-60:] == 0).all() and len(set(whole.tolist())) > 20
+
+
 def test_poisson_draws(spark):
     for n in (1, 5, 16, 200):
         draws = [r[0] for r in spark.range(20_000).select(trees.poisson_draw(F.lit(n).cast("long"), F.md5(F.concat_ws(":", "id", F.lit(n))))).collect()]
