@@ -176,6 +176,75 @@ def match_samples(left, left_of, right, right_of, starts, m):
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
+#: Of md5: left rotations by round and the sines' table.
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) & 0xFFFFFFFF for i in range(64)]
+
+
+def _md5_block(words):
+    """md5 of messages of one block each: 16 rows of words, padded; gives 4 rows of words."""
+    import numpy as np
+
+    start = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(words.shape[1], x, np.uint32) for x in start)
+    f, g = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        kind = i // 16
+        if kind == 0:  # d ^ (b & (c ^ d))
+            np.bitwise_xor(c, d, out=f), np.bitwise_and(f, b, out=f), np.bitwise_xor(f, d, out=f)
+            word = i
+        elif kind == 1:  # c ^ (d & (b ^ c))
+            np.bitwise_xor(b, c, out=f), np.bitwise_and(f, d, out=f), np.bitwise_xor(f, c, out=f)
+            word = (5 * i + 1) % 16
+        elif kind == 2:  # b ^ c ^ d
+            np.bitwise_xor(b, c, out=f), np.bitwise_xor(f, d, out=f)
+            word = (3 * i + 5) % 16
+        else:  # c ^ (b | ~d)
+            np.invert(d, out=f), np.bitwise_or(f, b, out=f), np.bitwise_xor(f, c, out=f)
+            word = 7 * i % 16
+        turn = _TURNS[kind][i % 4]
+        np.add(f, a, out=f), np.add(f, np.uint32(_SINES[i]), out=f), np.add(f, words[word], out=f)
+        np.left_shift(f, np.uint32(turn), out=g), np.right_shift(f, np.uint32(32 - turn), out=f), np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=f)
+        a, b, c, d, f = d, f, b, c, a
+    return np.stack([a + start[0], b + start[1], c + start[2], d + start[3]])
+
+
+def md5_numbers(texts, suffix: bytes, first: int = 8192):
+    """The two halves of the md5 of every text with ``suffix``, as big-endian numbers: an array of (rows, 2).
+
+    ``texts`` is an Arrow array of strings without nulls. Texts of one length are hashed together, ``first`` at a time.
+    """
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    texts = texts.cast(pa.large_binary())
+    if not len(texts):
+        return np.zeros((0, 2), np.uint64)
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    out = np.empty((len(texts), 4), "<u4")
+    for size in np.unique(sizes).tolist():
+        which = np.flatnonzero(sizes == size)
+        total = size + len(suffix)
+        if total > 55:  # more than a block
+            for i in which.tolist():
+                out[i] = np.frombuffer(hashlib.md5(data[ends[i]:ends[i + 1]].tobytes() + suffix, usedforsecurity=False).digest(), "<u4")
+            continue
+        block = np.zeros((first, 64), np.uint8)
+        block[:, size:total + 1] = np.frombuffer(suffix + b"\x80", np.uint8)
+        block[:, 56:64] = np.frombuffer((8 * total).to_bytes(8, "little"), np.uint8)
+        for k in range(0, len(which), first):
+            some = which[k:k + first]
+            block[:len(some), :size] = data[ends[some][:, None] + np.arange(size)]
+            out[some] = _md5_block(np.ascontiguousarray(block[:len(some)].view("<u4").T)).T
+    return out.view(">u8").astype(np.uint64)
+
+
 def match_pair(side, pattern, value, free, levels=range(LEVELS), low_open=False, high_open=False):
     """(level, difference, rows) of all ``levels`` of one pair of datasets, nearest first; ``free`` is changed in place."""
     out = []

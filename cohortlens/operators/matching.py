@@ -28,18 +28,18 @@ every round (shared folder), so lineage stays short.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.hashing import hash_order, hash_uniform
-from cohortlens.operators.greedy import LEVELS, match_pair, match_samples
+from cohortlens.functions.hashing import hash_uniform
+from cohortlens.operators.greedy import LEVELS, match_pair, match_samples, md5_numbers
 from cohortlens.operators.similarity import (
-    BINARY, DIST_COLS, PAIR, collapse_cells, complete_rows, dataset_pairs, distance_summary, joint_minmax, pair_rows, with_incomplete,
+    BINARY, DIST_COLS, PAIR, collapse_cells, complete_rows, dataset_pairs, distance_summary, joint_minmax, pair_rows, pair_sides, with_incomplete,
 )
-from cohortlens.session import drop_stored, stored
+from cohortlens.session import DROP_SHUFFLES, default_partitions, drop_stored, settings, stored
 
 #: Edges between the cells of a pair up to which one task matches it: some 30,000 cells a side.
 MAX_TASK_EDGES = 1_000_000_000
@@ -47,8 +47,14 @@ MAX_TASK_EDGES = 1_000_000_000
 CHUNK_CELLS = 50_000
 #: Rows of either side in a bucket of the sampled matching, about.
 BUCKET_ROWS = 1000
-#: Buckets that one group of the sampled matching holds, each with a row's step at a time.
-GROUP_BUCKETS = 200
+#: Rows of a task of the sampled matching, whose buckets take a row's step at a time.
+TASK_ROWS = 400_000
+#: Rows of the pairs that the sampled matching has on disk at a time.
+WAVE_ROWS = 100_000_000
+#: Bytes of rows that a task of the sampled matching reads, to tag them with their pairs: a row there becomes many.
+SPLIT_BYTES = "16m"
+#: Rows that such a task is handed at a time.
+BATCH_ROWS = 50_000
 
 
 def exact_cells(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
@@ -153,8 +159,8 @@ def _match_in_levels(cells: DataFrame, chunk_cells: int) -> list[DataFrame]:
     return rounds
 
 
-def _with_unmatched(matched: DataFrame, totals: DataFrame, weight: str | None) -> DataFrame:
-    return (totals.join(distance_summary(matched, weight=weight), PAIR, "left")
+def _with_unmatched(summary: DataFrame, totals: DataFrame) -> DataFrame:
+    return (totals.join(summary, PAIR, "left")
             .select(*PAIR, F.coalesce("n_matched", F.lit(0)).alias("n_matched"), "avg_distance", "min_distance",
                     "max_distance", "zero_dist_percent", "distance_sum", F.coalesce("n_nonzero", F.lit(0)).alias("n_nonzero"),
                     (F.col("n_left") - F.coalesce("n_matched", F.lit(0))).cast("long").alias("n_unmatched")))
@@ -181,66 +187,137 @@ def match_exact(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Ag
             matched = matched.unionByName(part)
     apart = F.when(F.col("width") > 0, F.col("delta") / F.col("width")).otherwise(F.lit(0.0))
     matched = matched.join(widths, PAIR).select(*PAIR, ((F.col("level") + apart) / F.lit(6.0)).alias("distance"), "m")
-    out = _with_unmatched(matched, sizes.select(*PAIR, "n_left"), "m")
+    out = _with_unmatched(distance_summary(matched, weight="m"), sizes.select(*PAIR, "n_left"))
     return with_incomplete(out, df, [*BINARY, value], dataset_col)
 
 
+def _pair_waves(sizes: DataFrame, wave_rows: int) -> DataFrame:
+    """Add ``_wave``: pairs in their order, those of a wave with about ``wave_rows`` rows together, the last one's beyond that."""
+    n = F.col("nl") + F.col("nr")
+    upto = Window.partitionBy("ds_a").orderBy("ds_b").rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each first dataset.
+    before = Window.orderBy("ds_a").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.groupBy("ds_a").agg(F.sum(n).alias("_n")).select("ds_a", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    start = F.col("_before") + F.coalesce(F.sum(n).over(upto), F.lit(0))
+    return sizes.join(first, "ds_a").withColumn("_wave", F.floor(start / F.lit(wave_rows)).cast("int")).drop("_before")
+
+
+def _match_dealt(free: DataFrame, m: int, tag: str, tasks: int) -> DataFrame:
+    """One round over rows with ``_at``, their pair's number, names and side, and ``_bucket``: matches with ``r_id`` and
+    ``distance``, and the free rows, with neither.
+
+    A task gets whole buckets and takes a step of all of them at a time, so that rows need no sorting before. They
+    draw after the shuffle, which has nothing but the rows. Most of the time goes to handing columns over, so there are few.
+    """
+    kind = dict(free.dtypes)["_id"]
+    plain = kind in ("tinyint", "smallint", "int", "bigint", "string")  # whose texts Arrow writes as Spark does
+    schema = f"_pair long, side int, _id {kind}, _found string, Age double, r_id {kind}, distance double"
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches)
+        column = lambda c: pa.concat_arrays(rows[c].chunks)
+        at, found, ids = column("_at").dictionary_encode(), column("_found").dictionary_encode(), column("_id")
+        number, names = zip(*(x.split("|", 1) for x in at.dictionary.to_pylist()))
+        number, sides, at = np.array(number, np.int64), np.array([int(x[-1]) for x in names]), at.indices
+        pair, side = number[at], sides[at]
+        bucket = column("_bucket").to_numpy().astype(np.int64)
+        bucket += np.unique(number, return_inverse=True)[1][at] * (bucket.max() + 1)
+        texts = pc.binary_join_element_wise(pa.array(names).take(at), ids.cast(pa.string()) if plain else column("_text"), ":", null_handling="skip")
+        order = md5_numbers(texts, f":{tag}".encode())
+        order = np.lexsort((order[:, 1], order[:, 0], bucket, side))
+        left, right = np.split(order, [int((side == 0).sum())])
+        starts = md5_numbers(texts.take(pa.array(left)), f":start:{tag}".encode())[:, 0]
+        starts = ((starts >> np.uint64(12)).astype(float) + 0.5) / 2.0 ** 52  # as hash_uniform
+        values = np.array([[float(x) for x in text.split(",")] for text in found.dictionary.to_pylist()])[found.indices]
+        values = np.column_stack([values, rows["Age"].to_numpy()])
+        i, j, distance = match_samples(values[left], bucket[left], values[right], bucket[right], starts, m)
+        i, j = left[i], right[j]
+        free = np.ones(len(rows), bool)
+        free[i] = free[j] = False
+        k = np.flatnonzero(free)
+        none = lambda n, kind: pa.nulls(n, kind)
+        taken = [pair[i], none(len(i), pa.int32()), ids.take(pa.array(i)), none(len(i), pa.string()), none(len(i), pa.float64()), ids.take(pa.array(j)), distance]
+        rest = [pair[k], side[k].astype(np.int32), ids.take(pa.array(k)), column("_found").take(pa.array(k)), values[k, -1], none(len(k), ids.type), none(len(k), pa.float64())]
+        for columns in (taken, rest):
+            yield from pa.table(columns, [c.split()[0] for c in schema.split(", ")]).to_batches(max_chunksize=20_000)
+
+    shuffled = free.select("_pair", "_at", "_id", "_found", "Age", "_bucket").repartition(tasks, "_pair", "_bucket")
+    return shuffled.select("_at", "_id", "_found", "Age", "_bucket", *([] if plain else [F.col("_id").cast("string").alias("_text")])).mapInArrow(run, schema)
+
+
 def sampled_matches(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10, seed: int = 100,
-                    pairs: Sequence[tuple] | None = None, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, DataFrame]:
+                    pairs: Sequence[tuple] | None = None, bucket_rows: int = BUCKET_ROWS, wave_rows: int = WAVE_ROWS,
+                    summary: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Matched rows (ds_a, ds_b, l_id, r_id, distance) of the sampled method, and left rows per pair.
 
     A round deals the free rows of both sides of a pair by md5 into buckets of about ``bucket_rows``; in its
     bucket each left row in turn, in the order of its md5, takes the nearest of ``m`` rows still free. A
     bucket is a random part of the pair, so that the candidates are a random sample of its free rows. Only what the buckets'
     uneven sizes leave goes on to the next round: some 1 / sqrt(bucket_rows) of it.
-    """
-    rows = stored(pair_rows(complete_rows(df.select(dataset_col, key, *DIST_COLS)), dataset_col, pairs=pairs)
-                  .select(*PAIR, "side", F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in DIST_COLS]), "pair-rows")
-    totals = stored(rows.where("side = 0").groupBy(*PAIR).agg(F.count(F.lit(1)).alias("n_left")), "totals")
-    kinds = dict(rows.dtypes)
-    schema = f"{_pair_type(rows)}, side int, _id {kinds['_id']}, {', '.join(f'{c} double' for c in DIST_COLS)}, r_id {kinds['_id']}, distance double"
-
-    def one(key, frame):
-        import numpy as np
-        import pandas as pd
 
-        digests = np.frombuffer(b"".join(frame["_h"]), ">u8").reshape(-1, 2)
-        frame = frame.iloc[np.lexsort((digests[:, 1], digests[:, 0], frame["_bucket"], frame["side"]))]
-        left, right = (frame[frame["side"] == s].reset_index(drop=True) for s in (0, 1))
-        i, j, distance = match_samples(left[DIST_COLS].to_numpy(float), left["_bucket"].to_numpy(), right[DIST_COLS].to_numpy(float),
-                                       right["_bucket"].to_numpy(), left["_u"].to_numpy(float), m)
-        taken = left[[*PAIR, "side", "_id"]].iloc[i].copy()
-        taken["r_id"], taken["distance"] = right["_id"].iloc[j].to_numpy(), distance
-        rest = pd.concat([left.drop(index=i), right.drop(index=j)])
-        return pd.concat([taken, rest]).reindex(columns=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    columns = [*PAIR, "side", "_id", *DIST_COLS]
-    matched, free, rnd = None, rows, 0
-    while True:
-        count = lambda s: F.count_if(F.col("side") == s)
-        sizes = stored(free.groupBy(*PAIR).agg(count(0).alias("nl"), count(1).alias("nr")).where("nl > 0 and nr > 0")
-                       .select(*PAIR, F.ceil(F.greatest("nl", "nr") / F.lit(bucket_rows)).cast("int").alias("_n")), "sizes")
-        if sizes.isEmpty():
-            break
-        tag = f"{seed}:{rnd}"
-        name = F.concat_ws(":", *PAIR, "side", "_id")
-        dealt = (free.join(sizes, PAIR).withColumn("_bucket", F.floor(hash_uniform(name, f"bucket:{tag}") * F.col("_n")).cast("int"))
-                 .withColumn("_h", F.unhex(hash_order(name, tag)))
-                 .withColumn("_u", F.when(F.col("side") == 0, hash_uniform(name, f"start:{tag}"))))
-        group = F.floor(F.col("_bucket") / F.lit(GROUP_BUCKETS)).alias("_group")
-        out = stored(dealt.groupBy(*PAIR, group).applyInPandas(one, schema), "round")
-        acc = out.where("distance is not null").select(*PAIR, F.col("_id").alias("l_id"), "r_id", "distance")
-        matched = acc if matched is None else matched.unionByName(acc)
-        free = out.where("distance is null").select(*columns)
-        rnd += 1
-    if matched is None:
-        matched = rows.limit(0).select(*PAIR, F.col("_id").alias("l_id"), F.col("_id").alias("r_id"), F.lit(0.0).alias("distance"))
-    return matched, totals
+    Every row is in as many pairs as there are other datasets. Only the rows of pairs with about ``wave_rows`` rows together
+    are written and shuffled at a time, so that disk grows with the rows, not with the rows of all pairs. ``summary`` makes a table
+    by pair of matched rows of some whole pairs; then its rows come back, and those of a wave are deleted before the next.
+    """
+    few = {"spark.sql.files.maxPartitionBytes": SPLIT_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+    with settings(df.sparkSession, {**DROP_SHUFFLES, **few}):
+        return _sampled_in_waves(df, key, dataset_col, m, seed, pairs, bucket_rows, wave_rows, summary)
+
+
+def _sampled_in_waves(df, key, dataset_col, m, seed, pairs, bucket_rows, wave_rows, summary) -> tuple[DataFrame, DataFrame]:
+    spark = df.sparkSession
+    *findings, value = DIST_COLS
+    text = lambda c: F.coalesce(F.col(c).cast("double").cast("string"), F.lit("NaN"))
+    rows = stored(complete_rows(df.select(dataset_col, key, *DIST_COLS))
+                  .select(dataset_col, F.col(key).alias("_id"), F.concat_ws(",", *map(text, findings)).alias("_found"), value), "rows")
+    sides = stored(pair_sides(rows, dataset_col, value, pairs), "sides")
+    counts = stored(rows.groupBy(dataset_col).agg(F.count(F.lit(1)).alias("_n")), "counts")
+    of = lambda ds, n: counts.select(F.col(dataset_col).alias(ds), F.col("_n").alias(n))
+    buckets = F.ceil(F.greatest("nl", "nr") / F.lit(bucket_rows)).cast("int").alias("_n")
+    sizes = stored(_pair_waves(sides.where("side = 0").select(*PAIR).join(of("ds_a", "nl"), "ds_a").join(of("ds_b", "nr"), "ds_b"), wave_rows)
+                   .withColumn("_pair", F.monotonically_increasing_id()), "sizes")
+    sides = stored(sides.join(sizes.select(*PAIR, "_pair", "_wave", buckets), PAIR)
+                   .withColumn("_name", F.concat_ws(":", *PAIR, "side")).withColumn("_at", F.concat_ws("|", "_pair", "_name")), "wave-sides")
+    count = lambda s: F.count_if(F.col("side") == s)
+    found: list[DataFrame] = []
+    for wave, n in sizes.groupBy("_wave").agg(F.sum(F.col("nl") + F.col("nr"))).orderBy("_wave").collect():
+        mine = sides.where(F.col("_wave") == wave)
+        free = pair_rows(rows, dataset_col, value, sides=mine).withColumn(value, F.col(value).cast("double"))
+        rounds: list[DataFrame] = []
+        while n:
+            tag = f"{seed}:{len(rounds)}"
+            tasks = max(-(-n // TASK_ROWS), min(default_partitions(spark), -(-n // (TASK_ROWS // 8))))
+            draw = hash_uniform(F.concat_ws(":", "_name", "_id"), f"bucket:{tag}")
+            rounds.append(stored(_match_dealt(free.withColumn("_bucket", F.floor(draw * F.col("_n")).cast("int")), m, tag, tasks), "round"))
+            rest = rounds[-1].where("distance is null")
+            left = stored(rest.groupBy("_pair").agg(count(0).alias("nl"), count(1).alias("nr")).where("nl > 0 and nr > 0")
+                          .select("_pair", buckets, (F.col("nl") + F.col("nr")).alias("_rows")), "sizes")
+            n = left.agg(F.sum("_rows")).first()[0]
+            free = rest.join(left, "_pair").join(mine.select("_pair", "side", "_name", "_at"), ["_pair", "side"])
+        matched = reduce(DataFrame.unionByName, [r.where("distance is not null") for r in rounds]).join(sizes.select("_pair", *PAIR), "_pair")
+        matched = matched.select(*PAIR, F.col("_id").alias("l_id"), "r_id", "distance")
+        if summary:
+            matched = stored(summary(matched), "summary")
+            for r in rounds:
+                drop_stored(r)
+        found.append(matched)
+    if not found:
+        kind = dict(rows.dtypes)["_id"]
+        empty = spark.createDataFrame([], f"{_pair_type(sides)}, l_id {kind}, r_id {kind}, distance double")
+        found = [summary(empty) if summary else empty]
+    drop_stored(rows)
+    return reduce(DataFrame.unionByName, found), sizes.select(*PAIR, F.col("nl").alias("n_left"))
 
 
 def match_sampled(df: DataFrame, key: str = "id", dataset_col: str = "dataset_id", m: int = 10,
                   seed: int = 100, pairs: Sequence[tuple] | None = None) -> DataFrame:
     """Sampled greedy one-to-one matching per pair (``m`` free candidates per left row per round)."""
-    matched, totals = sampled_matches(df, key, dataset_col, m, seed, pairs)
-    return with_incomplete(_with_unmatched(matched, totals, None), df, dataset_col=dataset_col)
+    summaries, totals = sampled_matches(df, key, dataset_col, m, seed, pairs, summary=distance_summary)
+    return with_incomplete(_with_unmatched(summaries, totals), df, dataset_col=dataset_col)

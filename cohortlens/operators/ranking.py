@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.session import default_partitions, scratch_path, stored
+from cohortlens.session import DROP_SHUFFLES, default_partitions, scratch_path, settings, stored
 
 
 def _sort_col(c: str | Column) -> Column:
@@ -35,7 +35,8 @@ def _positions(df: DataFrame, keys: Sequence[Column], n: int) -> DataFrame:
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_cl_pid", F.spark_partition_id())
     path = scratch_path(spark, "sorted")
     # One file a partition, so that the row's number in its file is its position.
-    ranged.write.option("maxRecordsPerFile", 0).parquet(path)
+    with settings(spark, DROP_SHUFFLES):
+        ranged.write.option("maxRecordsPerFile", 0).parquet(path)
     return spark.read.schema(ranged.schema).parquet(path).select("*", F.col("_metadata.row_index").alias("_cl_pos"))
 
 

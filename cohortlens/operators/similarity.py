@@ -80,19 +80,26 @@ def joint_minmax(df: DataFrame, pairs: DataFrame, value: str = "Age", dataset_co
             .select("ds_a", "ds_b", F.least("_mn_a", "_mn_b").alias("lo"), F.greatest("_mx_a", "_mx_b").alias("hi")))
 
 
+def pair_sides(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age", pairs: Sequence[tuple] | None = None) -> DataFrame:
+    """(ds_a, ds_b, lo, hi, dataset, side): both datasets of every pair and the pair's range of ``value``."""
+    mm = joint_minmax(df, dataset_pairs(df, dataset_col, pairs), value, dataset_col)
+    sides = mm.select("ds_a", "ds_b", "lo", "hi",
+                      F.explode(F.array(F.struct(F.col("ds_a").alias("ds"), F.lit(0).alias("side")),
+                                        F.struct(F.col("ds_b").alias("ds"), F.lit(1).alias("side")))).alias("_s"))
+    return sides.select("ds_a", "ds_b", "lo", "hi", F.col("_s.ds").alias(dataset_col), F.col("_s.side").alias("side"))
+
+
 def pair_rows(df: DataFrame, dataset_col: str = "dataset_id", value: str = "Age",
-              pairs: Sequence[tuple] | None = None) -> DataFrame:
+              pairs: Sequence[tuple] | None = None, sides: DataFrame | None = None) -> DataFrame:
     """Rows tagged with (ds_a, ds_b, side) for every pair, plus pair-normalised ``value``.
 
     The pair/side table has 2 x pairs rows. It is stored, so that the planner
-    knows its size and broadcasts it only if that is small.
+    knows its size and broadcasts it only if that is small. ``sides`` is such a table, of some pairs, and
+    may have further columns.
     """
-    mm = joint_minmax(df, dataset_pairs(df, dataset_col, pairs), value, dataset_col)
-    sides = mm.select("ds_a", "ds_b", "lo", "hi",
-                      F.explode(F.array(F.struct(F.col("ds_a").alias("ds"), F.lit(0).alias("side")),
-                                        F.struct(F.col("ds_b").alias("ds"), F.lit(1).alias("side")))).alias("_s"))
-    sides = sides.select("ds_a", "ds_b", "lo", "hi", F.col("_s.ds").alias(dataset_col), F.col("_s.side").alias("side"))
-    out = df.join(stored(sides, "sides"), dataset_col)
+    if sides is None:
+        sides = stored(pair_sides(df, dataset_col, value, pairs), "sides")
+    out = df.join(sides, dataset_col)
     return out.withColumn(value, minmax_scale(F.col(value), F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 

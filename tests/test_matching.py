@@ -173,3 +173,111 @@ def test_sampled_matching_of_many_buckets_equals_row_by_row():
                     want.append((i, free.pop(near[best]), distances[best]))
         got = match_samples(left, left_of, right, right_of, starts, m)
         assert sorted(zip(*(x.tolist() for x in got))) == want
+
+
+def _cohort_of(spark, n, id_type="long", make_id=int):
+    from cohortlens.operators.similarity import BINARY
+
+    rows = [(ds, make_id(ds * 10_000 + i), float((i * 37 + ds) % 71), *[float((i * (ds + 2) >> b) & 1) for b in range(5)]) for ds, k in n.items() for i in range(k)]
+    return rows, spark.createDataFrame(rows, f"dataset_id int, id {id_type}, Age double, {', '.join(f'{c} double' for c in BINARY)}")
+
+
+def test_numbers_of_md5_are_those_of_hashlib():
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from cohortlens.operators.greedy import md5_numbers
+
+    texts = ["", "a", "é" * 20, *("x" * n for n in (43, 52, 53, 54, 55, 56, 64, 300)), *(f"1:2:0:{i}" for i in range(500))]
+    want = np.frombuffer(b"".join(hashlib.md5(f"{x}:s".encode()).digest() for x in texts), ">u8").reshape(-1, 2)
+    for first in (7, 8192):
+        assert (md5_numbers(pa.array(texts), b":s", first) == want).all()
+        assert (md5_numbers(pa.array(["q", *texts])[1:], b":s", first) == want).all()
+    assert md5_numbers(pa.array([], pa.string()), b":s").shape == (0, 2)
+
+
+@pytest.mark.parametrize("id_type,make_id", [("long", int), ("string", lambda i: f"row {i} of a table with long names, é"), ("double", lambda i: i + 0.5)])
+def test_sampled_draws_are_md5s_of_names(spark, id_type, make_id):
+    """Every round, pair and side by hashlib and row by row gives the same matches."""
+    from hashlib import md5
+
+    from cohortlens.operators import matching
+
+    rows, df = _cohort_of(spark, {1: 150, 2: 120, 3: 60}, id_type, make_id)
+    got = {(r.ds_a, r.ds_b, r.l_id): (r.r_id, r.distance) for r in matching.sampled_matches(df, bucket_rows=20, wave_rows=200)[0].collect()}
+    want = {}
+    for a, b in ((1, 2), (1, 3), (2, 3)):
+        ages = [r[2] for r in rows if r[0] in (a, b)]
+        lo, width = min(ages), max(ages) - min(ages)
+        free, rnd = [{r[1]: (*r[3:], (r[2] - lo) / width) for r in rows if r[0] == ds} for ds in (a, b)], 0
+        while all(free):
+            digest = lambda side, i, what: md5(f"{a}:{b}:{side}:{i}:{what}100:{rnd}".encode()).hexdigest()
+            uniform = lambda side, i, what: (int(digest(side, i, what)[:13], 16) + 0.5) / 2.0 ** 52
+            n = -(-max(map(len, free)) // 20)
+            for k in range(n):
+                mine = [sorted((i for i in free[s] if int(uniform(s, i, "bucket:") * n) == k), key=lambda i: digest(s, i, "")) for s in (0, 1)]  # noqa: B023
+                for i in mine[0]:
+                    if mine[1]:
+                        start = int(uniform(0, i, "start:") * len(mine[1]))
+                        near = [mine[1][(start + j) % len(mine[1])] for j in range(min(10, len(mine[1])))]
+                        far = [sum(abs(x - y) for x, y in zip(free[1][j], free[0][i])) / 6 for j in near]
+                        j = near[far.index(min(far))]
+                        mine[1].remove(j)
+                        want[a, b, i] = j, pytest.approx(min(far))
+                        del free[0][i], free[1][j]
+            rnd += 1
+    assert got == want
+
+
+def _on_disk(spark):
+    from cohortlens.session import checkpoint_dir
+
+    scratch = f"{checkpoint_dir(spark).removeprefix('file:')}/cohortlens-scratch"
+    local = {os.path.join(d, f) for top in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+             for d, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+    return set(os.listdir(scratch)) if os.path.isdir(scratch) else set(), local
+
+
+def test_sampled_matching_holds_a_wave_of_pairs_at_a_time(spark, monkeypatch):
+    """No table or shuffle has the rows of all pairs, and what a wave wrote goes with it."""
+    from cohortlens.operators import matching
+    from cohortlens.operators.similarity import distance_summary
+
+    n = {ds: 60 + ds for ds in range(1, 6)}
+    rows, df = _cohort_of(spark, n)
+    keep, tables, asked, deal = matching.stored, [], [], matching._match_dealt
+    monkeypatch.setattr(matching, "stored", lambda d, name: tables.append((name, (x := keep(d, name)).count())) or x)
+    monkeypatch.setattr(matching, "_match_dealt", lambda free, *a: asked.append(free.count()) or deal(free, *a))
+    whole = matching.sampled_matches(df, summary=distance_summary)[0].orderBy("ds_a", "ds_b").collect()
+    assert max(asked) == 4 * len(rows)
+    tables.clear(), asked.clear()
+    before = _on_disk(spark)
+    waves, totals = matching.sampled_matches(df, wave_rows=400, summary=distance_summary)
+    assert sum(name == "summary" for name, _ in tables) == 3
+    assert max(asked) < 400 + 2 * max(n.values()) < 2 * len(rows)
+    assert max(k for _, k in tables) <= max(asked)
+    left = {x.rsplit("-", 1)[0] for x in _on_disk(spark)[0] - before[0]}
+    assert not left & {"rows", "round", "pair-rows"}
+    assert waves.orderBy("ds_a", "ds_b").collect() == whole and len(whole) == 10
+    assert {(r.ds_a, r.ds_b): r.n_left for r in totals.collect()} == {(a, b): n[a] for a in n for b in n if a < b}
+
+
+def test_settings_hold_inside_and_shuffles_go_with_a_write(spark):
+    import time
+
+    from cohortlens.session import DROP_SHUFFLES, settings, stored
+
+    name, = DROP_SHUFFLES
+    was, before = spark.conf.get(name), _on_disk(spark)[1]
+    with pytest.raises(KeyError), settings(spark, {**DROP_SHUFFLES, "cohortlens.test": "1"}):
+        assert spark.conf.get(name) == "true" and spark.conf.get("cohortlens.test") == "1"
+        kept = stored(spark.range(20_000).repartition(4, "id"), "dealt")
+        assert kept.count() == 20_000
+        raise KeyError
+    assert spark.conf.get(name) == was and spark.conf.get("cohortlens.test", None) is None
+    until = time.time() + 20
+    while (new := {x for x in _on_disk(spark)[1] - before if os.path.getsize(x) > 10_000}) and time.time() < until:
+        time.sleep(0.2)
+    assert not new
