@@ -517,13 +517,16 @@ def q_match_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_match_sampled_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled matching is one to one and leaves no row that could be matched, values missing."""
     c = _gappy_cohort(spark, sf_dir)
-    matched, _ = sampled_matches(c)
     pair, inside = ["ds_a", "ds_b"], (F.col("distance") >= 0) & (F.col("distance") <= 1)
-    # Distinct ids by a grouping a side: together they would be a copy of every row for each side.
-    left = (matched.groupBy(*pair, "l_id").agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("in_bounds")).groupBy(*pair)
-            .agg(F.sum("n").alias("n_matched"), F.count("l_id").alias("n_left"), F.min("in_bounds").alias("in_bounds")))
-    right = matched.groupBy(*pair, "r_id").agg(F.lit(1)).groupBy(*pair).agg(F.count("r_id").alias("n_right"))
-    s = left.join(right, pair).select(*pair, "n_matched", "n_left", "n_right", "in_bounds")
+
+    def distinct_ids(matched: DataFrame) -> DataFrame:
+        # Distinct ids by a grouping a side: together they would be a copy of every row for each side.
+        left = (matched.groupBy(*pair, "l_id").agg(F.count(F.lit(1)).alias("n"), F.min(inside).alias("in_bounds")).groupBy(*pair)
+                .agg(F.sum("n").alias("n_matched"), F.count("l_id").alias("n_left"), F.min("in_bounds").alias("in_bounds")))
+        right = matched.groupBy(*pair, "r_id").agg(F.lit(1)).groupBy(*pair).agg(F.count("r_id").alias("n_right"))
+        return left.join(right, pair).select(*pair, "n_matched", "n_left", "n_right", "in_bounds")
+
+    s, _ = sampled_matches(c, summary=distinct_ids)
     return with_incomplete(s, c)
 
 
