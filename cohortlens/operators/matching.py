@@ -19,7 +19,7 @@ Both are rebuilt as set-based steps over all pairs at once:
 * :func:`match_sampled` - the free rows of a pair are dealt by md5 into buckets,
   and in its bucket each left row in turn takes the nearest of ``m`` random
   rows still free, as in the reference. What uneven buckets leave is dealt
-  anew, so that two or three rounds do.
+  anew, so that two or three rounds do. Only a wave of pairs is on disk at a time.
 
 Rounds end when a pair has no free rows on one side: a pair that fits one bucket,
 or one task, is finished in its round, so there is no cap. Tables are stored
@@ -52,7 +52,7 @@ TASK_ROWS = 400_000
 #: Rows of the pairs that the sampled matching has on disk at a time.
 WAVE_ROWS = 100_000_000
 #: Bytes of rows that a task of the sampled matching reads, to tag them with their pairs: a row there becomes many.
-SPLIT_BYTES = "16m"
+SPLIT_BYTES = "4m"
 #: Rows that such a task is handed at a time.
 BATCH_ROWS = 50_000
 
